@@ -7,7 +7,7 @@ so one 60-bit Morton code per point serves every precision.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The geohash base-32 alphabet, and the digits Spark's conv() writes in base 32.
@@ -40,12 +40,25 @@ def lat_index(lat, bits: int = AXIS_BITS) -> Column:
     return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)).cast("long")
 
 
+def _spread_byte(b: int) -> int:
+    return sum(((b >> i) & 1) << (2 * i) for i in range(8))
+
+
+# bit spreading of one byte (bit i -> bit 2i), built from the rule above
+SPREAD_TABLE = [_spread_byte(b) for b in range(256)]
+
+
 def _spread(v: Column) -> Column:
-    """Insert a zero bit above every bit of a 32-bit value (bit i moves to bit 2i)."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
-                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = F.shiftleft(v, shift).bitwiseOR(v).bitwiseAND(F.lit(mask))
-    return v
+    """Insert a zero bit above every bit of a 32-bit value (bit i moves to bit 2i), one table lookup per byte.
+
+    Each byte refers to ``v`` once, so the expression stays small even when Catalyst inlines ``v``.
+    """
+    table = F.array(*[F.lit(t).cast("long") for t in SPREAD_TABLE])
+    out = None
+    for j in range(4):
+        part = F.shiftleft(F.element_at(table, F.shiftright(v, 8 * j).bitwiseAND(F.lit(255)).cast("int") + 1), 16 * j)
+        out = part if out is None else out.bitwiseOR(part)
+    return out
 
 
 def morton(ix: Column, iy: Column) -> Column:
@@ -70,24 +83,39 @@ def geohash(lon, lat, chars: int | Column = MAX_CHARS) -> Column:
 
 
 def common_chars(m1: Column, m2: Column) -> Column:
-    """Number of leading geohash characters two Morton codes share (0..12)."""
-    total = F.lit(0)
-    for n in range(1, MAX_CHARS + 1):
-        s = 5 * (MAX_CHARS - n)
-        total = total + F.when(F.shiftright(m1, s) == F.shiftright(m2, s), 1).otherwise(0)
-    return total
+    """Number of leading geohash characters two Morton codes share (0..12): leading equal bits of the 60-bit
+    codes, i.e. 60 minus the bit length of their XOR, in whole characters of 5 bits."""
+    x = m1.bitwiseXOR(m2)
+    return F.when(x == 0, F.lit(MAX_CHARS)).otherwise(F.floor((F.lit(60) - F.length(F.bin(x))) / 5).cast("int"))
+
+
+def with_morton(df: DataFrame, out: str, lon: str, lat: str) -> DataFrame:
+    """Add the 60-bit Morton code of (lon, lat) as column ``out``.
+
+    The cell indices are materialised as columns first: the bit spreading refers to its input several times, and
+    Catalyst keeps a multiply-used, non-trivial column as a reference instead of inlining it (CollapseProject).
+    """
+    ix, iy = f"_{out}_ix", f"_{out}_iy"
+    return df.withColumn(ix, lon_index(lon)).withColumn(iy, lat_index(lat)) \
+        .withColumn(out, morton(F.col(ix), F.col(iy))).drop(ix, iy)
+
+
+def with_geohash(df: DataFrame, out: str, lon: str, lat: str, chars: int = MAX_CHARS) -> DataFrame:
+    m = f"_{out}_m"
+    return with_morton(df, m, lon, lat).withColumn(out, geohash_of_morton(F.col(m), chars)).drop(m)
 
 
-def envelope_cell(xmin, ymin, xmax, ymax) -> Column:
+def with_cell(df: DataFrame, env=("xmin", "ymin", "xmax", "ymax"), out: str = "cell") -> DataFrame:
     """Longest common prefix of the 12-character geohashes of the four envelope corners.
 
     The four corners share n characters exactly when the south-west and north-east corners do, because cells are
     axis-parallel boxes. An empty envelope (NULL) gives ''.
     """
-    sw = morton_of(xmin, ymin)
-    ne = morton_of(xmax, ymax)
-    cell = geohash_of_morton(sw, common_chars(sw, ne))
-    return F.when(_col(xmin).isNull(), F.lit("")).otherwise(cell)
+    xmin, ymin, xmax, ymax = env
+    df = with_morton(with_morton(df, "_sw", xmin, ymin), "_ne", xmax, ymax)
+    sw, ne = F.col("_sw"), F.col("_ne")
+    cell = F.when(F.col(xmin).isNull(), F.lit("")).otherwise(geohash_of_morton(sw, common_chars(sw, ne)))
+    return df.withColumn(out, cell).drop("_sw", "_ne")
 
 
 def axis_bits(chars: int) -> tuple[int, int]:

@@ -81,7 +81,7 @@ def edges(rings="rings", gtype="gtype") -> Column:
         yr = F.when(left, q["y"]).otherwise(p["y"])
         return F.struct(
             F.when(left, 1.0).otherwise(-1.0).alias("s"), xl.alias("xl"), yl.alias("yl"),
-            xr.alias("xr"), yr.alias("yr"), ((yr - yl) / (xr - xl)).alias("m"))
+            xr.alias("xr"), yr.alias("yr"), F.when(xr > xl, (yr - yl) / (xr - xl)).otherwise(F.lit(0.0)).alias("m"))
 
     all_edges = F.flatten(F.transform(_col(rings), lambda r: _segments(r["pts"], edge)))
     return F.when(is_areal(gtype), F.filter(all_edges, lambda e: e["xl"] < e["xr"])) \

@@ -31,10 +31,11 @@ def feature_key(cell="cell", oid="oid") -> Column:
 
 
 def finish_features(df: DataFrame) -> DataFrame:
-    """From (oid, tags, gtype, rings, ...) add envelope, cell, region and key; keeps extra columns at the end."""
-    extra = [c for c in df.columns if c not in ("oid", "tags", "gtype", "rings")]
-    env = df.select("oid", "tags", "gtype", "rings", *shapes.envelope("rings"), *extra)
-    out = env.withColumn("cell", cells.envelope_cell("xmin", "ymin", "xmax", "ymax")) \
-        .withColumn("region", region_of("oid")) \
-        .withColumn("key", feature_key())
+    """From (oid, tags, gtype, rings, ...) add envelope, cell, region and key; keeps extra columns at the end.
+    An envelope already present (xmin, ymin, xmax, ymax) is kept instead of being derived from the rings."""
+    base = ("oid", "tags", "gtype", "rings", *ENVELOPE)
+    extra = [c for c in df.columns if c not in base]
+    env = list(shapes.envelope("rings")) if "xmin" not in df.columns else ENVELOPE
+    out = df.select("oid", "tags", "gtype", "rings", *env, *extra)
+    out = cells.with_cell(out).withColumn("region", region_of("oid")).withColumn("key", feature_key())
     return out.select(*FEATURE_COLUMNS, *extra)

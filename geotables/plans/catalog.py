@@ -52,3 +52,110 @@ SELECT DISTINCT w.window_id, v.oid FROM ({O.vertices('parcel_rings')}) v JOIN wi
   ON v.x BETWEEN w.xmin AND w.xmax AND v.y BETWEEN w.ymin AND w.ymax""")
 def q_range_query_many(spark, sf_dir):
     return rq.range_query_many(fx.parcels(spark, sf_dir), fx.windows(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ shapes, tags
+
+@register("area", O.with_ctes(O.PARCELS) + f"""
+SELECT a.oid, round(a.area, 9) AS area FROM ({O.ring_area_sql('parcel_rings')}) a""")
+def q_area(spark, sf_dir):
+    from geotables.functions.shapes import area
+    return fx.parcels(spark, sf_dir).select("oid", F.round(area("rings", "gtype"), 9).alias("area"))
+
+
+@register("envelope", O.with_ctes(O.PARCELS) + """
+SELECT v.oid, min(v.x) AS xmin, min(v.y) AS ymin, max(v.x) AS xmax, max(v.y) AS ymax
+FROM (""" + O.vertices('parcel_rings') + """) v GROUP BY v.oid""")
+def q_envelope(spark, sf_dir):
+    from geotables.functions.shapes import envelope
+    # derived from the vertices, not from the generator's box
+    return fx.parcels(spark, sf_dir).select("oid", *envelope("rings"))
+
+
+@register("vertices", O.with_ctes(O.PARCELS) + f"""
+SELECT v.oid, v.ring::INTEGER AS ring, (v.pos - 1)::INTEGER AS pos, v.x, v.y FROM ({O.vertices('parcel_rings')}) v""")
+def q_vertices(spark, sf_dir):
+    from geotables.operators.shapes_ops import explode_vertices
+    return explode_vertices(fx.parcels(spark, sf_dir)).select("oid", "ring", "pos", "x", "y")
+
+
+@register("tag_extract", O.with_ctes(O.ZONES) + """
+SELECT oid, pd_class FROM zones""")
+def q_tag_extract(spark, sf_dir):
+    from geotables.functions.tags import tag
+    return fx.zones(spark, sf_dir).select("oid", tag("tags", "PDJB").alias("pd_class"))
+
+
+# ------------------------------------------------------------------ overlay
+
+def _overlay(spark, sf_dir):
+    return fx.parcels(spark, sf_dir), fx.zones(spark, sf_dir)
+
+
+@register("overlay_pairs", O.overlay_all() + """
+SELECT p_oid, z_oid, overlap_area FROM scored""")
+def q_overlay_pairs(spark, sf_dir):
+    from geotables.operators.overlay import overlay_pairs
+    return overlay_pairs(*_overlay(spark, sf_dir), strategy="plain").select("p_oid", "z_oid", "overlap_area")
+
+
+@register("overlay_pairs_grid", O.overlay_all() + """
+SELECT p_oid, z_oid, overlap_area FROM scored""")
+def q_overlay_pairs_grid(spark, sf_dir):
+    from geotables.operators.overlay import overlay_pairs
+    return overlay_pairs(*_overlay(spark, sf_dir), strategy="grid").select("p_oid", "z_oid", "overlap_area")
+
+
+@register("prefix_join", O.overlay_all() + """
+SELECT p_oid, z_oid FROM cand WHERE starts_with(p_cell, z_cell) OR starts_with(z_cell, p_cell)""")
+def q_prefix_join(spark, sf_dir):
+    from geotables.operators.overlay import candidate_pairs, overlay_inputs
+    p, z = overlay_inputs(*_overlay(spark, sf_dir), "PDJB")
+    return candidate_pairs(p, z, "prefix").select("p_oid", "z_oid")
+
+
+@register("overlap_area", O.overlay_all() + """
+SELECT p_oid, z_oid, overlap_area FROM scored WHERE overlap_area > 0""")
+def q_overlap_area(spark, sf_dir):
+    from geotables.operators.overlay import overlay_pairs
+    return overlay_pairs(*_overlay(spark, sf_dir)).where(F.col("overlap_area") > 0) \
+        .select("p_oid", "z_oid", "overlap_area")
+
+
+@register("overlay_classes", O.overlay_all() + O.best_of("scored"))
+def q_overlay_classes(spark, sf_dir):
+    from geotables.operators.overlay import overlay_classes
+    return overlay_classes(*_overlay(spark, sf_dir))
+
+
+@register("overlay_classes_compat", O.with_ctes(
+    O.PARCELS, O.ZONES, O.CANDIDATES, f"za AS ({O.ring_area_sql('zone_rings')})",
+    """scored AS (SELECT c.*, round(za.area, 9) AS own_area FROM cand c JOIN za ON za.k = c.zk
+                  WHERE contains(c.p_cell, c.z_cell) OR contains(c.z_cell, c.p_cell))""")
+    + O.best_of("scored", "own_area"))
+def q_overlay_classes_compat(spark, sf_dir):
+    from geotables.operators.overlay import overlay_classes
+    return overlay_classes(*_overlay(spark, sf_dir), compat=True)
+
+
+@register("merge_best", O.overlay_all() + O.best_of("scored"))
+def q_merge_best(spark, sf_dir):
+    # two zone batches (even / odd supplier key) overlaid separately, then merged
+    from geotables.operators.overlay import merge_best, overlay_classes
+    parcels, zones = _overlay(spark, sf_dir)
+    odd = F.substring(F.col("oid"), -1, 1).cast("int") % 2 == 1
+    a = overlay_classes(parcels, zones.where(~odd), keep_zone_key=True)
+    b = overlay_classes(parcels, zones.where(odd), keep_zone_key=True)
+    return merge_best(a, b).drop("zone_key")
+
+
+@register("overlay_stats", O.overlay_all() + f"""
+SELECT (SELECT count(*) FROM parcels) AS n_parcels, (SELECT count(*) FROM zones) AS n_zones,
+       (SELECT count(*) FROM zones WHERE pd_class IS NULL) AS n_zones_no_tag,
+       (SELECT count(*) FROM scored) AS n_pairs,
+       (SELECT count(*) FROM scored WHERE overlap_area > 0) AS n_pairs_positive,
+       (SELECT count(DISTINCT pk) FROM scored WHERE overlap_area > 0) AS n_parcels_matched,
+       ceil((SELECT count(*) FROM zones) / 4{O.D})::BIGINT AS batch_size""")
+def q_overlay_stats(spark, sf_dir):
+    from geotables.operators.overlay import overlay_stats
+    return overlay_stats(*_overlay(spark, sf_dir), batches=4)

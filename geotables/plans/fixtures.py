@@ -70,10 +70,17 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land parcels from ``part``: rectangles, right triangles, L-shapes and rectangles with a hole."""
     p = parcel_parts(read(spark, sf_dir, "part"))
     df = p.select("oid", "tags", F.lit("POLYGON").alias("gtype"),
-                  parcel_rings(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("kind")).alias("rings"))
+                  parcel_rings(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("kind")).alias("rings"),
+                  *_envelope_of_box())
     return finish_features(df)
 
 
+def _envelope_of_box() -> list[Column]:
+    # every generated shape spans its whole (x, y, w, h) box
+    return [F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + F.col("w")).alias("xmax"),
+            (F.col("y") + F.col("h")).alias("ymax")]
+
+
 def zone_parts(supplier: DataFrame) -> DataFrame:
     k = F.col("s_suppkey").cast("long")
     return supplier.select(
@@ -95,7 +102,8 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, w, h = F.col("x"), F.col("y"), F.col("w"), F.col("h")
     rings = F.when(F.col("kind") == 0, F.array(ring(0, 0, _rect(x, y, w, h)))) \
         .otherwise(F.array(ring(0, 0, _triangle(x, y, w, h))))
-    return finish_features(z.select("oid", "tags", F.lit("POLYGON").alias("gtype"), rings.alias("rings")))
+    return finish_features(z.select("oid", "tags", F.lit("POLYGON").alias("gtype"), rings.alias("rings"),
+                                    *_envelope_of_box()))
 
 
 def point_parts(customer: DataFrame) -> DataFrame:
@@ -115,7 +123,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = point_parts(read(spark, sf_dir, "customer"))
     df = p.select("oid", F.lit("{}").alias("tags"), F.lit("POINT").alias("gtype"),
                   F.array(ring(0, 0, [point(F.col("lon"), F.col("lat"))])).alias("rings"),
-                  "lon", "lat", "nationkey", "distance")
+                  F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"),
+                  F.col("lat").alias("ymax"), "lon", "lat", "nationkey", "distance")
     return finish_features(df)
 
 

@@ -42,9 +42,12 @@ def geohash(lon: str, lat: str, chars: int | str = MAX_CHARS) -> str:
     return geohash_of_morton(morton(lon_index(lon), lat_index(lat)), chars)
 
 
-def envelope_cell(xmin: str, ymin: str, xmax: str, ymax: str) -> str:
-    sw = morton(lon_index(xmin), lat_index(ymin))
-    ne = morton(lon_index(xmax), lat_index(ymax))
+def morton_of(lon: str, lat: str) -> str:
+    return morton(lon_index(lon), lat_index(lat))
+
+
+def envelope_cell(xmin: str, sw: str, ne: str) -> str:
+    """Cell from the Morton codes (columns) of the SW and NE envelope corners."""
     n = " + ".join(f"(CASE WHEN (({sw}) >> {5 * (MAX_CHARS - i)}) = (({ne}) >> {5 * (MAX_CHARS - i)}) THEN 1 ELSE 0 END)"
                    for i in range(1, MAX_CHARS + 1))
     return f"(CASE WHEN {xmin} IS NULL THEN '' ELSE {geohash_of_morton(sw, '(' + n + ')')} END)"
@@ -119,10 +122,13 @@ HOLE = (f"[{_p('x + w / 4', 'y + h / 4')}, {_p('x + w / 4', 'y + 3 * h / 4')}, {
 
 # features: (k, oid, tags, kind, x, y, w, h, xmin, ymin, xmax, ymax, region, cell, key)
 PARCELS = PARCEL_BASE + f""",
+parcel_m AS (
+  SELECT *, {morton_of('x', 'y')} AS sw, {morton_of('(x + w)', '(y + h)')} AS ne FROM parcel_base
+),
 parcels AS (
-  SELECT *, x AS xmin, y AS ymin, x + w AS xmax, y + h AS ymax, substr(split_part(oid, '_', 1), 1, 6) AS region,
-         {envelope_cell('x', 'y', '(x + w)', '(y + h)')} AS cell
-  FROM parcel_base
+  SELECT k, oid, tags, kind, x, y, w, h, x AS xmin, y AS ymin, x + w AS xmax, y + h AS ymax,
+         substr(split_part(oid, '_', 1), 1, 6) AS region, {envelope_cell('x', 'sw', 'ne')} AS cell
+  FROM parcel_m
 ),
 parcel_rings AS (
   SELECT k, oid, 0 AS ring, CASE kind WHEN 0 THEN {RECT} WHEN 1 THEN {TRI} WHEN 2 THEN {LSHAPE} ELSE {RECT} END AS pts
@@ -132,11 +138,14 @@ parcel_rings AS (
 )"""
 
 ZONES = ZONE_BASE + f""",
+zone_m AS (
+  SELECT *, {morton_of('x', 'y')} AS sw, {morton_of('(x + w)', '(y + h)')} AS ne FROM zone_base
+),
 zones AS (
-  SELECT *, x AS xmin, y AS ymin, x + w AS xmax, y + h AS ymax, substr(split_part(oid, '_', 1), 1, 6) AS region,
-         {envelope_cell('x', 'y', '(x + w)', '(y + h)')} AS cell,
+  SELECT k, oid, tags, kind, x, y, w, h, x AS xmin, y AS ymin, x + w AS xmax, y + h AS ymax,
+         substr(split_part(oid, '_', 1), 1, 6) AS region, {envelope_cell('x', 'sw', 'ne')} AS cell,
          json_extract_string(tags, '$.PDJB') AS pd_class
-  FROM zone_base
+  FROM zone_m
 ),
 zone_rings AS (
   SELECT k, oid, 0 AS ring, CASE kind WHEN 0 THEN {RECT} ELSE {TRI} END AS pts FROM zone_base
@@ -150,6 +159,9 @@ point_base AS (
          ((c_custkey::BIGINT * 10473) % 18000) / 100{D} - 90{D} AS lat,
          c_nationkey AS nationkey, c_acctbal AS distance
   FROM customer
+),
+points AS (
+  SELECT *, {morton_of('lon', 'lat')} AS m FROM point_base
 )"""
 
 WINDOWS = f"""
@@ -170,12 +182,13 @@ FROM (SELECT k, oid, ring, pts, unnest(range(1, len(pts) + 1)) AS i FROM {rings_
 def edges(rings_cte: str) -> str:
     """Non-vertical edges, left to right, with the sign of the original direction."""
     return f"""
+SELECT k, oid, s, xl, yl, xr, yr, (yr - yl) / (xr - xl) AS m FROM (
 SELECT k, oid, CASE WHEN x1 < x2 THEN 1{D} ELSE -1{D} END AS s,
        least(x1, x2) AS xl, CASE WHEN x1 < x2 THEN y1 ELSE y2 END AS yl,
        greatest(x1, x2) AS xr, CASE WHEN x1 < x2 THEN y2 ELSE y1 END AS yr
 FROM (SELECT k, oid, pts[i].x AS x1, pts[i].y AS y1, pts[i + 1].x AS x2, pts[i + 1].y AS y2
       FROM (SELECT k, oid, pts, unnest(range(1, len(pts))) AS i FROM {rings_cte}))
-WHERE x1 <> x2"""
+WHERE x1 <> x2)"""
 
 
 def ring_area_sql(rings_cte: str) -> str:
@@ -192,3 +205,60 @@ GROUP BY k, oid"""
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+
+def overlap_ctes(cand: str, a_edges: str, b_edges: str, name: str = "areas") -> str:
+    """CTEs computing ``name``(pk, zk, overlap_area) for candidate pairs ``cand`` (pk, zk, x0, x1, oy): the signed
+    sum over edge pairs of the integral of the lower edge line over the common x-range."""
+    return f"""
+ep1 AS (
+  SELECT c.pk, c.zk, e.s * g.s AS ss, greatest(e.xl, g.xl) AS l, least(e.xr, g.xr) AS r,
+         e.xl AS exl, e.yl - c.oy AS eyl, e.m AS em, g.xl AS gxl, g.yl - c.oy AS gyl, g.m AS gm
+  FROM {cand} c JOIN {a_edges} e ON e.k = c.pk JOIN {b_edges} g ON g.k = c.zk
+  WHERE e.xr > c.x0 AND e.xl < c.x1 AND g.xr > c.x0 AND g.xl < c.x1
+),
+ep2 AS (
+  SELECT pk, zk, ss, l, r, eyl + (l - exl) * em AS fl, eyl + (r - exl) * em AS fr,
+         gyl + (l - gxl) * gm AS gl, gyl + (r - gxl) * gm AS gr
+  FROM ep1 WHERE l < r
+),
+ep3 AS (
+  SELECT pk, zk, ss * (r - l) * ((fl + fr + gl + gr) -
+         CASE WHEN (fl - gl) * (fr - gr) >= 0 THEN abs(fl - gl) + abs(fr - gr)
+              ELSE ((fl - gl) * (fl - gl) + (fr - gr) * (fr - gr)) / (abs(fl - gl) + abs(fr - gr)) END) / 4{D} AS v
+  FROM ep2
+),
+{name} AS (
+  SELECT c.pk, c.zk, round(coalesce(t.a, 0{D}), 9) + 0{D} AS overlap_area
+  FROM {cand} c LEFT JOIN (SELECT pk, zk, sum(v) AS a FROM ep3 GROUP BY pk, zk) t ON t.pk = c.pk AND t.zk = c.zk
+)"""
+
+
+CANDIDATES = """
+cand AS (
+  SELECT p.k AS pk, z.k AS zk, p.oid AS p_oid, z.oid AS z_oid, p.cell AS p_cell, z.cell AS z_cell,
+         p.cell || '_' || p.oid AS p_key, z.cell || '_' || z.oid AS z_key, z.pd_class AS z_class,
+         greatest(p.xmin, z.xmin) AS x0, least(p.xmax, z.xmax) AS x1, greatest(p.ymin, z.ymin) AS oy
+  FROM parcels p JOIN zones z ON p.region = z.region
+   AND p.xmin <= z.xmax AND p.xmax >= z.xmin AND p.ymin <= z.ymax AND p.ymax >= z.ymin
+)"""
+
+
+def overlay_all() -> str:
+    """CTEs up to ``scored`` (pairs with their area) for the fixture parcels and zones."""
+    return with_ctes(PARCELS, ZONES, CANDIDATES,
+                     f"pe AS ({edges('parcel_rings')})", f"ze AS ({edges('zone_rings')})",
+                     overlap_ctes("cand", "pe", "ze"),
+                     """scored AS (SELECT c.*, a.overlap_area FROM cand c JOIN areas a ON a.pk = c.pk AND a.zk = c.zk)""")
+
+
+def best_of(scored: str, area_col: str = "overlap_area") -> str:
+    """Arg-max per parcel (largest rounded area, then smallest zone key) with the ('0', 0) default."""
+    return f"""
+SELECT p.oid, CASE WHEN b.pk IS NULL THEN '0' ELSE b.z_class END AS pd_class,
+       coalesce(b.{area_col}, 0{D}) AS overlap_area
+FROM parcels p LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY {area_col} DESC, z_key) AS rn
+                 FROM {scored} WHERE {area_col} > 0) WHERE rn = 1
+) b ON b.pk = p.k"""
