@@ -1,8 +1,13 @@
-"""Geohash cells as integer arithmetic on columns.
+"""Geohash cells as integer arithmetic in Spark SQL expressions.
 
 A geohash of n characters is the interleaving (longitude bit first) of the binary cell indices of the point on each
 axis, written in base 32. Twelve characters are 60 bits: 30 per axis. Shorter hashes are prefixes of longer ones,
 so one 60-bit Morton code per point serves every precision.
+
+Functions named ``*_sql`` return SQL expression text over column names or other expressions; the plain-named
+ones wrap that text in a ``Column``. Building an expression as text costs one JVM call instead of one per
+operator node, and every expression here stays linear in the size of its inputs, so Catalyst can inline it
+(e.g. into inferred ``isnotnull`` join filters) without blowing up.
 """
 
 from __future__ import annotations
@@ -24,98 +29,79 @@ PRECISION_THRESHOLDS = [
 ]
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def lon_index(lon, bits: int = AXIS_BITS) -> Column:
-    n = 1 << bits
-    i = F.floor((_col(lon) + F.lit(180.0)) / F.lit(360.0) * F.lit(float(n)))
-    return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)).cast("long")
-
-
-def lat_index(lat, bits: int = AXIS_BITS) -> Column:
-    n = 1 << bits
-    i = F.floor((_col(lat) + F.lit(90.0)) / F.lit(180.0) * F.lit(float(n)))
-    return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)).cast("long")
-
-
 def _spread_byte(b: int) -> int:
     return sum(((b >> i) & 1) << (2 * i) for i in range(8))
 
 
 # bit spreading of one byte (bit i -> bit 2i), built from the rule above
 SPREAD_TABLE = [_spread_byte(b) for b in range(256)]
+_SPREAD_SQL = "array(" + ", ".join(f"{t}L" for t in SPREAD_TABLE) + ")"
 
 
-def _spread(v: Column) -> Column:
-    """Insert a zero bit above every bit of a 32-bit value (bit i moves to bit 2i), one table lookup per byte.
+def lon_index_sql(lon: str, bits: int = AXIS_BITS) -> str:
+    n = 1 << bits
+    return f"CAST(least(greatest(floor(({lon} + 180D) / 360D * {float(n)}D), 0L), {n - 1}L) AS BIGINT)"
 
-    Each byte refers to ``v`` once, so the expression stays small even when Catalyst inlines ``v``.
-    """
-    table = F.array(*[F.lit(t).cast("long") for t in SPREAD_TABLE])
-    out = None
-    for j in range(4):
-        part = F.shiftleft(F.element_at(table, F.shiftright(v, 8 * j).bitwiseAND(F.lit(255)).cast("int") + 1), 16 * j)
-        out = part if out is None else out.bitwiseOR(part)
-    return out
 
+def lat_index_sql(lat: str, bits: int = AXIS_BITS) -> str:
+    n = 1 << bits
+    return f"CAST(least(greatest(floor(({lat} + 90D) / 180D * {float(n)}D), 0L), {n - 1}L) AS BIGINT)"
 
-def morton(ix: Column, iy: Column) -> Column:
-    """60-bit interleaving of two 30-bit indices, longitude bit first (most significant)."""
-    return F.shiftleft(_spread(ix), 1).bitwiseOR(_spread(iy))
 
+def spread_sql(v: str) -> str:
+    """Insert a zero bit above every bit of a 32-bit value (bit i -> bit 2i): one table lookup per byte."""
+    parts = [f"shiftleft(element_at({_SPREAD_SQL}, CAST(shiftright({v}, {8 * j}) & 255L AS INT) + 1), {16 * j})"
+             for j in range(4)]
+    return "(" + " | ".join(parts) + ")"
 
-def morton_of(lon, lat) -> Column:
-    return morton(lon_index(lon), lat_index(lat))
 
+def morton_sql(ix: str, iy: str) -> str:
+    """60-bit interleaving of two 30-bit indices, longitude bit first (most significant)."""
+    return f"(shiftleft({spread_sql(ix)}, 1) | {spread_sql(iy)})"
 
-def geohash_of_morton(m: Column, chars: int | Column = MAX_CHARS) -> Column:
-    s = F.lpad(F.translate(F.conv(m.cast("string"), 10, 32), CONV32_DIGITS, GEOHASH_ALPHABET), MAX_CHARS, "0")
-    if isinstance(chars, int) and chars == MAX_CHARS:
-        return s
-    return F.substring(s, F.lit(1), chars if isinstance(chars, Column) else F.lit(chars))
 
+def point_morton_sql(lon: str, lat: str) -> str:
+    return morton_sql(lon_index_sql(lon), lat_index_sql(lat))
 
-def geohash(lon, lat, chars: int | Column = MAX_CHARS) -> Column:
-    """Geohash string of a point; coordinates outside the valid range are clamped to the edge cells."""
-    return geohash_of_morton(morton_of(lon, lat), chars)
 
+def geohash_of_morton_sql(m: str, chars: int | str = MAX_CHARS) -> str:
+    s = f"lpad(translate(conv(CAST({m} AS STRING), 10, 32), '{CONV32_DIGITS}', '{GEOHASH_ALPHABET}'), {MAX_CHARS}, '0')"
+    return s if chars == MAX_CHARS else f"substring({s}, 1, {chars})"
 
-def common_chars(m1: Column, m2: Column) -> Column:
-    """Number of leading geohash characters two Morton codes share (0..12): leading equal bits of the 60-bit
-    codes, i.e. 60 minus the bit length of their XOR, in whole characters of 5 bits."""
-    x = m1.bitwiseXOR(m2)
-    return F.when(x == 0, F.lit(MAX_CHARS)).otherwise(F.floor((F.lit(60) - F.length(F.bin(x))) / 5).cast("int"))
 
+def geohash_sql(lon: str, lat: str, chars: int | str = MAX_CHARS) -> str:
+    """Geohash string of a point; coordinates outside the valid range are clamped to the edge cells."""
+    return geohash_of_morton_sql(point_morton_sql(lon, lat), chars)
 
-def with_morton(df: DataFrame, out: str, lon: str, lat: str) -> DataFrame:
-    """Add the 60-bit Morton code of (lon, lat) as column ``out``.
 
-    The cell indices are materialised as columns first: the bit spreading refers to its input several times, and
-    Catalyst keeps a multiply-used, non-trivial column as a reference instead of inlining it (CollapseProject).
-    """
-    ix, iy = f"_{out}_ix", f"_{out}_iy"
-    return df.withColumn(ix, lon_index(lon)).withColumn(iy, lat_index(lat)) \
-        .withColumn(out, morton(F.col(ix), F.col(iy))).drop(ix, iy)
+def geohash(lon: str, lat: str, chars: int = MAX_CHARS) -> Column:
+    return F.expr(geohash_sql(lon, lat, chars))
 
 
-def with_geohash(df: DataFrame, out: str, lon: str, lat: str, chars: int = MAX_CHARS) -> DataFrame:
-    m = f"_{out}_m"
-    return with_morton(df, m, lon, lat).withColumn(out, geohash_of_morton(F.col(m), chars)).drop(m)
+def common_chars_sql(m1: str, m2: str) -> str:
+    """Leading geohash characters two Morton codes share (0..12): 60 minus the bit length of their XOR, in whole
+    characters of 5 bits."""
+    x = f"({m1} ^ {m2})"
+    return f"CASE WHEN {x} = 0 THEN {MAX_CHARS} ELSE CAST(floor((60 - length(bin({x}))) / 5) AS INT) END"
 
 
-def with_cell(df: DataFrame, env=("xmin", "ymin", "xmax", "ymax"), out: str = "cell") -> DataFrame:
+def envelope_cell_sql(xmin: str = "xmin", ymin: str = "ymin", xmax: str = "xmax", ymax: str = "ymax") -> str:
     """Longest common prefix of the 12-character geohashes of the four envelope corners.
 
     The four corners share n characters exactly when the south-west and north-east corners do, because cells are
     axis-parallel boxes. An empty envelope (NULL) gives ''.
     """
-    xmin, ymin, xmax, ymax = env
-    df = with_morton(with_morton(df, "_sw", xmin, ymin), "_ne", xmax, ymax)
-    sw, ne = F.col("_sw"), F.col("_ne")
-    cell = F.when(F.col(xmin).isNull(), F.lit("")).otherwise(geohash_of_morton(sw, common_chars(sw, ne)))
-    return df.withColumn(out, cell).drop("_sw", "_ne")
+    sw = point_morton_sql(xmin, ymin)
+    ne = point_morton_sql(xmax, ymax)
+    return f"CASE WHEN {xmin} IS NULL THEN '' ELSE {geohash_of_morton_sql(sw, common_chars_sql(sw, ne))} END"
+
+
+def with_cell(df: DataFrame, env=("xmin", "ymin", "xmax", "ymax"), out: str = "cell") -> DataFrame:
+    return df.withColumn(out, F.expr(envelope_cell_sql(*env)))
+
+
+def with_geohash(df: DataFrame, out: str, lon: str, lat: str, chars: int = MAX_CHARS) -> DataFrame:
+    return df.withColumn(out, geohash(lon, lat, chars))
 
 
 def axis_bits(chars: int) -> tuple[int, int]:
@@ -123,79 +109,70 @@ def axis_bits(chars: int) -> tuple[int, int]:
     return (5 * chars + 1) // 2, (5 * chars) // 2
 
 
-def geohash_of_cell(ix: Column, iy: Column, chars: int) -> Column:
-    """Geohash string of a cell given by its indices at ``chars`` precision."""
-    bx, by = axis_bits(chars)
-    return geohash_of_morton(morton(F.shiftleft(ix, AXIS_BITS - bx), F.shiftleft(iy, AXIS_BITS - by)), chars)
+def cell_ix_sql(lon: str, chars: int) -> str:
+    return f"shiftright({lon_index_sql(lon)}, {AXIS_BITS - axis_bits(chars)[0]})"
 
 
-def cell_index(lon, lat, chars: int) -> tuple[Column, Column]:
+def cell_iy_sql(lat: str, chars: int) -> str:
+    return f"shiftright({lat_index_sql(lat)}, {AXIS_BITS - axis_bits(chars)[1]})"
+
+
+def geohash_of_cell_sql(ix: str, iy: str, chars: int) -> str:
+    """Geohash string of a cell given by its indices at ``chars`` precision."""
     bx, by = axis_bits(chars)
-    return F.shiftright(lon_index(lon), AXIS_BITS - bx), F.shiftright(lat_index(lat), AXIS_BITS - by)
+    return geohash_of_morton_sql(morton_sql(f"shiftleft({ix}, {AXIS_BITS - bx})", f"shiftleft({iy}, {AXIS_BITS - by})"),
+                                 chars)
 
 
-def geohash_precision(distance) -> Column:
+def precision_sql(d: str) -> str:
     """Geohash length for a distance precision; NULL stays NULL."""
-    d = _col(distance)
-    expr = None
-    for limit, chars in PRECISION_THRESHOLDS:
-        expr = F.when(d <= F.lit(float(limit)), F.lit(chars)) if expr is None else expr.when(d <= F.lit(float(limit)), F.lit(chars))
-    return F.when(d.isNull(), F.lit(None).cast("int")).otherwise(expr.otherwise(F.lit(1)))
+    whens = " ".join(f"WHEN {d} <= {float(limit)}D THEN {chars}" for limit, chars in PRECISION_THRESHOLDS)
+    return f"CAST(CASE WHEN {d} IS NULL THEN NULL {whens} ELSE 1 END AS INT)"
 
 
-def cover_cells(xmin, ymin, xmax, ymax, chars: int) -> Column:
-    """Array of the geohash cells (strings) at ``chars`` precision that the closed box touches, row-major from SW."""
-    ix0, iy0 = cell_index(xmin, ymin, chars)
-    ix1, iy1 = cell_index(xmax, ymax, chars)
-    return F.flatten(F.transform(
-        F.sequence(iy0, iy1),
-        lambda iy: F.transform(F.sequence(ix0, ix1), lambda ix: geohash_of_cell(ix, iy, chars)),
-    ))
+def cover_sql(xmin: str, ymin: str, xmax: str, ymax: str, chars: int) -> str:
+    """Array of the geohash cells at ``chars`` precision that the closed box touches, row-major from the SW."""
+    return (f"flatten(transform(sequence({cell_iy_sql(ymin, chars)}, {cell_iy_sql(ymax, chars)}), cy -> "
+            f"transform(sequence({cell_ix_sql(xmin, chars)}, {cell_ix_sql(xmax, chars)}), cx -> "
+            f"{geohash_of_cell_sql('cx', 'cy', chars)})))")
 
 
 # Neighbour numbering 0=N 1=NE 2=E 3=SE 4=S 5=SW 6=W 7=NW as (dx, dy) offsets.
 NEIGHBOUR_OFFSETS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 
-def cover_cells_compat(tx: Column, ty: Column, xmin, ymin, xmax, ymax, chars: int) -> Column:
-    """Literal neighbour-case cover of a box around target cell (tx, ty): 1, 2 or 4 cells in a fixed order, or
-    an empty array when the box reaches beyond the 3x3 block in a way no case names."""
-    lx, ly = cell_index(xmin, ymin, chars)   # LD
-    ux, uy = cell_index(xmin, ymax, chars)   # LU
-    rx, ry = cell_index(xmax, ymax, chars)   # RU
-    dx, dy = cell_index(xmax, ymin, chars)   # RD
+def cover_compat_sql(tx: str, ty: str, corners: dict[str, tuple[str, str]], chars: int) -> str:
+    """Literal neighbour-case cover of a box around the target cell (tx, ty): 1, 2 or 4 cells in a fixed order,
+    or an empty array when the box reaches beyond the 3x3 block in a way no case names.
 
-    def at(cx, cy, n):
+    ``corners`` maps LD, LU, RU, RD to (ix, iy) expressions of the corner cells at ``chars`` precision."""
+    def at(c, n):
         ox, oy = NEIGHBOUR_OFFSETS[n]
-        return (cx == tx + ox) & (cy == ty + oy)
+        cx, cy = corners[c]
+        return f"({cx} = {tx} + {ox} AND {cy} = {ty} + {oy})"
 
     def cells(*ns):
-        items = [geohash_of_cell(tx, ty, chars)]
+        items = [geohash_of_cell_sql(tx, ty, chars)]
         for n in ns:
             ox, oy = NEIGHBOUR_OFFSETS[n]
-            items.append(geohash_of_cell(tx + ox, ty + oy, chars))
-        return F.array(*items)
-
-    here = (lx == tx) & (ly == ty) & (ux == tx) & (uy == ty) & (rx == tx) & (ry == ty) & (dx == tx) & (dy == ty)
-    return (
-        F.when(here, cells())
-        .when(at(lx, ly, 5), cells(4, 5, 6))
-        .when(at(lx, ly, 6) & at(ux, uy, 6), cells(6))
-        .when(at(ux, uy, 7), cells(0, 6, 7))
-        .when(at(ux, uy, 0) & at(rx, ry, 0), cells(0))
-        .when(at(rx, ry, 1), cells(0, 1, 2))
-        .when(at(rx, ry, 2) & at(dx, dy, 2), cells(2))
-        .when(at(dx, dy, 3), cells(2, 3, 4))
-        .when(at(dx, dy, 4) & at(lx, ly, 4), cells(4))
-        .otherwise(F.array().cast("array<string>"))
-    )
-
-
-def common_prefix2(a, b) -> Column:
+            items.append(geohash_of_cell_sql(f"({tx} + {ox})", f"({ty} + {oy})", chars))
+        return "array(" + ", ".join(items) + ")"
+
+    here = " AND ".join(f"({cx} = {tx} AND {cy} = {ty})" for cx, cy in corners.values())
+    return (f"CASE WHEN {here} THEN {cells()} "
+            f"WHEN {at('LD', 5)} THEN {cells(4, 5, 6)} "
+            f"WHEN {at('LD', 6)} AND {at('LU', 6)} THEN {cells(6)} "
+            f"WHEN {at('LU', 7)} THEN {cells(0, 6, 7)} "
+            f"WHEN {at('LU', 0)} AND {at('RU', 0)} THEN {cells(0)} "
+            f"WHEN {at('RU', 1)} THEN {cells(0, 1, 2)} "
+            f"WHEN {at('RU', 2)} AND {at('RD', 2)} THEN {cells(2)} "
+            f"WHEN {at('RD', 3)} THEN {cells(2, 3, 4)} "
+            f"WHEN {at('RD', 4)} AND {at('LD', 4)} THEN {cells(4)} "
+            f"ELSE CAST(array() AS array<string>) END")
+
+
+def common_prefix2_sql(a: str, b: str) -> str:
     """Longest common prefix of two strings; NULL if either is NULL."""
-    a, b = _col(a), _col(b)
-    n = F.least(F.length(a), F.length(b))
-    first_diff = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                      lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    keep = F.when(n == 0, F.lit(0)).otherwise(F.coalesce(first_diff - 1, n))
-    return F.substring(a, F.lit(1), keep)
+    n = f"least(length({a}), length({b}))"
+    first_diff = f"array_min(filter(sequence(1, greatest({n}, 1)), i -> substring({a}, i, 1) != substring({b}, i, 1)))"
+    return f"substring({a}, 1, CASE WHEN {n} = 0 THEN 0 ELSE coalesce({first_diff} - 1, {n}) END)"

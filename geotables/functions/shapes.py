@@ -1,4 +1,4 @@
-"""Geometry arithmetic on the canonical nested column.
+"""Geometry arithmetic on the canonical nested column, as Spark SQL expression text.
 
 ``rings`` is ``ARRAY<STRUCT<part INT, ring INT, pts ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>>``; ring 0 of a part is its
 shell, rings >= 1 are holes. Polygon rings are closed (first point = last point) and oriented shell
@@ -16,108 +16,108 @@ RINGS_T = f"array<{RING_T}>"
 EDGE_T = "struct<s:double,xl:double,yl:double,xr:double,yr:double,m:double>"
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def point_sql(x: str, y: str) -> str:
+    return f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))"
 
 
-def point(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+def ring_sql(part: int, ring_no: int, pts: list[str]) -> str:
+    return f"named_struct('part', {part}, 'ring', {ring_no}, 'pts', array({', '.join(pts)}))"
 
 
-def ring(part: int, ring_no: int, pts: list[Column]) -> Column:
-    return F.struct(F.lit(part).alias("part"), F.lit(ring_no).alias("ring"), F.array(*pts).alias("pts"))
+def all_points_sql(rings: str = "rings") -> str:
+    return f"flatten(transform({rings}, r -> r.pts))"
 
 
-def all_points(rings="rings") -> Column:
-    return F.flatten(F.transform(_col(rings), lambda r: r["pts"]))
+def envelope_sql(rings: str = "rings") -> list[str]:
+    """xmin, ymin, xmax, ymax expressions; NULL for an empty geometry."""
+    pts = all_points_sql(rings)
+    return [f"array_min(transform({pts}, p -> p.x)) AS xmin", f"array_min(transform({pts}, p -> p.y)) AS ymin",
+            f"array_max(transform({pts}, p -> p.x)) AS xmax", f"array_max(transform({pts}, p -> p.y)) AS ymax"]
 
 
-def envelope(rings="rings") -> list[Column]:
-    """xmin, ymin, xmax, ymax columns; NULL for an empty geometry."""
-    pts = all_points(rings)
-    return [
-        F.array_min(F.transform(pts, lambda p: p["x"])).alias("xmin"),
-        F.array_min(F.transform(pts, lambda p: p["y"])).alias("ymin"),
-        F.array_max(F.transform(pts, lambda p: p["x"])).alias("xmax"),
-        F.array_max(F.transform(pts, lambda p: p["y"])).alias("ymax"),
-    ]
+def envelope(rings: str = "rings") -> list[Column]:
+    return [F.expr(e) for e in envelope_sql(rings)]
 
 
-def _segments(pts: Column, fn) -> Column:
-    """Apply ``fn(p, q)`` to consecutive point pairs of one ring."""
-    n = F.size(pts)
-    return F.when(n < 2, F.array()).otherwise(
-        F.zip_with(F.slice(pts, 1, n - 1), F.slice(pts, 2, n - 1), fn))
+def _segments_sql(pts: str, p: str, q: str, body: str) -> str:
+    """``body`` (over lambda variables p, q) for consecutive point pairs of one ring."""
+    n = f"greatest(size({pts}) - 1, 0)"
+    return f"zip_with(slice({pts}, 1, {n}), slice({pts}, 2, {n}), ({p}, {q}) -> {body})"
 
 
-def ring_signed_area(pts: Column) -> Column:
-    """Shoelace area of a closed ring, positive when counter-clockwise. Coordinates are taken relative to the
-    first point, which keeps digits when the ring sits far from the origin."""
-    o = F.element_at(pts, 1)
-    cross = _segments(pts, lambda p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"]))
-    return F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v) / F.lit(2.0)
+def ring_signed_area_sql(pts: str) -> str:
+    """Shoelace area of a closed ring, positive when counter-clockwise, relative to the first point (keeps digits
+    for rings far from the origin)."""
+    o = f"{pts}[0]"
+    cross = _segments_sql(pts, "p", "q", f"(p.x - {o}.x) * (q.y - {o}.y) - (q.x - {o}.x) * (p.y - {o}.y)")
+    return f"CASE WHEN size({pts}) < 2 THEN 0D ELSE aggregate({cross}, 0D, (acc, v) -> acc + v) / 2D END"
 
 
-def is_areal(gtype="gtype") -> Column:
-    return _col(gtype).contains("POLYGON")
+def is_areal_sql(gtype: str = "gtype") -> str:
+    return f"({gtype} LIKE '%POLYGON%')"
 
 
-def area(rings="rings", gtype="gtype") -> Column:
+def area_sql(rings: str = "rings", gtype: str = "gtype") -> str:
     """Planar area: shells minus holes; 0 for points and lines."""
-    a = F.aggregate(
-        F.transform(_col(rings), lambda r: F.abs(ring_signed_area(r["pts"])) * F.when(r["ring"] == 0, 1.0).otherwise(-1.0)),
-        F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(is_areal(gtype), a).otherwise(F.lit(0.0))
+    per_ring = f"abs({ring_signed_area_sql('rr.pts')}) * CASE WHEN rr.ring = 0 THEN 1D ELSE -1D END"
+    return (f"CASE WHEN {is_areal_sql(gtype)} THEN aggregate({rings}, 0D, (acc, rr) -> acc + {per_ring}) "
+            f"ELSE 0D END")
 
 
-def edges(rings="rings", gtype="gtype") -> Column:
+def area(rings: str = "rings", gtype: str = "gtype") -> Column:
+    return F.expr(area_sql(rings, gtype))
+
+
+def edges_sql(rings: str = "rings", gtype: str = "gtype") -> str:
     """Non-vertical boundary edges of a polygonal geometry, left to right, with the direction sign ``s`` of the
     original edge and the slope ``m``. Empty for points and lines (their overlap area is 0)."""
-    def edge(p, q):
-        left = p["x"] < q["x"]
-        xl = F.least(p["x"], q["x"])
-        xr = F.greatest(p["x"], q["x"])
-        yl = F.when(left, p["y"]).otherwise(q["y"])
-        yr = F.when(left, q["y"]).otherwise(p["y"])
-        return F.struct(
-            F.when(left, 1.0).otherwise(-1.0).alias("s"), xl.alias("xl"), yl.alias("yl"),
-            xr.alias("xr"), yr.alias("yr"), F.when(xr > xl, (yr - yl) / (xr - xl)).otherwise(F.lit(0.0)).alias("m"))
+    body = ("named_struct('s', CASE WHEN p.x < q.x THEN 1D ELSE -1D END, 'xl', least(p.x, q.x), "
+            "'yl', CASE WHEN p.x < q.x THEN p.y ELSE q.y END, 'xr', greatest(p.x, q.x), "
+            "'yr', CASE WHEN p.x < q.x THEN q.y ELSE p.y END, "
+            "'m', CASE WHEN p.x = q.x THEN 0D ELSE (q.y - p.y) / (q.x - p.x) END)")
+    all_edges = f"flatten(transform({rings}, r -> {_segments_sql('r.pts', 'p', 'q', body)}))"
+    return (f"CASE WHEN {is_areal_sql(gtype)} THEN filter({all_edges}, e -> e.xl < e.xr) "
+            f"ELSE CAST(array() AS array<{EDGE_T}>) END")
 
-    all_edges = F.flatten(F.transform(_col(rings), lambda r: _segments(r["pts"], edge)))
-    return F.when(is_areal(gtype), F.filter(all_edges, lambda e: e["xl"] < e["xr"])) \
-        .otherwise(F.array().cast(f"array<{EDGE_T}>"))
 
+def edges(rings: str = "rings", gtype: str = "gtype") -> Column:
+    return F.expr(edges_sql(rings, gtype))
 
-def overlap_area(ea: Column, eb: Column, x0: Column, x1: Column, oy: Column) -> Column:
-    """Area of the intersection of two polygonal geometries from their edge arrays (see ``edges``).
+
+def overlap_area_sql(ea: str, eb: str, x0: str, x1: str, oy: str) -> str:
+    """Area of the intersection of two polygonal geometries from their edge arrays (see ``edges_sql``).
 
     For rings oriented shell-CCW / hole-CW the indicator of a polygon is a signed sum of the regions under its
     edges, so the area of the intersection is the signed sum over edge pairs of the integral of the lower of the
-    two edge lines over their common x-range. Only edges reaching into the common x-range [x0, x1] of the two
-    envelopes can contribute. ``oy`` is a pair-local origin for y (any value; it cancels) that keeps digits.
+    two edge lines over their common x-range [l, r]:
+
+        (r - l) * ((f_l + f_r + g_l + g_r) - K) / 4,   d = f - g,
+        K = |d_l| + |d_r| if d_l * d_r >= 0 else (d_l^2 + d_r^2) / (|d_l| + |d_r|)
+
+    Only edges reaching into the common x-range [x0, x1] of the two envelopes can contribute. ``oy`` is a
+    pair-local origin for y (any value cancels; a nearby one keeps digits).
     """
-    fa = F.filter(ea, lambda e: (e["xr"] > x0) & (e["xl"] < x1))
-    fb = F.filter(eb, lambda g: (g["xr"] > x0) & (g["xl"] < x1))
-
-    def per_edge(acc, e):
-        def term(acc2, g):
-            l = F.greatest(e["xl"], g["xl"])
-            r = F.least(e["xr"], g["xr"])
-            fl = e["yl"] - oy + (l - e["xl"]) * e["m"]
-            fr = e["yl"] - oy + (r - e["xl"]) * e["m"]
-            gl = g["yl"] - oy + (l - g["xl"]) * g["m"]
-            gr = g["yl"] - oy + (r - g["xl"]) * g["m"]
-            dl = fl - gl
-            dr = fr - gr
-            k = F.when(dl * dr >= 0, F.abs(dl) + F.abs(dr)) \
-                .otherwise((dl * dl + dr * dr) / (F.abs(dl) + F.abs(dr)))
-            val = e["s"] * g["s"] * (r - l) * ((fl + fr + gl + gr) - k) / F.lit(4.0)
-            return acc2 + F.when(l < r, val).otherwise(F.lit(0.0))
-        return acc + F.aggregate(fb, F.lit(0.0), term)
-
-    return F.aggregate(fa, F.lit(0.0), per_edge)
-
-
-def vertex_in_box(rings: Column, xmin, ymin, xmax, ymax) -> Column:
+    fa = f"filter({ea}, e -> e.xr > {x0} AND e.xl < {x1})"
+    fb = f"filter({eb}, g -> g.xr > {x0} AND g.xl < {x1})"
+    l = "greatest(e.xl, g.xl)"
+    r = "least(e.xr, g.xr)"
+    fl = f"(e.yl - {oy} + ({l} - e.xl) * e.m)"
+    fr = f"(e.yl - {oy} + ({r} - e.xl) * e.m)"
+    gl = f"(g.yl - {oy} + ({l} - g.xl) * g.m)"
+    gr = f"(g.yl - {oy} + ({r} - g.xl) * g.m)"
+    dl, dr = f"({fl} - {gl})", f"({fr} - {gr})"
+    k = (f"CASE WHEN {dl} * {dr} >= 0 THEN abs({dl}) + abs({dr}) "
+         f"ELSE ({dl} * {dl} + {dr} * {dr}) / (abs({dl}) + abs({dr})) END")
+    val = f"e.s * g.s * ({r} - {l}) * (({fl} + {fr} + {gl} + {gr}) - {k}) / 4D"
+    inner = f"aggregate({fb}, 0D, (acc2, g) -> acc2 + CASE WHEN {l} < {r} THEN {val} ELSE 0D END)"
+    return f"aggregate({fa}, 0D, (acc, e) -> acc + {inner})"
+
+
+def vertex_in_box_sql(rings: str, xmin: str, ymin: str, xmax: str, ymax: str) -> str:
     """True when any vertex lies in the closed box."""
-    return F.exists(all_points(rings), lambda p: (p["x"] >= xmin) & (p["x"] <= xmax) & (p["y"] >= ymin) & (p["y"] <= ymax))
+    return (f"exists({all_points_sql(rings)}, p -> p.x >= {xmin} AND p.x <= {xmax} "
+            f"AND p.y >= {ymin} AND p.y <= {ymax})")
+
+
+def vertex_in_box(rings: str, xmin, ymin, xmax, ymax) -> Column:
+    return F.expr(vertex_in_box_sql(rings, str(xmin), str(ymin), str(xmax), str(ymax)))

@@ -13,3 +13,8 @@ def tag(tags, name: str) -> Column:
     written, nested objects returned as JSON text. Missing tag or broken JSON gives NULL instead of failing."""
     t = F.col(tags) if isinstance(tags, str) else tags
     return F.try_element_at(F.from_json(t, "map<string,string>", _LENIENT), F.lit(name))
+
+
+def tag_sql(tags: str, name: str) -> str:
+    return (f"try_element_at(from_json({tags}, 'map<string,string>', "
+            f"map('allowUnquotedFieldNames', 'true', 'allowSingleQuotes', 'true')), '{name}')")

@@ -12,22 +12,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from geotables.functions import cells, shapes
 
 FEATURE_COLUMNS = ["key", "oid", "tags", "gtype", "rings", "xmin", "ymin", "xmax", "ymax", "cell", "region"]
 ENVELOPE = ["xmin", "ymin", "xmax", "ymax"]
+REGION_SQL = "substring(split_part(oid, '_', 1), 1, 6)"
 
 
-def region_of(oid="oid") -> Column:
-    o = F.col(oid) if isinstance(oid, str) else oid
-    return F.substring(F.split_part(o, F.lit("_"), F.lit(1)), 1, 6)
-
-
-def feature_key(cell="cell", oid="oid") -> Column:
-    return F.concat_ws("_", F.col(cell), F.col(oid))
+def region_sql(oid: str = "oid") -> str:
+    return f"substring(split_part({oid}, '_', 1), 1, 6)"
 
 
 def finish_features(df: DataFrame) -> DataFrame:
@@ -35,7 +30,7 @@ def finish_features(df: DataFrame) -> DataFrame:
     An envelope already present (xmin, ymin, xmax, ymax) is kept instead of being derived from the rings."""
     base = ("oid", "tags", "gtype", "rings", *ENVELOPE)
     extra = [c for c in df.columns if c not in base]
-    env = list(shapes.envelope("rings")) if "xmin" not in df.columns else ENVELOPE
-    out = df.select("oid", "tags", "gtype", "rings", *env, *extra)
-    out = cells.with_cell(out).withColumn("region", region_of("oid")).withColumn("key", feature_key())
-    return out.select(*FEATURE_COLUMNS, *extra)
+    env = shapes.envelope_sql("rings") if "xmin" not in df.columns else ENVELOPE
+    df = df.selectExpr("oid", "tags", "gtype", "rings", *env, *extra)
+    df = df.selectExpr("*", f"{cells.envelope_cell_sql()} AS cell", f"{region_sql()} AS region")
+    return df.selectExpr("concat_ws('_', cell, oid) AS key", *FEATURE_COLUMNS[1:], *extra)

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotables.functions import shapes
-from geotables.functions.tags import tag
-from geotables.operators.spatial_join import grid_join, plain_join, prefixed
+from geotables.functions.tags import tag_sql
+from geotables.operators.spatial_join import bbox_overlaps_sql, grid_join, plain_join
 
 AREA_DIGITS = 9
 PAIR_COLUMNS = ["p_key", "p_oid", "z_key", "z_oid", "z_class", "overlap_area"]
@@ -24,10 +24,12 @@ def overlay_inputs(parcels: DataFrame, zones: DataFrame, tag_name: str) -> tuple
     """Only what the overlay needs travels through the join: keys, region, cell, envelope and the edge array.
     The zone's class is read out of its JSON tags once per zone, not once per pair."""
     env = ["xmin", "ymin", "xmax", "ymax"]
-    p = parcels.select("key", "oid", "region", "cell", *env, shapes.edges("rings", "gtype").alias("edges"))
-    z = zones.select("key", "oid", "region", "cell", *env, shapes.edges("rings", "gtype").alias("edges"),
-                     tag("tags", tag_name).alias("class"), shapes.area("rings", "gtype").alias("area"))
-    return prefixed(p, "p_"), prefixed(z, "z_")
+    p = parcels.selectExpr(*[f"{c} AS p_{c}" for c in ["key", "oid", "region", "cell", *env]],
+                           f"{shapes.edges_sql('rings', 'gtype')} AS p_edges")
+    z = zones.selectExpr(*[f"{c} AS z_{c}" for c in ["key", "oid", "region", "cell", *env]],
+                         f"{shapes.edges_sql('rings', 'gtype')} AS z_edges",
+                         f"{tag_sql('tags', tag_name)} AS z_class", f"{shapes.area_sql('rings', 'gtype')} AS z_area")
+    return p, z
 
 
 P_ENV = ("p_xmin", "p_ymin", "p_xmax", "p_ymax")
@@ -50,9 +52,9 @@ def candidate_pairs(p: DataFrame, z: DataFrame, strategy: str = "grid") -> DataF
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def _prefixes(cell: Column) -> Column:
+def _prefixes_sql(cell: str) -> str:
     """All prefixes of a cell string, '' included."""
-    return F.transform(F.sequence(F.lit(0), F.length(cell)), lambda n: F.substring(cell, F.lit(1), n))
+    return f"transform(sequence(0, length({cell})), n -> substring({cell}, 1, n))"
 
 
 def prefix_pairs(p: DataFrame, z: DataFrame) -> DataFrame:
@@ -62,26 +64,20 @@ def prefix_pairs(p: DataFrame, z: DataFrame) -> DataFrame:
     zone cell) the parcel cell equals one of the zone cell's proper prefixes. A pair is produced by exactly one
     branch, so no ``distinct`` is needed.
     """
-    box = shapes_box(P_ENV, Z_ENV)
-    a = p.withColumn("_pp", F.explode(_prefixes(F.col("p_cell"))))
-    one = a.join(z, (F.col("_pp") == F.col("z_cell")) & (F.col("p_region") == F.col("z_region")) & box).drop("_pp")
-    b = z.withColumn("_zp", F.explode(F.slice(_prefixes(F.col("z_cell")), 1, F.length(F.col("z_cell")))))
-    two = p.join(b, (F.col("_zp") == F.col("p_cell")) & (F.col("p_region") == F.col("z_region")) & box).drop("_zp")
+    box = bbox_overlaps_sql(P_ENV, Z_ENV)
+    a = p.selectExpr("*", f"explode({_prefixes_sql('p_cell')}) AS _pp")
+    one = a.join(z, F.expr(f"_pp = z_cell AND p_region = z_region AND {box}")).drop("_pp")
+    b = z.selectExpr("*", f"explode(slice({_prefixes_sql('z_cell')}, 1, length(z_cell))) AS _zp")
+    two = p.join(b, F.expr(f"_zp = p_cell AND p_region = z_region AND {box}")).drop("_zp")
     return one.unionByName(two)
 
 
-def shapes_box(a_env, b_env) -> Column:
-    from geotables.operators.spatial_join import bbox_overlaps
-    return bbox_overlaps(tuple(F.col(c) for c in a_env), tuple(F.col(c) for c in b_env))
-
-
 def with_overlap_area(pairs: DataFrame) -> DataFrame:
     """Exact intersection area of each candidate pair, rounded to 9 places."""
-    x0 = F.greatest(F.col("p_xmin"), F.col("z_xmin"))
-    x1 = F.least(F.col("p_xmax"), F.col("z_xmax"))
-    oy = F.greatest(F.col("p_ymin"), F.col("z_ymin"))
-    a = shapes.overlap_area(F.col("p_edges"), F.col("z_edges"), x0, x1, oy)
-    return pairs.withColumn("overlap_area", F.round(a, AREA_DIGITS) + F.lit(0.0))  # + 0.0 turns -0.0 into 0.0
+    a = shapes.overlap_area_sql("p_edges", "z_edges", "greatest(p_xmin, z_xmin)", "least(p_xmax, z_xmax)",
+                                "greatest(p_ymin, z_ymin)")
+    # + 0D turns a rounded -0.0 into 0.0
+    return pairs.selectExpr("*", f"round({a}, {AREA_DIGITS}) + 0D AS overlap_area")
 
 
 def overlay_pairs(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", strategy: str = "grid") -> DataFrame:
@@ -90,21 +86,22 @@ def overlay_pairs(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB",
     return with_overlap_area(candidate_pairs(p, z, strategy)).select(*PAIR_COLUMNS)
 
 
+_BEST = ("min_by(named_struct('c', {c}, 'a', overlap_area, 'k', {k}), "
+         "named_struct('neg_area', -overlap_area, 'zk', {k}))")
+
+
 def best_class(scored: DataFrame, parcel_keys: DataFrame) -> DataFrame:
     """Arg-max per parcel over (p_key, p_oid, z_key, z_class, overlap_area) rows with overlap_area > 0.
 
     ``parcel_keys`` (p_key, p_oid) supplies the default ('0', 0.0) row for every parcel. Output columns:
     oid, pd_class, overlap_area, zone_key (zone_key is NULL for the default; keep it to merge later batches).
+    The ranking struct (-area, zone key) picks the largest area and, on a tie, the smallest zone key.
     """
-    default = parcel_keys.select("p_key", "p_oid", F.lit(None).cast("string").alias("z_key"),
-                                 F.lit("0").alias("z_class"), F.lit(0.0).alias("overlap_area"))
+    default = parcel_keys.selectExpr("p_key", "p_oid", "CAST(NULL AS STRING) AS z_key", "'0' AS z_class",
+                                     "0D AS overlap_area")
     rows = scored.select("p_key", "p_oid", "z_key", "z_class", "overlap_area").unionByName(default)
-    rank = F.struct((-F.col("overlap_area")).alias("neg_area"), F.col("z_key").alias("zk"))
-    best = rows.groupBy("p_key", F.col("p_oid").alias("oid")).agg(
-        F.min_by(F.struct(F.col("z_class").alias("c"), F.col("overlap_area").alias("a"), F.col("z_key").alias("k")),
-                 rank).alias("b"))
-    return best.select("oid", F.col("b.c").alias("pd_class"), F.col("b.a").alias("overlap_area"),
-                       F.col("b.k").alias("zone_key"))
+    best = rows.groupBy("p_key", "p_oid").agg(F.expr(_BEST.format(c="z_class", k="z_key")).alias("b"))
+    return best.selectExpr("p_oid AS oid", "b.c AS pd_class", "b.a AS overlap_area", "b.k AS zone_key")
 
 
 def overlay_classes(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", strategy: str = "grid",
@@ -117,12 +114,11 @@ def overlay_classes(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB"
     p, z = overlay_inputs(parcels, zones, tag_name)
     pairs = candidate_pairs(p, z, strategy)
     if compat:
-        related = F.col("p_cell").contains(F.col("z_cell")) | F.col("z_cell").contains(F.col("p_cell"))
-        scored = pairs.where(related).withColumn("overlap_area", F.round(F.col("z_area"), AREA_DIGITS))
+        scored = pairs.where("contains(p_cell, z_cell) OR contains(z_cell, p_cell)") \
+            .selectExpr("*", f"round(z_area, {AREA_DIGITS}) AS overlap_area")
     else:
         scored = with_overlap_area(pairs)
-    scored = scored.where(F.col("overlap_area") > 0)
-    out = best_class(scored, p.select("p_key", "p_oid"))
+    out = best_class(scored.where("overlap_area > 0"), p.select("p_key", "p_oid"))
     return out if keep_zone_key else out.drop("zone_key")
 
 
@@ -130,27 +126,22 @@ def merge_best(previous: DataFrame, new: DataFrame) -> DataFrame:
     """Combine two arg-max results (oid, pd_class, overlap_area, zone_key), e.g. from two zone batches. The
     aggregate is associative and commutative, so batches can be merged in any order."""
     rows = previous.unionByName(new)
-    rank = F.struct((-F.col("overlap_area")).alias("neg_area"), F.col("zone_key").alias("zk"))
-    best = rows.groupBy("oid").agg(F.min_by(
-        F.struct(F.col("pd_class").alias("c"), F.col("overlap_area").alias("a"), F.col("zone_key").alias("k")),
-        rank).alias("b"))
-    return best.select("oid", F.col("b.c").alias("pd_class"), F.col("b.a").alias("overlap_area"),
-                       F.col("b.k").alias("zone_key"))
+    best = rows.groupBy("oid").agg(F.expr(_BEST.format(c="pd_class", k="zone_key")).alias("b"))
+    return best.selectExpr("oid", "b.c AS pd_class", "b.a AS overlap_area", "b.k AS zone_key")
 
 
 def overlay_stats(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", batches: int = 1) -> DataFrame:
     """One row of counts describing an overlay run."""
     p, z = overlay_inputs(parcels, zones, tag_name)
     scored = with_overlap_area(candidate_pairs(p, z, "grid"))
-    pair_stats = scored.agg(
-        F.count("*").alias("n_pairs"),
-        F.count(F.when(F.col("overlap_area") > 0, 1)).alias("n_pairs_positive"),
-        F.count_distinct(F.when(F.col("overlap_area") > 0, F.col("p_key"))).alias("n_parcels_matched"))
-    zone_stats = z.agg(F.count("*").alias("n_zones"), F.count(F.when(F.col("z_class").isNull(), 1)).alias("n_zones_no_tag"))
-    parcel_stats = p.agg(F.count("*").alias("n_parcels"))
+    pair_stats = scored.selectExpr(
+        "count(*) AS n_pairs", "count(CASE WHEN overlap_area > 0 THEN 1 END) AS n_pairs_positive",
+        "count(DISTINCT CASE WHEN overlap_area > 0 THEN p_key END) AS n_parcels_matched")
+    zone_stats = z.selectExpr("count(*) AS n_zones", "count(CASE WHEN z_class IS NULL THEN 1 END) AS n_zones_no_tag")
+    parcel_stats = p.selectExpr("count(*) AS n_parcels")
     # three one-row aggregates side by side: union them and take the one non-NULL value per column
     parts = parcel_stats.unionByName(zone_stats, allowMissingColumns=True) \
         .unionByName(pair_stats, allowMissingColumns=True)
     cols = ["n_parcels", "n_zones", "n_zones_no_tag", "n_pairs", "n_pairs_positive", "n_parcels_matched"]
-    out = parts.agg(*[F.max(c).alias(c) for c in cols])
-    return out.withColumn("batch_size", F.ceil(F.col("n_zones") / F.lit(float(batches))).cast("long"))
+    return parts.selectExpr(*[f"max({c}) AS {c}" for c in cols],
+                            f"CAST(ceil(max(n_zones) / {float(batches)!r}D) AS BIGINT) AS batch_size")

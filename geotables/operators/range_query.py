@@ -7,9 +7,8 @@ never matches.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from geotables.functions.shapes import vertex_in_box
+from geotables.functions.shapes import vertex_in_box_sql
 from geotables.operators.spatial_join import grid_join, prefixed
 
 
@@ -26,13 +25,18 @@ def parse_window(text: str, compat: bool = False) -> tuple[float, float, float,
     return min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2)
 
 
+def _d(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
 def range_query(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
     """Rows with a vertex in [xmin, xmax] x [ymin, ymax]. The envelope test is a plain column predicate, so it is
     pushed to the Parquet scan (row-group min/max) before the exact vertex test runs."""
     xmin, xmax = min(xmin, xmax), max(xmin, xmax)
     ymin, ymax = min(ymin, ymax), max(ymin, ymax)
-    env = (F.col("xmax") >= xmin) & (F.col("xmin") <= xmax) & (F.col("ymax") >= ymin) & (F.col("ymin") <= ymax)
-    return df.where(env).where(vertex_in_box(F.col("rings"), F.lit(xmin), F.lit(ymin), F.lit(xmax), F.lit(ymax)))
+    x0, y0, x1, y1 = _d(xmin), _d(ymin), _d(xmax), _d(ymax)
+    env = f"xmax >= {x0} AND xmin <= {x1} AND ymax >= {y0} AND ymin <= {y1}"
+    return df.where(env).where(vertex_in_box_sql("rings", x0, y0, x1, y1))
 
 
 def range_query_many(df: DataFrame, windows: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -43,8 +47,8 @@ def range_query_many(df: DataFrame, windows: DataFrame, cols: list[str] | None =
     """
     cols = cols or ["oid"]
     need = list(dict.fromkeys(cols + ["rings", "xmin", "ymin", "xmax", "ymax"]))
-    f = prefixed(df.select(*need), "f_")
-    w = prefixed(windows.select("window_id", "xmin", "ymin", "xmax", "ymax"), "w_")
+    f = prefixed(df, "f_", need)
+    w = prefixed(windows, "w_", ["window_id", "xmin", "ymin", "xmax", "ymax"])
     pairs = grid_join(f, w, ("f_xmin", "f_ymin", "f_xmax", "f_ymax"), ("w_xmin", "w_ymin", "w_xmax", "w_ymax"))
-    hit = pairs.where(vertex_in_box(F.col("f_rings"), F.col("w_xmin"), F.col("w_ymin"), F.col("w_xmax"), F.col("w_ymax")))
-    return hit.select(F.col("w_window_id").alias("window_id"), *[F.col("f_" + c).alias(c) for c in cols])
+    hit = pairs.where(vertex_in_box_sql("f_rings", "w_xmin", "w_ymin", "w_xmax", "w_ymax"))
+    return hit.selectExpr("w_window_id AS window_id", *[f"f_{c} AS {c}" for c in cols])

@@ -18,4 +18,4 @@ def explode_vertices(df: DataFrame) -> DataFrame:
 
 
 def with_area(df: DataFrame, out: str = "area") -> DataFrame:
-    return df.withColumn(out, shapes.area("rings", "gtype"))
+    return df.selectExpr("*", f"{shapes.area_sql('rings', 'gtype')} AS {out}")

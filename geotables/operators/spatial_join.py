@@ -2,7 +2,8 @@
 
 Spark has no spatial join strategy: a join whose only condition is box overlap plans as a nested loop or a
 cartesian product. ``grid_join`` turns it into an equi-join on grid cells so Catalyst/AQE can pick a broadcast
-hash join or a shuffled sort-merge join (with skew splitting) on ``(equi keys, level, ix, iy)``.
+hash join (when a side is measured small) or a shuffled sort-merge join with skew splitting on
+``(equi keys, level, ix, iy)``.
 
 Multi-level grid: cells at level L are squares of side 2^L degrees. Every feature gets its *own* level, the
 smallest L with 2^L >= its larger envelope side, so it touches at most 2x2 cells there however big it is. A pair
@@ -14,48 +15,51 @@ needed and no cap on cells or partners is applied.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_LEVEL = -24   # 2^-24 degrees, about 7 mm at the equator; points and tiny features share it
 MAX_LEVEL = 9     # 512 degrees: one cell holds the whole lon/lat plane
 
+Env = tuple[str, str, str, str]
 
-def bbox_overlaps(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+
+def bbox_overlaps_sql(a: Env, b: Env) -> str:
     """Closed envelope intersection (touching counts)."""
-    axmin, aymin, axmax, aymax = a
-    bxmin, bymin, bxmax, bymax = b
-    return (axmin <= bxmax) & (axmax >= bxmin) & (aymin <= bymax) & (aymax >= bymin)
+    return f"({a[0]} <= {b[2]} AND {a[2]} >= {b[0]} AND {a[1]} <= {b[3]} AND {a[3]} >= {b[1]})"
+
 
+def own_level_sql(env: Env) -> str:
+    xmin, ymin, xmax, ymax = env
+    ext = f"greatest({xmax} - {xmin}, {ymax} - {ymin})"
+    return (f"CAST(CASE WHEN {ext} <= {2.0 ** MIN_LEVEL!r}D THEN {MIN_LEVEL} "
+            f"ELSE least(greatest(CAST(ceil(log2({ext})) AS INT), {MIN_LEVEL}), {MAX_LEVEL}) END AS INT)")
 
-def own_level(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    ext = F.greatest(xmax - xmin, ymax - ymin)
-    lvl = F.ceil(F.log2(ext)).cast("int")
-    return F.when(ext <= F.lit(2.0 ** MIN_LEVEL), F.lit(MIN_LEVEL)).otherwise(
-        F.least(F.greatest(lvl, F.lit(MIN_LEVEL)), F.lit(MAX_LEVEL))).cast("int")
 
+def _cell_sql(v: str, lvl: str) -> str:
+    # multiplying by a power of two is exact, so cell boundaries are exact
+    return f"CAST(floor({v} * pow(2D, -{lvl})) AS BIGINT)"
 
-def _cell(v: Column, lvl: Column) -> Column:
-    return F.floor(v * F.pow(F.lit(2.0), -lvl)).cast("long")
 
+def _cells_sql(env: Env, lvl: str) -> str:
+    xmin, ymin, xmax, ymax = env
+    return (f"flatten(transform(sequence({_cell_sql(ymin, lvl)}, {_cell_sql(ymax, lvl)}), cy -> "
+            f"transform(sequence({_cell_sql(xmin, lvl)}, {_cell_sql(xmax, lvl)}), cx -> "
+            f"named_struct('ix', cx, 'iy', cy))))")
 
-def _explode_cells(df: DataFrame, env: tuple[str, str, str, str], lvl: Column, p: str) -> DataFrame:
+
+def _explode_cells(df: DataFrame, env: Env, lvl: str, p: str) -> DataFrame:
     """One row per cell at level ``lvl`` that the envelope touches (at most 2x2 at the feature's own level)."""
-    xmin, ymin, xmax, ymax = (F.col(c) for c in env)
-    cells = F.flatten(F.transform(
-        F.sequence(_cell(ymin, lvl), _cell(ymax, lvl)),
-        lambda iy: F.transform(F.sequence(_cell(xmin, lvl), _cell(xmax, lvl)),
-                               lambda ix: F.struct(ix.alias("ix"), iy.alias("iy")))))
-    return df.withColumn(f"{p}lvl", lvl).withColumn(f"{p}c", F.explode(cells)) \
-        .withColumn(f"{p}ix", F.col(f"{p}c.ix")).withColumn(f"{p}iy", F.col(f"{p}c.iy")).drop(f"{p}c")
+    c = df.selectExpr("*", f"{lvl} AS {p}lvl", f"explode({_cells_sql(env, lvl)}) AS {p}c")
+    return c.selectExpr("*", f"{p}c.ix AS {p}ix", f"{p}c.iy AS {p}iy").drop(f"{p}c")
 
 
 def _levels(df: DataFrame, col: str) -> list[int]:
     return sorted(r[0] for r in df.select(col).distinct().collect())
 
 
-def grid_join(left: DataFrame, right: DataFrame, left_env: tuple[str, str, str, str],
-              right_env: tuple[str, str, str, str], on: list[tuple[str, str]] | None = None) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
+              on: list[tuple[str, str]] | None = None) -> DataFrame:
     """All (left, right) row pairs whose envelopes intersect (closed) and whose ``on`` columns are equal.
 
     Column names of the two inputs must be distinct (prefix them first). Rows with a NULL envelope never match.
@@ -63,55 +67,43 @@ def grid_join(left: DataFrame, right: DataFrame, left_env: tuple[str, str, str,
     """
     on = on or []
     lcols, rcols = left.columns, right.columns
-    left = left.where(F.col(left_env[0]).isNotNull())
-    right = right.where(F.col(right_env[0]).isNotNull())
-    left = left.withColumn("_gl_own", own_level(*(F.col(c) for c in left_env)))
-    right = right.withColumn("_gr_own", own_level(*(F.col(c) for c in right_env)))
+    left = left.where(f"{left_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(left_env)} AS _gl_own")
+    right = right.where(f"{right_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(right_env)} AS _gr_own")
     # The level sets are tiny (at most MAX_LEVEL - MIN_LEVEL + 1 integers); they decide which replicas to build.
     llv, rlv = _levels(left, "_gl_own"), _levels(right, "_gr_own")
-
-    a = tuple(F.col(c) for c in left_env)
-    b = tuple(F.col(c) for c in right_env)
-    rx = F.greatest(a[0], b[0])
-    ry = F.greatest(a[1], b[1])
-
-    def match(lp: str, rp: str) -> Column:
-        cond = (F.col(f"{lp}lvl") == F.col(f"{rp}lvl")) & (F.col(f"{lp}ix") == F.col(f"{rp}ix")) \
-            & (F.col(f"{lp}iy") == F.col(f"{rp}iy"))
-        for lc, rc in on:
-            cond = cond & (F.col(lc) == F.col(rc))
-        ref = (_cell(rx, F.col(f"{lp}lvl")) == F.col(f"{lp}ix")) & (_cell(ry, F.col(f"{lp}lvl")) == F.col(f"{lp}iy"))
-        return cond & bbox_overlaps(a, b) & ref
-
-    def replicate(df: DataFrame, own: str, levels: list[int], strict: bool) -> DataFrame:
-        lv = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
-        keep = F.filter(lv, (lambda v: v > F.col(own)) if strict else (lambda v: v >= F.col(own)))
-        return df.withColumn("_rep", F.explode(keep))
-
-    out = []
-    if llv and rlv:
-        # (1) pairs matched at the left feature's own level: level_right <= level_left
-        l_own = _explode_cells(left, left_env, F.col("_gl_own"), "_gl_")
-        r_rep = _explode_cells(replicate(right, "_gr_own", llv, strict=False), right_env, F.col("_rep"), "_gr_")
-        out.append(l_own.join(r_rep, match("_gl_", "_gr_")).select(*lcols, *rcols))
-        # (2) pairs matched at the right feature's own level: level_left < level_right
-        r_own = _explode_cells(right, right_env, F.col("_gr_own"), "_gr_")
-        l_rep = _explode_cells(replicate(left, "_gl_own", rlv, strict=True), left_env, F.col("_rep"), "_gl_")
-        out.append(l_rep.join(r_own, match("_gl_", "_gr_")).select(*lcols, *rcols))
-    if not out:
+    if not llv or not rlv:
         return left.select(*lcols).join(right.select(*rcols), F.lit(False))
-    return out[0].unionByName(out[1])
 
+    rx = f"greatest({left_env[0]}, {right_env[0]})"
+    ry = f"greatest({left_env[1]}, {right_env[1]})"
+    eq = " AND ".join(["_gl_lvl = _gr_lvl", "_gl_ix = _gr_ix", "_gl_iy = _gr_iy"]
+                      + [f"{lc} = {rc}" for lc, rc in on])
+    ref = f"{_cell_sql(rx, '_gl_lvl')} = _gl_ix AND {_cell_sql(ry, '_gl_lvl')} = _gl_iy"
+    cond = F.expr(f"{eq} AND {bbox_overlaps_sql(left_env, right_env)} AND {ref}")
 
-def plain_join(left: DataFrame, right: DataFrame, left_env, right_env, on: list[tuple[str, str]] | None = None,
-               how: str = "inner") -> DataFrame:
+    def replicate(df: DataFrame, own: str, levels: list[int], strict: bool) -> DataFrame:
+        op = ">" if strict else ">="
+        arr = "array(" + ", ".join(str(v) for v in levels) + ")"
+        return df.selectExpr("*", f"explode(filter({arr}, v -> v {op} {own})) AS _rep")
+
+    # (1) pairs matched at the left feature's own level: level_right <= level_left
+    l_own = _explode_cells(left, left_env, "_gl_own", "_gl_")
+    r_rep = _explode_cells(replicate(right, "_gr_own", llv, strict=False), right_env, "_rep", "_gr_")
+    one = l_own.join(r_rep, cond).select(*lcols, *rcols)
+    # (2) pairs matched at the right feature's own level: level_left < level_right
+    r_own = _explode_cells(right, right_env, "_gr_own", "_gr_")
+    l_rep = _explode_cells(replicate(left, "_gl_own", rlv, strict=True), left_env, "_rep", "_gl_")
+    two = l_rep.join(r_own, cond).select(*lcols, *rcols)
+    return one.unionByName(two)
+
+
+def plain_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
+               on: list[tuple[str, str]] | None = None, how: str = "inner") -> DataFrame:
     """The literal candidate join: equi columns plus the box test as a residual condition. With ``on`` empty this
     is a nested-loop join; only meant for small inputs and for checking ``grid_join``."""
-    cond = bbox_overlaps(tuple(F.col(c) for c in left_env), tuple(F.col(c) for c in right_env))
-    for lc, rc in on or []:
-        cond = cond & (F.col(lc) == F.col(rc))
-    return left.join(right, cond, how)
+    cond = " AND ".join([bbox_overlaps_sql(left_env, right_env)] + [f"{lc} = {rc}" for lc, rc in on or []])
+    return left.join(right, F.expr(cond), how)
 
 
 def prefixed(df: DataFrame, p: str, cols: list[str] | None = None) -> DataFrame:
-    return df.select(*[F.col(c).alias(p + c) for c in (cols or df.columns)])
+    return df.selectExpr(*[f"`{c}` AS `{p}{c}`" for c in (cols or df.columns)])

@@ -59,17 +59,17 @@ def q_range_query_many(spark, sf_dir):
 @register("area", O.with_ctes(O.PARCELS) + f"""
 SELECT a.oid, round(a.area, 9) AS area FROM ({O.ring_area_sql('parcel_rings')}) a""")
 def q_area(spark, sf_dir):
-    from geotables.functions.shapes import area
-    return fx.parcels(spark, sf_dir).select("oid", F.round(area("rings", "gtype"), 9).alias("area"))
+    from geotables.functions.shapes import area_sql
+    return fx.parcels(spark, sf_dir).selectExpr("oid", f"round({area_sql()}, 9) AS area")
 
 
 @register("envelope", O.with_ctes(O.PARCELS) + """
 SELECT v.oid, min(v.x) AS xmin, min(v.y) AS ymin, max(v.x) AS xmax, max(v.y) AS ymax
 FROM (""" + O.vertices('parcel_rings') + """) v GROUP BY v.oid""")
 def q_envelope(spark, sf_dir):
-    from geotables.functions.shapes import envelope
+    from geotables.functions.shapes import envelope_sql
     # derived from the vertices, not from the generator's box
-    return fx.parcels(spark, sf_dir).select("oid", *envelope("rings"))
+    return fx.parcels(spark, sf_dir).selectExpr("oid", *envelope_sql("rings"))
 
 
 @register("vertices", O.with_ctes(O.PARCELS) + f"""
@@ -82,8 +82,8 @@ def q_vertices(spark, sf_dir):
 @register("tag_extract", O.with_ctes(O.ZONES) + """
 SELECT oid, pd_class FROM zones""")
 def q_tag_extract(spark, sf_dir):
-    from geotables.functions.tags import tag
-    return fx.zones(spark, sf_dir).select("oid", tag("tags", "PDJB").alias("pd_class"))
+    from geotables.functions.tags import tag_sql
+    return fx.zones(spark, sf_dir).selectExpr("oid", f"{tag_sql('tags', 'PDJB')} AS pd_class")
 
 
 # ------------------------------------------------------------------ overlay
@@ -118,8 +118,7 @@ def q_prefix_join(spark, sf_dir):
 SELECT p_oid, z_oid, overlap_area FROM scored WHERE overlap_area > 0""")
 def q_overlap_area(spark, sf_dir):
     from geotables.operators.overlay import overlay_pairs
-    return overlay_pairs(*_overlay(spark, sf_dir)).where(F.col("overlap_area") > 0) \
-        .select("p_oid", "z_oid", "overlap_area")
+    return overlay_pairs(*_overlay(spark, sf_dir)).where("overlap_area > 0").select("p_oid", "z_oid", "overlap_area")
 
 
 @register("overlay_classes", O.overlay_all() + O.best_of("scored"))
@@ -143,8 +142,8 @@ def q_merge_best(spark, sf_dir):
     # two zone batches (even / odd supplier key) overlaid separately, then merged
     from geotables.operators.overlay import merge_best, overlay_classes
     parcels, zones = _overlay(spark, sf_dir)
-    odd = F.substring(F.col("oid"), -1, 1).cast("int") % 2 == 1
-    a = overlay_classes(parcels, zones.where(~odd), keep_zone_key=True)
+    odd = "CAST(substring(oid, -1, 1) AS INT) % 2 = 1"
+    a = overlay_classes(parcels, zones.where(f"NOT ({odd})"), keep_zone_key=True)
     b = overlay_classes(parcels, zones.where(odd), keep_zone_key=True)
     return merge_best(a, b).drop("zone_key")
 

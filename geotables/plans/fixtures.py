@@ -6,10 +6,10 @@ can be written in SQL for the oracle. Every fixture grows with its source table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from geotables.functions.shapes import point, ring
+from geotables.functions.shapes import point_sql as P
+from geotables.functions.shapes import ring_sql
 from geotables.model import finish_features
 from geotables.session import table_path
 
@@ -18,121 +18,84 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def _grid(k: Column, mul: int, mod: int) -> Column:
-    return (k * mul % mod) % 256 / F.lit(64.0)
+def _grid(k: str, mul: int, mod: int) -> str:
+    return f"(({k} * {mul} % {mod}) % 256) / 64D"
 
 
-def _rect(x, y, w, h) -> list[Column]:
-    return [point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h), point(x, y)]
+RECT = [P("x", "y"), P("x + w", "y"), P("x + w", "y + h"), P("x", "y + h"), P("x", "y")]
+TRIANGLE = [P("x", "y"), P("x + w", "y"), P("x", "y + h"), P("x", "y")]
+L_SHAPE = [P("x", "y"), P("x + w", "y"), P("x + w", "y + h / 2D"), P("x + w / 2D", "y + h / 2D"),
+           P("x + w / 2D", "y + h"), P("x", "y + h"), P("x", "y")]
+HOLE = [P("x + w / 4D", "y + h / 4D"), P("x + w / 4D", "y + 3 * h / 4D"), P("x + 3 * w / 4D", "y + 3 * h / 4D"),
+        P("x + 3 * w / 4D", "y + h / 4D"), P("x + w / 4D", "y + h / 4D")]
 
-
-def _triangle(x, y, w, h) -> list[Column]:
-    return [point(x, y), point(x + w, y), point(x, y + h), point(x, y)]
-
-
-def _l_shape(x, y, w, h) -> list[Column]:
-    hw, hh = w / F.lit(2.0), h / F.lit(2.0)
-    return [point(x, y), point(x + w, y), point(x + w, y + hh), point(x + hw, y + hh), point(x + hw, y + h),
-            point(x, y + h), point(x, y)]
-
-
-def _hole(x, y, w, h) -> list[Column]:
-    qw, qh = w / F.lit(4.0), h / F.lit(4.0)
-    return [point(x + qw, y + qh), point(x + qw, y + 3 * qh), point(x + 3 * qw, y + 3 * qh), point(x + 3 * qw, y + qh),
-            point(x + qw, y + qh)]
+PARCEL_RINGS = (f"CASE kind WHEN 0 THEN array({ring_sql(0, 0, RECT)}) "
+                f"WHEN 1 THEN array({ring_sql(0, 0, TRIANGLE)}) "
+                f"WHEN 2 THEN array({ring_sql(0, 0, L_SHAPE)}) "
+                f"ELSE array({ring_sql(0, 0, RECT)}, {ring_sql(0, 1, HOLE)}) END")
+ZONE_RINGS = f"CASE kind WHEN 0 THEN array({ring_sql(0, 0, RECT)}) ELSE array({ring_sql(0, 0, TRIANGLE)}) END"
+BOX_ENVELOPE = ["x AS xmin", "y AS ymin", "x + w AS xmax", "y + h AS ymax"]  # every shape spans its whole box
 
 
 def parcel_parts(part: DataFrame) -> DataFrame:
     """(k, oid, tags, kind, x, y, w, h) for parcels, one per ``part`` row."""
-    k = F.col("p_partkey").cast("long")
-    return part.select(
-        k.alias("k"),
-        F.concat(F.lit("11000"), (k % 3).cast("string"), F.lpad(k.cast("string"), 7, "0")).alias("oid"),
-        F.concat(F.lit('{"DLBM":"'), (k % 9).cast("string"), F.lit('"}')).alias("tags"),
-        (k % 4).alias("kind"),
-        (F.lit(110.0) + _grid(k, 7919, 10007)).alias("x"),
-        (F.lit(30.0) + _grid(k, 10473, 10009)).alias("y"),
-        ((k % 7 + 4) / F.lit(64.0)).alias("w"),
-        ((k % 5 + 4) / F.lit(64.0)).alias("h"),
-    )
-
-
-def parcel_rings(x, y, w, h, kind) -> Column:
-    return (
-        F.when(kind == 0, F.array(ring(0, 0, _rect(x, y, w, h))))
-        .when(kind == 1, F.array(ring(0, 0, _triangle(x, y, w, h))))
-        .when(kind == 2, F.array(ring(0, 0, _l_shape(x, y, w, h))))
-        .otherwise(F.array(ring(0, 0, _rect(x, y, w, h)), ring(0, 1, _hole(x, y, w, h))))
-    )
+    return part.selectExpr("CAST(p_partkey AS BIGINT) AS k").selectExpr(
+        "k",
+        "concat('11000', CAST(k % 3 AS STRING), lpad(CAST(k AS STRING), 7, '0')) AS oid",
+        "concat('{\"DLBM\":\"', CAST(k % 9 AS STRING), '\"}') AS tags",
+        "CAST(k % 4 AS INT) AS kind",
+        f"110D + {_grid('k', 7919, 10007)} AS x",
+        f"30D + {_grid('k', 10473, 10009)} AS y",
+        "(k % 7 + 4) / 64D AS w",
+        "(k % 5 + 4) / 64D AS h")
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land parcels from ``part``: rectangles, right triangles, L-shapes and rectangles with a hole."""
     p = parcel_parts(read(spark, sf_dir, "part"))
-    df = p.select("oid", "tags", F.lit("POLYGON").alias("gtype"),
-                  parcel_rings(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("kind")).alias("rings"),
-                  *_envelope_of_box())
+    df = p.selectExpr("oid", "tags", "'POLYGON' AS gtype", f"{PARCEL_RINGS} AS rings", *BOX_ENVELOPE)
     return finish_features(df)
 
 
-def _envelope_of_box() -> list[Column]:
-    # every generated shape spans its whole (x, y, w, h) box
-    return [F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + F.col("w")).alias("xmax"),
-            (F.col("y") + F.col("h")).alias("ymax")]
-
-
 def zone_parts(supplier: DataFrame) -> DataFrame:
-    k = F.col("s_suppkey").cast("long")
-    return supplier.select(
-        k.alias("k"),
-        F.concat(F.lit("11000"), (k % 3).cast("string"), F.lit("Z"), F.lpad(k.cast("string"), 5, "0")).alias("oid"),
-        F.when(k % 11 == 10, F.lit('{"other":"x"}'))
-        .otherwise(F.concat(F.lit('{"PDJB":"'), (k % 5 + 1).cast("string"), F.lit('"}'))).alias("tags"),
-        (F.floor(k / 3) % 2).alias("kind"),
-        (F.lit(110.0) + _grid(k, 6271, 10007)).alias("x"),
-        (F.lit(30.0) + _grid(k, 3571, 10009)).alias("y"),
-        ((k % 5 * 8 + 16) / F.lit(64.0)).alias("w"),
-        ((k % 4 * 8 + 16) / F.lit(64.0)).alias("h"),
-    )
+    return supplier.selectExpr("CAST(s_suppkey AS BIGINT) AS k").selectExpr(
+        "k",
+        "concat('11000', CAST(k % 3 AS STRING), 'Z', lpad(CAST(k AS STRING), 5, '0')) AS oid",
+        "CASE WHEN k % 11 = 10 THEN '{\"other\":\"x\"}' "
+        "ELSE concat('{\"PDJB\":\"', CAST(k % 5 + 1 AS STRING), '\"}') END AS tags",
+        "CAST((k div 3) % 2 AS INT) AS kind",
+        f"110D + {_grid('k', 6271, 10007)} AS x",
+        f"30D + {_grid('k', 3571, 10009)} AS y",
+        "(k % 5 * 8 + 16) / 64D AS w",
+        "(k % 4 * 8 + 16) / 64D AS h")
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope zones from ``supplier``: rectangles and right triangles; every 11th has no PDJB tag."""
     z = zone_parts(read(spark, sf_dir, "supplier"))
-    x, y, w, h = F.col("x"), F.col("y"), F.col("w"), F.col("h")
-    rings = F.when(F.col("kind") == 0, F.array(ring(0, 0, _rect(x, y, w, h)))) \
-        .otherwise(F.array(ring(0, 0, _triangle(x, y, w, h))))
-    return finish_features(z.select("oid", "tags", F.lit("POLYGON").alias("gtype"), rings.alias("rings"),
-                                    *_envelope_of_box()))
+    return finish_features(z.selectExpr("oid", "tags", "'POLYGON' AS gtype", f"{ZONE_RINGS} AS rings", *BOX_ENVELOPE))
 
 
 def point_parts(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey").cast("long")
-    return customer.select(
-        k.alias("k"),
-        F.concat(F.lit("22000"), (k % 4).cast("string"), k.cast("string")).alias("oid"),
-        ((k * 7919) % 36000 / F.lit(100.0) - F.lit(180.0)).alias("lon"),
-        ((k * 10473) % 18000 / F.lit(100.0) - F.lit(90.0)).alias("lat"),
-        F.col("c_nationkey").alias("nationkey"),
-        F.col("c_acctbal").alias("distance"),
-    )
+    return customer.selectExpr(
+        "CAST(c_custkey AS BIGINT) AS k",
+        "concat('22000', CAST(c_custkey % 4 AS STRING), CAST(c_custkey AS STRING)) AS oid",
+        "(CAST(c_custkey AS BIGINT) * 7919) % 36000 / 100D - 180D AS lon",
+        "(CAST(c_custkey AS BIGINT) * 10473) % 18000 / 100D - 90D AS lat",
+        "c_nationkey AS nationkey", "c_acctbal AS distance")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point features from ``customer`` spread over the whole globe; keeps nationkey and distance columns."""
     p = point_parts(read(spark, sf_dir, "customer"))
-    df = p.select("oid", F.lit("{}").alias("tags"), F.lit("POINT").alias("gtype"),
-                  F.array(ring(0, 0, [point(F.col("lon"), F.col("lat"))])).alias("rings"),
-                  F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"),
-                  F.col("lat").alias("ymax"), "lon", "lat", "nationkey", "distance")
+    df = p.selectExpr("oid", "'{}' AS tags", "'POINT' AS gtype", f"array({ring_sql(0, 0, [P('lon', 'lat')])}) AS rings",
+                      "lon AS xmin", "lat AS ymin", "lon AS xmax", "lat AS ymax", "lon", "lat", "nationkey", "distance")
     return finish_features(df)
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query windows from ``nation``: 0.5-degree squares on a 0.75-degree lattice over the parcel area."""
-    k = F.col("n_nationkey").cast("long")
-    xmin = F.lit(110.0) + (k % 5) * F.lit(0.75)
-    ymin = F.lit(30.0) + F.floor(k / 5) * F.lit(0.75)
-    return read(spark, sf_dir, "nation").select(
-        k.cast("int").alias("window_id"), xmin.alias("xmin"), ymin.alias("ymin"),
-        (xmin + F.lit(0.5)).alias("xmax"), (ymin + F.lit(0.5)).alias("ymax"))
+    return read(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey AS INT) AS window_id",
+        "110D + (n_nationkey % 5) * 0.75D AS xmin", "30D + (n_nationkey div 5) * 0.75D AS ymin",
+        "110D + (n_nationkey % 5) * 0.75D + 0.5D AS xmax", "30D + (n_nationkey div 5) * 0.75D + 0.5D AS ymax")
