@@ -14,8 +14,21 @@ from geotables.model import finish_features
 from geotables.session import table_path
 
 
+# Columns of the driver tables the fixtures use. Reading with a given schema skips footer inference and prunes
+# the scan to these columns.
+SCHEMAS = {
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING",
+    "supplier": "s_suppkey BIGINT",
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE",
+    "nation": "n_nationkey INT",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    return reader.parquet(table_path(sf_dir, name))
 
 
 def _grid(k: str, mul: int, mod: int) -> str:
