@@ -158,3 +158,80 @@ SELECT (SELECT count(*) FROM parcels) AS n_parcels, (SELECT count(*) FROM zones)
 def q_overlay_stats(spark, sf_dir):
     from geotables.operators.overlay import overlay_stats
     return overlay_stats(*_overlay(spark, sf_dir), batches=4)
+
+
+# ------------------------------------------------------------------ geohash cells
+
+GRID_CHARS = 2
+COVER_CHARS = 5
+
+
+@register("geohash_points", O.with_ctes(O.POINTS) + f"""
+SELECT oid, {O.geohash_of_morton('m')} AS geohash FROM points""")
+def q_geohash_points(spark, sf_dir):
+    from geotables.operators.cells_ops import with_point_geohash
+    return with_point_geohash(fx.points(spark, sf_dir)).select("oid", "geohash")
+
+
+@register("grid_count", O.with_ctes(O.POINTS) + f"""
+SELECT {O.geohash_of_morton('m', GRID_CHARS)} AS cell, count(*) AS n FROM points GROUP BY 1""")
+def q_grid_count(spark, sf_dir):
+    from geotables.operators.cells_ops import grid_count
+    return grid_count(fx.points(spark, sf_dir), GRID_CHARS)
+
+
+@register("grid_precision", O.with_ctes(O.POINTS) + f"""
+SELECT oid, {O.precision('distance')} AS precision FROM points""")
+def q_grid_precision(spark, sf_dir):
+    from geotables.operators.cells_ops import with_precision
+    return with_precision(fx.points(spark, sf_dir)).select("oid", "precision")
+
+
+@register("geometry_cell", O.with_ctes(O.ZONES) + """
+SELECT oid, cell FROM zones""")
+def q_geometry_cell(spark, sf_dir):
+    return fx.zones(spark, sf_dir).select("oid", "cell")
+
+
+@register("feature_key", O.with_ctes(O.PARCELS) + """
+SELECT oid, cell || '_' || oid AS key, cell, region FROM parcels""")
+def q_feature_key(spark, sf_dir):
+    return fx.parcels(spark, sf_dir).select("oid", "key", "cell", "region")
+
+
+@register("cover", O.with_ctes(O.PARCELS) + f"""
+SELECT oid, ((cy - {O.cell_iy('ymin', COVER_CHARS)}) * ({O.cell_ix('xmax', COVER_CHARS)} - {O.cell_ix('xmin', COVER_CHARS)} + 1)
+             + (cx - {O.cell_ix('xmin', COVER_CHARS)}))::INTEGER AS pos,
+       {O.geohash_of_cell('cx', 'cy', COVER_CHARS)} AS cell
+FROM (SELECT *, unnest(range({O.cell_ix('xmin', COVER_CHARS)}, {O.cell_ix('xmax', COVER_CHARS)} + 1)) AS cx FROM parcels) a,
+     LATERAL (SELECT unnest(range({O.cell_iy('a.ymin', COVER_CHARS)}, {O.cell_iy('a.ymax', COVER_CHARS)} + 1)) AS cy)""")
+def q_cover(spark, sf_dir):
+    from geotables.operators.cells_ops import cover
+    return cover(fx.parcels(spark, sf_dir), COVER_CHARS)
+
+
+@register("cover_compat", O.with_ctes(O.PARCELS, f"""
+b AS (SELECT oid, {O.cell_ix('(xmin + xmax) / 2::DOUBLE', COVER_CHARS)} AS tx, {O.cell_iy('(ymin + ymax) / 2::DOUBLE', COVER_CHARS)} AS ty,
+             {O.cell_ix('xmin', COVER_CHARS)} AS x0, {O.cell_iy('ymin', COVER_CHARS)} AS y0,
+             {O.cell_ix('xmax', COVER_CHARS)} AS x1, {O.cell_iy('ymax', COVER_CHARS)} AS y1 FROM parcels)""",
+    f"bn AS (SELECT *, {O.neighbour_hashes(COVER_CHARS)} FROM b)",
+    f"c AS (SELECT oid, {O.cover_compat_sql(COVER_CHARS)} AS arr FROM bn)") + """
+SELECT oid, (i - 1)::INTEGER AS pos, arr[i] AS cell FROM (SELECT oid, arr, unnest(range(1, len(arr) + 1)) AS i FROM c)""")
+def q_cover_compat(spark, sf_dir):
+    from geotables.operators.cells_ops import cover_compat
+    return cover_compat(fx.parcels(spark, sf_dir), COVER_CHARS)
+
+
+@register("common_prefix", f"""
+SELECT p_brand, {O.lcp2('min(p_type)', 'max(p_type)')} AS lcp_p_type, {O.lcp2('min(p_name)', 'max(p_name)')} AS lcp_p_name
+FROM part GROUP BY p_brand""")
+def q_common_prefix(spark, sf_dir):
+    from geotables.operators.cells_ops import common_prefix
+    return common_prefix(fx.read(spark, sf_dir, "part"), ["p_brand"], ["p_type", "p_name"])
+
+
+@register("common_prefix_cells", O.with_ctes(O.POINTS, f"g AS (SELECT nationkey, {O.geohash_of_morton('m')} AS gh FROM points)") + f"""
+SELECT nationkey, {O.lcp2('min(gh)', 'max(gh)')} AS lcp_geohash FROM g GROUP BY nationkey""")
+def q_common_prefix_cells(spark, sf_dir):
+    from geotables.operators.cells_ops import common_prefix, with_point_geohash
+    return common_prefix(with_point_geohash(fx.points(spark, sf_dir)), ["nationkey"], ["geohash"])

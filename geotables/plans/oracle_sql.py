@@ -262,3 +262,41 @@ FROM parcels p LEFT JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY {area_col} DESC, z_key) AS rn
                  FROM {scored} WHERE {area_col} > 0) WHERE rn = 1
 ) b ON b.pk = p.k"""
+
+
+def cover_compat_sql(chars: int) -> str:
+    """Neighbour-case cover of each parcel envelope around the cell of its centre, as a list per parcel."""
+    offs = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+    def at(cx, cy, n):
+        ox, oy = offs[n]
+        return f"({cx} = tx + ({ox}) AND {cy} = ty + ({oy}))"
+
+    def cells(*ns):
+        return "[" + ", ".join(["gt"] + [f"g{n}" for n in ns]) + "]"
+
+    here = "x0 = tx AND y0 = ty AND x0 = tx AND y1 = ty AND x1 = tx AND y1 = ty AND x1 = tx AND y0 = ty"
+    return f"""CASE WHEN {here} THEN {cells()}
+  WHEN {at('x0', 'y0', 5)} THEN {cells(4, 5, 6)}
+  WHEN {at('x0', 'y0', 6)} AND {at('x0', 'y1', 6)} THEN {cells(6)}
+  WHEN {at('x0', 'y1', 7)} THEN {cells(0, 6, 7)}
+  WHEN {at('x0', 'y1', 0)} AND {at('x1', 'y1', 0)} THEN {cells(0)}
+  WHEN {at('x1', 'y1', 1)} THEN {cells(0, 1, 2)}
+  WHEN {at('x1', 'y1', 2)} AND {at('x1', 'y0', 2)} THEN {cells(2)}
+  WHEN {at('x1', 'y0', 3)} THEN {cells(2, 3, 4)}
+  WHEN {at('x1', 'y0', 4)} AND {at('x0', 'y0', 4)} THEN {cells(4)}
+  ELSE []::VARCHAR[] END"""
+
+
+def neighbour_hashes(chars: int) -> str:
+    """Select-list of the target cell hash ``gt`` and its 8 neighbours ``g0``..``g7`` (N, NE, E, SE, S, SW, W, NW)."""
+    offs = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    cols = [f"{geohash_of_cell('tx', 'ty', chars)} AS gt"]
+    cols += [f"{geohash_of_cell(f'tx + ({ox})', f'ty + ({oy})', chars)} AS g{n}" for n, (ox, oy) in enumerate(offs)]
+    return ", ".join(cols)
+
+
+def lcp2(a: str, b: str) -> str:
+    n = f"least(length({a}), length({b}))"
+    diff = f"list_min(list_filter(range(1, {n} + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1)))"
+    return f"substr({a}, 1, CASE WHEN {n} = 0 THEN 0 ELSE coalesce({diff} - 1, {n}) END)"
