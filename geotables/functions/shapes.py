@@ -28,6 +28,19 @@ def all_points_sql(rings: str = "rings") -> str:
     return f"flatten(transform({rings}, r -> r.pts))"
 
 
+def let_sql(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``. The value appears once in the expression tree however often the
+    body uses it, so Catalyst cannot multiply it when it inlines a column into a pushed-down filter."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def envelope_struct_sql(rings: str = "rings") -> str:
+    """struct(xmin, ymin, xmax, ymax) of a geometry; fields NULL for an empty geometry."""
+    return let_sql(all_points_sql(rings), "pts",
+                   "named_struct('xmin', array_min(transform(pts, p -> p.x)), 'ymin', array_min(transform(pts, p -> p.y)), "
+                   "'xmax', array_max(transform(pts, p -> p.x)), 'ymax', array_max(transform(pts, p -> p.y)))")
+
+
 def envelope_sql(rings: str = "rings") -> list[str]:
     """xmin, ymin, xmax, ymax expressions; NULL for an empty geometry."""
     pts = all_points_sql(rings)

@@ -30,7 +30,9 @@ def finish_features(df: DataFrame) -> DataFrame:
     An envelope already present (xmin, ymin, xmax, ymax) is kept instead of being derived from the rings."""
     base = ("oid", "tags", "gtype", "rings", *ENVELOPE)
     extra = [c for c in df.columns if c not in base]
-    env = shapes.envelope_sql("rings") if "xmin" not in df.columns else ENVELOPE
-    df = df.selectExpr("oid", "tags", "gtype", "rings", *env, *extra)
+    if "xmin" not in df.columns:
+        df = df.selectExpr("*", f"{shapes.envelope_struct_sql('rings')} AS _env") \
+            .selectExpr("*", "_env.xmin AS xmin", "_env.ymin AS ymin", "_env.xmax AS xmax", "_env.ymax AS ymax")
+    df = df.selectExpr("oid", "tags", "gtype", "rings", *ENVELOPE, *extra)
     df = df.selectExpr("*", f"{cells.envelope_cell_sql()} AS cell", f"{region_sql()} AS region")
     return df.selectExpr("concat_ws('_', cell, oid) AS key", *FEATURE_COLUMNS[1:], *extra)

@@ -235,3 +235,63 @@ SELECT nationkey, {O.lcp2('min(gh)', 'max(gh)')} AS lcp_geohash FROM g GROUP BY
 def q_common_prefix_cells(spark, sf_dir):
     from geotables.operators.cells_ops import common_prefix, with_point_geohash
     return common_prefix(with_point_geohash(fx.points(spark, sf_dir)), ["nationkey"], ["geohash"])
+
+
+# ------------------------------------------------------------------ WKT text
+
+def parcel_lines(spark, sf_dir):
+    """``wkt \\t oid \\t tags`` lines for the parcels; keys k % 50 in (7, 13, 21, 33) give a lower-case line, broken
+    WKT, a missing field and an out-of-range point."""
+    from geotables.sources.wkt_text import fmt_num_sql, wkt_sql
+    p = fx.parcels(spark, sf_dir).selectExpr("*", "CAST(substring(oid, 7) AS BIGINT) % 50 AS j", f"{wkt_sql()} AS wkt")
+    from geotables.functions.shapes import let_sql
+    return p.selectExpr(let_sql("wkt", "w", f"""CASE j
+      WHEN 7 THEN concat_ws('\\t', lower(w), oid, tags)
+      WHEN 13 THEN concat_ws('\\t', 'POLYGON ((bad', oid, tags)
+      WHEN 21 THEN concat_ws('\\t', w, oid)
+      WHEN 33 THEN concat_ws('\\t', concat('POINT (181 ', {fmt_num_sql('ymin')}, ')'), oid, tags)
+      ELSE concat_ws('\\t', w, oid, tags) END""") + " AS value")
+
+
+@register("wkt_export", O.with_ctes(O.PARCELS, O.PARCEL_WKT) + """
+SELECT oid, wkt FROM pw""")
+def q_wkt_export(spark, sf_dir):
+    from geotables.sources.wkt_text import export_wkt
+    return export_wkt(fx.parcels(spark, sf_dir))
+
+
+@register("wkt_ingest", O.with_ctes(O.PARCELS, f"a AS ({O.ring_area_sql('parcel_rings')})",
+                                    "np AS (SELECT k, sum(len(pts))::INTEGER AS n_points FROM parcel_rings GROUP BY k)") + """
+SELECT p.oid, 'POLYGON' AS gtype, np.n_points, round(a.area, 9) AS area, p.xmin, p.ymin, p.xmax, p.ymax, p.cell
+FROM parcels p JOIN a ON a.k = p.k JOIN np ON np.k = p.k WHERE p.k % 50 NOT IN (7, 13, 21, 33)""")
+def q_wkt_ingest(spark, sf_dir):
+    from geotables.functions.shapes import area_sql
+    from geotables.sources.wkt_text import ingest_lines
+    features, _ = ingest_lines(parcel_lines(spark, sf_dir))
+    return features.selectExpr("oid", "gtype", "size(flatten(transform(rings, r -> r.pts))) AS n_points",
+                               f"round({area_sql()}, 9) AS area", "xmin", "ymin", "xmax", "ymax", "cell")
+
+
+@register("wkt_rejects", O.with_ctes(O.PARCELS) + """
+SELECT oid, CASE k % 50 WHEN 13 THEN 'malformed WKT' WHEN 21 THEN 'missing fields'
+                        ELSE 'coordinates out of range' END AS reason
+FROM parcels WHERE k % 50 IN (13, 21, 33)""")
+def q_wkt_rejects(spark, sf_dir):
+    from geotables.sources.wkt_text import ingest_lines
+    _, rejects = ingest_lines(parcel_lines(spark, sf_dir))
+    return rejects.select("oid", "reason")
+
+
+@register("check_rings", O.with_ctes(O.PARCELS) + """
+SELECT oid, NOT (kind = 0 AND k % 10 = 7) AS valid,
+       CASE WHEN kind = 0 AND k % 10 = 7 THEN 'self-crossing' END AS reason
+FROM parcels""")
+def q_check_rings(spark, sf_dir):
+    # rectangles with key % 10 = 7 get their 2nd and 3rd vertices swapped: a bow-tie
+    from geotables.operators.rings import check_rings
+    p = fx.parcels(spark, sf_dir).selectExpr(
+        "oid", "gtype", "CAST(substring(oid, 7) AS BIGINT) AS k", "rings")
+    bow = ("transform(rings, r -> named_struct('part', r.part, 'ring', r.ring, 'pts', "
+           "array(r.pts[0], r.pts[2], r.pts[1], r.pts[3], r.pts[4])))")
+    p = p.selectExpr("oid", "gtype", f"CASE WHEN k % 10 = 7 AND k % 4 = 0 THEN {bow} ELSE rings END AS rings")
+    return check_rings(p)

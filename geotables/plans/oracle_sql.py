@@ -300,3 +300,18 @@ def lcp2(a: str, b: str) -> str:
     n = f"least(length({a}), length({b}))"
     diff = f"list_min(list_filter(range(1, {n} + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1)))"
     return f"substr({a}, 1, CASE WHEN {n} = 0 THEN 0 ELSE coalesce({diff} - 1, {n}) END)"
+
+
+def fmt_num(v: str) -> str:
+    return f"(CASE WHEN {v} = floor({v}) AND abs({v}) < 1e15 THEN {v}::BIGINT::VARCHAR ELSE {v}::VARCHAR END)"
+
+
+PARCEL_WKT = f"""
+rt AS (
+  SELECT k, oid, ring, '(' || string_agg({fmt_num('x')} || ' ' || {fmt_num('y')}, ', ' ORDER BY pos) || ')' AS t
+  FROM ({vertices('parcel_rings')}) GROUP BY k, oid, ring
+),
+pw AS (SELECT k, oid, 'POLYGON (' || string_agg(t, ', ' ORDER BY ring) || ')' AS wkt FROM rt GROUP BY k, oid)"""
+
+# lines derived from the parcels; some are spoiled on purpose, by a rule on the key
+WKT_JUNK = {7: "dropped (lower case)", 13: "malformed WKT", 21: "missing fields", 33: "coordinates out of range"}
