@@ -295,3 +295,89 @@ def q_check_rings(spark, sf_dir):
            "array(r.pts[0], r.pts[2], r.pts[1], r.pts[3], r.pts[4])))")
     p = p.selectExpr("oid", "gtype", f"CASE WHEN k % 10 = 7 AND k % 4 = 0 THEN {bow} ELSE rings END AS rings")
     return check_rings(p)
+
+
+# ------------------------------------------------------------------ key table, prefix scans, sinks
+
+def written_parcels(spark, sf_dir):
+    """Parcels written as the key table under the shared folder and read back."""
+    from geotables.session import scratch_path
+    from geotables.sources.geo_table import read_geo_table, write_geo_table
+    path = scratch_path(spark, "parcels")
+    write_geo_table(fx.parcels(spark, sf_dir), path)
+    return read_geo_table(spark, path)
+
+
+def window_prefixes(spark, sf_dir):
+    """Geohash prefixes of 3 and 4 characters at the windows' south-west corners (nested, with repeats)."""
+    from geotables.functions.cells import geohash_sql
+    w = fx.windows(spark, sf_dir)
+    return w.selectExpr(f"{geohash_sql('xmin', 'ymin', 3)} AS prefix").unionByName(
+        w.selectExpr(f"{geohash_sql('xmin', 'ymin', 4)} AS prefix"))
+
+
+_PREFIXES_SQL = (f"wm AS (SELECT *, {O.morton_of('xmin', 'ymin')} AS m FROM windows)",
+                 f"""tp AS (SELECT DISTINCT prefix FROM (SELECT {O.geohash_of_morton('m', 3)} AS prefix FROM wm
+                       UNION ALL SELECT {O.geohash_of_morton('m', 4)} FROM wm))""")
+
+
+@register("geo_table_roundtrip", O.with_ctes(O.PARCELS, f"a AS ({O.ring_area_sql('parcel_rings')})") + """
+SELECT p.cell || '_' || p.oid AS key, p.oid, p.tags, round(a.area, 9) AS area, substr(p.cell, 1, 2) AS cell_prefix
+FROM parcels p JOIN a ON a.k = p.k""")
+def q_geo_table_roundtrip(spark, sf_dir):
+    from geotables.functions.shapes import area_sql
+    return written_parcels(spark, sf_dir).selectExpr("key", "oid", "tags", f"round({area_sql()}, 9) AS area",
+                                                     "cell_prefix")
+
+
+@register("prefix_scan", O.with_ctes(O.PARCELS, O.WINDOWS, *_PREFIXES_SQL) + """
+SELECT p.oid, p.cell || '_' || p.oid AS key FROM parcels p
+WHERE EXISTS (SELECT 1 FROM tp WHERE starts_with(p.cell || '_' || p.oid, tp.prefix))""")
+def q_prefix_scan(spark, sf_dir):
+    from geotables.sources.geo_table import scan_by_cell_prefix
+    return scan_by_cell_prefix(written_parcels(spark, sf_dir), window_prefixes(spark, sf_dir)).select("oid", "key")
+
+
+@register("prefix_scan_overlaps", O.with_ctes(O.PARCELS, O.WINDOWS, *_PREFIXES_SQL) + """
+SELECT tp.prefix, p.oid FROM parcels p JOIN tp ON starts_with(p.cell || '_' || p.oid, tp.prefix)""")
+def q_prefix_scan_overlaps(spark, sf_dir):
+    from geotables.sources.geo_table import scan_by_cell_prefix
+    return scan_by_cell_prefix(written_parcels(spark, sf_dir), window_prefixes(spark, sf_dir),
+                               keep_overlaps=True).select("prefix", "oid")
+
+
+@register("upsert_geo_table", O.with_ctes(O.PARCELS, O.ZONES) + """
+SELECT cell || '_' || oid AS key, oid, CASE WHEN k % 5 = 0 THEN '{"DLBM":"X"}' ELSE tags END AS tags FROM parcels
+UNION ALL SELECT cell || '_' || oid, oid, tags FROM zones""")
+def q_upsert_geo_table(spark, sf_dir):
+    # incoming: parcels with key % 5 = 0 re-tagged (same row keys: overwrite) plus the zones (new row keys)
+    from geotables.sources.geo_table import upsert
+    existing = written_parcels(spark, sf_dir).drop("cell_prefix")
+    retag = fx.parcels(spark, sf_dir).where("CAST(substring(oid, 7) AS BIGINT) % 5 = 0") \
+        .withColumn("tags", F.lit('{"DLBM":"X"}'))
+    incoming = retag.unionByName(fx.zones(spark, sf_dir))
+    return upsert(existing, incoming).select("key", "oid", "tags")
+
+
+@register("class_text", O.overlay_all() + """
+SELECT '(' || oid || ',' || coalesce(pd_class, 'null') || ')' AS value FROM (""" + O.best_of("scored") + ")")
+def q_class_text(spark, sf_dir):
+    from geotables.operators.overlay import overlay_classes
+    from geotables.session import scratch_path
+    from geotables.sources.sinks import write_class_text
+    path = scratch_path(spark, "classes")
+    write_class_text(overlay_classes(*_overlay(spark, sf_dir)), path)
+    return spark.read.text(path)
+
+
+@register("wkb_transcode", O.with_ctes(O.PARCELS, f"a AS ({O.ring_area_sql('parcel_rings')})",
+                                       "np AS (SELECT k, count(*) AS nr, sum(len(pts)) AS n FROM parcel_rings GROUP BY k)") + """
+SELECT p.oid, (9 + 4 * np.nr + 16 * np.n)::INTEGER AS wkb_len, round(a.area, 9) AS area, 'POLYGON' AS gtype
+FROM parcels p JOIN a ON a.k = p.k JOIN np ON np.k = p.k""")
+def q_wkb_transcode(spark, sf_dir):
+    # parcels -> WKB -> parcels: byte length and the area of the decoded geometry
+    from geotables.functions.shapes import area_sql
+    from geotables.sources.wkb import from_wkb, to_wkb
+    enc = to_wkb(fx.parcels(spark, sf_dir))
+    dec = from_wkb(enc.selectExpr("oid", "wkb", "length(wkb) AS wkb_len"), keep=["oid", "wkb_len"])
+    return dec.selectExpr("oid", "wkb_len", f"round({area_sql()}, 9) AS area", "gtype")
