@@ -134,3 +134,19 @@ def vertex_in_box_sql(rings: str, xmin: str, ymin: str, xmax: str, ymax: str) ->
 
 def vertex_in_box(rings: str, xmin, ymin, xmax, ymax) -> Column:
     return F.expr(vertex_in_box_sql(rings, str(xmin), str(ymin), str(xmax), str(ymax)))
+
+
+def edge_pair_term_sql(e: str, g: str, oy: str) -> str:
+    """Signed contribution of one edge pair (struct columns ``e``, ``g``) to the overlap area; 0 when their
+    x-ranges do not overlap. Same formula as ``overlap_area_sql``, for one pair of rows."""
+    l = f"greatest({e}.xl, {g}.xl)"
+    r = f"least({e}.xr, {g}.xr)"
+    fl = f"({e}.yl - {oy} + ({l} - {e}.xl) * {e}.m)"
+    fr = f"({e}.yl - {oy} + ({r} - {e}.xl) * {e}.m)"
+    gl = f"({g}.yl - {oy} + ({l} - {g}.xl) * {g}.m)"
+    gr = f"({g}.yl - {oy} + ({r} - {g}.xl) * {g}.m)"
+    dl, dr = f"({fl} - {gl})", f"({fr} - {gr})"
+    k = (f"CASE WHEN {dl} * {dr} >= 0 THEN abs({dl}) + abs({dr}) "
+         f"ELSE ({dl} * {dl} + {dr} * {dr}) / (abs({dl}) + abs({dr})) END")
+    val = f"{e}.s * {g}.s * ({r} - {l}) * (({fl} + {fr} + {gl} + {gr}) - {k}) / 4D"
+    return f"CASE WHEN {e} IS NOT NULL AND {g} IS NOT NULL AND {l} < {r} THEN {val} ELSE 0D END"

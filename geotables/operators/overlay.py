@@ -72,12 +72,36 @@ def prefix_pairs(p: DataFrame, z: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def with_overlap_area(pairs: DataFrame) -> DataFrame:
-    """Exact intersection area of each candidate pair, rounded to 9 places."""
-    a = shapes.overlap_area_sql("p_edges", "z_edges", "greatest(p_xmin, z_xmin)", "least(p_xmax, z_xmax)",
-                                "greatest(p_ymin, z_ymin)")
+PAIR_KEYS = ["p_key", "p_oid", "z_key", "z_oid", "z_class"]
+
+
+def with_overlap_area(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Exact intersection area of each candidate pair, rounded to 9 places: (keys..., overlap_area).
+
+    Edge pairs are exploded into rows so the arithmetic runs in generated code; only edges reaching into the
+    common x-range of the two envelopes are kept (a per-pair filter). The rows of one pair are adjacent, so the
+    partial (map-side) sum collapses them to one row per pair before the shuffle. ``explode_outer`` keeps
+    pairs without contributing edges (area 0).
+    """
+    keys = keys or PAIR_KEYS
+    x0, x1, oy = "greatest(p_xmin, z_xmin)", "least(p_xmax, z_xmax)", "greatest(p_ymin, z_ymin)"
+    a = pairs.selectExpr(*keys, f"{x0} AS _x0", f"{x1} AS _x1", f"{oy} AS _oy", "p_edges", "z_edges")
+    a = a.selectExpr(*keys, "_oy", "filter(z_edges, g -> g.xr > _x0 AND g.xl < _x1) AS _zf",
+                     "explode_outer(filter(p_edges, e -> e.xr > _x0 AND e.xl < _x1)) AS _e")
+    a = a.selectExpr(*keys, "_oy", "_e", "explode_outer(_zf) AS _g")
+    # the term in small steps: each projection stays a compact generated method
+    t = a.selectExpr(*keys, "_oy", "_e", "_g", "greatest(_e.xl, _g.xl) AS _l", "least(_e.xr, _g.xr) AS _r")
+    # a pair without contributing edges keeps one row whose term is 0 (explode_outer gives NULL edges)
+    t = t.selectExpr(*keys, "CASE WHEN _e IS NOT NULL AND _g IS NOT NULL AND _l < _r THEN _e.s * _g.s ELSE 0D END AS _ss",
+                     "_l", "_r",
+                     "_e.yl - _oy + (_l - _e.xl) * _e.m AS _fl", "_e.yl - _oy + (_r - _e.xl) * _e.m AS _fr",
+                     "_g.yl - _oy + (_l - _g.xl) * _g.m AS _gl", "_g.yl - _oy + (_r - _g.xl) * _g.m AS _gr")
+    t = t.selectExpr(*keys, "_ss", "_l", "_r", "_fl", "_fr", "_gl", "_gr", "_fl - _gl AS _dl", "_fr - _gr AS _dr")
+    t = t.selectExpr(*keys, "CASE WHEN _ss = 0D THEN 0D ELSE _ss * (_r - _l) * ((_fl + _fr + _gl + _gr) - "
+                            "CASE WHEN _dl * _dr >= 0 THEN abs(_dl) + abs(_dr) "
+                            "ELSE (_dl * _dl + _dr * _dr) / (abs(_dl) + abs(_dr)) END) / 4D END AS _v")
     # + 0D turns a rounded -0.0 into 0.0
-    return pairs.selectExpr("*", f"round({a}, {AREA_DIGITS}) + 0D AS overlap_area")
+    return t.groupBy(*keys).agg(F.expr(f"round(sum(_v), {AREA_DIGITS}) + 0D").alias("overlap_area"))
 
 
 def overlay_pairs(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", strategy: str = "grid") -> DataFrame:
@@ -133,7 +157,7 @@ def merge_best(previous: DataFrame, new: DataFrame) -> DataFrame:
 def overlay_stats(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", batches: int = 1) -> DataFrame:
     """One row of counts describing an overlay run."""
     p, z = overlay_inputs(parcels, zones, tag_name)
-    scored = with_overlap_area(candidate_pairs(p, z, "grid"))
+    scored = with_overlap_area(candidate_pairs(p, z, "grid"), ["p_key", "z_key"])
     pair_stats = scored.selectExpr(
         "count(*) AS n_pairs", "count(CASE WHEN overlap_area > 0 THEN 1 END) AS n_pairs_positive",
         "count(DISTINCT CASE WHEN overlap_area > 0 THEN p_key END) AS n_parcels_matched")
