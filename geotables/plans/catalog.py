@@ -381,3 +381,37 @@ def q_wkb_transcode(spark, sf_dir):
     enc = to_wkb(fx.parcels(spark, sf_dir))
     dec = from_wkb(enc.selectExpr("oid", "wkb", "length(wkb) AS wkb_len"), keep=["oid", "wkb_len"])
     return dec.selectExpr("oid", "wkb_len", f"round({area_sql()}, 9) AS area", "gtype")
+
+
+# ------------------------------------------------------------------ streaming
+
+@register("stream_overlay_classes", O.overlay_all() + O.best_of("scored"))
+def q_stream_overlay_classes(spark, sf_dir):
+    """Parcels written to the key table, read back as a file stream (one file per trigger) and overlaid per
+    micro-batch; the result is the union of the epochs."""
+    from geotables.session import scratch_path
+    from geotables.streaming.overlay_stream import start_overlay_stream
+    src = scratch_path(spark, "parcel-stream")
+    fx.parcels(spark, sf_dir).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    sink, ckpt = scratch_path(spark, "classes-stream"), scratch_path(spark, "checkpoint")
+    q = start_overlay_stream(stream, fx.zones(spark, sf_dir), sink, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("epoch")
+
+
+@register("stream_range_query", O.with_ctes(O.PARCELS) + f"""
+SELECT DISTINCT v.oid FROM ({O.vertices('parcel_rings')}) v
+WHERE v.x BETWEEN 111{O.D} AND 112{O.D} AND v.y BETWEEN 31{O.D} AND 32{O.D}""")
+def q_stream_range_query(spark, sf_dir):
+    from geotables.session import scratch_path
+    from geotables.streaming.overlay_stream import stream_range_query
+    src = scratch_path(spark, "parcel-stream")
+    fx.parcels(spark, sf_dir).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    sink, ckpt = scratch_path(spark, "range-stream"), scratch_path(spark, "checkpoint")
+    q = stream_range_query(stream, *WINDOW).select("oid").writeStream.format("parquet") \
+        .option("path", sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(sink)
