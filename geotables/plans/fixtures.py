@@ -31,6 +31,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(table_path(sf_dir, name))
 
 
+def generator_keys(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The key column a fixture is generated from, spread round-robin over the cluster's task slots (as
+    ``spark.range(n, numPartitions)`` would): the driver tables are single small files, and the features
+    generated from them are much wider than the keys."""
+    return read(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
 def _grid(k: str, mul: int, mod: int) -> str:
     return f"(({k} * {mul} % {mod}) % 256) / 64D"
 
@@ -65,7 +72,7 @@ def parcel_parts(part: DataFrame) -> DataFrame:
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land parcels from ``part``: rectangles, right triangles, L-shapes and rectangles with a hole."""
-    p = parcel_parts(read(spark, sf_dir, "part"))
+    p = parcel_parts(generator_keys(spark, sf_dir, "part"))
     df = p.selectExpr("oid", "tags", "'POLYGON' AS gtype", f"{PARCEL_RINGS} AS rings", *BOX_ENVELOPE)
     return finish_features(df)
 
@@ -100,7 +107,7 @@ def point_parts(customer: DataFrame) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point features from ``customer`` spread over the whole globe; keeps nationkey and distance columns."""
-    p = point_parts(read(spark, sf_dir, "customer"))
+    p = point_parts(generator_keys(spark, sf_dir, "customer"))
     df = p.selectExpr("oid", "'{}' AS tags", "'POINT' AS gtype", f"array({ring_sql(0, 0, [P('lon', 'lat')])}) AS rings",
                       "lon AS xmin", "lat AS ymin", "lon AS xmax", "lat AS ymax", "lon", "lat", "nationkey", "distance")
     return finish_features(df)

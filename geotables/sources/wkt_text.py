@@ -42,7 +42,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 def split_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """(line, wkt, oid, tags, n_fields) from raw text lines; keeps only geometry lines."""
-    f = lines.selectExpr(f"{col} AS line", f"split({col}, '\\t', -1) AS f")
+    f = lines.selectExpr(f"inline(array(named_struct('line', {col}, 'f', split({col}, '\\t', -1))))")
     f = f.selectExpr("line", "f[0] AS wkt", "try_element_at(f, 2) AS oid", "try_element_at(f, 3) AS tags",
                      "size(f) AS n_fields")
     return f.where(f"wkt RLIKE '{GEOMETRY_LINE}'")
@@ -70,9 +70,10 @@ def parse_wkt(df: DataFrame, wkt: str = "wkt") -> DataFrame:
                   _let(f"CASE WHEN parsed IS NULL THEN {_EMPTY_RINGS} ELSE {_RINGS} END", "rings0",
                        _let(reason, "why", "named_struct('reason', why, 'rings', CASE WHEN why IS NULL AND "
                                            f"{polygonal} THEN {orient_rings_sql('rings0')} ELSE rings0 END)")))
-    d = d.selectExpr("*", f"{result} AS _res")
-    return d.selectExpr(*[c for c in d.columns if c not in ("body", "_res")], "_res.reason AS reason",
-                        "_res.rings AS rings")
+    # A generator output is a barrier for filter pushdown: filters on reason (rejects / features) stay above it
+    # instead of being copied, with the whole parse, into the scan below.
+    keep = [c for c in d.columns if c != "body"]
+    return d.selectExpr(*keep, f"inline(array({result}))")
 
 
 def ingest_lines(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
