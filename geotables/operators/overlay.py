@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from geotables.functions import shapes
 from geotables.functions.tags import tag_sql
+from geotables.session import materialize
 from geotables.operators.spatial_join import bbox_overlaps_sql, grid_join, plain_join
 
 AREA_DIGITS = 9
@@ -29,7 +30,9 @@ def overlay_inputs(parcels: DataFrame, zones: DataFrame, tag_name: str) -> tuple
     z = zones.selectExpr(*[f"{c} AS z_{c}" for c in ["key", "oid", "region", "cell", *env]],
                          f"{shapes.edges_sql('rings', 'gtype')} AS z_edges",
                          f"{tag_sql('tags', tag_name)} AS z_class", f"{shapes.area_sql('rings', 'gtype')} AS z_area")
-    return p, z
+    # each side feeds the level collect and both grid-join branches (parcels also the default rows): compute the
+    # edge arrays once
+    return materialize(p), materialize(z)
 
 
 P_ENV = ("p_xmin", "p_ymin", "p_xmax", "p_ymax")

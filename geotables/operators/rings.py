@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from geotables.functions.shapes import ring_signed_area_sql
 from geotables.operators.spatial_join import grid_join
+from geotables.session import materialize
 
 
 def orient_rings_sql(rings: str = "rings") -> str:
@@ -47,7 +48,8 @@ def check_rings(df: DataFrame, key: str = "oid") -> DataFrame:
     """(key, valid, reason) for every polygonal feature: invalid when two non-adjacent edges cross or touch
     ('self-crossing'). Every input feature is reported."""
     polys = df.where("gtype LIKE '%POLYGON%'")
-    e = _edges(polys, key)
+    # the edge table feeds the level collect and both grid-join branches on each side
+    e = materialize(_edges(polys, key))
     a = e.selectExpr(*[f"{c} AS a_{c}" for c in e.columns])
     b = e.selectExpr(*[f"{c} AS b_{c}" for c in e.columns])
     env_a = ("a_xmin", "a_ymin", "a_xmax", "a_ymax")

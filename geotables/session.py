@@ -55,3 +55,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df):
+    """Cut the lineage of a derived table that several branches of a plan read (a reliable checkpoint in the shared
+    folder, never a machine-local one): it is computed once, and the plans reading it stay small."""
+    storage_root(df.sparkSession)
+    return df.checkpoint(eager=True)
