@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MIN_LEVEL = -24   # 2^-24 degrees, about 7 mm at the equator; points and tiny features share it
 MAX_LEVEL = 9     # 512 degrees: one cell holds the whole lon/lat plane
@@ -72,7 +73,9 @@ def grid_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
     # The level sets are tiny (at most MAX_LEVEL - MIN_LEVEL + 1 integers); they decide which replicas to build.
     llv, rlv = _levels(left, "_gl_own"), _levels(right, "_gr_own")
     if not llv or not rlv:
-        return left.select(*lcols).join(right.select(*rcols), F.lit(False))
+        # one side is empty: so is the result (an empty table of the combined schema, no join planned)
+        fields = left.select(*lcols).schema.fields + right.select(*rcols).schema.fields
+        return left.sparkSession.createDataFrame([], StructType(fields))
 
     rx = f"greatest({left_env[0]}, {right_env[0]})"
     ry = f"greatest({left_env[1]}, {right_env[1]})"

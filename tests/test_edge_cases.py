@@ -141,3 +141,11 @@ def test_cover_cases(spark):
     compat = {r.oid: r.n for r in cover_compat(df, 1).groupBy("oid").agg(F.count("*").alias("n")).collect()}
     assert full == {"inside": 1, "east": 2, "sw": 4, "3x3": 9}
     assert compat == {"inside": 1, "east": 2, "sw": 4, "3x3": 4}
+
+
+def test_empty_window_table(spark):
+    from geotables.operators.range_query import range_query_many
+    f, _ = features_from_wkt(spark, [("POINT (6 6)", "pt", "{}")])
+    w = spark.createDataFrame([], "window_id int, xmin double, ymin double, xmax double, ymax double")
+    out = range_query_many(f, w)
+    assert out.columns == ["window_id", "oid"] and out.count() == 0
