@@ -1,7 +1,7 @@
 """Spark session helpers.
 
-Jobs read the shared checkpoint folder from the session (``spark.checkpoint.dir``); a folder of our own is only
-created when that setting is absent, which is the case in local tests.
+Jobs read the shared checkpoint folder from the session (``spark.checkpoint.dir``). On a cluster that setting is
+required; a local[...] session without it gets a folder of its own, because there is only one machine to share it.
 """
 
 from __future__ import annotations
@@ -13,37 +13,38 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "geotables") -> SparkSession:
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+def get_spark(cpus: int | str | None = None, shuffle_partitions: int | None = None,
+              app: str = "geotables") -> SparkSession:
+    """The session with the settings the plans rely on. Master and memory are the caller's (spark-submit, defaults
+    file); ``cpus`` asks for a local session, as tests and the bench do."""
+    builder = (
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if cpus is not None:
+        builder = builder.master(f"local[{cpus}]").config("spark.driver.memory", "16g")
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def storage_root(spark: SparkSession) -> str:
-    """Shared folder for written tables and checkpoints.
-
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise (local tests) makes a fresh folder and
-    registers it as the checkpoint folder so ``DataFrame.checkpoint()`` works too.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """Shared folder for written tables and checkpoints: ``spark.checkpoint.dir``, or the checkpoint folder set on
+    the context. Without either, a local[...] session gets a fresh folder and any other session an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="geotables-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="geotables-local-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
