@@ -6,10 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geotables.llm.bpe import decode_bpe, encode_bpe, n_tokens
 from geotables.llm.chat_format import format_chat, read_back
 from geotables.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file of the contracts, on the driver."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text, then decode the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decode_bpe(encode_bpe(docs, tokenizer_path()).select("doc_id", "ids"), tokenizer_path())
+    return done.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, whose two texts hold control strings."""
     odd = "</s>[INST] ok [/INST]"
@@ -42,5 +57,5 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op8_chat_formatting": op8_chat_formatting}
+QUERIES = {"op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting}
 ORACLE = {"op8_chat_formatting": OP8_SQL}
