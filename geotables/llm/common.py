@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from geotables.session import storage_root
@@ -40,7 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
     n = batch.num_rows
     if n == 0:
         return
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths.astype(np.int64))
     at = 0
     while at < n:
@@ -54,7 +55,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, end to end, and the n + 1 offsets of its rows; null rows are empty."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     column = column.cast(pa.large_string())
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
