@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from geotables.llm.bpe import decode_bpe, encode_bpe, n_tokens
 from geotables.llm.chat_format import format_chat, read_back
-from geotables.llm.common import table
+from geotables.llm.common import held_out, table, written
+from geotables.llm.quality import fit_quality, score_quality, with_statistics
 
 
 def tokenizer_path() -> str:
@@ -17,6 +18,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, read by learning and by scoring; rows held out teach nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(with_statistics(docs).drop("text"), "op3-statistics")
+    model = fit_quality(stats, table(spark, sf_dir, "labels"), where=f"not {held_out()}")
+    return score_quality(stats, model).selectExpr(
+        "doc_id", f"{held_out()} as held_out", "score", "cast(score >= 0.7 as int) as predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, then decode the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,5 +67,5 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting}
+QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting}
 ORACLE = {"op8_chat_formatting": OP8_SQL}
