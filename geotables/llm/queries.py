@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geotables.llm.bpe import decode_bpe, encode_bpe, n_tokens
 from geotables.llm.chat_format import format_chat, read_back
 from geotables.llm.common import held_out, table, written
+from geotables.llm.langid import fit_language, predict_language
 from geotables.llm.quality import fit_quality, score_quality, with_statistics
 
 
@@ -27,6 +28,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", f"{held_out()} as held_out", "score", "cast(score >= 0.7 as int) as predicted")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows held out teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    network = fit_language(docs, where=f"not {held_out()}")
+    found = predict_language(docs.select("doc_id", "text"), network).drop("text")
+    return found.selectExpr("doc_id", f"{held_out()} as held_out", "lang_pred", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, then decode the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,5 +76,5 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting}
+QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting}
 ORACLE = {"op8_chat_formatting": OP8_SQL}
