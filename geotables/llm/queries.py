@@ -10,6 +10,7 @@ from geotables.llm.bpe import decode_bpe, encode_bpe, n_tokens
 from geotables.llm.chat_format import format_chat, read_back
 from geotables.llm.common import held_out, table, written
 from geotables.llm.langid import fit_language, predict_language
+from geotables.llm.nearest import nearest
 from geotables.llm.quality import fit_quality, score_quality, with_statistics
 
 
@@ -57,6 +58,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(char_length(formatted) as bigint) as formatted_chars")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id is divisible by 100, among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 OP8_SQL = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -76,5 +82,5 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting}
+QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting, "op10_nearest": op10_nearest}
 ORACLE = {"op8_chat_formatting": OP8_SQL}
