@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geotables.llm.bpe import decode_bpe, encode_bpe, n_tokens
 from geotables.llm.chat_format import format_chat, read_back
 from geotables.llm.common import held_out, table, written
+from geotables.llm.html_text import extract_main_text
 from geotables.llm.langid import fit_language, predict_language
 from geotables.llm.nearest import nearest
 from geotables.llm.quality import fit_quality, score_quality, with_statistics
@@ -58,6 +59,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(char_length(formatted) as bigint) as formatted_chars")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of every vector whose id is divisible by 100, among all others."""
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
@@ -82,5 +89,6 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting, "op10_nearest": op10_nearest}
+QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
+           "op10_nearest": op10_nearest}
 ORACLE = {"op8_chat_formatting": OP8_SQL}
