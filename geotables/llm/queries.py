@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geotables.llm.bpe import decode_bpe, encode_bpe, n_tokens
 from geotables.llm.chat_format import format_chat, read_back
 from geotables.llm.common import held_out, table, written
+from geotables.llm.decontaminate import contamination
 from geotables.llm.html_text import extract_main_text
 from geotables.llm.langid import fit_language, predict_language
 from geotables.llm.nearest import nearest
@@ -21,6 +22,40 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of 13-word windows of benchmark items."""
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                          table(spark, sf_dir, "benchmark").select("item_id", "text"), size=13)
+    return found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as bigint) as n_items",
+                            "sha2(array_join(items, ','), 256) as items_sha256", f"{CONTAMINATED} as contaminated")
+
+
+OP2_SQL = r"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, row_number() over () as k from documents),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+sized as (select item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) as i from items where len(w) > 0),
+win as (select distinct item_id, array_to_string(w[i:i + 12], ' ') as s, least(13, len(w)) as n from sized),
+sizes as (select distinct n from win),
+starts as (select k, doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from docs, sizes where len(w) >= n),
+keyed as (select k, i, n, array_to_string(w[i:i + n - 1], ' ') as s from starts),
+hits as (select distinct k, i, keyed.n, item_id from keyed join win using (s)),
+places as (select k, count(distinct p) as n_hit from (select k, unnest(generate_series(i, i + n - 1)) as p from hits) group by k),
+found as (select k, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+          from (select distinct k, item_id from hits) group by k)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join places using (k) left join found using (k)
+"""
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, read by learning and by scoring; rows held out teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +124,6 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
            "op10_nearest": op10_nearest}
-ORACLE = {"op8_chat_formatting": OP8_SQL}
+ORACLE = {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL}
