@@ -14,6 +14,9 @@ from geotables.llm.html_text import extract_main_text
 from geotables.llm.langid import fit_language, predict_language
 from geotables.llm.nearest import nearest
 from geotables.llm.quality import fit_quality, score_quality, with_statistics
+from geotables.llm.simhash import simhash_components
+
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
 
 def tokenizer_path() -> str:
@@ -81,6 +84,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
+    found = simhash_components(table(spark, sf_dir, "documents"), SIMHASH_WORDS, SIMHASH_BITS)
+    return found.selectExpr("doc_id", "lower(lpad(hex(fingerprint), 16, '0')) as fingerprint", "component_id")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, whose two texts hold control strings."""
     odd = "</s>[INST] ok [/INST]"
@@ -124,6 +133,6 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
            "op10_nearest": op10_nearest}
 ORACLE = {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL}
