@@ -15,6 +15,7 @@ from geotables.llm.langid import fit_language, predict_language
 from geotables.llm.nearest import nearest
 from geotables.llm.quality import fit_quality, score_quality, with_statistics
 from geotables.llm.simhash import simhash_components
+from geotables.llm.substring import remove_repeats
 
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
@@ -25,6 +26,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that start in a document with a smaller id."""
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
@@ -133,6 +140,6 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
            "op10_nearest": op10_nearest}
 ORACLE = {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL}
