@@ -12,6 +12,7 @@ from geotables.llm.common import held_out, table, written
 from geotables.llm.decontaminate import contamination
 from geotables.llm.html_text import extract_main_text
 from geotables.llm.langid import fit_language, predict_language
+from geotables.llm.line_dedup import dedup_lines
 from geotables.llm.nearest import nearest
 from geotables.llm.quality import fit_quality, score_quality, with_statistics
 from geotables.llm.simhash import simhash_components
@@ -97,6 +98,45 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lower(lpad(hex(fingerprint), 16, '0')) as fingerprint", "component_id")
 
 
+LINE_EDITS, LINE_CHARS = 2, 32
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that are equal to, or two edits or fewer away from, a line that occurs first earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, LINE_EDITS, LINE_CHARS).select(
+        "doc_id", "n_lines", "n_removed", "n_near", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: DuckDB's levenshtein counts bytes; the letters outside ASCII are turned into single control bytes for it.
+OP7_SQL = r"""
+with l as (
+  select doc_id, i - 1 as pos, s[i] as line from (
+    select doc_id, s, unnest(generate_series(1, len(s))) as i from (
+      select doc_id, string_split(text, chr(10)) as s from documents where text is not null))),
+d as (select line, length(line) as n, min((doc_id, pos)) as first, count(*) as copies,
+        translate(line, 'éóèñüçêöäßíÉÈÑÓÜÄÖÇÊÍúáîâàùûôëïÁÚ', (select string_agg(chr(c::int), '' order by c) from
+          (select unnest([1,2,3,4,5,6,7,8,14,15,16,17,18,19,20,21,22,23,24,25,26,27,28,29,30,31,36,94,96,126,64,127,92]) as c))) as t
+      from l where length(line) >= 32 group by line),
+near as (
+  select a.line as la, b.line as lb, a.first as fa, b.first as fb from d a join d b
+    on b.n between a.n - 2 and a.n + 2 and a.first < b.first
+  where (contains(b.line, substr(a.line, 1, (a.n // 3)::int))
+      or contains(b.line, substr(a.line, (a.n // 3 + 1)::int, (a.n // 3)::int))
+      or contains(b.line, substr(a.line, (2 * (a.n // 3) + 1)::int)))
+    and levenshtein(a.t, b.t) <= 2),
+ends as (select lb as line, fa as other from near union all select la, fb from near),
+info as (select d.line, first, min(other) as nearest, count(other) as degree from d left join ends using (line) group by all),
+o as (select l.doc_id, l.pos, l.line, coalesce(first < (l.doc_id, l.pos), false) as copy,
+        coalesce(nearest < (l.doc_id, l.pos), false) as near, coalesce(degree, 0) as degree
+      from l left join info using (line))
+select documents.doc_id, count(pos)::bigint as n_lines, count(*) filter (where copy or near)::bigint as n_removed,
+  count(*) filter (where near and not copy)::bigint as n_near, coalesce(sum(degree), 0)::bigint as n_links,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not copy and not near), '')) as kept_sha256
+from documents left join o using (doc_id) group by documents.doc_id
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, whose two texts hold control strings."""
     odd = "</s>[INST] ok [/INST]"
@@ -140,6 +180,6 @@ select conv_id, count(*) as n_turns,
 from p group by conv_id
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
            "op10_nearest": op10_nearest}
-ORACLE = {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL}
+ORACLE = {"op2_decontamination": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL}
