@@ -1,8 +1,83 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline over ``documents``: quality, repeated lines, near copies, benchmark passages, tokens.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame, which is
+written as Parquet to the shared folder and read again as the next stage's docs. All stages but the last return the columns
+of ``documents``. Null and empty texts, repeated rows and ties are treated as the operators say; a document without text
+passes the quality score like any other, and goes with the lines or near copies if it has nothing to keep.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geotables.llm.bpe import encode_bpe, n_tokens
+from geotables.llm.common import held_out, table, written
+from geotables.llm.decontaminate import contamination
+from geotables.llm.line_dedup import dedup_lines
+from geotables.llm.quality import fit_quality, score_quality, with_statistics
+from geotables.llm.queries import CONTAMINATED, LINE_CHARS, LINE_EDITS, SIMHASH_BITS, SIMHASH_WORDS, tokenizer_path
+from geotables.llm.simhash import simhash_components
+
+QUALITY = 0.7
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.7 or more by the classifier, learned from the labelled ones that aren't held out."""
+    columns = docs.columns
+    labelled = table(spark, sf_dir, "labels")
+    stats = with_statistics(docs)
+    model = fit_quality(stats.select("doc_id", "statistics"), labelled, where=f"not {held_out()}")
+    return score_quality(stats, model, out="__score").where(F.col("__score") >= QUALITY).select(*columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that occur, equal or nearly so, earlier; those left without any word by that go."""
+    out = dedup_lines(docs, LINE_EDITS, LINE_CHARS).where(r"n_removed = 0 or rlike(text, '[^\\x20\\x09-\\x0D]')")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return out.select(*docs.columns)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    found = simhash_components(docs, SIMHASH_WORDS, SIMHASH_BITS)
+    kept = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    whole = docs.join(kept.withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id"), "left_semi")
+    return whole.dropDuplicates(["doc_id", "text"])
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), size=13)
+    bad = found.where(CONTAMINATED).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(bad, F.expr("doc_id <=> __id"), "left_anti")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document kept: doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    out = encode_bpe(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return out.select("doc_id", "lang", "source", n_tokens().alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_copies", simhash_stage),
+    ("benchmark", benchmark_stage),
+    ("tokens", token_stage),
+]
+
+#: SQL can express neither the classifier nor the tokenizer; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
