@@ -1,35 +1,40 @@
 """Polygon overlay: for every parcel, the class of the zone it overlaps most.
 
-Plan: candidates (same region, closed envelope intersection) -> exact overlap area per candidate pair (column
-arithmetic over edge pairs, no UDF) -> one arg-max aggregation per parcel over the positive pairs *unioned with one
-default row per parcel* (class '0', area 0). The union replaces a left outer join: one shuffle, with partial
-aggregation before it. Ties on the rounded area go to the smallest zone key, so the answer does not depend on
-row order, batching or partitioning.
+Plan: candidates (same region, closed envelope intersection) -> overlap area per candidate pair (column arithmetic over
+edge pairs, no UDF) -> the largest area per parcel, over the overlapping pairs *unioned with one default row per parcel*
+(class '0', area 0), and among the zones that reach it the smallest zone key. Areas are ranked as they are; ``ZERO`` of the
+smaller feature's area is what counts as no overlap and as a tie, so the answer does not depend on the order in which
+the terms of a sum were added, nor on batching or partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotables.functions import shapes
 from geotables.functions.tags import tag_sql
 from geotables.session import materialize
-from geotables.operators.spatial_join import bbox_overlaps_sql, grid_join, plain_join
-
-AREA_DIGITS = 9
-PAIR_COLUMNS = ["p_key", "p_oid", "z_key", "z_oid", "z_class", "overlap_area"]
-
-
-def overlay_inputs(parcels: DataFrame, zones: DataFrame, tag_name: str) -> tuple[DataFrame, DataFrame]:
-    """Only what the overlay needs travels through the join: keys, region, cell, envelope and the edge array.
-    The zone's class is read out of its JSON tags once per zone, not once per pair."""
-    env = ["xmin", "ymin", "xmax", "ymax"]
-    p = parcels.selectExpr(*[f"{c} AS p_{c}" for c in ["key", "oid", "region", "cell", *env]],
-                           f"{shapes.edges_sql('rings', 'gtype')} AS p_edges")
-    z = zones.selectExpr(*[f"{c} AS z_{c}" for c in ["key", "oid", "region", "cell", *env]],
-                         f"{shapes.edges_sql('rings', 'gtype')} AS z_edges",
-                         f"{tag_sql('tags', tag_name)} AS z_class", f"{shapes.area_sql('rings', 'gtype')} AS z_area")
+from geotables.operators.spatial_join import grid_join, plain_join
+
+ZERO = 1e-12
+PAIR_COLUMNS = ["p_key", "p_oid", "z_key", "z_oid", "z_class", "overlap_area", "tolerance"]
+ENV = ["xmin", "ymin", "xmax", "ymax"]
+
+
+def overlay_inputs(parcels: DataFrame, zones: DataFrame, tag_name: str, edges: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Only what the overlay needs travels through the join: keys, region, cell, envelope, area and the edge array. The
+    zone's class is read out of its JSON tags once per zone, not once per pair. Without ``edges`` (no overlap areas are
+    asked for) nothing is computed from the rings but the zone's own area."""
+    def side(df: DataFrame, p: str, *extra: str) -> DataFrame:
+        return df.selectExpr(*[f"{c} AS {p}{c}" for c in ["key", "oid", "region", "cell", *ENV]], *extra)
+
+    z_extra = [f"{tag_sql('tags', tag_name)} AS z_class", f"{shapes.area_sql('rings', 'gtype')} AS z_area"]
+    if not edges:
+        return side(parcels, "p_"), side(zones, "z_", *z_extra)
+    p = side(parcels, "p_", f"{shapes.area_sql('rings', 'gtype')} AS p_area",
+             f"{shapes.edges_sql('rings', 'gtype')} AS p_edges")
+    z = side(zones, "z_", *z_extra, f"{shapes.edges_sql('rings', 'gtype')} AS z_edges")
     # each side feeds the level collect and both grid-join branches (parcels also the default rows): compute the
     # edge arrays once
     return materialize(p), materialize(z)
@@ -43,68 +48,80 @@ def candidate_pairs(p: DataFrame, z: DataFrame, strategy: str = "grid") -> DataF
     """Parcel/zone pairs in the same region whose envelopes intersect.
 
     grid   equi-join on (region, grid cell) -- see ``spatial_join.grid_join``; the default
-    plain  equi-join on region with the box test as residual: a nested loop within each region
-    prefix equi-join on (region, geohash-cell prefix) -- the key relation of the stored tables, see ``prefix_pairs``
+    plain  equi-join on region with the box test as residual: a nested loop within each region, for checks only
+    prefix the pairs of ``grid`` whose geohash cells are one a prefix of the other (the key relation of stored tables)
     """
+    on = [("p_region", "z_region")]
     if strategy == "grid":
-        return grid_join(p, z, P_ENV, Z_ENV, on=[("p_region", "z_region")])
+        return grid_join(p, z, P_ENV, Z_ENV, on=on)
     if strategy == "plain":
-        return plain_join(p, z, P_ENV, Z_ENV, on=[("p_region", "z_region")])
+        return plain_join(p, z, P_ENV, Z_ENV, on=on)
     if strategy == "prefix":
-        return prefix_pairs(p, z)
+        return grid_join(p, z, P_ENV, Z_ENV, on=on).where("startswith(p_cell, z_cell) OR startswith(z_cell, p_cell)")
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def _prefixes_sql(cell: str) -> str:
-    """All prefixes of a cell string, '' included."""
-    return f"transform(sequence(0, length({cell})), n -> substring({cell}, 1, n))"
-
-
-def prefix_pairs(p: DataFrame, z: DataFrame) -> DataFrame:
-    """Candidates by the geohash key relation: one cell is a prefix of the other (plus region and box test).
-
-    Both directions are equi-joins: the zone cell equals one of the parcel cell's prefixes, or (strictly longer
-    zone cell) the parcel cell equals one of the zone cell's proper prefixes. A pair is produced by exactly one
-    branch, so no ``distinct`` is needed.
-    """
-    box = bbox_overlaps_sql(P_ENV, Z_ENV)
-    a = p.selectExpr("*", f"explode({_prefixes_sql('p_cell')}) AS _pp")
-    one = a.join(z, F.expr(f"_pp = z_cell AND p_region = z_region AND {box}")).drop("_pp")
-    b = z.selectExpr("*", f"explode(slice({_prefixes_sql('z_cell')}, 1, length(z_cell))) AS _zp")
-    two = p.join(b, F.expr(f"_zp = p_cell AND p_region = z_region AND {box}")).drop("_zp")
-    return one.unionByName(two)
-
-
 PAIR_KEYS = ["p_key", "p_oid", "z_key", "z_oid", "z_class"]
 
+# A piece of an edge inside the common strip 0 <= y <= h of a pair: x from l to r, y from fl to fr, sign s.
+_PIECE_T = "array<struct<s:double,l:double,r:double,fl:double,fr:double>>"
+
+
+def _pieces_sql(edges: str) -> str:
+    """The edges of a feature cut to the common envelope of a pair (columns _x0, _x1, _oy, _h): parts below it vanish
+    (what lies under them is empty), parts above run along its upper side, the rest stays. All y are relative to _oy, so
+    sums run over numbers no larger than the common envelope."""
+    cut = ("transform(filter({e}, e -> e.xr > _x0 AND e.xl < _x1), e -> named_struct('s', e.s, "
+           "'l', greatest(e.xl, _x0), 'r', least(e.xr, _x1), "
+           "'fl', e.yl - _oy + (greatest(e.xl, _x0) - e.xl) * e.m, 'fr', e.yl - _oy + (least(e.xr, _x1) - e.xl) * e.m))")
+    # x where the line meets y = v, between l and r
+    at = lambda v: f"(c.l + ({v} - c.fl) / (c.fr - c.fl) * (c.r - c.l))"
+    rising = ("array(named_struct('s', c.s, 'l', IF(c.fl < 0, {a0}, c.l), 'r', IF(c.fr > _h, {ah}, c.r), "
+              "'fl', greatest(c.fl, 0D), 'fr', least(c.fr, _h)), "
+              "named_struct('s', c.s, 'l', IF(c.fr > _h, {ah}, c.r), 'r', c.r, 'fl', _h, 'fr', _h))")
+    falling = ("array(named_struct('s', c.s, 'l', c.l, 'r', IF(c.fl > _h, {ah}, c.l), 'fl', _h, 'fr', _h), "
+               "named_struct('s', c.s, 'l', IF(c.fl > _h, {ah}, c.l), 'r', IF(c.fr < 0, {a0}, c.r), "
+               "'fl', least(c.fl, _h), 'fr', greatest(c.fr, 0D)))")
+    a0, ah = at("0D"), at("_h")
+    pieces = (f"CASE WHEN c.fl <= 0 AND c.fr <= 0 THEN CAST(array() AS {_PIECE_T}) "
+              "WHEN c.fl >= _h AND c.fr >= _h THEN array(named_struct('s', c.s, 'l', c.l, 'r', c.r, 'fl', _h, 'fr', _h)) "
+              "WHEN c.fl >= 0 AND c.fr >= 0 AND c.fl <= _h AND c.fr <= _h THEN array(c) "
+              f"WHEN c.fl < c.fr THEN {rising.format(a0=a0, ah=ah)} ELSE {falling.format(a0=a0, ah=ah)} END")
+    return f"filter(flatten(transform({cut.format(e=edges)}, c -> {pieces})), c -> c.l < c.r)"
 
-def with_overlap_area(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Exact intersection area of each candidate pair, rounded to 9 places: (keys..., overlap_area).
 
-    Edge pairs are exploded into rows so the arithmetic runs in generated code; only edges reaching into the
-    common x-range of the two envelopes are kept (a per-pair filter). The rows of one pair are adjacent, so the
-    partial (map-side) sum collapses them to one row per pair before the shuffle. ``explode_outer`` keeps
-    pairs without contributing edges (area 0).
+def with_overlap_area(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Intersection area of each candidate pair: (keys..., overlap_area, tolerance), tolerance being the area that still
+    counts as none.
+
+    For rings oriented shell-CCW / hole-CW a polygon is the signed sum of the regions under its edges, so the area of an
+    intersection is the signed sum over edge pairs of the integral of the lower of the two lines over their common
+    x-range. Edges are first cut to the common envelope (``_pieces_sql``); a piece then meets only the pieces of the other
+    feature that share some of its x-range, so a pair gives about as many rows as its pieces overlap. The rows of one pair
+    are adjacent, so the partial (map-side) sum collapses them to one row per pair before the shuffle. ``explode_outer``
+    keeps pairs without pieces (area 0).
     """
     keys = keys or PAIR_KEYS
     x0, x1, oy = "greatest(p_xmin, z_xmin)", "least(p_xmax, z_xmax)", "greatest(p_ymin, z_ymin)"
-    a = pairs.selectExpr(*keys, f"{x0} AS _x0", f"{x1} AS _x1", f"{oy} AS _oy", "p_edges", "z_edges")
-    a = a.selectExpr(*keys, "_oy", "filter(z_edges, g -> g.xr > _x0 AND g.xl < _x1) AS _zf",
-                     "explode_outer(filter(p_edges, e -> e.xr > _x0 AND e.xl < _x1)) AS _e")
-    a = a.selectExpr(*keys, "_oy", "_e", "explode_outer(_zf) AS _g")
+    a = pairs.selectExpr(*keys, f"{x0} AS _x0", f"{x1} AS _x1", f"{oy} AS _oy", f"least(p_ymax, z_ymax) - {oy} AS _h",
+                         f"{ZERO!r}D * least(p_area, z_area) AS _t", "p_edges", "z_edges")
+    a = a.selectExpr(*keys, "_t", f"inline(array(named_struct('_pp', {_pieces_sql('p_edges')}, '_zp', {_pieces_sql('z_edges')})))")
+    a = a.selectExpr(*keys, "_t", "_zp", "explode_outer(_pp) AS _e")
+    a = a.selectExpr(*keys, "_t", "_e", "explode_outer(filter(_zp, g -> g.l < _e.r AND g.r > _e.l)) AS _g")
     # the term in small steps: each projection stays a compact generated method
-    t = a.selectExpr(*keys, "_oy", "_e", "_g", "greatest(_e.xl, _g.xl) AS _l", "least(_e.xr, _g.xr) AS _r")
-    # a pair without contributing edges keeps one row whose term is 0 (explode_outer gives NULL edges)
-    t = t.selectExpr(*keys, "CASE WHEN _e IS NOT NULL AND _g IS NOT NULL AND _l < _r THEN _e.s * _g.s ELSE 0D END AS _ss",
-                     "_l", "_r",
-                     "_e.yl - _oy + (_l - _e.xl) * _e.m AS _fl", "_e.yl - _oy + (_r - _e.xl) * _e.m AS _fr",
-                     "_g.yl - _oy + (_l - _g.xl) * _g.m AS _gl", "_g.yl - _oy + (_r - _g.xl) * _g.m AS _gr")
-    t = t.selectExpr(*keys, "_ss", "_l", "_r", "_fl", "_fr", "_gl", "_gr", "_fl - _gl AS _dl", "_fr - _gr AS _dr")
-    t = t.selectExpr(*keys, "CASE WHEN _ss = 0D THEN 0D ELSE _ss * (_r - _l) * ((_fl + _fr + _gl + _gr) - "
-                            "CASE WHEN _dl * _dr >= 0 THEN abs(_dl) + abs(_dr) "
-                            "ELSE (_dl * _dl + _dr * _dr) / (abs(_dl) + abs(_dr)) END) / 4D END AS _v")
-    # + 0D turns a rounded -0.0 into 0.0
-    return t.groupBy(*keys).agg(F.expr(f"round(sum(_v), {AREA_DIGITS}) + 0D").alias("overlap_area"))
+    t = a.selectExpr(*keys, "_t", "_e", "_g", "greatest(_e.l, _g.l) AS _l", "least(_e.r, _g.r) AS _r")
+    line = lambda v, x: f"IF({x} = {v}.l, {v}.fl, IF({x} = {v}.r, {v}.fr, {v}.fl + ({x} - {v}.l) / ({v}.r - {v}.l) * ({v}.fr - {v}.fl)))"
+    t = t.selectExpr(*keys, "_t", "CASE WHEN _e IS NOT NULL AND _g IS NOT NULL AND _l < _r THEN _e.s * _g.s * (_r - _l) ELSE 0D END"
+                                  " AS _w",
+                     f"{line('_e', '_l')} AS _fl", f"{line('_e', '_r')} AS _fr", f"{line('_g', '_l')} AS _gl",
+                     f"{line('_g', '_r')} AS _gr")
+    t = t.selectExpr(*keys, "_t", "_w", "_fl", "_fr", "_gl", "_gr", "_fl - _gl AS _dl", "_fr - _gr AS _dr")
+    # where the lines cross, at the share _c of the range, the lower line changes there
+    t = t.selectExpr(*keys, "_t", "_w", "_fl", "_fr", "least(_fl, _gl) AS _ml", "least(_fr, _gr) AS _mr",
+                     "IF(_dl * _dr < 0, abs(_dl) / (abs(_dl) + abs(_dr)), 0D) AS _c")
+    t = t.selectExpr(*keys, "_t", "CASE WHEN _w = 0D THEN 0D ELSE _w * (_c * (_ml + _fl + (_fr - _fl) * _c) + "
+                                  "(1D - _c) * (IF(_c = 0D, _ml, _fl + (_fr - _fl) * _c) + _mr)) / 2D END AS _v")
+    return t.groupBy(*keys).agg(F.expr("sum(_v) + 0D").alias("overlap_area"), F.max("_t").alias("tolerance"))
 
 
 def overlay_pairs(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", strategy: str = "grid") -> DataFrame:
@@ -113,48 +130,64 @@ def overlay_pairs(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB",
     return with_overlap_area(candidate_pairs(p, z, strategy)).select(*PAIR_COLUMNS)
 
 
-_BEST = ("min_by(named_struct('c', {c}, 'a', overlap_area, 'k', {k}), "
-         "named_struct('neg_area', -overlap_area, 'zk', {k}))")
+OVERLAPS = "overlap_area > tolerance"
+CLASS_COLUMNS = ["key", "oid", "pd_class", "overlap_area", "zone_key", "tolerance"]
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    """One row per key of CLASS_COLUMNS rows: the smallest zone key among those that reach the largest area but for their
+    tolerance. The largest area is a plain hash aggregate; both passes over ``rows`` share one shuffle."""
+    rows = rows.repartition("key")
+    top = rows.groupBy("key").agg(F.max("overlap_area").alias("_top"))
+    reach = rows.join(top, "key").where("overlap_area >= _top - tolerance")
+    best = reach.groupBy("key", "oid").agg(F.expr(
+        "min_by(named_struct('c', pd_class, 'a', overlap_area, 'k', zone_key, 't', tolerance), zone_key)").alias("b"),
+        F.expr("first(named_struct('c', pd_class, 'a', overlap_area, 'k', zone_key, 't', tolerance))").alias("d"))
+    # min_by skips a null zone key, which is the default row alone
+    return best.selectExpr("key", "oid", "coalesce(b, d) AS b").selectExpr(
+        "key", "oid", "b.c AS pd_class", "b.a AS overlap_area", "b.k AS zone_key", "b.t AS tolerance")
 
 
 def best_class(scored: DataFrame, parcel_keys: DataFrame) -> DataFrame:
-    """Arg-max per parcel over (p_key, p_oid, z_key, z_class, overlap_area) rows with overlap_area > 0.
+    """CLASS_COLUMNS per parcel from overlapping pairs (p_key, p_oid, z_key, z_class, overlap_area, tolerance).
 
-    ``parcel_keys`` (p_key, p_oid) supplies the default ('0', 0.0) row for every parcel. Output columns:
-    oid, pd_class, overlap_area, zone_key (zone_key is NULL for the default; keep it to merge later batches).
-    The ranking struct (-area, zone key) picks the largest area and, on a tie, the smallest zone key.
-    """
-    default = parcel_keys.selectExpr("p_key", "p_oid", "CAST(NULL AS STRING) AS z_key", "'0' AS z_class",
-                                     "0D AS overlap_area")
-    rows = scored.select("p_key", "p_oid", "z_key", "z_class", "overlap_area").unionByName(default)
-    best = rows.groupBy("p_key", "p_oid").agg(F.expr(_BEST.format(c="z_class", k="z_key")).alias("b"))
-    return best.selectExpr("p_oid AS oid", "b.c AS pd_class", "b.a AS overlap_area", "b.k AS zone_key")
+    ``parcel_keys`` (p_key, p_oid) supplies the default ('0', 0.0) row for every parcel; its zone_key is NULL. Keep
+    zone_key and tolerance to merge later batches (``merge_best``)."""
+    default = parcel_keys.selectExpr("p_key AS key", "p_oid AS oid", "'0' AS pd_class", "0D AS overlap_area",
+                                     "CAST(NULL AS STRING) AS zone_key", "0D AS tolerance")
+    rows = scored.selectExpr("p_key AS key", "p_oid AS oid", "z_class AS pd_class", "overlap_area", "z_key AS zone_key",
+                             "tolerance").unionByName(default)
+    return _best(rows)
 
 
 def overlay_classes(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", strategy: str = "grid",
                     compat: bool = False, keep_zone_key: bool = False) -> DataFrame:
-    """(oid, pd_class, overlap_area) for every parcel: class '0' and area 0 when no zone overlaps it.
+    """(oid, pd_class, overlap_area) for every parcel: class '0' and area 0 when no zone overlaps it. keep_zone_key=True
+    returns CLASS_COLUMNS.
 
     compat=True reproduces the literal job: the value ranked is the zone's *own* area (it intersects the zone with
     itself), candidates additionally need one geohash cell to contain the other as a substring.
     """
-    p, z = overlay_inputs(parcels, zones, tag_name)
+    p, z = overlay_inputs(parcels, zones, tag_name, edges=not compat)
+    return classes_of(p, z, strategy, compat, keep_zone_key)
+
+
+def classes_of(p: DataFrame, z: DataFrame, strategy: str = "grid", compat: bool = False,
+               keep_zone_key: bool = False) -> DataFrame:
+    """``overlay_classes`` of prepared inputs (``overlay_inputs``)."""
     pairs = candidate_pairs(p, z, strategy)
     if compat:
         scored = pairs.where("contains(p_cell, z_cell) OR contains(z_cell, p_cell)") \
-            .selectExpr("*", f"round(z_area, {AREA_DIGITS}) AS overlap_area")
+            .selectExpr("*", "z_area AS overlap_area", f"{ZERO!r}D * z_area AS tolerance")
     else:
         scored = with_overlap_area(pairs)
-    out = best_class(scored.where("overlap_area > 0"), p.select("p_key", "p_oid"))
-    return out if keep_zone_key else out.drop("zone_key")
+    out = best_class(scored.where(OVERLAPS), p.select("p_key", "p_oid"))
+    return out if keep_zone_key else out.select("oid", "pd_class", "overlap_area")
 
 
 def merge_best(previous: DataFrame, new: DataFrame) -> DataFrame:
-    """Combine two arg-max results (oid, pd_class, overlap_area, zone_key), e.g. from two zone batches. The
-    aggregate is associative and commutative, so batches can be merged in any order."""
-    rows = previous.unionByName(new)
-    best = rows.groupBy("oid").agg(F.expr(_BEST.format(c="pd_class", k="zone_key")).alias("b"))
-    return best.selectExpr("oid", "b.c AS pd_class", "b.a AS overlap_area", "b.k AS zone_key")
+    """Combine two results (CLASS_COLUMNS), e.g. from two zone batches: again one row per parcel key."""
+    return _best(previous.select(*CLASS_COLUMNS).unionByName(new.select(*CLASS_COLUMNS)))
 
 
 def overlay_stats(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", batches: int = 1) -> DataFrame:
@@ -162,8 +195,8 @@ def overlay_stats(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB",
     p, z = overlay_inputs(parcels, zones, tag_name)
     scored = with_overlap_area(candidate_pairs(p, z, "grid"), ["p_key", "z_key"])
     pair_stats = scored.selectExpr(
-        "count(*) AS n_pairs", "count(CASE WHEN overlap_area > 0 THEN 1 END) AS n_pairs_positive",
-        "count(DISTINCT CASE WHEN overlap_area > 0 THEN p_key END) AS n_parcels_matched")
+        "count(*) AS n_pairs", "count(CASE WHEN overlap_area > tolerance THEN 1 END) AS n_pairs_positive",
+        "count(DISTINCT CASE WHEN overlap_area > tolerance THEN p_key END) AS n_parcels_matched")
     zone_stats = z.selectExpr("count(*) AS n_zones", "count(CASE WHEN z_class IS NULL THEN 1 END) AS n_zones_no_tag")
     parcel_stats = p.selectExpr("count(*) AS n_parcels")
     # three one-row aggregates side by side: union them and take the one non-NULL value per column

@@ -11,6 +11,10 @@ smallest L with 2^L >= its larger envelope side, so it touches at most 2x2 cells
 only to levels that actually occur on the other side (a tiny set collected once). Each pair is emitted once, in
 the cell holding the south-west corner of the intersection of the two envelopes, so no ``distinct`` shuffle is
 needed and no cap on cells or partners is applied.
+
+A coarse cell can hold very many features that are far finer. Features that are matched ``SALT_GAP`` or more levels
+above their own are therefore dealt over ``SALTS`` salted keys, and coarse features that have such partners are copied
+to all of them: one zone that covers a country no longer brings all parcels to one key.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql.types import StructType
 
 MIN_LEVEL = -24   # 2^-24 degrees, about 7 mm at the equator; points and tiny features share it
 MAX_LEVEL = 9     # 512 degrees: one cell holds the whole lon/lat plane
+SALT_GAP, SALTS = 4, 32
 
 Env = tuple[str, str, str, str]
 
@@ -79,32 +84,41 @@ def grid_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
 
     rx = f"greatest({left_env[0]}, {right_env[0]})"
     ry = f"greatest({left_env[1]}, {right_env[1]})"
-    eq = " AND ".join(["_gl_lvl = _gr_lvl", "_gl_ix = _gr_ix", "_gl_iy = _gr_iy"]
+    eq = " AND ".join(["_gl_lvl = _gr_lvl", "_gl_ix = _gr_ix", "_gl_iy = _gr_iy", "_gl_salt = _gr_salt"]
                       + [f"{lc} = {rc}" for lc, rc in on])
     ref = f"{_cell_sql(rx, '_gl_lvl')} = _gl_ix AND {_cell_sql(ry, '_gl_lvl')} = _gl_iy"
     cond = F.expr(f"{eq} AND {bbox_overlaps_sql(left_env, right_env)} AND {ref}")
 
-    def replicate(df: DataFrame, own: str, levels: list[int], strict: bool) -> DataFrame:
+    def replicate(df: DataFrame, own: str, levels: list[int], strict: bool, p: str, env: Env) -> DataFrame:
         op = ">" if strict else ">="
         arr = "array(" + ", ".join(str(v) for v in levels) + ")"
-        return df.selectExpr("*", f"explode(filter({arr}, v -> v {op} {own})) AS _rep")
+        salt = f"CAST(pmod(xxhash64({', '.join(env)}, monotonically_increasing_id()), {SALTS}) AS INT)"
+        return df.selectExpr("*", f"{salt} AS {p}deal", f"explode(filter({arr}, v -> v {op} {own})) AS _rep").selectExpr(
+            "*", f"IF(_rep - {own} >= {SALT_GAP}, {p}deal, 0) AS {p}salt")
+
+    def salted(df: DataFrame, own: str, finer: list[int], p: str) -> DataFrame:
+        # copies only where the other side has features that much finer
+        return df.selectExpr("*", f"explode(IF({own} - {min(finer)} >= {SALT_GAP}, sequence(0, {SALTS - 1}), array(0)))"
+                                  f" AS {p}salt")
 
     # (1) pairs matched at the left feature's own level: level_right <= level_left
-    l_own = _explode_cells(left, left_env, "_gl_own", "_gl_")
-    r_rep = _explode_cells(replicate(right, "_gr_own", llv, strict=False), right_env, "_rep", "_gr_")
+    l_own = salted(_explode_cells(left, left_env, "_gl_own", "_gl_"), "_gl_own", rlv, "_gl_")
+    r_rep = _explode_cells(replicate(right, "_gr_own", llv, False, "_gr_", right_env), right_env, "_rep", "_gr_")
     one = l_own.join(r_rep, cond).select(*lcols, *rcols)
     # (2) pairs matched at the right feature's own level: level_left < level_right
-    r_own = _explode_cells(right, right_env, "_gr_own", "_gr_")
-    l_rep = _explode_cells(replicate(left, "_gl_own", rlv, strict=True), left_env, "_rep", "_gl_")
+    r_own = salted(_explode_cells(right, right_env, "_gr_own", "_gr_"), "_gr_own", llv, "_gr_")
+    l_rep = _explode_cells(replicate(left, "_gl_own", rlv, True, "_gl_", left_env), left_env, "_rep", "_gl_")
     two = l_rep.join(r_own, cond).select(*lcols, *rcols)
     return one.unionByName(two)
 
 
-def plain_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
-               on: list[tuple[str, str]] | None = None, how: str = "inner") -> DataFrame:
-    """The literal candidate join: equi columns plus the box test as a residual condition. With ``on`` empty this
-    is a nested-loop join; only meant for small inputs and for checking ``grid_join``."""
-    cond = " AND ".join([bbox_overlaps_sql(left_env, right_env)] + [f"{lc} = {rc}" for lc, rc in on or []])
+def plain_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env, on: list[tuple[str, str]],
+               how: str = "inner") -> DataFrame:
+    """The literal candidate join: equi columns plus the box test as a residual condition, a nested loop within each
+    key. Only meant for checking ``grid_join`` on small inputs; without equi columns it is refused."""
+    if not on:
+        raise ValueError("plain_join needs at least one pair of equal columns")
+    cond = " AND ".join([bbox_overlaps_sql(left_env, right_env)] + [f"{lc} = {rc}" for lc, rc in on])
     return left.join(right, F.expr(cond), how)
 
 

@@ -92,49 +92,73 @@ def _overlay(spark, sf_dir):
     return fx.parcels(spark, sf_dir), fx.zones(spark, sf_dir)
 
 
-@register("overlay_pairs", O.overlay_all() + """
-SELECT p_oid, z_oid, overlap_area FROM scored""")
+# Fixture areas are dyadic: many end in a 5 just behind the places told. A fixed fraction of the last place is added on
+# both sides, so that the order in which terms were summed can't decide how they are rounded.
+AREA = "round(overlap_area + 1.2345e-10D, 9) AS overlap_area"
+_PAIRS_SQL = f"SELECT p_oid, z_oid, round(overlap_area + 1.2345e-10, 9) AS overlap_area FROM scored"
+
+
+@register("overlay_pairs", O.overlay_all() + f"""
+SELECT p_oid, z_oid, z_class, round(overlap_area + 1.2345e-10, 9) AS overlap_area FROM scored""")
 def q_overlay_pairs(spark, sf_dir):
     from geotables.operators.overlay import overlay_pairs
-    return overlay_pairs(*_overlay(spark, sf_dir), strategy="plain").select("p_oid", "z_oid", "overlap_area")
+    return overlay_pairs(*_overlay(spark, sf_dir)).selectExpr("p_oid", "z_oid", "z_class", AREA)
 
 
-@register("overlay_pairs_grid", O.overlay_all() + """
-SELECT p_oid, z_oid, overlap_area FROM scored""")
+@register("overlay_pairs_grid", O.overlay_all() + _PAIRS_SQL)
 def q_overlay_pairs_grid(spark, sf_dir):
     from geotables.operators.overlay import overlay_pairs
-    return overlay_pairs(*_overlay(spark, sf_dir), strategy="grid").select("p_oid", "z_oid", "overlap_area")
+    return overlay_pairs(*_overlay(spark, sf_dir), strategy="grid").selectExpr("p_oid", "z_oid", AREA)
 
 
 @register("prefix_join", O.overlay_all() + """
 SELECT p_oid, z_oid FROM cand WHERE starts_with(p_cell, z_cell) OR starts_with(z_cell, p_cell)""")
 def q_prefix_join(spark, sf_dir):
     from geotables.operators.overlay import candidate_pairs, overlay_inputs
-    p, z = overlay_inputs(*_overlay(spark, sf_dir), "PDJB")
+    p, z = overlay_inputs(*_overlay(spark, sf_dir), "PDJB", edges=False)
     return candidate_pairs(p, z, "prefix").select("p_oid", "z_oid")
 
 
-@register("overlap_area", O.overlay_all() + """
-SELECT p_oid, z_oid, overlap_area FROM scored WHERE overlap_area > 0""")
+@register("overlap_area", O.overlay_all() + _PAIRS_SQL + " WHERE hit")
 def q_overlap_area(spark, sf_dir):
-    from geotables.operators.overlay import overlay_pairs
-    return overlay_pairs(*_overlay(spark, sf_dir)).where("overlap_area > 0").select("p_oid", "z_oid", "overlap_area")
+    from geotables.operators.overlay import OVERLAPS, overlay_pairs
+    return overlay_pairs(*_overlay(spark, sf_dir)).where(OVERLAPS).selectExpr("p_oid", "z_oid", AREA)
 
 
 @register("overlay_classes", O.overlay_all() + O.best_of("scored"))
 def q_overlay_classes(spark, sf_dir):
     from geotables.operators.overlay import overlay_classes
-    return overlay_classes(*_overlay(spark, sf_dir))
+    return overlay_classes(*_overlay(spark, sf_dir)).selectExpr("oid", "pd_class", AREA)
+
+
+# areas of parcels a few metres wide are told in units of 1e-12 square degrees
+SMALL = 12
+
+
+@register("overlay_classes_small", O.overlay_all(O.shrunk_parcels(SMALL), share=O.SMALL_SHARE) + O.best_of(
+    "scored", digits="round(coalesce(b.{a}, 0::DOUBLE) * 1e12 + 0.0012345, 2)", share=O.SMALL_SHARE))
+def q_overlay_classes_small(spark, sf_dir):
+    """Parcels whose sides are divided by 4096: overlaps far below 1e-9 square degrees decide."""
+    from geotables.operators.overlay import overlay_classes
+    out = overlay_classes(fx.parcels(spark, sf_dir, shrink=SMALL), fx.zones(spark, sf_dir))
+    return out.selectExpr("oid", "pd_class", "round(overlap_area * 1e12D + 0.0012345D, 2) AS overlap_area")
+
+
+@register("overlay_classes_near_ties", O.overlay_all(zones=O.shifted_zones(30)) + O.best_of("scored"))
+def q_overlay_classes_near_ties(spark, sf_dir):
+    """Zones widened by key * 2^-30 degrees: equal overlaps become differences that rounding to nine places hides."""
+    from geotables.operators.overlay import overlay_classes
+    return overlay_classes(fx.parcels(spark, sf_dir), fx.zones(spark, sf_dir, widen=30)).selectExpr("oid", "pd_class", AREA)
 
 
 @register("overlay_classes_compat", O.with_ctes(
     O.PARCELS, O.ZONES, O.CANDIDATES, f"za AS ({O.ring_area_sql('zone_rings')})",
-    """scored AS (SELECT c.*, round(za.area, 9) AS own_area FROM cand c JOIN za ON za.k = c.zk
+    """scored AS (SELECT c.*, za.area AS own_area, 0 AS p_area, true AS hit FROM cand c JOIN za ON za.k = c.zk
                   WHERE contains(c.p_cell, c.z_cell) OR contains(c.z_cell, c.p_cell))""")
     + O.best_of("scored", "own_area"))
 def q_overlay_classes_compat(spark, sf_dir):
     from geotables.operators.overlay import overlay_classes
-    return overlay_classes(*_overlay(spark, sf_dir), compat=True)
+    return overlay_classes(*_overlay(spark, sf_dir), compat=True).selectExpr("oid", "pd_class", AREA)
 
 
 @register("merge_best", O.overlay_all() + O.best_of("scored"))
@@ -145,15 +169,15 @@ def q_merge_best(spark, sf_dir):
     odd = "CAST(substring(oid, -1, 1) AS INT) % 2 = 1"
     a = overlay_classes(parcels, zones.where(f"NOT ({odd})"), keep_zone_key=True)
     b = overlay_classes(parcels, zones.where(odd), keep_zone_key=True)
-    return merge_best(a, b).drop("zone_key")
+    return merge_best(a, b).selectExpr("oid", "pd_class", AREA)
 
 
 @register("overlay_stats", O.overlay_all() + f"""
 SELECT (SELECT count(*) FROM parcels) AS n_parcels, (SELECT count(*) FROM zones) AS n_zones,
        (SELECT count(*) FROM zones WHERE pd_class IS NULL) AS n_zones_no_tag,
        (SELECT count(*) FROM scored) AS n_pairs,
-       (SELECT count(*) FROM scored WHERE overlap_area > 0) AS n_pairs_positive,
-       (SELECT count(DISTINCT pk) FROM scored WHERE overlap_area > 0) AS n_parcels_matched,
+       (SELECT count(*) FROM scored WHERE hit) AS n_pairs_positive,
+       (SELECT count(DISTINCT pk) FROM scored WHERE hit) AS n_parcels_matched,
        ceil((SELECT count(*) FROM zones) / 4{O.D})::BIGINT AS batch_size""")
 def q_overlay_stats(spark, sf_dir):
     from geotables.operators.overlay import overlay_stats
@@ -398,7 +422,7 @@ def q_stream_overlay_classes(spark, sf_dir):
     sink, ckpt = scratch_path(spark, "classes-stream"), scratch_path(spark, "checkpoint")
     q = start_overlay_stream(stream, fx.zones(spark, sf_dir), sink, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(sink).drop("epoch")
+    return spark.read.parquet(sink).selectExpr("oid", "pd_class", AREA)
 
 
 @register("stream_range_query", O.with_ctes(O.PARCELS) + f"""

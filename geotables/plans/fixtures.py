@@ -7,6 +7,7 @@ can be written in SQL for the oracle. Every fixture grows with its source table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geotables.functions.shapes import point_sql as P
 from geotables.functions.shapes import ring_sql
@@ -42,6 +43,20 @@ def _grid(k: str, mul: int, mod: int) -> str:
     return f"(({k} * {mul} % {mod}) % 256) / 64D"
 
 
+def _pad(k: str, n: int) -> str:
+    """The key in at least ``n`` digits; longer keys stay whole."""
+    return f"lpad(CAST({k} AS STRING), greatest({n}, length(CAST({k} AS STRING))), '0')"
+
+
+def _place(block: str) -> dict[str, str]:
+    """Where the block of a key lies: blocks are laid out ten by ten, six degrees apart, and a hundred of them share a
+    region code, so the features of a place do not grow in number with the table."""
+    return {"x": f"({block} % 10) * 6D", "y": f"(({block} div 10) % 10) * 6D", "region": f"CAST(11000 + {block} div 100 AS STRING)"}
+
+
+PARCEL_BLOCK, ZONE_BLOCK = _place("((k - 1) div 20000)"), _place("((k - 1) div 1000)")
+
+
 RECT = [P("x", "y"), P("x + w", "y"), P("x + w", "y + h"), P("x", "y + h"), P("x", "y")]
 TRIANGLE = [P("x", "y"), P("x + w", "y"), P("x", "y + h"), P("x", "y")]
 L_SHAPE = [P("x", "y"), P("x + w", "y"), P("x + w", "y + h / 2D"), P("x + w / 2D", "y + h / 2D"),
@@ -61,18 +76,21 @@ def parcel_parts(part: DataFrame) -> DataFrame:
     """(k, oid, tags, kind, x, y, w, h) for parcels, one per ``part`` row."""
     return part.selectExpr("CAST(p_partkey AS BIGINT) AS k").selectExpr(
         "k",
-        "concat('11000', CAST(k % 3 AS STRING), lpad(CAST(k AS STRING), 7, '0')) AS oid",
+        f"concat({PARCEL_BLOCK['region']}, CAST(k % 3 AS STRING), {_pad('k', 7)}) AS oid",
         "concat('{\"DLBM\":\"', CAST(k % 9 AS STRING), '\"}') AS tags",
         "CAST(k % 4 AS INT) AS kind",
-        f"110D + {_grid('k', 7919, 10007)} AS x",
-        f"30D + {_grid('k', 10473, 10009)} AS y",
+        f"110D + {PARCEL_BLOCK['x']} + {_grid('k', 7919, 10007)} AS x",
+        f"30D + {PARCEL_BLOCK['y']} + {_grid('k', 10473, 10009)} AS y",
         "(k % 7 + 4) / 64D AS w",
         "(k % 5 + 4) / 64D AS h")
 
 
-def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land parcels from ``part``: rectangles, right triangles, L-shapes and rectangles with a hole."""
+def parcels(spark: SparkSession, sf_dir: str, shrink: int = 0) -> DataFrame:
+    """Land parcels from ``part``: rectangles, right triangles, L-shapes and rectangles with a hole. ``shrink`` divides
+    their sides by a power of two (12 makes them a few metres wide)."""
     p = parcel_parts(generator_keys(spark, sf_dir, "part"))
+    if shrink:
+        p = p.withColumns({c: F.col(c) / float(1 << shrink) for c in ("w", "h")})
     df = p.selectExpr("oid", "tags", "'POLYGON' AS gtype", f"{PARCEL_RINGS} AS rings", *BOX_ENVELOPE)
     return finish_features(df)
 
@@ -80,19 +98,22 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zone_parts(supplier: DataFrame) -> DataFrame:
     return supplier.selectExpr("CAST(s_suppkey AS BIGINT) AS k").selectExpr(
         "k",
-        "concat('11000', CAST(k % 3 AS STRING), 'Z', lpad(CAST(k AS STRING), 5, '0')) AS oid",
+        f"concat({ZONE_BLOCK['region']}, CAST(k % 3 AS STRING), 'Z', {_pad('k', 5)}) AS oid",
         "CASE WHEN k % 11 = 10 THEN '{\"other\":\"x\"}' "
         "ELSE concat('{\"PDJB\":\"', CAST(k % 5 + 1 AS STRING), '\"}') END AS tags",
         "CAST((k div 3) % 2 AS INT) AS kind",
-        f"110D + {_grid('k', 6271, 10007)} AS x",
-        f"30D + {_grid('k', 3571, 10009)} AS y",
+        f"110D + {ZONE_BLOCK['x']} + {_grid('k', 6271, 10007)} AS x",
+        f"30D + {ZONE_BLOCK['y']} + {_grid('k', 3571, 10009)} AS y",
         "(k % 5 * 8 + 16) / 64D AS w",
         "(k % 4 * 8 + 16) / 64D AS h")
 
 
-def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slope zones from ``supplier``: rectangles and right triangles; every 11th has no PDJB tag."""
+def zones(spark: SparkSession, sf_dir: str, widen: int = 0) -> DataFrame:
+    """Slope zones from ``supplier``: rectangles and right triangles; every 11th has no PDJB tag. ``widen`` adds
+    (key % 1024) / 2^widen degrees to the width."""
     z = zone_parts(read(spark, sf_dir, "supplier"))
+    if widen:
+        z = z.withColumn("w", F.expr(f"w + (k % 1024) / {float(1 << widen)!r}D"))
     return finish_features(z.selectExpr("oid", "tags", "'POLYGON' AS gtype", f"{ZONE_RINGS} AS rings", *BOX_ENVELOPE))
 
 

@@ -3,10 +3,15 @@ driver tables (no spatial extension). Doubles are written ``64::DOUBLE``; areas
 
 from __future__ import annotations
 
-from geotables.functions.cells import CONV32_DIGITS, GEOHASH_ALPHABET, MAX_CHARS, PRECISION_THRESHOLDS  # noqa: F401
-
 D = "::DOUBLE"
 
+# Fixed values, written out again so that a slip in the engine's own tables shows: the geohash alphabet and the upper
+# distance limits for lengths 12 down to 2.
+GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
+MAX_CHARS = 12
+PRECISION_THRESHOLDS = [(0.0186, 12), (0.1492, 11), (0.5971, 10), (4.78, 9), (19.11, 8), (76, 7), (610, 6), (2400, 5),
+                        (20000, 4), (78000, 3), (630000, 2)]
+
 
 # ---------------------------------------------------------------- geohash in SQL
 
@@ -81,14 +86,20 @@ def _grid(k: str, mul: int, mod: int) -> str:
     return f"(({k} * {mul} % {mod}) % 256) / 64{D}"
 
 
+def _pad(k: str, n: int) -> str:
+    return f"lpad({k}::VARCHAR, greatest({n}, length({k}::VARCHAR))::INTEGER, '0')"
+
+
+PB, ZB = "((p_partkey::BIGINT - 1) // 20000)", "((s_suppkey::BIGINT - 1) // 1000)"
+
 PARCEL_BASE = f"""
 parcel_base AS (
   SELECT p_partkey::BIGINT AS k,
-         '11000' || (p_partkey % 3)::VARCHAR || lpad(p_partkey::VARCHAR, 7, '0') AS oid,
+         (11000 + {PB} // 100)::VARCHAR || (p_partkey % 3)::VARCHAR || {_pad('p_partkey', 7)} AS oid,
          '{{"DLBM":"' || (p_partkey % 9)::VARCHAR || '"}}' AS tags,
          p_partkey % 4 AS kind,
-         110{D} + {_grid('p_partkey::BIGINT', 7919, 10007)} AS x,
-         30{D} + {_grid('p_partkey::BIGINT', 10473, 10009)} AS y,
+         110{D} + ({PB} % 10) * 6{D} + {_grid('p_partkey::BIGINT', 7919, 10007)} AS x,
+         30{D} + (({PB} // 10) % 10) * 6{D} + {_grid('p_partkey::BIGINT', 10473, 10009)} AS y,
          (4 + p_partkey % 7) / 64{D} AS w,
          (4 + p_partkey % 5) / 64{D} AS h
   FROM part
@@ -97,12 +108,12 @@ parcel_base AS (
 ZONE_BASE = f"""
 zone_base AS (
   SELECT s_suppkey::BIGINT AS k,
-         '11000' || (s_suppkey % 3)::VARCHAR || 'Z' || lpad(s_suppkey::VARCHAR, 5, '0') AS oid,
+         (11000 + {ZB} // 100)::VARCHAR || (s_suppkey % 3)::VARCHAR || 'Z' || {_pad('s_suppkey', 5)} AS oid,
          CASE WHEN s_suppkey % 11 = 10 THEN '{{"other":"x"}}'
               ELSE '{{"PDJB":"' || (1 + s_suppkey % 5)::VARCHAR || '"}}' END AS tags,
          (s_suppkey // 3) % 2 AS kind,
-         110{D} + {_grid('s_suppkey::BIGINT', 6271, 10007)} AS x,
-         30{D} + {_grid('s_suppkey::BIGINT', 3571, 10009)} AS y,
+         110{D} + ({ZB} % 10) * 6{D} + {_grid('s_suppkey::BIGINT', 6271, 10007)} AS x,
+         30{D} + (({ZB} // 10) % 10) * 6{D} + {_grid('s_suppkey::BIGINT', 3571, 10009)} AS y,
          (16 + 8 * (s_suppkey % 5)) / 64{D} AS w,
          (16 + 8 * (s_suppkey % 4)) / 64{D} AS h
   FROM supplier
@@ -230,7 +241,7 @@ ep3 AS (
   FROM ep2
 ),
 {name} AS (
-  SELECT c.pk, c.zk, round(coalesce(t.a, 0{D}), 9) + 0{D} AS overlap_area
+  SELECT c.pk, c.zk, coalesce(t.a, 0{D}) AS overlap_area
   FROM {cand} c LEFT JOIN (SELECT pk, zk, sum(v) AS a FROM ep3 GROUP BY pk, zk) t ON t.pk = c.pk AND t.zk = c.zk
 )"""
 
@@ -245,28 +256,56 @@ cand AS (
 )"""
 
 
-def overlay_all() -> str:
-    """CTEs up to ``scored`` (pairs with their area) for the fixture parcels and zones."""
-    return with_ctes(PARCELS, ZONES, CANDIDATES,
+#: Fixture coordinates are dyadic, so overlaps and differences between them are above this share of an area, or zero. The
+#: sums below are taken from further away than a small parcel is wide, so small parcels need a larger share.
+SHARE, SMALL_SHARE = "1e-11", "1e-7"
+
+
+def shrunk_parcels(bits: int) -> str:
+    """The parcel CTEs with sides divided by 2^bits."""
+    return PARCELS.replace("/ 64::DOUBLE AS w", f"/ 64::DOUBLE / {1 << bits}::DOUBLE AS w").replace(
+        "/ 64::DOUBLE AS h", f"/ 64::DOUBLE / {1 << bits}::DOUBLE AS h")
+
+
+def shifted_zones(bits: int) -> str:
+    """The zone CTEs with (key % 1024) / 2^bits added to the width."""
+    return ZONES.replace("/ 64::DOUBLE AS w", f"/ 64::DOUBLE + (s_suppkey % 1024) / {1 << bits}::DOUBLE AS w")
+
+
+def overlay_all(parcels: str | None = None, zones: str | None = None, share: str = SHARE) -> str:
+    """CTEs up to ``scored`` (pairs with their area; ``hit``: they overlap) for the fixture parcels and zones."""
+    return with_ctes(parcels or PARCELS, zones or ZONES, CANDIDATES,
                      f"pe AS ({edges('parcel_rings')})", f"ze AS ({edges('zone_rings')})",
+                     f"pa AS ({ring_area_sql('parcel_rings')})", f"za AS ({ring_area_sql('zone_rings')})",
                      overlap_ctes("cand", "pe", "ze"),
-                     """scored AS (SELECT c.*, a.overlap_area FROM cand c JOIN areas a ON a.pk = c.pk AND a.zk = c.zk)""")
+                     f"""scored AS (SELECT c.*, a.overlap_area, pa.area AS p_area,
+                            a.overlap_area > {share} * least(pa.area, za.area) AS hit
+                          FROM cand c JOIN areas a ON a.pk = c.pk AND a.zk = c.zk
+                          JOIN pa ON pa.k = c.pk JOIN za ON za.k = c.zk)""")
 
 
-def best_of(scored: str, area_col: str = "overlap_area") -> str:
-    """Arg-max per parcel (largest rounded area, then smallest zone key) with the ('0', 0) default."""
+def best_of(scored: str, area_col: str = "overlap_area", digits: str = "round(coalesce(b.{a}, 0::DOUBLE) + 1.2345e-10, 9)",
+            share: str = SHARE) -> str:
+    """Arg-max per parcel on the area as it is; zones that reach the largest but for ``share`` of the parcel's area are a
+    tie, which the smallest zone key wins. Parcels without any get ('0', 0)."""
+    area = digits.replace("{a}", area_col)
     return f"""
-SELECT p.oid, CASE WHEN b.pk IS NULL THEN '0' ELSE b.z_class END AS pd_class,
-       coalesce(b.{area_col}, 0{D}) AS overlap_area
+SELECT p.oid, CASE WHEN b.pk IS NULL THEN '0' ELSE b.z_class END AS pd_class, {area} AS overlap_area
 FROM parcels p LEFT JOIN (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY {area_col} DESC, z_key) AS rn
-                 FROM {scored} WHERE {area_col} > 0) WHERE rn = 1
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY pk ORDER BY z_key) AS rn FROM (
+      SELECT *, max({area_col}) OVER (PARTITION BY pk) AS top FROM {scored} WHERE hit)
+    WHERE {area_col} >= top - {share} * p_area) WHERE rn = 1
 ) b ON b.pk = p.k"""
 
 
+# Neighbour numbering 0=N 1=NE 2=E 3=SE 4=S 5=SW 6=W 7=NW as (dx, dy) offsets.
+NEIGHBOURS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
 def cover_compat_sql(chars: int) -> str:
     """Neighbour-case cover of each parcel envelope around the cell of its centre, as a list per parcel."""
-    offs = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    offs = NEIGHBOURS
 
     def at(cx, cy, n):
         ox, oy = offs[n]
@@ -290,7 +329,7 @@ def cover_compat_sql(chars: int) -> str:
 
 def neighbour_hashes(chars: int) -> str:
     """Select-list of the target cell hash ``gt`` and its 8 neighbours ``g0``..``g7`` (N, NE, E, SE, S, SW, W, NW)."""
-    offs = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    offs = NEIGHBOURS
     cols = [f"{geohash_of_cell('tx', 'ty', chars)} AS gt"]
     cols += [f"{geohash_of_cell(f'tx + ({ox})', f'ty + ({oy})', chars)} AS g{n}" for n, (ox, oy) in enumerate(offs)]
     return ", ".join(cols)
