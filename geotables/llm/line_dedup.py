@@ -80,43 +80,72 @@ def common_suffix_sql(a: str, b: str, n_a: str, n_b: str, limit: str) -> str:
             f"substring({a}, 4 * ({n_a} - k - s) + 1, 4 * s) = substring({b}, 4 * ({n_b} - k - s) + 1, 4 * s), k + s, k))")
 
 
-def within_sql(threshold: int, a: str, b: str, n_a: str, n_b: str) -> str:
-    """Whether two UTF-32 binaries are within the threshold. State r<e>: bit k is set if the characters of a read so far
-    and those of b up to diagonal k - threshold from there can be matched with e edits or fewer; b is padded by
-    ``threshold`` impossible characters on both sides."""
+def symbols_sql(text: str, n: str) -> str:
+    """The characters of a UTF-32 binary as an array."""
+    return f"transform(sequence(0, {n} - 1), i -> substring({text}, 4 * i + 1, 4))"
+
+
+def matches_sql(threshold: int, a: str, b: str) -> str:
+    """Per character of the array ``a``, an integer with bit k set if ``b`` has the same character on diagonal
+    k - threshold of the band; ``b`` is padded by ``threshold`` impossible characters on both sides."""
+    width = 2 * threshold + 1
+    return (f"transform({a}, (x, i) -> " + " | ".join(f"if(coalesce(get({b}, i + {k}) = x, false), {1 << k}, 0)"
+                                                       for k in range(width)) + ")")
+
+
+def within_sql(threshold: int, matches: str, n_a: str, n_b: str) -> str:
+    """Whether two texts are within the threshold, from the match integers of ``a``: the bit-parallel automaton. Its state
+    is one integer with a field of 2 * threshold + 1 bits for each number of edits e; bit k of field e is set if the
+    characters of a read so far and those of b up to diagonal k - threshold from there can be matched with e edits. One
+    step: a match stays on its diagonal, a substitution too, a character of a left out goes one diagonal down; a character of
+    b put in goes one up in the new field."""
     t, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
-    start = [sum(1 << (t + k) for k in range(e + 1)) for e in range(t + 1)]
-    match = " | ".join(
-        f"if(substring(pb, 4 * (i + {k}) + 1, 4) = substring(pa, 4 * i + 1, 4), {1 << k}, 0)" for k in range(width))
-    # in one step: match on the same diagonal; substitution; a character of a left out; then characters of b put in
-    r = ["r.r0 & m"]
+    field = lambda e: f"(shiftright(r, {width * e}) & {full})"
+    start = sum((sum(1 << (t + k) for k in range(e + 1)) & full) << (width * e) for e in range(t + 1))
+    new = [f"({field(0)} & m)"]
     for e in range(1, t + 1):
-        r.append(f"(r.r{e} & m) | r.r{e - 1} | shiftrightunsigned(r.r{e - 1}, 1)")
-    moved = f"named_struct({', '.join(f"'r{e}', {x}" for e, x in enumerate(r))})"
-    put_in, known = [], "q.r0"
-    for e in range(t + 1):
-        known = "q.r0" if e == 0 else f"((q.r{e} | shiftleft({known}, 1)) & {full})"
-        put_in.append(f"'r{e}', {known}")
-    step = (f"transform(array({moved}), q -> named_struct({', '.join(put_in)}))[0]")
-    state = f"named_struct({', '.join(f"'r{e}', {v & full}" for e, v in enumerate(start))})"
-    run = (f"aggregate(sequence(0, {n_a} - 1), {state}, (r, i) -> transform(array({match}), m -> {step})[0],"
-           f" r -> (shiftright(r.r{t}, {n_b} - {n_a} + {t}) & 1) = 1)")
-    pad = f"unhex('{'FFFFFFFF' * t}')"
-    body = f"transform(array(concat({pad}, {b}, {pad})), pb -> transform(array({a}), pa -> {run})[0])[0]"
-    return f"if(abs({n_a} - {n_b}) > {t}, false, if({n_a} = 0 or {n_b} = 0, true, {body}))"
+        new.append(f"((({field(e)} & m) | {field(e - 1)} | shiftright({field(e - 1)}, 1) | shiftleft({new[-1]}, 1)) & {full})")
+    step = " | ".join(f"shiftleft({x}, {width * e})" for e, x in enumerate(new))
+    one = "cast(1 as bigint)" if width * (t + 1) > 31 else "1"
+    run = (f"aggregate({matches}, {start} * {one}, (r, m) -> {step}, "
+           f"r -> (shiftright(r, {width * t} + {n_b} - {n_a} + {t}) & 1) = 1)")
+    return f"if(abs({n_a} - {n_b}) > {t}, false, {run})"
+
+
+def interior_sql(a: str, b: str, n_a: str, n_b: str) -> str:
+    """For a threshold of two: texts without common ends that are within it need an edit at either end, so what lies between
+    must agree, one character further or less at most."""
+    return (f"{n_a} < 4 or {n_b} < 4 or " + " or ".join(
+        f"substring({a}, {4 * x + 1}, 4 * ({n_a} - {x} - {u})) = substring({b}, {4 * y + 1}, 4 * ({n_b} - {y} - {v}))"
+        for x, y in ((1, 1), (1, 0), (0, 1)) for u, v in ((1, 1), (1, 0), (0, 1))))
 
 
 def verified(pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose texts ``line_a`` and ``line_b`` are within the threshold; both columns go."""
     others = [c for c in pairs.columns if c not in ("line_a", "line_b")]
-    p = pairs.selectExpr(*others, "encode(line_a, 'UTF-32') as ta", "encode(line_b, 'UTF-32') as tb")
-    p = p.selectExpr("*", "cast(octet_length(ta) / 4 as int) as na", "cast(octet_length(tb) / 4 as int) as nb")
-    p = p.selectExpr("*", f"{common_prefix_sql('ta', 'tb', 'least(na, nb)')} as head")
-    p = p.selectExpr("*", f"{common_suffix_sql('ta', 'tb', 'na', 'nb', '(least(na, nb) - head)')} as tail")
-    p = p.selectExpr(*others, "substring(ta, 4 * head + 1, 4 * (na - head - tail)) as ta", "na - head - tail as na",
-                     "substring(tb, 4 * head + 1, 4 * (nb - head - tail)) as tb", "nb - head - tail as nb")
-    return p.where(within_sql(threshold, "ta", "tb", "na", "nb")).select(*others)
+
+    def put(df: DataFrame, keep: list[str], **columns: str) -> DataFrame:
+        """Adds columns behind a generator, so that Catalyst can't copy their expressions to every place of their use."""
+        fields = ", ".join(f"'{n}', {e}" for n, e in columns.items())
+        return df.selectExpr(*keep, f"inline(array(named_struct({fields})))")
+
+    p = put(pairs, others, ta="encode(line_a, 'UTF-32')", tb="encode(line_b, 'UTF-32')")
+    p = put(p, ["*"], na="cast(octet_length(ta) / 4 as int)", nb="cast(octet_length(tb) / 4 as int)")
+    p = put(p, ["*"], head=common_prefix_sql("ta", "tb", "least(na, nb)"))
+    p = put(p, ["*"], room="least(na, nb) - head")
+    p = put(p, ["*"], tail=common_suffix_sql("ta", "tb", "na", "nb", "room"))
+    p = put(p, others, ta="substring(ta, 4 * head + 1, 4 * (na - head - tail))", na="na - head - tail",
+            tb="substring(tb, 4 * head + 1, 4 * (nb - head - tail))", nb="nb - head - tail")
+    p = p.where(f"abs(na - nb) <= {threshold}")
+    if threshold <= 2:
+        p = p.where(interior_sql("ta", "tb", "na", "nb"))
+    pad = f"array_repeat(unhex('FFFFFFFF'), {threshold})"
+    empty = "cast(array() as array<binary>)"
+    p = put(p, [*others, "na", "nb"], sa=f"if(na = 0, {empty}, {symbols_sql('ta', 'na')})",
+            sb=f"concat({pad}, if(nb = 0, {empty}, {symbols_sql('tb', 'nb')}), {pad})")
+    p = put(p, [*others, "na", "nb"], matches=matches_sql(threshold, "sa", "sb"))
+    return put(p, others, near=within_sql(threshold, "matches", "na", "nb")).where("near").select(*others)
 
 
 def _with_place(docs: DataFrame) -> DataFrame:
@@ -174,6 +203,8 @@ def line_links(docs: DataFrame, threshold: int = 2, min_chars: int = 32) -> tupl
     texts = found.selectExpr("x.line", "x.text").dropDuplicates(["line"])
     both = (pairs.join(texts.selectExpr("line as a", "text as line_a"), "a")
             .join(texts.selectExpr("line as b", "text as line_b"), "b"))
+    # few bytes, much work: spread over all cores whatever the size of the shuffles says
+    both = both.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
     return distinct.select("h1", "h2", "copies", "first"), written(verified(both, threshold), "line-links")
 
 
