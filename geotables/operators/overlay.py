@@ -22,22 +22,29 @@ PAIR_COLUMNS = ["p_key", "p_oid", "z_key", "z_oid", "z_class", "overlap_area", "
 ENV = ["xmin", "ymin", "xmax", "ymax"]
 
 
-def overlay_inputs(parcels: DataFrame, zones: DataFrame, tag_name: str, edges: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Only what the overlay needs travels through the join: keys, region, cell, envelope, area and the edge array. The
-    zone's class is read out of its JSON tags once per zone, not once per pair. Without ``edges`` (no overlap areas are
-    asked for) nothing is computed from the rings but the zone's own area."""
-    def side(df: DataFrame, p: str, *extra: str) -> DataFrame:
-        return df.selectExpr(*[f"{c} AS {p}{c}" for c in ["key", "oid", "region", "cell", *ENV]], *extra)
+def _side(df: DataFrame, p: str, *extra: str) -> DataFrame:
+    return df.selectExpr(*[f"{c} AS {p}{c}" for c in ["key", "oid", "region", "cell", *ENV]], *extra)
+
+
+def parcel_side(parcels: DataFrame, edges: bool = True) -> DataFrame:
+    """What the overlay needs of the parcels: keys, region, cell, envelope, and for overlap areas the own area and the edge
+    array. These feed the level collect, both grid-join branches and the default rows: they are computed once."""
+    if not edges:
+        return _side(parcels, "p_")
+    return materialize(_side(parcels, "p_", f"{shapes.area_sql('rings', 'gtype')} AS p_area",
+                             f"{shapes.edges_sql('rings', 'gtype')} AS p_edges"))
 
-    z_extra = [f"{tag_sql('tags', tag_name)} AS z_class", f"{shapes.area_sql('rings', 'gtype')} AS z_area"]
+
+def zone_side(zones: DataFrame, tag_name: str, edges: bool = True) -> DataFrame:
+    """The same of the zones, and their class, read out of the JSON tags once per zone, not once per pair."""
+    extra = [f"{tag_sql('tags', tag_name)} AS z_class", f"{shapes.area_sql('rings', 'gtype')} AS z_area"]
     if not edges:
-        return side(parcels, "p_"), side(zones, "z_", *z_extra)
-    p = side(parcels, "p_", f"{shapes.area_sql('rings', 'gtype')} AS p_area",
-             f"{shapes.edges_sql('rings', 'gtype')} AS p_edges")
-    z = side(zones, "z_", *z_extra, f"{shapes.edges_sql('rings', 'gtype')} AS z_edges")
-    # each side feeds the level collect and both grid-join branches (parcels also the default rows): compute the
-    # edge arrays once
-    return materialize(p), materialize(z)
+        return _side(zones, "z_", *extra)
+    return materialize(_side(zones, "z_", *extra, f"{shapes.edges_sql('rings', 'gtype')} AS z_edges"))
+
+
+def overlay_inputs(parcels: DataFrame, zones: DataFrame, tag_name: str, edges: bool = True) -> tuple[DataFrame, DataFrame]:
+    return parcel_side(parcels, edges), zone_side(zones, tag_name, edges)
 
 
 P_ENV = ("p_xmin", "p_ymin", "p_xmax", "p_ymax")

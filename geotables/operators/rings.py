@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.functions.shapes import ring_signed_area_sql
+from geotables.functions.shapes import let_sql, ring_signed_area_sql
 from geotables.operators.spatial_join import grid_join
 from geotables.session import materialize
 
@@ -23,7 +23,7 @@ def orient_rings_sql(rings: str = "rings") -> str:
 
 def close_rings_sql(rings: str = "rings") -> str:
     """Append the first point to rings whose last point differs, and drop consecutive repeated points."""
-    dedup = ("filter(r.pts, (p, i) -> i = 0 OR p != r.pts[i - 1])")
+    dedup = ("filter(r.pts, (p, i) -> CASE WHEN i = 0 THEN true ELSE p != r.pts[i - 1] END)")
     closed = (f"CASE WHEN size({dedup}) > 0 AND element_at({dedup}, 1) != element_at({dedup}, -1) "
               f"THEN concat({dedup}, array(element_at({dedup}, 1))) ELSE {dedup} END")
     return f"transform({rings}, r -> named_struct('part', r.part, 'ring', r.ring, 'pts', {closed}))"
@@ -44,10 +44,47 @@ def _orient(ax, ay, bx, by, cx, cy) -> str:
     return f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
 
 
+def outside_sql(point: str, ring: str) -> str:
+    """True if a point lies strictly outside a closed ring: an even number of edges to its right, and on none of them."""
+    n = f"greatest(size({ring}) - 1, 0)"
+    pairs = f"zip_with(slice({ring}, 1, {n}), slice({ring}, 2, {n}), (u, v) -> named_struct('u', u, 'v', v))"
+    cross = (f"((e.v.x - e.u.x) * ({point}.y - e.u.y) - (e.v.y - e.u.y) * ({point}.x - e.u.x))")
+    on_edge = (f"({cross} = 0D AND {point}.x BETWEEN least(e.u.x, e.v.x) AND greatest(e.u.x, e.v.x) "
+               f"AND {point}.y BETWEEN least(e.u.y, e.v.y) AND greatest(e.u.y, e.v.y))")
+    right = f"((e.u.y > {point}.y) <> (e.v.y > {point}.y) AND ({cross} > 0D) = (e.v.y > e.u.y))"
+    return let_sql(pairs, "es", f"NOT exists(es, e -> {on_edge}) AND size(filter(es, e -> {right})) % 2 = 0")
+
+
+def hole_reason_sql(rings: str = "rings") -> str:
+    """Reason for rings of which a hole reaches out of its shell or fills it whole, else NULL."""
+    shell = f"filter({rings}, s -> s.part = h.part AND s.ring = 0)[0].pts"
+    holes = f"filter({rings}, r -> r.ring > 0)"
+    out = f"exists({holes}, h -> exists(h.pts, p -> {outside_sql('p', shell)}))"
+    full = f"exists({holes}, h -> abs({ring_signed_area_sql('h.pts')}) >= abs({ring_signed_area_sql(shell)}))"
+    return f"CASE WHEN {out} THEN 'hole outside shell' WHEN {full} THEN 'hole fills shell' END"
+
+
+def split_valid(df: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(valid features, the others with ``reason``) of features whose rings are closed and without repeated points.
+    Features that are no polygons are valid."""
+    df = materialize(df)
+    bad = check_rings(df, key).where("NOT valid").select(key, "reason")
+    return df.join(bad.select(key), key, "left_anti").select(*df.columns), df.join(bad, key).select(*df.columns, "reason")
+
+
+def repair_features(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features, rejects) of a feature table: repeated points dropped, rings closed and turned the right way; polygons that
+    are still invalid (self-crossing, holes outside or filling their shell) are rejected with a reason."""
+    fixed = orient_rings_sql(close_rings_sql("rings"))
+    rings = f"CASE WHEN gtype LIKE '%POLYGON%' THEN {fixed} ELSE rings END AS rings"
+    return split_valid(df.selectExpr(*[rings if c == "rings" else f"`{c}`" for c in df.columns]))
+
+
 def check_rings(df: DataFrame, key: str = "oid") -> DataFrame:
     """(key, valid, reason) for every polygonal feature: invalid when two non-adjacent edges cross or touch
-    ('self-crossing'). Every input feature is reported."""
-    polys = df.where("gtype LIKE '%POLYGON%'")
+    ('self-crossing'), a hole reaches outside its shell or fills it. Repeated points are no crossings. Every input feature is
+    reported; ``key`` must tell features apart."""
+    polys = df.where("gtype LIKE '%POLYGON%'").selectExpr(f"`{key}`", f"{close_rings_sql('rings')} AS rings")
     # the edge table feeds the level collect and both grid-join branches on each side
     e = materialize(_edges(polys, key))
     a = e.selectExpr(*[f"{c} AS a_{c}" for c in e.columns])
@@ -72,6 +109,8 @@ def check_rings(df: DataFrame, key: str = "oid") -> DataFrame:
     touch = f"({on_b('a_x1', 'a_y1')} OR {on_b('a_x2', 'a_y2')} OR {on_a('b_x1', 'b_y1')} OR {on_a('b_x2', 'b_y2')})"
     bad = pairs.where(f"{ordered} AND NOT {adjacent} AND ({proper} OR ({same_ring} AND {touch}))")
     flagged = bad.groupBy("a_k").agg(F.count("*").alias("n_crossings")).selectExpr("a_k AS k", "n_crossings")
-    every = polys.selectExpr(f"{key} AS k", "0L AS n_crossings")
-    out = every.unionByName(flagged).groupBy("k").agg(F.sum("n_crossings").alias("n"))
-    return out.selectExpr(f"k AS {key}", "n = 0 AS valid", "CASE WHEN n > 0 THEN 'self-crossing' END AS reason")
+    every = polys.selectExpr(f"{key} AS k", "0L AS n_crossings", f"{hole_reason_sql()} AS hole")
+    out = every.unionByName(flagged.selectExpr("*", "CAST(NULL AS STRING) AS hole")).groupBy("k").agg(
+        F.sum("n_crossings").alias("n"), F.max("hole").alias("hole"))
+    return out.selectExpr(f"k AS {key}", "n = 0 AND hole IS NULL AS valid",
+                          "CASE WHEN n > 0 THEN 'self-crossing' ELSE hole END AS reason")

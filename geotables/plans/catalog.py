@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geotables.model import FEATURE_COLUMNS
 from geotables.operators import range_query as rq
 from geotables.plans import fixtures as fx
 from geotables.plans import oracle_sql as O
@@ -376,13 +377,133 @@ UNION ALL SELECT cell || '_' || oid, oid, tags FROM zones""")
 def q_upsert_geo_table(spark, sf_dir):
     # incoming: parcels with key % 5 = 0 re-tagged (same row keys: overwrite) plus the zones (new row keys)
     from geotables.sources.geo_table import upsert
-    existing = written_parcels(spark, sf_dir).drop("cell_prefix")
+    existing = written_parcels(spark, sf_dir).select(*FEATURE_COLUMNS)
     retag = fx.parcels(spark, sf_dir).where("CAST(substring(oid, 7) AS BIGINT) % 5 = 0") \
         .withColumn("tags", F.lit('{"DLBM":"X"}'))
     incoming = retag.unionByName(fx.zones(spark, sf_dir))
     return upsert(existing, incoming).select("key", "oid", "tags")
 
 
+@register("put_geo_table", O.with_ctes(O.PARCELS, O.ZONES) + """
+SELECT cell || '_' || oid AS key, oid, CASE WHEN k % 5 = 0 THEN '{"DLBM":"X"}' ELSE tags END AS tags FROM parcels
+UNION ALL SELECT cell || '_' || oid, oid, tags FROM zones""")
+def q_put_geo_table(spark, sf_dir):
+    """The same put, written into the stored table and read back; the incoming rows come twice."""
+    from geotables.session import scratch_path
+    from geotables.sources.geo_table import put_geo_table, read_geo_table, write_geo_table
+    path = scratch_path(spark, "parcels")
+    parcels = fx.parcels(spark, sf_dir)
+    write_geo_table(parcels, path)
+    retag = parcels.where("CAST(substring(oid, 7) AS BIGINT) % 5 = 0").withColumn("tags", F.lit('{"DLBM":"X"}'))
+    incoming = retag.unionByName(fx.zones(spark, sf_dir))
+    put_geo_table(spark, path, incoming.unionByName(incoming))
+    return read_geo_table(spark, path).select("key", "oid", "tags")
+
+
+def written_world(spark, sf_dir, prefix_len=2):
+    """Points all over the globe, whose cells begin with digits and letters, and boxes across longitude 0, which have no
+    cell, as a stored key table."""
+    from geotables.session import scratch_path
+    from geotables.sources.geo_table import read_geo_table, write_geo_table
+    path = scratch_path(spark, "world")
+    world = fx.points(spark, sf_dir).select(*FEATURE_COLUMNS).unionByName(fx.straddling_boxes(spark, sf_dir))
+    write_geo_table(world, path, prefix_len)
+    return read_geo_table(spark, path)
+
+
+_WORLD = f"""
+world AS (SELECT oid, {O.geohash_of_morton('m')} || '_' || oid AS key FROM points
+          UNION ALL SELECT 'B' || n_nationkey::VARCHAR, '_B' || n_nationkey::VARCHAR FROM nation)"""
+LITERAL_PREFIXES = ["00", "0", "s1", "_", "_B1", "zz", "7", "it's"]
+
+
+@register("prefix_scan_literal", O.with_ctes(O.POINTS, _WORLD) + "SELECT oid, key FROM world WHERE " + " OR ".join(
+    "starts_with(key, '{}')".format(p.replace("'", "''")) for p in LITERAL_PREFIXES))
+def q_prefix_scan_literal(spark, sf_dir):
+    from geotables.sources.geo_table import scan_prefixes
+    return scan_prefixes(written_world(spark, sf_dir, prefix_len=1), LITERAL_PREFIXES, num_partitions=4).select("oid", "key")
+
+
+_WORLD_TARGETS = "tp AS (SELECT DISTINCT substr(key, 1, (length(oid) % 4)::INTEGER) AS prefix FROM world WHERE oid LIKE '%7')"
+
+
+def _world_targets(world):
+    """Prefixes of zero to three characters of some of the table's own keys: '' , '_', digits only, nested ones."""
+    return world.where("oid LIKE '%7'").selectExpr("substring(key, 1, length(oid) % 4) AS prefix")
+
+
+@register("prefix_scan_world", O.with_ctes(O.POINTS, _WORLD, _WORLD_TARGETS) + """
+SELECT w.oid, w.key FROM world w WHERE EXISTS (SELECT 1 FROM tp WHERE starts_with(w.key, tp.prefix) AND tp.prefix <> '')""")
+def q_prefix_scan_world(spark, sf_dir):
+    from geotables.sources.geo_table import scan_by_cell_prefix
+    world = written_world(spark, sf_dir)
+    return scan_by_cell_prefix(world, _world_targets(world).where("prefix <> ''"), num_partitions=3).select("oid", "key")
+
+
+@register("prefix_scan_world_overlaps", O.with_ctes(O.POINTS, _WORLD, _WORLD_TARGETS) + """
+SELECT tp.prefix, w.oid FROM world w JOIN tp ON starts_with(w.key, tp.prefix)""")
+def q_prefix_scan_world_overlaps(spark, sf_dir):
+    from geotables.sources.geo_table import scan_by_cell_prefix
+    world = written_world(spark, sf_dir, prefix_len=1)
+    return scan_by_cell_prefix(world, _world_targets(world), keep_overlaps=True).select("prefix", "oid")
+
+
+# ------------------------------------------------------------------ jobs from stored data
+
+@register("range_query_stored", ORACLE["range_query"])
+def q_range_query_stored(spark, sf_dir):
+    return rq.range_query(written_parcels(spark, sf_dir), *WINDOW).select("oid")
+
+
+@register("overlay_stored", O.overlay_all() + O.best_of("scored"))
+def q_overlay_stored(spark, sf_dir):
+    """Both key tables written, read back (the parcels dealt out anew) and overlaid."""
+    from geotables.operators.overlay import overlay_classes
+    from geotables.session import scratch_path
+    from geotables.sources.geo_table import read_geo_table, write_geo_table
+    paths = []
+    for name, df in zip(("parcels", "zones"), _overlay(spark, sf_dir), strict=True):
+        paths.append(scratch_path(spark, name))
+        write_geo_table(df, paths[-1])
+    out = overlay_classes(read_geo_table(spark, paths[0], num_partitions=8), read_geo_table(spark, paths[1]))
+    return out.selectExpr("oid", "pd_class", AREA)
+
+
+@register("overlay_text", O.overlay_all() + O.best_of("scored"))
+def q_overlay_text(spark, sf_dir):
+    """Both layers written as text lines, read back (dealt out anew, repaired) and overlaid."""
+    from geotables.operators.overlay import overlay_classes
+    from geotables.session import scratch_path
+    from geotables.sources.wkt_text import read_wkt_table, write_wkt_table
+    layers = []
+    for name, df in zip(("parcels", "zones"), _overlay(spark, sf_dir), strict=True):
+        path = scratch_path(spark, f"{name}-text")
+        write_wkt_table(df, path)
+        layers.append(read_wkt_table(spark, path, num_partitions=8, repair=name == "zones")[0])
+    return overlay_classes(*layers).selectExpr("oid", "pd_class", AREA)
+
+
+@register("wkt_repair", O.with_ctes(O.PARCELS, f"a AS ({O.ring_area_sql('parcel_rings')})") + f"""
+SELECT p.oid, CASE WHEN p.k % 50 = 19 AND kind <> 3 THEN 'self-crossing' END AS reason,
+       CASE WHEN NOT (p.k % 50 = 19 AND kind <> 3) THEN round(a.area, 9) END AS area
+FROM parcels p JOIN a ON a.k = p.k""")
+def q_wkt_repair(spark, sf_dir):
+    """Lines with open rings (key % 50 = 11), repeated points (17) and crossed shells (19, without a hole) read with
+    repair: the first two become whole, the last are rejected."""
+    from geotables.functions.shapes import area_sql
+    from geotables.sources.wkt_text import ingest_lines, wkt_sql
+    p = fx.parcels(spark, sf_dir).selectExpr("*", "CAST(substring(oid, 7) AS BIGINT) AS k")
+    ring = "named_struct('part', r.part, 'ring', r.ring, 'pts', {})".format
+    spoiled = (f"CASE WHEN k % 50 = 11 THEN transform(rings, r -> {ring('slice(r.pts, 1, size(r.pts) - 1)')}) "
+               f"WHEN k % 50 = 17 THEN transform(rings, r -> {ring('flatten(transform(r.pts, p -> array(p, p)))')}) "
+               "WHEN k % 50 = 19 AND k % 4 <> 3 THEN transform(rings, r -> "
+               + ring("concat(r.pts, slice(r.pts, 3, size(r.pts) - 3), array(r.pts[1], r.pts[0]))") + ") ELSE rings END")
+    lines = p.selectExpr(f"concat_ws('\t', {wkt_sql(rings=spoiled)}, oid, tags) AS value")
+    features, rejects = ingest_lines(lines, repair=True)
+    good = features.selectExpr("oid", "CAST(NULL AS STRING) AS reason", f"round({area_sql()}, 9) AS area")
+    return good.unionByName(rejects.selectExpr("oid", "reason", "CAST(NULL AS DOUBLE) AS area"))
+
+
 @register("class_text", O.overlay_all() + """
 SELECT '(' || oid || ',' || coalesce(pd_class, 'null') || ')' AS value FROM (""" + O.best_of("scored") + ")")
 def q_class_text(spark, sf_dir):

@@ -140,3 +140,11 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(n_nationkey AS INT) AS window_id",
         "110D + (n_nationkey % 5) * 0.75D AS xmin", "30D + (n_nationkey div 5) * 0.75D AS ymin",
         "110D + (n_nationkey % 5) * 0.75D + 0.5D AS xmax", "30D + (n_nationkey div 5) * 0.75D + 0.5D AS ymax")
+
+
+def straddling_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from ``nation`` across longitude 0: their corners share no geohash character."""
+    b = read(spark, sf_dir, "nation").selectExpr(
+        "concat('B', CAST(n_nationkey AS STRING)) AS oid", "'{}' AS tags", "'POLYGON' AS gtype",
+        "-(n_nationkey + 1) / 64D AS x", "n_nationkey / 64D - 1D AS y", "(n_nationkey + 1) / 32D AS w", "0.25D AS h")
+    return finish_features(b.selectExpr("oid", "tags", "gtype", f"array({ring_sql(0, 0, RECT)}) AS rings", *BOX_ENVELOPE))

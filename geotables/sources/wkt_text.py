@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geotables.functions.shapes import let_sql
 from geotables.model import finish_features
-from geotables.operators.rings import orient_rings_sql
+from geotables.operators.rings import close_rings_sql, orient_rings_sql, split_valid
 
 TYPES = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
 # lines whose geometry field names none of these (case-sensitive) are skipped, as the literal reader does
@@ -34,12 +34,6 @@ _RINGS = """flatten(transform(parsed, (prt, pi) -> transform(prt, (rg, ri) -> na
 _EMPTY_RINGS = "CAST(array() AS array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>)"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` bound to ``value``: the value appears once in the expression tree however often
-    ``body`` uses it, so Catalyst cannot multiply it when it inlines the column into pushed-down filters."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def split_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """(line, wkt, oid, tags, n_fields) from raw text lines; keeps only geometry lines."""
     f = lines.selectExpr(f"inline(array(named_struct('line', {col}, 'f', split({col}, '\\t', -1))))")
@@ -48,8 +42,9 @@ def split_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return f.where(f"wkt RLIKE '{GEOMETRY_LINE}'")
 
 
-def parse_wkt(df: DataFrame, wkt: str = "wkt") -> DataFrame:
-    """Add gtype, rings (oriented shell-CCW / hole-CW) and ``reason`` (NULL when the geometry is acceptable)."""
+def parse_wkt(df: DataFrame, wkt: str = "wkt", repair: bool = False) -> DataFrame:
+    """Add gtype, rings (oriented shell-CCW / hole-CW) and ``reason`` (NULL when the geometry is acceptable). ``repair``
+    drops repeated points of polygon rings and closes them before they are judged."""
     d = df.selectExpr("*", f"regexp_extract({wkt}, '^\\\\s*([A-Z]+)', 1) AS gtype",
                       f"trim(regexp_replace({wkt}, '^\\\\s*[A-Za-z]+', '')) AS body")
     wrapped = f"concat({_WRAP_OPEN}, {_BODY_JSON}, reverse(translate({_WRAP_OPEN}, '[', ']')))"
@@ -66,9 +61,10 @@ def parse_wkt(df: DataFrame, wkt: str = "wkt") -> DataFrame:
       WHEN exists(flatten(transform(rings0, r -> r.pts)), p -> p.x < -180D OR p.x > 180D OR p.y < -90D OR p.y > 90D)
         THEN 'coordinates out of range'
       END"""
-    result = _let(f"CASE WHEN upper(body) = 'EMPTY' THEN array() ELSE from_json({wrapped}, '{_PARSED_T}') END", "parsed",
-                  _let(f"CASE WHEN parsed IS NULL THEN {_EMPTY_RINGS} ELSE {_RINGS} END", "rings0",
-                       _let(reason, "why", "named_struct('reason', why, 'rings', CASE WHEN why IS NULL AND "
+    closing = f"WHEN {polygonal} THEN {let_sql(_RINGS, 'raw', close_rings_sql('raw'))} " if repair else ""
+    result = let_sql(f"CASE WHEN upper(body) = 'EMPTY' THEN array() ELSE from_json({wrapped}, '{_PARSED_T}') END", "parsed",
+                  let_sql(f"CASE WHEN parsed IS NULL THEN {_EMPTY_RINGS} {closing}ELSE {_RINGS} END", "rings0",
+                       let_sql(reason, "why", "named_struct('reason', why, 'rings', CASE WHEN why IS NULL AND "
                                            f"{polygonal} THEN {orient_rings_sql('rings0')} ELSE rings0 END)")))
     # A generator output is a barrier for filter pushdown: filters on reason (rejects / features) stay above it
     # instead of being copied, with the whole parse, into the scan below.
@@ -76,26 +72,33 @@ def parse_wkt(df: DataFrame, wkt: str = "wkt") -> DataFrame:
     return d.selectExpr(*keep, f"inline(array({result}))")
 
 
-def ingest_lines(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+def ingest_lines(lines: DataFrame, col: str = "value", repair: bool = False) -> tuple[DataFrame, DataFrame]:
     """(features, rejects) from raw ``wkt \\t oid \\t tags`` lines.
 
-    features: the canonical table (see ``geotables.model``); rejects: (line, oid, reason)."""
+    features: the canonical table (see ``geotables.model``); rejects: (line, oid, reason). ``repair`` mends polygon rings
+    (repeated points, missing last point, direction) and rejects those that are invalid all the same."""
     s = split_lines(lines, col)
-    p = parse_wkt(s)
+    p = parse_wkt(s, repair=repair)
     p = p.selectExpr("*", "CASE WHEN n_fields < 3 THEN 'missing fields' "
                           "WHEN oid IS NULL OR oid = '' THEN 'missing oid' ELSE reason END AS why")
     # features and rejects are two filters over one parse; a job that needs both should persist ``p`` first
     features = finish_features(p.where("why IS NULL").select("oid", "tags", "gtype", "rings"))
     rejects = p.where("why IS NOT NULL").selectExpr("line", "oid", "why AS reason")
+    if repair:
+        whole = finish_features(p.where("why IS NULL").select("oid", "tags", "gtype", "rings", "line"))
+        good, bad = split_valid(whole)
+        return good.drop("line"), rejects.unionByName(bad.select("line", "oid", "reason"))
     return features, rejects
 
 
-def read_wkt_table(spark: SparkSession, path: str, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Read WKT text files. ``num_partitions`` spreads the lines round-robin before parsing."""
+def read_wkt_table(spark: SparkSession, path: str, num_partitions: int | None = None,
+                   repair: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Read WKT text files. ``num_partitions`` spreads the lines round-robin before parsing; ``repair`` as in
+    ``ingest_lines``."""
     lines = spark.read.text(path)
     if num_partitions:
         lines = lines.repartition(num_partitions)
-    return ingest_lines(lines)
+    return ingest_lines(lines, repair=repair)
 
 
 def fmt_num_sql(v: str) -> str:

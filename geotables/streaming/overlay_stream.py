@@ -2,7 +2,7 @@
 
 Range queries, WKT parsing, cells and the per-pair overlap area are row-local, so they apply to a streaming
 DataFrame as they are. The overlay arg-max groups by parcel; parcels arrive once, so each micro-batch is overlaid
-against the (static) zone table in ``foreachBatch`` and written under its own epoch directory. A replayed epoch
+against the (static) zone table, which is prepared once before the stream starts, in ``foreachBatch`` and written under its own epoch directory. A replayed epoch
 overwrites its own directory, which keeps the sink exactly-once after a failure.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from geotables.operators.overlay import overlay_classes
+from geotables.operators.overlay import classes_of, parcel_side, zone_side
 from geotables.operators.range_query import range_query
 
 
@@ -22,8 +22,10 @@ def stream_range_query(stream: DataFrame, xmin: float, ymin: float, xmax: float,
 def start_overlay_stream(parcels: DataFrame, zones: DataFrame, sink_path: str, checkpoint: str,
                          tag_name: str = "PDJB", available_now: bool = True) -> StreamingQuery:
     """Overlay each micro-batch of parcels against ``zones``; results go to ``sink_path/epoch=<n>``."""
+    prepared = zone_side(zones, tag_name)
+
     def batch(df: DataFrame, epoch_id: int) -> None:
-        overlay_classes(df, zones, tag_name).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        classes_of(parcel_side(df), prepared).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
 
     w = parcels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -149,3 +149,120 @@ def test_empty_window_table(spark):
     w = spark.createDataFrame([], "window_id int, xmin double, ymin double, xmax double, ymax double")
     out = range_query_many(f, w)
     assert out.columns == ["window_id", "oid"] and out.count() == 0
+
+
+def test_small_overlaps_and_near_ties(spark):
+    p, _ = features_from_wkt(spark, [
+        ("POLYGON ((1 1, 1.00002 1, 1.00002 1.00002, 1 1.00002, 1 1))", "110000A", "{}"),
+        ("POLYGON ((10 10, 11 10, 11 11, 10 11, 10 10))", "110000B", "{}")])
+    z, _ = features_from_wkt(spark, [
+        ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "110000Z1", '{"PDJB":"1"}'),
+        ("POLYGON ((9 9, 10.0005 9, 10.0005 10.001, 9 10.001, 9 9))", "110000Z2", '{"PDJB":"2"}'),
+        ("POLYGON ((9 9, 10.0005002 9, 10.0005002 10.001, 9 10.001, 9 9))", "110000Z3", '{"PDJB":"3"}')])
+    got = {r.oid: (r.pd_class, r.overlap_area) for r in overlay_classes(p, z).collect()}
+    assert got["110000A"][0] == "1" and abs(got["110000A"][1] - 4e-10) < 1e-15
+    assert got["110000B"][0] == "3" and abs(got["110000B"][1] - 5.002e-7) < 1e-13
+
+
+def test_merge_keeps_parcels_that_share_an_oid(spark):
+    from geotables.operators.overlay import merge_best
+    p, _ = features_from_wkt(spark, [("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "110000A", "{}"),
+                                     ("POLYGON ((20 20, 24 20, 24 24, 20 24, 20 20))", "110000A", "{}")])
+    r = overlay_classes(p, _zones(spark), keep_zone_key=True)
+    assert sorted(x.pd_class for x in merge_best(r, r).collect()) == ["0", "4"]
+
+
+def test_fixture_ids_stay_unique_for_long_keys(spark):
+    from geotables.plans.fixtures import parcel_parts, zone_parts
+    keys = [1, 9_999_999, 10_000_000, 10_000_003, 100_000_000, 999, 10_000, 100_000, 1_000_000]
+    k = spark.createDataFrame([(x,) for x in keys], "p_partkey bigint")
+    ids = [r.oid for r in parcel_parts(k).collect()] + [r.oid for r in zone_parts(k.toDF("s_suppkey")).collect()]
+    assert len(set(ids)) == 2 * len(keys)
+
+
+def test_rings_repeated_points_and_holes(spark):
+    square, jvm = "(0 0, 4 0, 4 4, 0 4, 0 0)", spark.sparkContext._jvm
+    cases = {
+        "repeat": "POLYGON ((0 0, 4 0, 4 0, 4 4, 0 4, 0 4, 0 0))",
+        "out": f"POLYGON ({square}, (5 5, 5 6, 6 6, 6 5, 5 5))",
+        "equal": f"POLYGON ({square}, (0 0, 0 4, 4 4, 4 0, 0 0))",
+        "cross": f"POLYGON ({square}, (3 3, 3 5, 5 5, 5 3, 3 3))",
+        "inside": f"POLYGON ({square}, (1 1, 1 2, 2 2, 2 1, 1 1))",
+        "touch": f"POLYGON ({square}, (0 2, 1 3, 2 2, 1 1, 0 2))",
+        "bow": "POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))"}
+    f, _ = features_from_wkt(spark, [(w, k, "{}") for k, w in cases.items()])
+    got = {r.key.split("_")[-1]: r.valid for r in check_rings(f, "key").collect()}
+    reader = jvm.org.locationtech.jts.io.WKTReader()
+    assert got == {k: reader.read(w).isValid() for k, w in cases.items()}
+
+
+def test_repair_on_ingest(spark):
+    from geotables.sources.wkt_text import ingest_lines
+    rows = [("POLYGON ((0 0, 0 4, 4 4, 4 4, 4 0))", "open", "{}"), ("POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))", "bow", "{}"),
+            ("POINT (1 1)", "pt", "{}"), ("POLYGON ((0 0, 1 1, 1 1))", "flat", "{}")]
+    lines = spark.createDataFrame([("\t".join(r),) for r in rows], "value string")
+    good, bad = ingest_lines(lines, repair=True)
+    assert {r.oid: r.a for r in good.selectExpr("oid", f"{area_sql()} AS a").collect()} == {"open": 16.0, "pt": 0.0}
+    assert {r.oid: r.reason for r in bad.collect()} == {"bow": "self-crossing", "flat": "ring too short"}
+
+
+def test_key_table_files_are_sorted_and_prefixes_find_their_rows(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from geotables.sources.geo_table import read_geo_table, scan_by_cell_prefix, write_geo_table
+    rows = [(f"POINT ({x / 7} {y / 3})", f"p{x}_{y}", "{}") for x in range(-60, 60, 7) for y in range(-60, 60, 7)]
+    rows.append(("POLYGON ((-1 1, 1 1, 1 2, -1 2, -1 1))", "wide", "{}"))
+    f, _ = features_from_wkt(spark, rows)
+    keys = [r.key for r in f.select("key").collect()]
+    for n in (1, 3):
+        path = str(tmp_path / f"t{n}")
+        write_geo_table(f, path, prefix_len=n)
+        for file in glob.glob(f"{path}/cell_prefix=*/*.parquet"):
+            own = pq.ParquetFile(file).read(columns=["key"]).column("key").to_pylist()
+            assert own == sorted(own)
+        t = read_geo_table(spark, path)
+        for p in ("", "_", "_wide", "s", "s0", "s00", "7", keys[5], keys[5][:4], "it's"):
+            want = sorted(k for k in keys if k.startswith(p))
+            assert sorted(r.key for r in scan_prefixes(t, [p]).collect()) == want, p
+            table = spark.createDataFrame([(p,)], "prefix string")
+            scan = scan_by_cell_prefix(t, table)
+            assert sorted(r.key for r in scan.collect()) == want, p
+        assert scan_by_cell_prefix(t, spark.createDataFrame([("s",), ("kp",), ("s0",)], "prefix string")) \
+            ._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        assert scan_prefixes(t, ["s"], num_partitions=3).rdd.getNumPartitions() == 3
+
+
+def test_one_zone_over_all_parcels_is_dealt_over_many_keys(spark):
+    from geotables.operators.overlay import candidate_pairs, overlay_inputs
+    p, _ = features_from_wkt(spark, [(f"POINT ({x / 50 + 1} {y / 50 + 1})", f"110000P{x}_{y}", "{}")
+                                     for x in range(40) for y in range(40)])
+    z, _ = features_from_wkt(spark, [("POLYGON ((0 0, 30 0, 30 30, 0 30, 0 0))", "110000Z", '{"PDJB":"1"}')])
+    pairs = candidate_pairs(*overlay_inputs(p, z, "PDJB", edges=False), "grid")
+    assert pairs.count() == 1600
+    sizes = pairs.groupBy(F.spark_partition_id()).count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert candidate_pairs(*overlay_inputs(p, z, "PDJB", edges=False), "grid").groupBy(
+            F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 800
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sizes.count() >= 1
+
+
+def test_stream_prepares_the_zones_once(spark, tmp_path, monkeypatch):
+    import geotables.operators.overlay as overlay
+    from geotables.streaming.overlay_stream import start_overlay_stream
+    f, _ = features_from_wkt(spark, [(f"POLYGON (({i} 0, {i + 1} 0, {i + 1} 1, {i} 1, {i} 0))", f"110000P{i}", "{}")
+                                     for i in range(6)])
+    f.repartition(3).write.parquet(str(tmp_path / "in"))
+    made = []
+    real = overlay.materialize
+    monkeypatch.setattr(overlay, "materialize", lambda df: made.append(df.columns[0]) or real(df))
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_overlay_stream(stream, _zones(spark), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert made.count("z_key") == 1 and made.count("p_key") == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
