@@ -1,2 +1,2 @@
-"""Column expressions. Everything here returns a ``pyspark.sql.Column`` built from built-in functions, so it stays
-inside Catalyst (pushdown, codegen) and runs on executors."""
+"""SQL expression text built from built-in functions, so it stays inside Catalyst (pushdown, codegen) and runs on
+executors."""

@@ -4,17 +4,13 @@ A geohash of n characters is the interleaving (longitude bit first) of the binar
 axis, written in base 32. Twelve characters are 60 bits: 30 per axis. Shorter hashes are prefixes of longer ones,
 so one 60-bit Morton code per point serves every precision.
 
-Functions named ``*_sql`` return SQL expression text over column names or other expressions; the plain-named
-ones wrap that text in a ``Column``. Building an expression as text costs one JVM call instead of one per
+Functions named ``*_sql`` return SQL expression text over column names or other expressions. Building an expression as text costs one JVM call instead of one per
 operator node, and every expression here refers to each input at most a few times, so Catalyst can inline it
 (e.g. into inferred ``isnotnull`` join filters) without blowing up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 # The geohash base-32 alphabet, and the digits Spark's conv() writes in base 32.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 CONV32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -64,10 +60,6 @@ def geohash_sql(lon: str, lat: str, chars: int | str = MAX_CHARS) -> str:
     return geohash_of_morton_sql(point_morton_sql(lon, lat), chars)
 
 
-def geohash(lon: str, lat: str, chars: int = MAX_CHARS) -> Column:
-    return F.expr(geohash_sql(lon, lat, chars))
-
-
 def common_chars_sql(m1: str, m2: str) -> str:
     """Leading geohash characters two Morton codes share (0..12): 60 minus the bit length of their XOR, in whole
     characters of 5 bits."""
@@ -86,14 +78,6 @@ def envelope_cell_sql(xmin: str = "xmin", ymin: str = "ymin", xmax: str = "xmax"
     return f"CASE WHEN {xmin} IS NULL THEN '' ELSE {geohash_of_morton_sql(sw, common_chars_sql(sw, ne))} END"
 
 
-def with_cell(df: DataFrame, env=("xmin", "ymin", "xmax", "ymax"), out: str = "cell") -> DataFrame:
-    return df.withColumn(out, F.expr(envelope_cell_sql(*env)))
-
-
-def with_geohash(df: DataFrame, out: str, lon: str, lat: str, chars: int = MAX_CHARS) -> DataFrame:
-    return df.withColumn(out, geohash(lon, lat, chars))
-
-
 def axis_bits(chars: int) -> tuple[int, int]:
     """Bits on (lon, lat) for a geohash of ``chars`` characters."""
     return (5 * chars + 1) // 2, (5 * chars) // 2
@@ -120,20 +104,14 @@ def precision_sql(d: str) -> str:
     return f"CAST(CASE WHEN {d} IS NULL THEN NULL {whens} ELSE 1 END AS INT)"
 
 
-def cover_sql(xmin: str, ymin: str, xmax: str, ymax: str, chars: int) -> str:
-    """Array of the geohash cells at ``chars`` precision that the closed box touches, row-major from the SW."""
-    return (f"flatten(transform(sequence({cell_iy_sql(ymin, chars)}, {cell_iy_sql(ymax, chars)}), cy -> "
-            f"transform(sequence({cell_ix_sql(xmin, chars)}, {cell_ix_sql(xmax, chars)}), cx -> "
-            f"{geohash_of_cell_sql('cx', 'cy', chars)})))")
-
-
 # Neighbour numbering 0=N 1=NE 2=E 3=SE 4=S 5=SW 6=W 7=NW as (dx, dy) offsets.
 NEIGHBOUR_OFFSETS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 
 def cover_compat_sql(tx: str, ty: str, corners: dict[str, tuple[str, str]], chars: int) -> str:
     """Literal neighbour-case cover of a box around the target cell (tx, ty): 1, 2 or 4 cells in a fixed order,
-    or an empty array when the box reaches beyond the 3x3 block in a way no case names.
+    or an empty array when the box reaches beyond the 3x3 block in a way no case names. The order of the cases is part of the
+    result: the first that holds decides.
 
     ``corners`` maps LD, LU, RU, RD to (ix, iy) expressions of the corner cells at ``chars`` precision."""
     def at(c, n):

@@ -7,9 +7,6 @@ counter-clockwise, holes clockwise (``geotables.operators.rings.check_rings`` ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 POINT_T = "struct<x:double,y:double>"
 RING_T = f"struct<part:int,ring:int,pts:array<{POINT_T}>>"
 RINGS_T = f"array<{RING_T}>"
@@ -48,10 +45,6 @@ def envelope_sql(rings: str = "rings") -> list[str]:
             f"array_max(transform({pts}, p -> p.x)) AS xmax", f"array_max(transform({pts}, p -> p.y)) AS ymax"]
 
 
-def envelope(rings: str = "rings") -> list[Column]:
-    return [F.expr(e) for e in envelope_sql(rings)]
-
-
 def _segments_sql(pts: str, p: str, q: str, body: str) -> str:
     """``body`` (over lambda variables p, q) for consecutive point pairs of one ring."""
     n = f"greatest(size({pts}) - 1, 0)"
@@ -77,10 +70,6 @@ def area_sql(rings: str = "rings", gtype: str = "gtype") -> str:
             f"ELSE 0D END")
 
 
-def area(rings: str = "rings", gtype: str = "gtype") -> Column:
-    return F.expr(area_sql(rings, gtype))
-
-
 def edges_sql(rings: str = "rings", gtype: str = "gtype") -> str:
     """Non-vertical boundary edges of a polygonal geometry, left to right, with the direction sign ``s`` of the
     original edge and the slope ``m``. Empty for points and lines (their overlap area is 0)."""
@@ -93,60 +82,7 @@ def edges_sql(rings: str = "rings", gtype: str = "gtype") -> str:
             f"ELSE CAST(array() AS array<{EDGE_T}>) END")
 
 
-def edges(rings: str = "rings", gtype: str = "gtype") -> Column:
-    return F.expr(edges_sql(rings, gtype))
-
-
-def overlap_area_sql(ea: str, eb: str, x0: str, x1: str, oy: str) -> str:
-    """Area of the intersection of two polygonal geometries from their edge arrays (see ``edges_sql``).
-
-    For rings oriented shell-CCW / hole-CW the indicator of a polygon is a signed sum of the regions under its
-    edges, so the area of the intersection is the signed sum over edge pairs of the integral of the lower of the
-    two edge lines over their common x-range [l, r]:
-
-        (r - l) * ((f_l + f_r + g_l + g_r) - K) / 4,   d = f - g,
-        K = |d_l| + |d_r| if d_l * d_r >= 0 else (d_l^2 + d_r^2) / (|d_l| + |d_r|)
-
-    Only edges reaching into the common x-range [x0, x1] of the two envelopes can contribute. ``oy`` is a
-    pair-local origin for y (any value cancels; a nearby one keeps digits).
-    """
-    fa = f"filter({ea}, e -> e.xr > {x0} AND e.xl < {x1})"
-    fb = f"filter({eb}, g -> g.xr > {x0} AND g.xl < {x1})"
-    l = "greatest(e.xl, g.xl)"
-    r = "least(e.xr, g.xr)"
-    fl = f"(e.yl - {oy} + ({l} - e.xl) * e.m)"
-    fr = f"(e.yl - {oy} + ({r} - e.xl) * e.m)"
-    gl = f"(g.yl - {oy} + ({l} - g.xl) * g.m)"
-    gr = f"(g.yl - {oy} + ({r} - g.xl) * g.m)"
-    dl, dr = f"({fl} - {gl})", f"({fr} - {gr})"
-    k = (f"CASE WHEN {dl} * {dr} >= 0 THEN abs({dl}) + abs({dr}) "
-         f"ELSE ({dl} * {dl} + {dr} * {dr}) / (abs({dl}) + abs({dr})) END")
-    val = f"e.s * g.s * ({r} - {l}) * (({fl} + {fr} + {gl} + {gr}) - {k}) / 4D"
-    inner = f"aggregate({fb}, 0D, (acc2, g) -> acc2 + CASE WHEN {l} < {r} THEN {val} ELSE 0D END)"
-    return f"aggregate({fa}, 0D, (acc, e) -> acc + {inner})"
-
-
 def vertex_in_box_sql(rings: str, xmin: str, ymin: str, xmax: str, ymax: str) -> str:
     """True when any vertex lies in the closed box."""
     return (f"exists({all_points_sql(rings)}, p -> p.x >= {xmin} AND p.x <= {xmax} "
             f"AND p.y >= {ymin} AND p.y <= {ymax})")
-
-
-def vertex_in_box(rings: str, xmin, ymin, xmax, ymax) -> Column:
-    return F.expr(vertex_in_box_sql(rings, str(xmin), str(ymin), str(xmax), str(ymax)))
-
-
-def edge_pair_term_sql(e: str, g: str, oy: str) -> str:
-    """Signed contribution of one edge pair (struct columns ``e``, ``g``) to the overlap area; 0 when their
-    x-ranges do not overlap. Same formula as ``overlap_area_sql``, for one pair of rows."""
-    l = f"greatest({e}.xl, {g}.xl)"
-    r = f"least({e}.xr, {g}.xr)"
-    fl = f"({e}.yl - {oy} + ({l} - {e}.xl) * {e}.m)"
-    fr = f"({e}.yl - {oy} + ({r} - {e}.xl) * {e}.m)"
-    gl = f"({g}.yl - {oy} + ({l} - {g}.xl) * {g}.m)"
-    gr = f"({g}.yl - {oy} + ({r} - {g}.xl) * {g}.m)"
-    dl, dr = f"({fl} - {gl})", f"({fr} - {gr})"
-    k = (f"CASE WHEN {dl} * {dr} >= 0 THEN abs({dl}) + abs({dr}) "
-         f"ELSE ({dl} * {dl} + {dr} * {dr}) / (abs({dl}) + abs({dr})) END")
-    val = f"{e}.s * {g}.s * ({r} - {l}) * (({fl} + {fr} + {gl} + {gr}) - {k}) / 4D"
-    return f"CASE WHEN {e} IS NOT NULL AND {g} IS NOT NULL AND {l} < {r} THEN {val} ELSE 0D END"

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-_LENIENT = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
-
-
-def tag(tags, name: str) -> Column:
+def tag_sql(tags: str, name: str) -> str:
     """Value of one tag as a string: lenient like a permissive JSON reader (unquoted names allowed), numbers kept as
     written, nested objects returned as JSON text. Missing tag or broken JSON gives NULL instead of failing."""
-    t = F.col(tags) if isinstance(tags, str) else tags
-    return F.try_element_at(F.from_json(t, "map<string,string>", _LENIENT), F.lit(name))
-
-
-def tag_sql(tags: str, name: str) -> str:
+    name = name.replace("\\", "\\\\").replace("'", "\\'")
     return (f"try_element_at(from_json({tags}, 'map<string,string>', "
             f"map('allowUnquotedFieldNames', 'true', 'allowSingleQuotes', 'true')), '{name}')")

@@ -18,7 +18,6 @@ from geotables.functions import cells, shapes
 
 FEATURE_COLUMNS = ["key", "oid", "tags", "gtype", "rings", "xmin", "ymin", "xmax", "ymax", "cell", "region"]
 ENVELOPE = ["xmin", "ymin", "xmax", "ymax"]
-REGION_SQL = "substring(split_part(oid, '_', 1), 1, 6)"
 
 
 def region_sql(oid: str = "oid") -> str:

@@ -23,19 +23,28 @@ def with_precision(df: DataFrame, distance: str = "distance", out: str = "precis
 
 
 def cover(df: DataFrame, chars: int, cols: list[str] | None = None) -> DataFrame:
-    """One row per geohash cell the envelope touches: ``cols`` + pos (row-major from the SW) + cell."""
+    """One row per geohash cell the envelope touches: ``cols`` + pos (row-major from the SW) + cell. The rows of the cover are
+    exploded before its columns, so no row holds more than one line of cells."""
     cols = cols or ["oid"]
-    c = cells.cover_sql("xmin", "ymin", "xmax", "ymax", chars)
-    return df.where("xmin IS NOT NULL").selectExpr(*cols, f"posexplode({c}) AS (pos, cell)")
-
-
-def cover_compat(df: DataFrame, chars: int, cols: list[str] | None = None) -> DataFrame:
-    """Literal neighbour-case cover around the cell holding the envelope centre (1, 2, 4 or 0 cells)."""
+    ix = lambda v: cells.cell_ix_sql(v, chars)
+    iy = lambda v: cells.cell_iy_sql(v, chars)
+    c = df.where("xmin IS NOT NULL").selectExpr(
+        *cols, f"{ix('xmin')} AS _x0", f"{ix('xmax')} AS _x1", f"{iy('ymin')} AS _y0", f"{iy('ymax')} AS _y1")
+    c = c.selectExpr(*cols, "_x0", "_x1", "_y0", "explode(sequence(_y0, _y1)) AS _cy")
+    c = c.selectExpr(*cols, "_x0", "_x1", "_y0", "_cy", "explode(sequence(_x0, _x1)) AS _cx")
+    return c.selectExpr(*cols, "CAST((_cy - _y0) * (_x1 - _x0 + 1) + _cx - _x0 AS INT) AS pos",
+                        f"{cells.geohash_of_cell_sql('_cx', '_cy', chars)} AS cell")
+
+
+def cover_compat(df: DataFrame, chars: int, cols: list[str] | None = None,
+                 target: tuple[str, str] = ("(xmin + xmax) / 2D", "(ymin + ymax) / 2D")) -> DataFrame:
+    """Literal neighbour-case cover around the cell of a target point, given as two expressions over the row (by default the
+    envelope's centre): 1, 2, 4 or 0 cells."""
     cols = cols or ["oid"]
     ix = lambda v: cells.cell_ix_sql(v, chars)
     iy = lambda v: cells.cell_iy_sql(v, chars)
     base = df.where("xmin IS NOT NULL").selectExpr(
-        *cols, f"{ix('(xmin + xmax) / 2D')} AS tx", f"{iy('(ymin + ymax) / 2D')} AS ty",
+        *cols, f"{ix(target[0])} AS tx", f"{iy(target[1])} AS ty",
         f"{ix('xmin')} AS x0", f"{iy('ymin')} AS y0", f"{ix('xmax')} AS x1", f"{iy('ymax')} AS y1")
     corners = {"LD": ("x0", "y0"), "LU": ("x0", "y1"), "RU": ("x1", "y1"), "RD": ("x1", "y0")}
     arr = cells.cover_compat_sql("tx", "ty", corners, chars)

@@ -1,12 +1,10 @@
-"""Table jobs over the geometry column: vertices, envelopes, areas."""
+"""Table jobs over the geometry column."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.functions import shapes
-
 
 def explode_vertices(df: DataFrame) -> DataFrame:
     """One row per vertex: the input columns (minus rings) plus part, ring, pos (0-based), x, y."""
@@ -15,7 +13,3 @@ def explode_vertices(df: DataFrame) -> DataFrame:
     v = r.select(*keep, F.col("_r.part").alias("part"), F.col("_r.ring").alias("ring"),
                  F.posexplode("_r.pts").alias("pos", "_p"))
     return v.select(*keep, "part", "ring", "pos", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
-
-
-def with_area(df: DataFrame, out: str = "area") -> DataFrame:
-    return df.selectExpr("*", f"{shapes.area_sql('rings', 'gtype')} AS {out}")

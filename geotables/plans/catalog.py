@@ -528,6 +528,44 @@ def q_wkb_transcode(spark, sf_dir):
     return dec.selectExpr("oid", "wkb_len", f"round({area_sql()}, 9) AS area", "gtype")
 
 
+def _wkb_table(spark, sf_dir):
+    """Parcels stored as (key, wkb, oid, tags); every 50th loses its last byte, every 51st its bytes."""
+    from geotables.session import scratch_path
+    from geotables.sources.wkb import read_wkb_table, to_wkb
+    path = scratch_path(spark, "wkb")
+    rows = to_wkb(fx.parcels(spark, sf_dir), ["key", "oid", "tags"]).selectExpr("*", "CAST(substring(oid, 7) AS BIGINT) AS k")
+    rows.selectExpr("key", "CASE WHEN k % 51 = 0 THEN NULL WHEN k % 50 = 0 THEN substring(wkb, 1, length(wkb) - 1) ELSE wkb END"
+                           " AS wkb", "oid", "tags").write.parquet(path)
+    return read_wkb_table(spark, path, num_partitions=8)
+
+
+@register("wkb_table", O.with_ctes(O.PARCELS, f"a AS ({O.ring_area_sql('parcel_rings')})") + """
+SELECT p.oid, p.cell || '_' || p.oid AS key, p.region, p.xmin, p.ymax, round(a.area, 9) AS area
+FROM parcels p JOIN a ON a.k = p.k WHERE p.k % 51 <> 0 AND p.k % 50 <> 0""")
+def q_wkb_table(spark, sf_dir):
+    from geotables.functions.shapes import area_sql
+    return _wkb_table(spark, sf_dir)[0].selectExpr("oid", "key", "region", "xmin", "ymax", f"round({area_sql()}, 9) AS area")
+
+
+@register("wkb_rejects", O.with_ctes(O.PARCELS) + """
+SELECT oid, CASE WHEN k % 51 = 0 THEN 'missing WKB' ELSE 'malformed WKB' END AS reason FROM parcels
+WHERE k % 51 = 0 OR k % 50 = 0""")
+def q_wkb_rejects(spark, sf_dir):
+    return _wkb_table(spark, sf_dir)[1].select("oid", "reason")
+
+
+@register("cover_compat_at_corner", O.with_ctes(O.PARCELS, f"""
+b AS (SELECT oid, {O.cell_ix('xmin', COVER_CHARS)} AS tx, {O.cell_iy('ymax', COVER_CHARS)} AS ty,
+             {O.cell_ix('xmin', COVER_CHARS)} AS x0, {O.cell_iy('ymin', COVER_CHARS)} AS y0,
+             {O.cell_ix('xmax', COVER_CHARS)} AS x1, {O.cell_iy('ymax', COVER_CHARS)} AS y1 FROM parcels)""",
+    f"bn AS (SELECT *, {O.neighbour_hashes(COVER_CHARS)} FROM b)",
+    f"c AS (SELECT oid, {O.cover_compat_sql(COVER_CHARS)} AS arr FROM bn)") + """
+SELECT oid, (i - 1)::INTEGER AS pos, arr[i] AS cell FROM (SELECT oid, arr, unnest(range(1, len(arr) + 1)) AS i FROM c)""")
+def q_cover_compat_at_corner(spark, sf_dir):
+    from geotables.operators.cells_ops import cover_compat
+    return cover_compat(fx.parcels(spark, sf_dir), COVER_CHARS, target=("xmin", "ymax"))
+
+
 # ------------------------------------------------------------------ streaming
 
 @register("stream_overlay_classes", O.overlay_all() + O.best_of("scored"))

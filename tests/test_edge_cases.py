@@ -266,3 +266,27 @@ def test_stream_prepares_the_zones_once(spark, tmp_path, monkeypatch):
     start_overlay_stream(stream, _zones(spark), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     assert made.count("z_key") == 1 and made.count("p_key") == 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_wkb_forms_and_bad_bytes(spark):
+    import struct
+
+    from geotables.sources.wkb import decode_wkb
+    line = struct.pack("<dddddd", 1, 2, 3, 4, 5, 6)
+    rows = [
+        ("iso_z", b"\x01" + struct.pack("<II", 1002, 2) + line),
+        ("ewkb_z", b"\x01" + struct.pack("<II", 0x80000002, 2) + line),
+        ("ewkb_srid", b"\x00" + struct.pack(">IIdd", 0x20000001, 4326, 7, 8)),
+        ("iso_zm", b"\x00" + struct.pack(">Idddd", 3001, 7, 8, 9, 10)),
+        ("short", b"\x01" + struct.pack("<II", 2, 2) + line[:-17]), ("kind", b"\x01" + struct.pack("<I", 99)),
+        ("order", b"\x07" + struct.pack("<I", 1)), ("none", b""), ("null", None),
+        ("empty", b"\x01" + struct.pack("<Idd", 1, float("nan"), float("nan")))]
+    df = spark.createDataFrame([(o, bytearray(w) if w is not None else None) for o, w in rows], "oid string, wkb binary")
+    got = {r.oid: (r.gtype, r.reason, [tuple(p) for g in r.rings or [] for p in g.pts]) for r in decode_wkb(df).collect()}
+    z = ("LINESTRING", None, [(1.0, 2.0), (4.0, 5.0)])
+    assert got["iso_z"] == got["ewkb_z"] == z
+    assert got["ewkb_srid"] == got["iso_zm"] == ("POINT", None, [(7.0, 8.0)])
+    assert got["empty"] == ("POINT", None, [])
+    assert {k: v[1] for k, v in got.items() if v[1]} == {
+        "short": "malformed WKB", "kind": "malformed WKB", "order": "malformed WKB", "none": "malformed WKB",
+        "null": "missing WKB"}
