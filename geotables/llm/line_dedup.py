@@ -178,29 +178,30 @@ def distinct_lines(rows: DataFrame, threshold: int, min_chars: int) -> DataFrame
 
 
 def candidates(distinct: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) structs (h1, h2, first): pairs that share a segment and may be within the threshold; a is the earlier."""
+    """(a, b) structs (doc, pos, h1) of lines: pairs that share a segment and may be within the threshold; a is the earlier.
+    Only what the join condition reads travels with the keys."""
     places = segment_sql(threshold, "line", "n", "cls")
     stored = ", ".join(f"keys[{j}]" for j, (_, shift, _) in enumerate(places) if shift == 0)
-    line = "struct(h1, h2, first) as line"
-    held = distinct.selectExpr(line, "n", "letters", f"explode(array({stored})) as key")
-    asked = distinct.selectExpr(line, "n", "letters",
-                                "explode(if(next_keys is null, keys, concat(keys, next_keys))) as key")
+    line = ["first.doc", "first.pos", "h1", "n", "letters"]
+    held = distinct.selectExpr(*line, f"explode(array({stored})) as key")
+    asked = distinct.selectExpr(*line, "explode(if(next_keys is null, keys, concat(keys, next_keys))) as key")
     pairs = held.alias("a").join(asked.alias("b"), F.expr(
-        f"a.key = b.key and a.line.first < b.line.first and ({distance_at_least_sql('a', 'b')}) <= {2 * threshold}"))
-    return pairs.selectExpr("a.line as a", "b.line as b").distinct()
+        "a.key = b.key and (a.doc < b.doc or (a.doc = b.doc and (a.pos < b.pos or (a.pos = b.pos and a.h1 < b.h1)))) and "
+        f"({distance_at_least_sql('a', 'b')}) <= {2 * threshold}"))
+    return pairs.selectExpr("struct(a.doc, a.pos, a.h1) as a", "struct(b.doc, b.pos, b.h1) as b").distinct()
 
 
 def line_links(docs: DataFrame, threshold: int = 2, min_chars: int = 32) -> tuple[DataFrame, DataFrame]:
-    """The distinct lines (h1, h2, copies, first) and the links between them (a, b: structs h1, h2, first; a earlier)."""
+    """The distinct lines (h1, h2, copies, first) and the links between them (a, b: structs doc, pos, h1; a earlier)."""
     rows = _with_place(docs)
     distinct = written(distinct_lines(rows, threshold, min_chars), "distinct-lines")
     pairs = written(candidates(distinct, threshold), "line-candidates")
     ends = pairs.selectExpr("explode(array(a, b)) as line").distinct()
-    wanted = ends.groupBy(F.col("line.first.doc").alias("doc"), F.col("line.first.mark").alias("mark")).agg(
-        F.collect_list("line").alias("wanted"))
-    found = rows.join(wanted, ["doc", "mark"]).selectExpr(
-        f"explode(transform(array({LINES}), ls -> transform(wanted, w -> struct(w as line, ls[w.first.pos] as text)))[0]) as x")
-    texts = found.selectExpr("x.line", "x.text").dropDuplicates(["line"])
+    wanted = ends.groupBy(F.col("line.doc").alias("doc")).agg(F.collect_list("line").alias("wanted"))
+    # the same join at every size: the list of documents grows with the table and is never broadcast
+    found = rows.select("doc", "text").hint("merge").join(wanted, "doc").selectExpr(
+        f"explode(transform(array({LINES}), ls -> transform(wanted, w -> struct(w as line, get(ls, w.pos) as text)))[0]) as x")
+    texts = found.selectExpr("x.line", "x.text").where("xxhash64(text) = line.h1").dropDuplicates(["line"])
     both = (pairs.join(texts.selectExpr("line as a", "text as line_a"), "a")
             .join(texts.selectExpr("line as b", "text as line_b"), "b"))
     # few bytes, much work: spread over all cores whatever the size of the shuffles says
@@ -213,14 +214,14 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 32) -> Dat
     equal), n_links (links of the document's lines to other distinct lines)."""
     distinct, links = line_links(docs, threshold, min_chars)
     rows = _with_place(docs)
-    ends = links.selectExpr("explode(array(struct(b as line, a.first as other), struct(a as line, b.first as other))) as x")
-    linked = ends.groupBy("x.line.h1", "x.line.h2").agg(F.min("x.other").alias("nearest"), F.count(F.lit(1)).alias("degree"))
-    info = distinct.join(linked, ["h1", "h2"], "left").where("copies > 1 or degree > 0").selectExpr(
-        "h1", "h2", "first", "nearest", "coalesce(degree, 0) as degree")
+    ends = links.selectExpr("explode(array(struct(b as line, a as other), struct(a as line, b as other))) as x")
+    linked = ends.groupBy("x.line").agg(F.min("x.other").alias("nearest"), F.count(F.lit(1)).alias("degree"))
+    info = distinct.withColumn("line", F.expr("struct(first.doc, first.pos, h1)")).join(linked, "line", "left").where(
+        "copies > 1 or degree > 0").selectExpr("h1", "h2", "first", "line", "nearest", "coalesce(degree, 0) as degree")
     info = written(info, "line-info")
     held = _lines(rows, min_chars).select("doc", "mark", "pos", "h1", "h2").join(info, ["h1", "h2"])
     held = held.selectExpr("doc", "mark", "pos", "degree", "first < struct(doc, pos, mark) as copy",
-                           "coalesce(nearest < struct(doc, pos, mark), false) as near")
+                           "coalesce(nearest < struct(doc, pos, h1), false) as near")
     per_doc = held.selectExpr("doc", "mark", "pos", "if(copy or near, pos, null) as gone", "near and not copy as near",
                               "degree")
     # equal rows of the table give equal positions: they count once
