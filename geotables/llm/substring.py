@@ -300,6 +300,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataF
     segments = written(_segments(docs, window, anchor), "segments")
     shared = (segments.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
               .where("least < most").select("anchor"))
+    shared = written(shared, "shared-anchors")  # a plain join follows, whose hot anchors Spark can split
     held = written(segments.join(shared, "anchor", "left_semi"), "shared-segments")
     distinct = held.groupBy("anchor", "content", "n").agg(
         F.min(F.struct("doc", "mark", "start")).alias("first"), F.max("doc").alias("last")).select(
