@@ -17,7 +17,7 @@ from geotables.llm.bpe import encode_bpe, n_tokens
 from geotables.llm.common import held_out, table, written
 from geotables.llm.decontaminate import contamination
 from geotables.llm.line_dedup import dedup_lines
-from geotables.llm.quality import fit_quality, score_quality, with_statistics
+from geotables.llm.quality import fit_quality, score_documents, with_statistics
 from geotables.llm.queries import CONTAMINATED, LINE_CHARS, LINE_EDITS, SIMHASH_BITS, SIMHASH_WORDS, tokenizer_path
 from geotables.llm.simhash import simhash_components
 
@@ -28,9 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents scored 0.7 or more by the classifier, learned from the labelled ones that aren't held out."""
     columns = docs.columns
     labelled = table(spark, sf_dir, "labels")
-    stats = with_statistics(docs)
-    model = fit_quality(stats.select("doc_id", "statistics"), labelled, where=f"not {held_out()}")
-    return score_quality(stats, model, out="__score").where(F.col("__score") >= QUALITY).select(*columns)
+    model = fit_quality(with_statistics(docs.select("doc_id", "text")), labelled, where=f"not {held_out()}")
+    return score_documents(docs, model, out="__score").where(F.col("__score") >= QUALITY).select(*columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from geotables.llm.common import RunHash, mix, slices
 
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PAIRS = 200_000, 200_000
 END = ""  # stands for the word-end mark inside this module
 SPACE_POINTS = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -135,7 +136,7 @@ class Encoder:
         key = a << 20 | b
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > CACHED_PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self._compatible(a, b, 1 << 60)
         return known
@@ -244,7 +245,7 @@ class SliceEncoder:
     def __init__(self, tables: dict):
         self.encoder = Encoder(tables)
         self.hash = RunHash(5)
-        self.cache: dict[int, list[int]] = {}
+        self.cache: dict[int, bytes] = {}
 
     def _words(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and the number of ids of each word."""
@@ -257,10 +258,11 @@ class SliceEncoder:
         for key, a, b in zip(keys.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
             ids = cache.get(key)
             if ids is None:
-                ids = cache[key] = word(text[a:b])
+                own = word(text[a:b])
+                ids = cache[key] = struct.pack(f"<{len(own)}I", *own)
             found.append(ids)
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint32)
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
         begins = np.cumsum(sizes) - sizes
         counts = sizes[inverse]
         total = int(counts.sum())

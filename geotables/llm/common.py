@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geotables.session import storage_root
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from geotables.llm.common import BYTE_VALUES, RunHash, slices, text_bytes, word_spans, written
 
 GROUP_BYTES = 8 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PAIRS_AT_ONCE = 1 << 20
 
 FOLD = np.arange(256, dtype=np.uint8)

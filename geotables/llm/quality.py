@@ -230,3 +230,17 @@ def score_quality(stats: DataFrame, model: Model, statistics_column: str = "stat
                                              [*names, out])
 
     return kept.mapInArrow(run, f"{fields}, `{out}` double")
+
+
+def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Adds the probability of label 1, statistics and score in one pass over the texts."""
+    docs = docs.drop(out)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                s = model.scores(statistics(part.column(text)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*part.schema.names, out])
+
+    return docs.mapInArrow(run, f"{fields}, `{out}` double")
