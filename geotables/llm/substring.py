@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.llm.common import BYTE_VALUES, SPACES, RunHash, mix, slices, text_bytes, word_spans, written
+from geotables.llm.common import BYTE_VALUES, SPACES, RunHash, slices, text_bytes, word_spans, written
 
 NO_ID = (1 << 63) - 1
 HOT_SEGMENTS = 4096
