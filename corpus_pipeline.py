@@ -58,7 +58,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document kept: doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers)."""
-    out = encode_bpe(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    out = encode_bpe(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), keep_text=False)
     return out.select("doc_id", "lang", "source", n_tokens().alias("n_tokens"), "ids")
 
 

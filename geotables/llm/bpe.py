@@ -345,10 +345,14 @@ def _with_column(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, str]
     return df, f"{fields}, `{column}` {kind}"
 
 
-def encode_bpe(docs: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ``ids``: the token ids of the whole text as little-endian unsigned 32-bit integers (binary)."""
+def encode_bpe(docs: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids",
+               keep_text: bool = True) -> DataFrame:
+    """Adds ``ids``: the token ids of the whole text as little-endian unsigned 32-bit integers (binary). Without
+    ``keep_text`` the texts don't travel back from the Python workers."""
     shared = _share(docs, tokenizer_json)
-    docs, schema = _with_column(docs, ids, "binary")
+    docs = docs.drop(ids)
+    kept = [c for c in docs.columns if keep_text or c != text]
+    schema = _with_column(docs.select(*kept), ids, "binary")[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
@@ -356,7 +360,7 @@ def encode_bpe(docs: DataFrame, tokenizer_json: str, text: str = "text", ids: st
             for part in slices(batch, text):
                 rows = encoder.texts(part.column(text).to_pylist())
                 column = pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), column], [*kept, ids])
 
     return docs.mapInArrow(run, schema)
 

@@ -20,7 +20,21 @@ from geotables.session import storage_root
 SLICE_BYTES = 1 << 20
 
 
+ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = 8 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers of this session get (by default up to 64 MB each, held on both sides).
+    A setting only: results don't depend on it. Smaller values of the session's own stay."""
+    for key, most in (("maxBytesPerBatch", ARROW_BATCH_BYTES), ("maxRecordsPerBatch", ARROW_BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = "".join(c for c in spark.conf.get(key, "0") if c.isdigit())
+        if not 0 < int(now or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -50,6 +64,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         to = max(to, at + 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

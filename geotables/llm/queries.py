@@ -87,7 +87,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, then decode the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode_bpe(encode_bpe(docs, tokenizer_path()).select("doc_id", "ids"), tokenizer_path())
+    done = decode_bpe(encode_bpe(docs, tokenizer_path(), keep_text=False), tokenizer_path())
     return done.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
