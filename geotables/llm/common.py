@@ -25,12 +25,9 @@ ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = 8 << 20, 2000
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers of this session get (by default up to 64 MB each, held on both sides).
-    A setting only: results don't depend on it. Smaller values of the session's own stay."""
-    for key, most in (("maxBytesPerBatch", ARROW_BATCH_BYTES), ("maxRecordsPerBatch", ARROW_BATCH_ROWS)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = "".join(c for c in spark.conf.get(key, "0") if c.isdigit())
-        if not 0 < int(now or 0) <= most:
-            spark.conf.set(key, str(most))
+    A setting only: results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
