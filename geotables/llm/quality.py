@@ -191,7 +191,8 @@ def fit_quality(stats: DataFrame, labels: DataFrame, label: str = "quality", whe
                 prior: float = PRIOR_LOG_ODDS, temperature: float = TEMPERATURE) -> Model:
     """Model learned from all rows of ``stats`` (doc_id, statistics) that have a label and meet ``where``."""
     known = labels.where(f"{label} in (0, 1)").selectExpr("doc_id", f"cast({label} as int) as k")
-    rows = stats.select("doc_id", "statistics").where(where).join(known, "doc_id").select("k", "statistics")
+    # a shuffled join at every size: the sums run in a stage, and in Python workers, of their own
+    rows = stats.select("doc_id", "statistics").where(where).join(known.hint("merge"), "doc_id").select("k", "statistics")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
