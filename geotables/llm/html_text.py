@@ -49,17 +49,22 @@ LIST_TAGS = {"ul", "ol", "dl", "table", "menu", "dir"}
 #: Elements that hold no article text wherever they stand, and those that do so only outside an article.
 OUT_TAGS = frozenset("nav aside form footer dialog menu button select noscript iframe".split())
 OUT_TAGS_OUTSIDE = frozenset(["header"])
-#: Words of class, id and role attributes that name such parts, and beginnings of words.
-OUT_WORDS = frozenset(
-    "ad ads adv advert adverts banner nav navbar navigation menu menubar sidebar aside footer cookie cookies consent"
-    " notice notices alert popup modal overlay comment comments respond reply replies disqus share sharing social related"
-    " breadcrumb breadcrumbs pagination pager newsletter subscribe signup login search promo sponsor sponsored widget toolbar"
-    " skip masthead topbar contentinfo complementary".split())
-OUT_STARTS = ("comment", "advert", "sponsor", "cookie", "sidebar", "newsletter", "breadcrumb", "disqus", "googlead")
-OUT_WORDS_OUTSIDE = frozenset(["header"])
-#: Parts that an article cannot be inside of; an article that opens inside any other such part is one all the same, as the
-#: part was left open or wraps the page.
-STRICT = frozenset("nav aside footer dialog menu comment comments respond reply replies disqus related widget".split())
+#: Whole class, id and role names of parts that are no article text. A name joined by hyphens counts if all its words are
+#: such names or carriers, so 'cookie-notice' and 'related-posts' do, 'with-sidebar' and 'social-history' don't.
+OUT_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement nav navbar navigation menubar sidebar footer cookie cookies consent comment comments"
+    " respond reply replies disqus share sharing related breadcrumb breadcrumbs pagination pager newsletter subscribe signup"
+    " login sponsored masthead topbar contentinfo complementary".split())
+#: Names that articles use for their own parts as well: they count in a joined name only.
+JOINED_NAMES = frozenset("notice notices alert popup modal overlay menu social promo sponsor widget toolbar banner search skip".split())
+CARRIERS = frozenset("area bar box block buttons container form inner links list outer posts section site thread top wrap wrapper".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar".split())
+#: Parts that an article cannot be inside of, unless it is most of the page; an article that opens inside any other such part
+#: is one all the same, as the part was left open or wraps the page.
+STRICT = frozenset("nav aside footer dialog menu".split())
+STRICT_NAMES = frozenset("nav sidebar footer comment comments respond reply replies disqus related".split())
+#: A part that holds this share of the page's running text, or of its articles', is never out by its name.
+MOST = 0.5
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + RAW + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -69,43 +74,82 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"
 WORD = re.compile(r"[a-z]+")
 
 
-def _attributes(text: str) -> tuple[tuple[str, ...], bool]:
-    """Words of class, id and role; whether the element is hidden."""
+def _attributes(text: str) -> tuple[tuple[str, ...], frozenset[str], bool]:
+    """Words of class, id and role; the names among them that mark parts without article text; whether it is hidden."""
     words: list[str] = []
+    names: set[str] = set()
     hidden = False
     if text:
         for name, a, b, c in ATTRIBUTE.findall(text):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id", "role"):
                 words += WORD.findall(value)
+                for whole in value.split():
+                    if name == "role" and whole in OUT_ROLES:
+                        names.add(whole)
+                    pieces = set(re.split(r"[-_]+", whole)) - {""}
+                    if pieces <= OUT_NAMES | JOINED_NAMES | CARRIERS and (
+                            pieces & OUT_NAMES or (len(pieces) > 1 and pieces & JOINED_NAMES)):
+                        names |= pieces - CARRIERS
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 hidden = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-    return tuple(words), hidden
+    return tuple(words), frozenset(names), hidden
 
 
 class Element:
-    __slots__ = ("name", "token", "out", "strict", "article", "link", "depth", "path", "parent", "chars")
+    __slots__ = ("name", "names", "hidden", "opens", "token", "out", "strict", "article", "link", "depth", "path", "parent",
+                 "chars")
 
-    def __init__(self, name: str, words: tuple[str, ...], hidden: bool, parent: Element | None):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, words: tuple[str, ...], names: frozenset[str], hidden: bool, parent: Element | None):
+        self.name, self.names, self.hidden, self.parent = name, names, hidden, parent
         self.path = (parent.path if parent else "") + ">" + ".".join((name, *words))
         self.token = xxhash.xxh64_intdigest(self.path) - (1 << 63)
         self.depth = parent.depth + 1 if parent else 0
         self.chars = 0
+        self.opens = name in ("article", "main") or "main" in words and words[0] == "main" and not names
+        self.link = name == "a" or (parent is not None and parent.link)
+        self.place(True)
+
+    def place(self, named: bool) -> None:
+        """Sets out, strict and article from the parent's; ``named``: whether names, and a form, mark parts out."""
+        parent = self.parent
         inside = parent is not None and parent.article
-        own = {name} if name in OUT_TAGS or (name in OUT_TAGS_OUTSIDE and not inside) else set()
-        if name not in ("html", "body"):
-            own |= {w for w in words if w in OUT_WORDS or w.startswith(OUT_STARTS) or (w in OUT_WORDS_OUTSIDE and not inside)}
-        strict = bool(own & STRICT) or any(w.startswith(("comment", "disqus")) for w in own) or hidden
+        own = (self.name in OUT_TAGS and (named or self.name != "form")) or (self.name in OUT_TAGS_OUTSIDE and not inside)
+        strict = self.name in STRICT or self.hidden
+        if named and self.names and self.name not in ("html", "body"):
+            own, strict = True, strict or bool(self.names & STRICT_NAMES)
         self.strict = strict or (parent is not None and parent.strict)
-        self.out = bool(own) or hidden or (parent is not None and parent.out)
-        opens = name in ("article", "main") or "main" in words and words[0] == "main"
-        if opens and not own and not self.strict:
+        self.out = own or self.hidden or (parent is not None and parent.out)
+        if self.opens and not own and not self.strict:
             self.out = False
-        self.article = inside or (opens and not self.strict)
-        self.link = name == "a" or (parent is not None and parent.link)
+        self.article = inside or (self.opens and not self.strict)
+
+
+def settle(elements: list[Element], runs: list[tuple[Element | None, str, bool]]) -> None:
+    """Names are hints for small parts: one that holds most of the running text, or of the articles', is in all the same."""
+    if not any(e.names or e.name == "form" for e in elements):
+        return
+    for e in elements:
+        e.place(False)
+    total = in_articles = 0
+    below: dict[int, list[int]] = {}
+    for element, text, _ in runs:
+        n = len(text.strip())
+        if n and (element is None or not (element.out or element.link)):
+            total += n
+            in_articles += n * (element is not None and element.article)
+            e = element
+            # text of an article counts for the parts around the article, not for those inside it
+            while e is not None:
+                x = below.setdefault(id(e), [0, 0])
+                x[0] += n
+                x[1] += n * (element.article and not (e.parent is not None and e.parent.article))
+                e = e.parent
+    for e in elements:
+        all_text, article_text = below.get(id(e), (0, 0))
+        e.place(not (all_text and (all_text > MOST * total or article_text > MOST * in_articles)))
 
 
 def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str, bool]]]:
@@ -149,6 +193,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str, boo
         stack.append(element)
     if at < len(page):
         runs.append((stack[-1] if stack else None, page[at:], broke))
+    settle(elements, runs)
     return elements, runs
 
 

@@ -53,3 +53,16 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, extract_main_text(pages).collect()))
     monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, extract_main_text(pages).collect())) == want
+
+
+def test_names_are_hints_for_small_parts():
+    body = "<p>" + "real text " * 20 + "</p>"
+    text = " ".join(["real text"] * 20)
+    for name in ("content with-sidebar", "no-comments", "has-widget", "related-topic", "comments", "sidebar", "widget"):
+        assert main_text(f'<body><div class="{name}">{body}</div></body>', frozenset()) == text
+        assert main_text(f'<body><div class="{name}"><article>{body}</article></div></body>', frozenset()) == text
+    assert main_text(f"<body><form><div>{body}</div></form></body>", frozenset()) == text
+    for name in ("commentary", "social-history", "search", "alert", "banner"):
+        assert main_text(f'<article>{body}<p class="{name}">more</p></article>', frozenset()) == f"{text} more"
+    for name in ("comments", "comment-list", "cookie-notice", "share-buttons", "related-posts"):
+        assert main_text(f'<article>{body}<div class="{name}">no</div></article>', frozenset()) == text
