@@ -4,13 +4,18 @@ A token is an opening tag with its path (names and class words from the root). O
 share an occurrence vector (how often they stand in each page) form an equivalence class; the vector is compared
 through two 64-bit sums by exclusive or of hashes of (page, count), which Spark adds up before the shuffle, so a host
 with a third of all pages is no hot group. A class is valid if it spans enough of the host's pages and holds more than
-one token. The tokens of valid classes, nested by their paths, are the host's template; what is left between them are
-its slots. The main slot of a host is the article or main element of the template or, where the template has none, the
-deepest once-a-page token below which most of the running text stands.
-
-A page's text is taken from the main slot of its host, without the parts of the template that by name or class are
-menus, page headers, footers, sidebars, notices, adverts, forms or reader comments, and without scripts and styles. A page
-whose host has no template (too few pages) or that lacks its main slot is read by the same rule from its own tokens.
+one token. The tokens of valid classes, nested by their paths, are the host's template, and the text below each of them is a
+slot. The main slots of a host are the article or main elements of the template; where it has none, all of the page.
+
+Slots of small block-level elements inside are left out where they repeat: in an article if one text stands there on
+nearly all pages of the host; unless the articles themselves repeat; elsewhere if at most half of the pages differ in it, or if links are all it ever holds. Only
+the pages that have a recurring text lose it, a slot with most of the host's running text is never left out, and a page that
+would have no text left keeps its slots.
+
+A page's text is taken from the main slots of its host, without the parts that are menus, page headers, footers, sidebars,
+adverts, forms or reader comments by their element or name, and without scripts and styles. A page whose host has no
+main slot, or that lacks it, is read from its own article or main elements or else from the deepest element that holds all of
+its running text.
 Character references are decoded, block-level tags and line breaks separate, white space becomes one space.
 
 Templates are a few numbers per host. They are broadcast if their measured size is below ``BROADCAST_BYTES`` and joined
@@ -32,6 +37,9 @@ from pyspark.sql import functions as F
 from geotables.llm.common import slices, written
 
 MIN_PAGES, MIN_SHARE, MAIN_SHARE = 3, 0.5, 0.6
+#: Share of a host's pages with one text that makes a slot of an article template text; share of different texts up to which
+#: another slot is; share of the pages from which a text counts as recurring there.
+SAME_SHARE, VARIED_SHARE, RECURRING_SHARE = 0.9, 0.5, 0.05
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
 
@@ -45,6 +53,8 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"br", "body", "html", "head", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
               "th": {"td", "th"}, "option": {"option"}}
+#: Elements that can be slots of their own; any other block-level element can if it has a class, id or role.
+SLOT_TAGS = frozenset("div section ul ol dl table header figure details center menu dir address fieldset".split())
 LIST_TAGS = {"ul", "ol", "dl", "table", "menu", "dir"}
 #: Elements that hold no article text wherever they stand, and those that do so only outside an article.
 OUT_TAGS = frozenset("nav aside form footer dialog menu button select noscript iframe".split())
@@ -71,7 +81,8 @@ TAG = re.compile(
     r"|<(" + SKIPPED + r")(?=[\s/>])[^>]*>.*?</\2\s*>|<(/?)([a-zA-Z][^\s/>]*)"
     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORD = re.compile(r"[a-z]+")
+#: Digits tell the slots of a template apart; longer numbers are those of the page.
+WORD = re.compile(r"[a-z]+(?:\d{1,2}(?!\d))?")
 
 
 def _attributes(text: str) -> tuple[tuple[str, ...], frozenset[str], bool]:
@@ -100,7 +111,7 @@ def _attributes(text: str) -> tuple[tuple[str, ...], frozenset[str], bool]:
 
 class Element:
     __slots__ = ("name", "names", "hidden", "opens", "token", "out", "strict", "article", "link", "depth", "path", "parent",
-                 "chars")
+                 "chars", "slot")
 
     def __init__(self, name: str, words: tuple[str, ...], names: frozenset[str], hidden: bool, parent: Element | None):
         self.name, self.names, self.hidden, self.parent = name, names, hidden, parent
@@ -110,6 +121,7 @@ class Element:
         self.chars = 0
         self.opens = name in ("article", "main") or "main" in words and words[0] == "main" and not names
         self.link = name == "a" or (parent is not None and parent.link)
+        self.slot = name in SLOT_TAGS or name in ("article", "main") or (name in BLOCK and bool(words) and name not in ("html", "body"))
         self.place(True)
 
     def place(self, named: bool) -> None:
@@ -207,34 +219,67 @@ def count_text(runs: list[tuple[Element | None, str, bool]]) -> None:
                 element = element.parent
 
 
-def own_main(elements: list[Element]) -> set[int]:
-    """Tokens of the main slot by the page alone."""
+def texts_below(elements: list[Element], runs: list[tuple[Element | None, str, bool]]) -> dict[int, int]:
+    """Per token that can be a slot, a hash of the token with all text below it on the page, links included."""
+    sums: dict[int, int] = {}
+    for element, text, _ in runs:
+        text = " ".join(text.split())
+        if text:
+            h = xxhash.xxh64_intdigest(text)
+            while element is not None:
+                if element.slot:
+                    sums[element.token] = (sums.get(element.token, 0) * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
+                element = element.parent
+    return {token: xxhash.xxh64_intdigest(f"{token} {x}") - (1 << 63) for token, x in sums.items()}
+
+
+def own_main(elements: list[Element], runs: list[tuple[Element | None, str, bool]]) -> set[int]:
+    """Tokens of the main slots by the page alone; none if only the whole page will do."""
     found = {e.token for e in elements if e.name == "article" and not e.out} or {
         e.token for e in elements if e.article and not e.out and not (e.parent and e.parent.article)}
     if found:
         return found
-    total = max((e.chars for e in elements), default=0)
-    best = max((e for e in elements if e.chars >= MAIN_SHARE * total and e.name not in ("p", "b", "i", "span") and not e.out),
+    total = sum(len(text.strip()) for e, text, _ in runs if e is None or not (e.out or e.link))
+    best = max((e for e in elements if total and e.chars == total and e.name not in ("p", "b", "i", "span") and not e.out),
                key=lambda e: e.depth, default=None)
-    return {best.token} if best is not None and total else set()
+    return {best.token} if best is not None else set()
 
 
-def main_text(page: str | None, main: frozenset[int] | set[int]) -> str:
-    """Text of the slots below the ``main`` tokens, or below the page's own if it has none of them."""
+def main_text(page: str | None, main: frozenset[int] | set[int], same: frozenset[int] | set[int] = frozenset()) -> str:
+    """Text of the slots below the ``main`` tokens, or below the page's own if it has none of them, without the slots in
+    ``same``: tokens, or hashes of a token with its text."""
     if not page:
         return ""
     elements, runs = parse(page)
     if not any(e.token in main for e in elements):
         count_text(runs)
-        main = own_main(elements)
+        main = own_main(elements, runs)
+    texts = texts_below(elements, runs) if same else {}
+    found = _text(runs, main, {t for t, x in texts.items() if t in same or x in same})
+    return found if found or not texts else _text(runs, main, set())
+
+
+def _text(runs: list[tuple[Element | None, str, bool]], main: frozenset[int] | set[int], without: set[int]) -> str:
     inside: dict[int, bool] = {}
 
     def wanted(e: Element | None) -> bool:
+        """Below a main token (or anywhere, without one) and in no part left out."""
         if e is None:
             return not main
         known = inside.get(id(e))
         if known is None:
-            known = inside[id(e)] = not e.out and (not main or e.token in main or (e.parent is not None and wanted(e.parent)))
+            known = inside[id(e)] = not e.out and not left_out(e) and (
+                not main or e.token in main or (e.parent is not None and wanted(e.parent)))
+        return known
+
+    gone: dict[int, bool] = {}
+
+    def left_out(e: Element) -> bool:
+        if not without:
+            return False
+        known = gone.get(id(e))
+        if known is None:
+            known = gone[id(e)] = e.token in without or (e.parent is not None and left_out(e.parent))
         return known
 
     parts: list[str] = []
@@ -253,31 +298,35 @@ HOST = r"regexp_replace(lower(regexp_extract(coalesce({url}, ''), '^[a-zA-Z][a-z
 
 
 def token_counts(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """Per host and token: pages, occurrences, the two signatures of the occurrence vector, running text below, kind."""
+    """Per host, token and text below it (0 for tokens that can't be slots): pages, occurrences, the two signatures of the
+    occurrence vector, running text below, depth, kind, whether it can be a slot. Token 0 stands for whole pages."""
     rows = pages.selectExpr(f"{html} as html", f"{HOST.format(url=url)} as host",
                             f"xxhash64({url}, {html}, monotonically_increasing_id()) as page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                sums: dict[tuple[str, int], list[int]] = {}
+                sums: dict[tuple[str, int, int], list[int]] = {}
                 for page, host, key in zip(*(part.column(c).to_pylist() for c in ("html", "host", "page")), strict=True):
                     if not page:
                         continue
                     elements, runs = parse(page)
                     count_text(runs)
-                    own: dict[int, list[int]] = {}
+                    texts = texts_below(elements, runs)
+                    total = sum(len(t.strip()) for e, t, _ in runs if e is None or not (e.out or e.link))
+                    own: dict[int, list[int]] = {0: [1, total, 0, False, False, False, False]}
                     for e in elements:
-                        x = own.setdefault(e.token, [0, 0, e.depth, e.out, e.name == "article", e.article])
+                        x = own.setdefault(e.token, [0, 0, e.depth, e.out, e.name == "article", e.article, e.slot])
                         x[0] += 1
                         x[1] += e.chars
-                    for token, (n, chars, depth, out, article, inside) in own.items():
+                    for token, (n, chars, depth, out, article, inside, slot) in own.items():
                         kind = 0 if out else 3 if article else 2 if inside else 1
                         a = xxhash.xxh64_intdigest(f"{key} {n}", 1) - (1 << 63)
                         b = xxhash.xxh64_intdigest(f"{key} {n}", 2) - (1 << 63)
-                        x = sums.get((host, token))
+                        place = host, token, texts.get(token, 0)
+                        x = sums.get(place)
                         if x is None:
-                            sums[host, token] = [1, n, a, b, chars, depth, kind]
+                            sums[place] = [1, n, a, b, chars, depth, kind, int(slot)]
                         else:
                             x[0] += 1
                             x[1] += n
@@ -288,53 +337,72 @@ def token_counts(pages: DataFrame, html: str, url: str) -> DataFrame:
                 if sums:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()),
-                         *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(7))],
-                        ["host", "token", "pages", "n", "a", "b", "chars", "depth", "kind"])
+                         pa.array([k[2] for k in sums], pa.int64()),
+                         *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(8))],
+                        ["host", "token", "text", "pages", "n", "a", "b", "chars", "depth", "kind", "slot"])
+
+    schema = ("host string, token bigint, text bigint, pages bigint, n bigint, a bigint, b bigint, chars bigint, depth bigint,"
+              " kind bigint, slot bigint")
+    return rows.mapInArrow(run, schema).groupBy("host", "token", "text").agg(*_sums())
+
 
-    schema = "host string, token bigint, pages bigint, n bigint, a bigint, b bigint, chars bigint, depth bigint, kind bigint"
-    return rows.mapInArrow(run, schema).groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"),
-        F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.max("kind").alias("kind"))
+def _sums() -> list:
+    return [F.expr(f"{f}({c}) as {c}") for f, c in (
+        ("sum", "pages"), ("sum", "n"), ("bit_xor", "a"), ("bit_xor", "b"), ("sum", "chars"), ("max", "depth"),
+        ("max", "kind"), ("max", "slot"))]
 
 
-def templates(counts: DataFrame) -> DataFrame:
-    """host, main array<bigint>: the main slot of every host with a template."""
+def templates(texts: DataFrame) -> DataFrame:
+    """host, main array<bigint>, same array<bigint>: the main slots of every host with a template, and the tokens and texts of
+    slots to leave out; ``texts`` is a stored table of token_counts."""
+    counts = texts.groupBy("host", "token").agg(*_sums(), F.count(F.lit(1)).alias("texts"), F.max("pages").alias("top"))
     per_host = counts.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("chars").alias("host_chars"))
     known = counts.join(per_host.where(f"host_pages >= {MIN_PAGES}"), "host").where(
-        f"pages >= {MIN_PAGES} and pages >= {MIN_SHARE} * host_pages")
-    classes = known.groupBy("host", "pages", "a", "b").agg(
-        F.count(F.lit(1)).alias("size"), F.collect_list(F.struct("token", "n", "chars", "depth", "kind")).alias("tokens"),
-        F.max("host_chars").alias("host_chars"))
-    skeleton = classes.where("size >= 2").selectExpr("host", "pages", "host_chars", "inline(tokens)").where("kind > 0")
-    # the article, else the main element nearest to the root, else the deepest token above most of the running text
-    ranked = skeleton.where(f"kind >= 2 or (n = pages and chars >= {MAIN_SHARE} * host_chars)").selectExpr(
-        "host", "token", "if(kind >= 2, kind, 1) * 100000 + if(kind = 3, 0, if(kind = 2, -depth, depth)) as weight")
+        f"token <> 0 and pages >= {MIN_PAGES} and pages >= {MIN_SHARE} * host_pages")
+    classes = known.groupBy("host", "a", "b").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.collect_list(F.struct("token", "pages", "chars", "depth", "kind", "slot", "texts", "top")).alias("tokens"),
+        F.max("host_chars").alias("host_chars"), F.max("host_pages").alias("host_pages"))
+    skeleton = classes.where("size >= 2").selectExpr("host", "host_pages", "host_chars", "inline(tokens)").where("kind > 0")
+    # the article, else the main element nearest to the root
+    ranked = skeleton.where("kind >= 2").selectExpr("host", "token", "if(kind = 3, 100000, -depth) as weight")
     best = ranked.groupBy("host").agg(F.max("weight").alias("weight"))
-    return ranked.join(best, ["host", "weight"]).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("main"))
+    main = ranked.join(best, ["host", "weight"]).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("main"))
+    # where the articles themselves repeat, a text in all of them says nothing
+    varied = skeleton.where("kind >= 2 and slot = 1").groupBy("host").agg(
+        (F.max(F.expr("texts / pages")) > VARIED_SHARE).alias("varied"))
+    small = skeleton.join(varied, "host", "left").where(f"slot = 1 and kind < 3 and chars <= {1 - MAIN_SHARE} * host_chars")
+    links = small.where("kind = 1 and chars = 0").selectExpr("host", "token as x")
+    recurring = small.where(f"if(kind = 2, varied and top >= {SAME_SHARE} * host_pages, chars > 0 and texts <= {VARIED_SHARE} * pages)")
+    same = texts.select("host", "token", "text", F.col("pages").alias("text_pages")).join(
+        recurring.select("host", "token", "kind", "pages", "top"), ["host", "token"]).where(
+        f"text <> 0 and text_pages >= if(kind = 2, top, greatest(2, {RECURRING_SHARE} * pages))").selectExpr("host", "text as x")
+    same = links.unionByName(same).groupBy("host").agg(F.sort_array(F.collect_set("x")).alias("same"))
+    return main.join(same, "host", "full")
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text",
                       n_chars: str = "n_chars") -> DataFrame:
     """Replaces ``html`` by ``text``, the main text, and ``n_chars``, its code points."""
-    found = written(templates(token_counts(pages, html, url)), "html-templates")
-    measured = found.agg(F.sum(F.length("host") + 8 * F.size("main") + 64).alias("bytes")).first().bytes or 0
+    found = written(templates(written(token_counts(pages, html, url), "html-texts")), "html-templates")
+    measured = found.agg(F.sum(F.length("host") + 8 * (F.greatest(F.size("main"), F.lit(0)) + F.greatest(F.size("same"), F.lit(0))) + 64).alias("bytes")).first().bytes or 0
     rows = pages.drop(text, n_chars) if text != html else pages.drop(n_chars)
     rows = rows.withColumn("__host", F.expr(HOST.format(url=url)))
     if measured <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(found.toDF("__host", "__main")), "__host", "left")
+        rows = rows.join(F.broadcast(found.toDF("__host", "__main", "__same")), "__host", "left")
     else:
-        salted = found.selectExpr("host as __host", "main as __main", f"explode(sequence(0, {SALTS - 1})) as __salt")
+        salted = found.selectExpr("host as __host", "main as __main", "same as __same", f"explode(sequence(0, {SALTS - 1})) as __salt")
         rows = (rows.withColumn("__salt", F.expr(f"cast(pmod(xxhash64({url}, {html}), {SALTS}) as int)"))
                 .join(salted, ["__host", "__salt"], "left").drop("__salt"))
     rows = rows.drop("__host")
-    kept = [f for f in rows.schema.fields if f.name not in (html, "__main")]
+    kept = [f for f in rows.schema.fields if f.name not in (html, "__main", "__same")]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, html):
-                out = [main_text(p, frozenset(m or ())) for p, m in
-                       zip(part.column(html).to_pylist(), part.column("__main").to_pylist(), strict=True)]
+                out = [main_text(p, frozenset(m or ()), frozenset(x or ())) for p, m, x in
+                       zip(*(part.column(c).to_pylist() for c in (html, "__main", "__same")), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), pa.array(out, pa.string()),
                      pa.array([len(x) for x in out], pa.int64())], [*(f.name for f in kept), text, n_chars])

@@ -66,3 +66,26 @@ def test_names_are_hints_for_small_parts():
         assert main_text(f'<article>{body}<p class="{name}">more</p></article>', frozenset()) == f"{text} more"
     for name in ("comments", "comment-list", "cookie-notice", "share-buttons", "related-posts"):
         assert main_text(f'<article>{body}<div class="{name}">no</div></article>', frozenset()) == text
+
+
+def test_sibling_containers_and_recurring_slots(spark):
+    def siblings(i):
+        return (f'<html><body><div class="y1"><a href="/">home {i}</a></div><div class="y2"><p>lead {"one " * 30}{i}</p></div>'
+                f'<div class="y3"><p>body {"two " * 60}{i}</p></div><div class="y4">imprint of it</div></body></html>')
+
+    def article(i):
+        notice = "another" if i == 9 else "Subscribe to our letter"
+        return f'<html><body><article><h1>t {i}</h1><div class="z1">{notice}</div><p>text {"word " * 30}{i}</p></article>'
+
+    hosts = {"siblings": (siblings, 6), "article": (article, 20), "copies": (lambda i: article(1), 6),
+             "few": (siblings, 1)}
+    rows = [(f"{h}-{i}", f"https://{h}.example/{i}", make(i)) for h, (make, n) in hosts.items() for i in range(n)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id string, url string, html string"))
+           .collect()}
+    lead, body, text = "lead " + "one " * 30, "body " + "two " * 60, "text " + "word " * 30
+    for i in range(6):
+        assert got[f"siblings-{i}"] == f"{lead}{i} {body}{i}"
+    for i in range(20):
+        assert got[f"article-{i}"] == (f"t {i} another {text}{i}" if i == 9 else f"t {i} {text}{i}")
+    assert lead in got["few-0"] and body in got["few-0"]
+    assert all(got[f"copies-{i}"] == f"t 1 Subscribe to our letter {text}1" for i in range(6))
