@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame, which is
 written as Parquet to the shared folder and read again as the next stage's docs. All stages but the last return the columns
 of ``documents``. Null and empty texts, repeated rows and ties are treated as the operators say; a document without text
-passes the quality score like any other, and goes with the lines or near copies if it has nothing to keep.
+passes the quality score like any other, and goes with the lines or near copies if it has nothing to keep. Decisions on near
+copies and benchmark passages are taken for each pair of id and text, null or repeated ids included.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from geotables.llm.queries import CONTAMINATED, LINE_CHARS, LINE_EDITS, SIMHASH_
 from geotables.llm.simhash import simhash_components
 
 QUALITY = 0.7
+#: Key of a row: equal for rows with equal id and text only, which get the same decisions.
+ROW = "xxhash64(doc_id, doc_id is null, text, text is null)"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +45,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    found = simhash_components(docs, SIMHASH_WORDS, SIMHASH_BITS)
-    kept = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept.withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id"), "left_semi")
+    """One document of each group of near copies: that with the smallest id (null ids last, then by a hash of the row)."""
+    found = simhash_components(docs.selectExpr(f"{ROW} as doc_id", "text"), SIMHASH_WORDS, SIMHASH_BITS)
+    ids = docs.selectExpr(f"{ROW} as __row", "doc_id as __id").distinct()
+    of = found.selectExpr("doc_id as __row", "component_id").distinct().join(ids, "__row")
+    kept = of.groupBy("component_id").agg(F.min(F.expr("struct(__id is null as last, __id, __row)")).alias("x")).select("x.__row")
+    whole = docs.withColumn("__row", F.expr(ROW)).join(kept, "__row", "left_semi").drop("__row")
     return whole.dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), size=13)
-    bad = found.where(CONTAMINATED).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.expr("doc_id <=> __id"), "left_anti")
+    found = contamination(docs.selectExpr(f"{ROW} as doc_id", "text"), table(spark, sf_dir, "benchmark"), size=13)
+    bad = found.where(CONTAMINATED).select(F.col("doc_id").alias("__row")).distinct()
+    return docs.withColumn("__row", F.expr(ROW)).join(bad, "__row", "left_anti").drop("__row")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,21 @@ def test_stages_with_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
     assert cp.line_stage(spark, docs, SF).count() == 5
     assert sorted(r.doc_id for r in cp.simhash_stage(spark, docs.where("doc_id is not null"), SF).collect()) == [1, 3]
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_one_by_one(spark):
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], kind)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    passage = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 13)
+    clean = [(None, "a clean text without an id"), (None, "another clean text"), (5, "clean text of an id that comes again")]
+    bad = [(None, passage), (5, passage), (6, passage)]
+    assert texts(cp.benchmark_stage(spark, frame(clean + bad), SF)) == sorted(clean, key=repr)
+
+    words = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(4)]
+    near = lambda t: t + " end"
+    rows = [(None, words[0]), (None, near(words[0])), (None, words[1]), (4, near(words[1])), (5, words[2]), (5, near(words[2])),
+            (5, words[3])]
+    got = texts(cp.simhash_stage(spark, frame(rows), SF))
+    assert len(got) == 4 and (4, near(words[1])) in got and (5, words[3]) in got
+    assert sorted((d is None, t[:4]) for d, t in got) == [(False, "w1x0"), (False, "w2x0"), (False, "w3x0"), (True, "w0x0")]
