@@ -3,8 +3,8 @@
 Bytes are folded to classes (ASCII letters without case, one class for all other ASCII bytes, every other byte its
 own) and embedded; filters of widths 2, 3 and 4 run over fixed-length windows, each filter's largest response in the
 window goes through a rectifier, and a dense layer with softmax gives the languages. Training is minibatch Adam over
-windows of a bounded sample of labelled rows, at most about ``docs_per_lang`` rows of each language (picked by a hash
-of the id) with ``windows_per_doc`` windows spread over the whole text; half of the windows are shortened so that short
+windows of a bounded sample of labelled rows, ``docs_per_lang`` rows of each language (or all, if fewer) with the smallest
+hashes of id and text, equal rows counted one by one, with ``windows_per_doc`` windows spread over the whole text; half of the windows are shortened so that short
 texts are learned too. Nothing else is sampled: a prediction uses every window of the whole text, and averages their
 probabilities weighted by the letters in them.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.llm.common import slices, text_bytes
+from geotables.llm.common import slices, text_bytes, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -149,28 +149,44 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", where:
                  docs_per_lang: int = 1500, windows_per_doc: int = 6) -> Network | None:
     """Network learned from a bounded sample (see the module text) of the rows with a language; None without any."""
     known = docs.where(f"{lang} is not null and {text} is not null").where(where)
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row per language
+    known = known.withColumn("__key", F.expr(f"xxhash64(doc_id, doc_id is null, {text}, 4)"))
+    # equal rows share a key and teach the same, so a key and the number of its rows say it all
+    keys = written(known.groupBy(F.col(lang).alias("lang"), F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("n")),
+                   "language-keys")
+    counts = {r[0]: r[1] for r in keys.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, docs_per_lang / counts[k]))])
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < F.element_at(share, F.col(lang)) * (1 << 20))
+    # twice the keys that are needed, in the mean, so that hardly ever too few are left
+    below = {k: min(1.0, (2 * docs_per_lang + 100) / counts[k]) for k in languages}
+    share = F.create_map(*[F.lit(v) for k in languages for v in (k, below[k])])
+    low = keys.where(F.shiftrightunsigned("key", 11) <= F.element_at(share, F.col("lang")) * float(1 << 53))
+    taken, room = [], dict.fromkeys(languages, docs_per_lang)
+    for r in sorted(low.collect(), key=lambda r: (r.lang, r.key & (1 << 64) - 1)):  # bounded by the parameters
+        times = min(r.n, room[r.lang])
+        if times:
+            taken.append((r.lang, r.key, times))
+            room[r.lang] -= times
+    wanted = docs.sparkSession.createDataFrame(taken, "__lang string, __key bigint, __times int")
+    picked = known.select(F.col(text), F.col(lang), "__key").join(
+        F.broadcast(wanted), (F.col(lang) == F.col("__lang")) & (known["__key"] == wanted["__key"])).select(
+        text, lang, known["__key"], "__times").dropDuplicates([lang, "__key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 x, of = windows_of(part.column(text))
-                names = part.column(lang).to_pylist()
+                names, times = part.column(lang).to_pylist(), part.column("__times").to_pylist()
                 for i, name in enumerate(names):
                     own = np.flatnonzero(of == i)
                     own = own[np.unique(np.linspace(0, len(own) - 1, min(len(own), windows_per_doc)).astype(int))] \
                         if len(own) else own
-                    own = own[(x[own] > 0).any(axis=1)]
+                    own = np.tile(own[(x[own] > 0).any(axis=1)], times[i])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(own), pa.string()), pa.array([x[j].tobytes() for j in own], pa.binary())],
                         ["lang", "x"])
 
-    rows = picked.select(text, lang).mapInArrow(cut, "lang string, x binary").collect()  # bounded by the parameters
+    rows = picked.select(text, lang, "__times").mapInArrow(cut, "lang string, x binary").collect()  # bounded by the parameters
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))

@@ -50,3 +50,13 @@ def test_nulls_empty_and_texts_without_letters(spark):
     assert {r.lang_pred for r in predict_language(docs, None).collect()} == {"und"}
     assert fit_language(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")) is None
     assert has_letters("é") and not has_letters("1 _")
+
+
+def test_sample_is_exact_with_null_and_repeated_ids(spark, monkeypatch):
+    import geotables.llm.langid as module
+    rows = [(None, f"null row {i}", "aa") for i in range(200)] + [(7, f"same id {i}", "bb") for i in range(200)]
+    rows += [(9, "equal rows", "cc")] * 200 + [(i, f"few {i}", "dd") for i in range(5)]
+    seen = {}
+    monkeypatch.setattr(module, "train", lambda x, y, languages: seen.update(n=np.bincount(y).tolist(), of=languages))
+    module.fit_language(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), docs_per_lang=20)
+    assert seen == {"n": [20, 20, 20, 5], "of": ["aa", "bb", "cc", "dd"]}
