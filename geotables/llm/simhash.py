@@ -17,7 +17,7 @@ different fingerprints that differ in at most ``distance`` bits are found like t
   probe and a stored fingerprint that meet are verified by their full distance.
 
 Buckets are worked on in the tasks that get them; of the links of one large bucket only a spanning forest comes out, which
-has the same connected components. A bucket whose histogram count is above ``BUCKET_ROWS`` is split into chunks of stored and
+has the same connected components. A bucket with more than ``BUCKET_ROWS`` stored fingerprints or probes, both counted, is split into chunks of stored and
 of probing fingerprints, each pair of chunks a bucket of its own, so no task needs more than two chunks at once.
 Components come from alternating large-star and small-star steps on the links, each written to the shared folder.
 
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,8 +167,10 @@ def number_of_parts(n: int, distance: int) -> int:
 class Plan:
     """Partitions, ball sums of their histograms, and chunk numbers of large buckets."""
 
-    def __init__(self, bits: list[list[int]], distance: int, histograms: list[np.ndarray]):
+    def __init__(self, bits: list[list[int]], distance: int, histograms: list[np.ndarray],
+                 probes: list[np.ndarray] | None = None):
         self.bits, self.distance = bits, distance
+        self.probes = histograms if probes is None else probes
         self.widths = [len(b) for b in bits]
         self.histograms = histograms
         self.sums = []
@@ -223,48 +226,84 @@ class Plan:
         w = self.widths[part]
         return np.array([sum(1 << b for b in c) for k in range(1, threshold + 1) for c in combinations(range(w), k)], np.int64)
 
-    def chunks(self, part: int, values: np.ndarray) -> np.ndarray:
+    def chunks(self, part: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks of the stored fingerprints and of the probes of each value's bucket."""
         short = values & ((1 << min(self.widths[part], HISTOGRAM_BITS)) - 1)
-        return np.maximum(-(-self.histograms[part][short] // BUCKET_ROWS), 1)
+        return tuple(np.maximum(-(-h[part][short] // BUCKET_ROWS), 1) for h in (self.histograms, self.probes))
 
 
 STORED, PROBE = 1, 2
 
 
+def probes(plan: Plan, f: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, places in f, values) of all probes of other values than a fingerprint's own."""
+    values = [plan.values(f, i) for i in range(len(plan.bits))]
+    t = plan.thresholds(values)
+    for i, v in enumerate(values):
+        for radius in np.unique(t[:, i][t[:, i] > 0]).tolist():
+            who = np.flatnonzero(t[:, i] == radius)
+            masks = plan.flips(i, radius)
+            step = max(1, (1 << 18) // len(masks))
+            for at in range(0, len(who), step):
+                w = who[at:at + step]
+                yield i, np.repeat(w, len(masks)), (v[w][:, None] ^ masks[None, :]).ravel()
+
+
+def probe_histograms(groups: DataFrame, plan: Broadcast) -> list[np.ndarray]:
+    """Like the histograms, of the probes that come to each value, its own fingerprints' included."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan_, sums = plan.value, [np.zeros(len(h), np.int64) for h in plan.value.histograms]
+        for batch in batches:
+            f = np.asarray(batch.column("f")).view(np.uint64)
+            for at in range(0, len(f), 1 << 15):
+                for i, _, target in probes(plan_, f[at:at + (1 << 15)]):
+                    sums[i] += np.bincount(target & (len(sums[i]) - 1), minlength=len(sums[i]))
+        for i, h in enumerate(sums):
+            own = np.flatnonzero(h)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(own), pa.array(h[own])],
+                                             ["part", "value", "n"])
+
+    out = [h.copy() for h in plan.value.histograms]
+    counted = groups.select("f").mapInArrow(count, "part int, value bigint, n bigint").groupBy("part", "value")
+    for r in counted.agg(F.sum("n").alias("n")).collect():  # at most 2^16 values of each partition
+        out[r["part"]][r["value"]] += r["n"]
+    return out
+
+
 def bucket_rows(plan: Plan, f: np.ndarray, d: np.ndarray) -> Iterator[list[np.ndarray]]:
     """Columns part, value, chunk of stored, chunk of probes, kind (1 stored, 2 probe, 3 both), f, d."""
     values = [plan.values(f, i) for i in range(len(plan.bits))]
     t = plan.thresholds(values)
     spread = mix(f).view(np.int64) & 0x7FFFFFFF
     for i, v in enumerate(values):
-        n_chunks = plan.chunks(i, v)
-        small = n_chunks == 1
+        held, asking = plan.chunks(i, v)
+        small = (held == 1) & (asking == 1)
         zero = np.zeros(int(small.sum()), np.int64)
         yield [np.full(len(zero), i), v[small], zero, zero, STORED + PROBE * (t[small, i] >= 0), f[small], d[small]]
-        for j in np.flatnonzero(~small):
-            yield _chunked(i, v[j], int(n_chunks[j]), int(spread[j]), f[j], d[j], True, bool(t[j, i] >= 0))
-        for radius in np.unique(t[:, i][t[:, i] > 0]).tolist():
-            who = np.flatnonzero(t[:, i] == radius)
-            masks = plan.flips(i, radius)
-            for at in range(0, len(who), max(1, (1 << 18) // len(masks))):
-                w = who[at:at + max(1, (1 << 18) // len(masks))]
-                target = (v[w][:, None] ^ masks[None, :]).ravel()
-                q = np.repeat(w, len(masks))
-                n_chunks = plan.chunks(i, target)
-                small = n_chunks == 1
-                zero = np.zeros(int(small.sum()), np.int64)
-                yield [np.full(len(zero), i), target[small], zero, zero, np.full(len(zero), PROBE), f[q[small]], d[q[small]]]
-                for j in np.flatnonzero(~small):
-                    yield _chunked(i, target[j], int(n_chunks[j]), int(spread[q[j]]), f[q[j]], d[q[j]], False, True)
-
-
-def _chunked(part: int, value: int, n: int, spread: int, f: np.uint64, d: np.int64, stored: bool, probe: bool) -> list:
-    """Rows of one fingerprint in a bucket of n x n chunk pairs: it is stored in one chunk, beside all chunks of probes,
-    and probes from one chunk, beside all chunks of stored ones."""
-    own = spread % n
-    rows = [(own, b, STORED) for b in range(n)] * stored + [(a, own, PROBE) for a in range(n)] * probe
-    a, b, kind = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-    return [np.full(len(a), part), np.full(len(a), value), a, b, kind, np.full(len(a), f), np.full(len(a), d)]
+        yield from _chunked(i, v, held, asking, spread, f, d, np.flatnonzero(~small), STORED)
+        yield from _chunked(i, v, held, asking, spread, f, d, np.flatnonzero(~small & (t[:, i] >= 0)), PROBE)
+    for i, q, target in probes(plan, f):
+        held, asking = plan.chunks(i, target)
+        yield from _chunked(i, target, held, asking, spread[q], f[q], d[q], np.arange(len(q)), PROBE)
+
+
+def _chunked(part: int, value: np.ndarray, held: np.ndarray, asking: np.ndarray, spread: np.ndarray, f: np.ndarray,
+             d: np.ndarray, rows: np.ndarray, kind: int) -> Iterator[list[np.ndarray]]:
+    """The given rows in buckets of held x asking chunk pairs, some at a time: a fingerprint is stored in one chunk, beside all
+    chunks of probes, and probes from one chunk, beside all chunks of stored ones."""
+    copies = (asking if kind == STORED else held)[rows]
+    upto = np.cumsum(copies)
+    at = 0
+    while at < len(rows):
+        base = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, base + (1 << 18), side="right")))
+        k = copies[at:to]
+        r = np.repeat(rows[at:to], k)
+        other = np.arange(len(r)) - np.repeat(np.cumsum(k) - k, k)
+        a, b = (spread[r] % held[r], other) if kind == STORED else (other, spread[r] % asking[r])
+        yield [np.full(len(r), part), value[r], a, b, np.full(len(r), kind), f[r], d[r]]
+        at = to
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -354,7 +393,9 @@ def links(groups: DataFrame, distance: int, parts: int | None = None) -> DataFra
     histograms = [np.zeros(1 << min(len(own), HISTOGRAM_BITS), np.int64) for own in bits]
     for r in counted.groupBy("part", "value").count().collect():  # at most 2^16 values of each partition
         histograms[r["part"]][r["value"]] = r["count"]
-    plan = groups.sparkSession.sparkContext.broadcast(Plan(bits, distance, histograms))
+    context = groups.sparkSession.sparkContext
+    plan = context.broadcast(Plan(bits, distance, histograms))
+    plan = context.broadcast(Plan(bits, distance, histograms, probe_histograms(groups, plan)))
     names = ["part", "value", "ca", "cb", "kind", "f", "d"]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     schema = "part int, value bigint, ca int, cb int, kind int, f bigint, d bigint"

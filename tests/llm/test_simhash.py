@@ -101,3 +101,25 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted(((r.doc_id, r.component_id) for r in sh.simhash_components(df).collect()), key=repr)
     assert got == sorted([(None, 4), (4, 4), (4, 4), (2, 2), (None, 2), (None, None)], key=repr)
     assert sh.simhash_components(df.limit(0)).collect() == []
+
+
+def test_no_chunk_pair_gets_more_probes_than_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(sh, "BUCKET_ROWS", 50)
+    # 13 values around one with a single stored fingerprint, 40 stored in each: none is large, but the probes in the middle are
+    bits = [list(range(13))]
+    rnd = np.random.default_rng(5)
+    high = lambda: int(rnd.integers(0, 1 << 50)) << 13
+    f = np.array(sorted({high() | (1 << b) for b in range(13) for _ in range(40)} | {high()}), np.uint64)
+    groups = spark.createDataFrame([(int(x), i) for i, x in enumerate(f.view(np.int64))], "f bigint, d bigint")
+    histograms = [np.bincount((f & np.uint64((1 << 13) - 1)).astype(int), minlength=1 << 13)]
+    probes = sh.probe_histograms(groups, spark.sparkContext.broadcast(sh.Plan(bits, 1, histograms)))
+    assert probes[0][0] == len(f) and probes[0][1 << 3] == 41
+    count, met = {}, set()
+    for part, value, a, b, kind, x, _ in sh.bucket_rows(sh.Plan(bits, 1, histograms, probes), f, np.arange(len(f))):
+        for key in zip(part.tolist(), value.tolist(), a.tolist(), b.tolist(), kind.tolist(), x.tolist(), strict=True):
+            if key[:2] == (0, 0):
+                count.setdefault(key[:4], [0, 0])
+                count[key[:4]][0] += key[4] & 1
+                count[key[:4]][1] += key[4] >> 1
+                met |= {key[5]} if key[4] & 2 else set()
+    assert len(met) == len(f) and all(n == 1 and m <= 100 for n, m in count.values())
