@@ -1,6 +1,6 @@
 """Hand-written edge rows (FIXTURES.md section 3)."""
 
-from conftest import features_from_wkt
+from features import features_from_wkt
 from pyspark.sql import functions as F
 
 from geotables.functions.cells import common_prefix2_sql, envelope_cell_sql, geohash_sql

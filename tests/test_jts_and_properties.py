@@ -6,7 +6,7 @@ import math
 import random
 
 import pytest
-from conftest import features_from_wkt
+from features import features_from_wkt
 
 from geotables.functions.shapes import area_sql
 from geotables.operators.overlay import overlay_classes, overlay_pairs
