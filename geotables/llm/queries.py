@@ -17,6 +17,7 @@ from geotables.llm.nearest import nearest
 from geotables.llm.quality import fit_quality, score_quality, with_statistics
 from geotables.llm.simhash import simhash_components
 from geotables.llm.substring import remove_repeats
+from geotables.llm import structure_queries as structure
 
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
@@ -181,5 +182,5 @@ from p group by conv_id
 """
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_chat_formatting": op8_chat_formatting, "op9_html_extraction": op9_html_extraction,
-           "op10_nearest": op10_nearest}
-ORACLE = {"op2_decontamination": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+           "op10_nearest": op10_nearest, **structure.QUERIES}
+ORACLE = {"op2_decontamination": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL, **structure.ORACLE}
