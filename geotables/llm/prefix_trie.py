@@ -126,44 +126,63 @@ def subtree_totals(nodes: DataFrame, paths: DataFrame, values: list[str], depth:
     return local.unionByName(above).groupBy("depth", "k1", "k2").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def _end_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (depth, k1, k2, conv_id) rows to one SHA-256 per node over its ids; the state of a node is one hash object, so a
-    node may have any number of ids."""
-    node, state = None, None
+def _node_runs(batch: pa.RecordBatch) -> tuple[list[tuple], list[int]]:
+    """The nodes of a batch sorted by (depth, k1, k2), one for each run of equal rows, and the borders of the runs."""
+    key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    starts = np.concatenate([[0], cuts])
+    return [tuple(x) for x in key[:, starts].T.tolist()], [*starts.tolist(), batch.num_rows]
+
 
-    def done(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(3)] + [pa.array([r[1] for r in rows], pa.string())],
-            names=["depth", "k1", "k2", "ends_sha256"])
+def _table(nodes: list[tuple], columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    keys = {c: pa.array([n[i] for n in nodes], pa.int64()) for i, c in enumerate(("depth", "k1", "k2"))}
+    return pa.RecordBatch.from_pydict({**keys, **columns})
 
+
+def _end_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (depth, k1, k2, conv_id) rows to the joined ids of every run of a node, with the first of them."""
+    for batch in batches:
+        if batch.num_rows:
+            nodes, at = _node_runs(batch)
+            ids = pc.cast(batch.column(3), pa.string())
+            texts = [",".join(ids[a:b].to_pylist()) for a, b in zip(at, at[1:])]
+            yield _table(nodes, {"first": batch.column(3).take(pa.array(at[:-1])), "ids": pa.array(texts, pa.string())})
+
+
+def _end_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (depth, k1, k2, first, ids) pieces to one SHA-256 per node; the state of a node is one hash object, so a node may
+    have any number of pieces."""
+    node, state = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-        ids = pc.cast(batch.column(3), pa.string())
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        out = []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            here = tuple(int(x) for x in key[:, a])
-            text = ",".join(ids[a:b].to_pylist()).encode()
+        nodes, at = _node_runs(batch)
+        done, hashes, texts = [], [], batch.column(4)
+        for here, a, b in zip(nodes, at, at[1:]):
+            text = ",".join(texts[a:b].to_pylist()).encode()
             if here == node:
                 state.update(b"," + text)
-            else:
-                if state is not None:
-                    out.append((node, state.hexdigest()))
-                node, state = here, hashlib.sha256(text)
-        if out:
-            yield done(out)
+                continue
+            if state is not None:
+                done.append(node)
+                hashes.append(state.hexdigest())
+            node, state = here, hashlib.sha256(text)
+        if done:
+            yield _table(done, {"ends_sha256": pa.array(hashes, pa.string())})
     if state is not None:
-        yield done([(node, state.hexdigest())])
+        yield _table([node], {"ends_sha256": pa.array([state.hexdigest()], pa.string())})
 
 
 def ends_hashes(paths: DataFrame) -> DataFrame:
     """depth, k1, k2, ends_sha256 of the nodes where conversations end: SHA-256 of their ids in ascending order, joined by
-    commas. A SHA-256 can only be computed in order, so the ids of one node stream through one task, as they are sorted."""
+    commas. Ids are sorted and joined by ranges, so a node with very many of them is spread over tasks; only the digest, which
+    can be computed in order alone, passes over the joined pieces of a node in one task."""
     ends = paths.where("depth = n_turns").select("depth", "k1", "k2", "conv_id")
-    ends = ends.repartition("depth", "k1", "k2").sortWithinPartitions("depth", "k1", "k2", "conv_id")
-    return ends.mapInArrow(_end_hashes, "depth bigint, k1 bigint, k2 bigint, ends_sha256 string")
+    order = ["depth", "k1", "k2", "conv_id"]
+    pieces = ends.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        _end_pieces, "depth bigint, k1 bigint, k2 bigint, first bigint, ids string")
+    pieces = pieces.repartition("depth", "k1", "k2").sortWithinPartitions("depth", "k1", "k2", "first")
+    return pieces.mapInArrow(_end_hashes, "depth bigint, k1 bigint, k2 bigint, ends_sha256 string")
 
 
 def parent_names(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
