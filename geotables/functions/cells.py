@@ -1,19 +1,18 @@
 """Geohash cells as integer arithmetic in Spark SQL expressions.
 
 A geohash of n characters is the interleaving (longitude bit first) of the binary cell indices of the point on each
-axis, written in base 32. Twelve characters are 60 bits: 30 per axis. Shorter hashes are prefixes of longer ones,
-so one 60-bit Morton code per point serves every precision.
+axis, written in base 32; twelve characters are 60 bits, 30 per axis. Each character takes three bits of one axis and
+two of the other, so it is looked up by these five bits, and no bit string is ever built.
 
-Functions named ``*_sql`` return SQL expression text over column names or other expressions. Building an expression as text costs one JVM call instead of one per
-operator node, and every expression here refers to each input at most a few times, so Catalyst can inline it
-(e.g. into inferred ``isnotnull`` join filters) without blowing up.
+Functions named ``*_sql`` return SQL expression text over column names or other expressions. Building an expression as text
+costs one JVM call instead of one per operator node. Expressions refer to each cell index a bounded number of times (once a
+character), and the generated code computes equal subexpressions once.
 """
 
 from __future__ import annotations
 
-# The geohash base-32 alphabet, and the digits Spark's conv() writes in base 32.
+# Fixed value: the geohash base-32 alphabet.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
-CONV32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 AXIS_BITS = 30
 MAX_CHARS = 12
@@ -35,52 +34,52 @@ def lat_index_sql(lat: str, bits: int = AXIS_BITS) -> str:
     return f"CAST(least(greatest(floor(({lat} + 90D) / 180D * {float(n)}D), 0L), {n - 1}L) AS BIGINT)"
 
 
-def spread_sql(v: str) -> str:
-    """Insert a zero bit above every bit of a 30-bit value (bit i -> bit 2i): write it in binary, put a '0' before
-    every digit, read it back. One reference to ``v``, so the expression stays small when Catalyst inlines it."""
-    return f"CAST(conv(regexp_replace(lpad(bin({v}), {AXIS_BITS}, '0'), '(.)', '0$1'), 2, 10) AS BIGINT)"
+def axis_bits(chars: int) -> tuple[int, int]:
+    """Bits on (lon, lat) for a geohash of ``chars`` characters."""
+    return (5 * chars + 1) // 2, (5 * chars) // 2
 
 
-def morton_sql(ix: str, iy: str) -> str:
-    """60-bit interleaving of two 30-bit indices, longitude bit first (most significant)."""
-    return f"(shiftleft({spread_sql(ix)}, 1) | {spread_sql(iy)})"
+def _by_axis() -> str:
+    """The alphabet by the bits of the axes: at 4 * a + b the character of three bits a and two bits b, interleaved."""
+    def interleaved(a: int, b: int) -> int:
+        return ((a >> 2 & 1) << 4) | ((b >> 1 & 1) << 3) | ((a >> 1 & 1) << 2) | ((b & 1) << 1) | (a & 1)
+    return "".join(GEOHASH_ALPHABET[interleaved(a, b)] for a in range(8) for b in range(4))
 
 
-def point_morton_sql(lon: str, lat: str) -> str:
-    return morton_sql(lon_index_sql(lon), lat_index_sql(lat))
+LETTERS = _by_axis()
 
 
-def geohash_of_morton_sql(m: str, chars: int | str = MAX_CHARS) -> str:
-    s = f"lpad(translate(conv(CAST({m} AS STRING), 10, 32), '{CONV32_DIGITS}', '{GEOHASH_ALPHABET}'), {MAX_CHARS}, '0')"
-    return s if chars == MAX_CHARS else f"substring({s}, 1, {chars})"
+def _characters(ix: str, iy: str, bits: tuple[int, int], chars: int) -> str:
+    """The first ``chars`` characters of the cell with indices of ``bits`` bits on the two axes."""
+    def character(i: int) -> str:
+        bx, by = axis_bits(i + 1)
+        x, y = f"shiftright({ix}, {bits[0] - bx})", f"shiftright({iy}, {bits[1] - by})"
+        three, two = (x, y) if i % 2 == 0 else (y, x)  # longitude and latitude begin in turn
+        return f"substring('{LETTERS}', CAST(({three} & 7) * 4 + ({two} & 3) + 1 AS INT), 1)"
+    return "concat(" + ", ".join(character(i) for i in range(chars)) + ")" if chars else "''"
 
 
-def geohash_sql(lon: str, lat: str, chars: int | str = MAX_CHARS) -> str:
+def geohash_sql(lon: str, lat: str, chars: int = MAX_CHARS) -> str:
     """Geohash string of a point; coordinates outside the valid range are clamped to the edge cells."""
-    return geohash_of_morton_sql(point_morton_sql(lon, lat), chars)
+    return _characters(lon_index_sql(lon), lat_index_sql(lat), (AXIS_BITS, AXIS_BITS), chars)
 
 
-def common_chars_sql(m1: str, m2: str) -> str:
-    """Leading geohash characters two Morton codes share (0..12): 60 minus the bit length of their XOR, in whole
-    characters of 5 bits."""
-    x = f"({m1} ^ {m2})"
-    return f"CASE WHEN {x} = 0 THEN {MAX_CHARS} ELSE CAST(floor((60 - length(bin({x}))) / 5) AS INT) END"
+def _bit_length_sql(v: str) -> str:
+    """Bits of a whole number below 2^30 (0 for 0). Half is added so that no logarithm lies near a whole number."""
+    return f"(CAST(floor(log2({v} + 0.5D)) AS INT) + 1)"
 
 
 def envelope_cell_sql(xmin: str = "xmin", ymin: str = "ymin", xmax: str = "xmax", ymax: str = "ymax") -> str:
     """Longest common prefix of the 12-character geohashes of the four envelope corners.
 
-    The four corners share n characters exactly when the south-west and north-east corners do, because cells are
-    axis-parallel boxes. An empty envelope (NULL) gives ''.
+    The corners share n characters exactly when the indices of both ends share the bits of n characters on each axis. An
+    empty envelope (NULL) gives ''.
     """
-    sw = point_morton_sql(xmin, ymin)
-    ne = point_morton_sql(xmax, ymax)
-    return f"CASE WHEN {xmin} IS NULL THEN '' ELSE {geohash_of_morton_sql(sw, common_chars_sql(sw, ne))} END"
-
-
-def axis_bits(chars: int) -> tuple[int, int]:
-    """Bits on (lon, lat) for a geohash of ``chars`` characters."""
-    return (5 * chars + 1) // 2, (5 * chars) // 2
+    shared_x = f"({AXIS_BITS} - {_bit_length_sql(f'({lon_index_sql(xmin)} ^ {lon_index_sql(xmax)})')})"
+    shared_y = f"({AXIS_BITS} - {_bit_length_sql(f'({lat_index_sql(ymin)} ^ {lat_index_sql(ymax)})')})"
+    n = f"least((2 * {shared_x}) div 5, (2 * {shared_y} + 1) div 5)"
+    # the hash stays outside of the condition: equal subexpressions are computed once only where they are always computed
+    return f"substring({geohash_sql(xmin, ymin)}, 1, IF({xmin} IS NULL, 0, CAST({n} AS INT)))"
 
 
 def cell_ix_sql(lon: str, chars: int) -> str:
@@ -93,9 +92,7 @@ def cell_iy_sql(lat: str, chars: int) -> str:
 
 def geohash_of_cell_sql(ix: str, iy: str, chars: int) -> str:
     """Geohash string of a cell given by its indices at ``chars`` precision."""
-    bx, by = axis_bits(chars)
-    return geohash_of_morton_sql(morton_sql(f"shiftleft({ix}, {AXIS_BITS - bx})", f"shiftleft({iy}, {AXIS_BITS - by})"),
-                                 chars)
+    return _characters(ix, iy, axis_bits(chars), chars)
 
 
 def precision_sql(d: str) -> str:

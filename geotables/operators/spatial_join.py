@@ -2,30 +2,38 @@
 
 Spark has no spatial join strategy: a join whose only condition is box overlap plans as a nested loop or a
 cartesian product. ``grid_join`` turns it into an equi-join on grid cells so Catalyst/AQE can pick a broadcast
-hash join (when a side is measured small) or a shuffled sort-merge join with skew splitting on
-``(equi keys, level, ix, iy)``.
+hash join (when a side is measured small) or a shuffled sort-merge join on ``(equi keys, level, ix, iy)``.
 
 Multi-level grid: cells at level L are squares of side 2^L degrees. Every feature gets its *own* level, the
 smallest L with 2^L >= its larger envelope side, so it touches at most 2x2 cells there however big it is. A pair
 (a, b) is matched at level max(level_a, level_b): the finer side is replicated to the coarser side's level, but
-only to levels that actually occur on the other side (a tiny set collected once). Each pair is emitted once, in
+only to levels that occur on the other side, and there only if its envelope meets the box around the other side's
+features of that level (a handful of levels and boxes, read back once). Each pair is emitted once, in
 the cell holding the south-west corner of the intersection of the two envelopes, so no ``distinct`` shuffle is
 needed and no cap on cells or partners is applied.
 
-A coarse cell can hold very many features that are far finer. Features that are matched ``SALT_GAP`` or more levels
-above their own are therefore dealt over ``SALTS`` salted keys, and coarse features that have such partners are copied
-to all of them: one zone that covers a country no longer brings all parcels to one key.
+A coarse cell can hold very many features that are far finer. What is too full is measured: a histogram of both sides by
+cell (a partial aggregate) names the cells with more than ``FULL_CELL`` rows of one side and some of the other. The rows of
+such a cell are sorted along the Z-order of a linear quadtree and cut into runs of ``FULL_CELL`` rows, with the box of each run;
+runs of the two sides whose boxes meet become join keys of their own, and a row goes to the runs of the other side whose box it
+meets. So a key has no more than ``FULL_CELL`` rows of a side, however the features lie (all at one point, too), a zone over a
+whole country is copied once a run, and where nothing is too full nothing is copied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from geotables.functions.cells import geohash_sql
+from geotables.session import materialize
+
 MIN_LEVEL = -24   # 2^-24 degrees, about 7 mm at the equator; points and tiny features share it
 MAX_LEVEL = 9     # 512 degrees: one cell holds the whole lon/lat plane
-SALT_GAP, SALTS = 4, 32
+FULL_CELL = 20_000
 
 Env = tuple[str, str, str, str]
 
@@ -60,56 +68,146 @@ def _explode_cells(df: DataFrame, env: Env, lvl: str, p: str) -> DataFrame:
     return c.selectExpr("*", f"{p}c.ix AS {p}ix", f"{p}c.iy AS {p}iy").drop(f"{p}c")
 
 
-def _levels(df: DataFrame, col: str) -> list[int]:
-    return sorted(r[0] for r in df.select(col).distinct().collect())
+class _Levels:
+    """What is known of a side before the join: its number of rows, and for each own level the box around its features."""
+
+    def __init__(self, df: DataFrame, own: str, env: Env):
+        lows, highs = [F.min(c) for c in env[:2]], [F.max(c) for c in env[2:]]
+        rows = df.groupBy(own).agg(F.count(F.lit(1)), *lows, *highs).collect()  # one row a level, 34 at most
+        self.n_rows = sum(r[1] for r in rows)
+        self.boxes = {r[0]: tuple(r[2:]) for r in sorted(rows)}
+
+    def met_sql(self, own: str, env: Env, strict: bool) -> str:
+        """The levels (above) the own one whose box an envelope meets."""
+        items = ", ".join(f"named_struct('v', {v}, " + ", ".join(f"'{n}', CAST('{x!r}' AS DOUBLE)" for n, x in zip(("a", "b", "c", "d"), box)) + ")"
+                          for v, box in self.boxes.items())
+        met = bbox_overlaps_sql(env, ("t.a", "t.b", "t.c", "t.d"))
+        return f"transform(filter(array({items}), t -> t.v {'>' if strict else '>='} {own} AND {met}), t -> t.v)"
+
+
+class _Side:
+    """One side of a branch of the join: its rows by cell (columns ``lvl``, ``ix``, ``iy`` with the prefix ``p``)."""
+
+    def __init__(self, rows: DataFrame, p: str, env: Env, on: list[str]):
+        self.rows, self.p, self.env = rows, p, env
+        self.key = [*on, f"{p}lvl", f"{p}ix", f"{p}iy"]
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns k0, k1, ... of cell keys renamed to this side's."""
+        return df.withColumnsRenamed({f"k{i}": f"{self.p}k{i}" for i in range(len(self.key))})
+
+    def on_cell(self, p: str | None = None) -> str:
+        """The cell of a row is that of a table of cells."""
+        return " AND ".join(f"{c} = {p or self.p}k{i}" for i, c in enumerate(self.key))
+
+    def histogram(self, branch: int, mine: str, other: str) -> DataFrame:
+        return self.rows.selectExpr(f"{branch} AS branch", *[f"{c} AS k{i}" for i, c in enumerate(self.key)],
+                                    f"1L AS {mine}", f"0L AS {other}")
+
+    def runs(self, cells: DataFrame, n: str, full_cell: int) -> tuple[DataFrame, DataFrame]:
+        """(rows of ``cells`` with the number of their run, the runs with their boxes). Cells with more than ``full_cell`` rows
+        (column ``n``) are cut along the Z-order of the south-west corners, others are one run."""
+        p, cols = self.p, self.rows.columns
+        rows = self.rows.join(self.named(cells.selectExpr(*[f"k{i}" for i in range(len(self.key))], f"{n} AS {p}n")),
+                              F.expr(self.on_cell())).select(*cols, f"{p}n")
+        z = geohash_sql(self.env[0], self.env[1])
+        sorts = [*self.key, f"{p}z"]
+        cut = rows.where(f"{p}n > {full_cell}").withColumn(f"{p}z", F.expr(z)).repartitionByRange(*sorts).sortWithinPartitions(*sorts)
+        # numbers along the sorted partitions, then places inside the cell: no task holds a whole cell
+        cut = materialize(cut.select(*cols, F.monotonically_increasing_id().alias(f"{p}at")))
+        spans = cut.groupBy(*self.key, F.expr(f"shiftright({p}at, 33)").alias("part")).agg(
+            F.min(f"{p}at").alias("low"), F.count(F.lit(1)).alias("rows"))
+        before = (f"coalesce(sum(rows) over (partition by {', '.join(self.key)} order by part "
+                  "rows between unbounded preceding and 1 preceding), 0L)")
+        spans = self.named(spans.selectExpr(*[f"{c} AS k{i}" for i, c in enumerate(self.key)], f"part AS {p}part",
+                                            f"low - {before} AS {p}low"))
+        cut = cut.join(spans, F.expr(f"{self.on_cell()} AND shiftright({p}at, 33) = {p}part")).selectExpr(
+            *cols, f"({p}at - {p}low) div {full_cell} AS {p}run")
+        rows = rows.where(f"{p}n <= {full_cell}").selectExpr(*cols, f"0L AS {p}run").unionByName(cut)
+        box = [F.min(self.env[0]).alias(f"{p}x0"), F.min(self.env[1]).alias(f"{p}y0"),
+               F.max(self.env[2]).alias(f"{p}x1"), F.max(self.env[3]).alias(f"{p}y1")]
+        table = self.named(rows.groupBy(*[F.col(c).alias(f"k{i}") for i, c in enumerate(self.key)], f"{p}run").agg(*box))
+        return rows, table
+
+    def box(self) -> Env:
+        return f"{self.p}x0", f"{self.p}y0", f"{self.p}x1", f"{self.p}y1"
+
+    def with_partners(self, rows: DataFrame, pairs: DataFrame, other: "_Side") -> DataFrame:
+        """Every row once for each run of the other side whose box it meets; the column ``run`` with the prefix of the other
+        side says which."""
+        names = {f"{other.p}run": f"{self.p}other"}
+        met = rows.join(pairs.withColumnRenamed(f"{self.p}run", f"{self.p}own_run").withColumnsRenamed(names),
+                        F.expr(f"{self.on_cell()} AND {self.p}run = {self.p}own_run"))
+        return met.where(bbox_overlaps_sql(self.env, other.box())).select(*rows.columns, f"{self.p}other")
+
+
+def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env, on: list[tuple[str, str]] | None = None,
+                full_cell: int = FULL_CELL) -> list[tuple[DataFrame, DataFrame, Column]]:
+    """The equi-joins whose results together are ``grid_join``: (left rows, right rows, condition) each. Empty when a side is."""
+    on = on or []
+    left = left.where(f"{left_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(left_env)} AS _gl_own")
+    right = right.where(f"{right_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(right_env)} AS _gr_own")
+    known_l, known_r = _Levels(left, "_gl_own", left_env), _Levels(right, "_gr_own", right_env)
+    if not known_l.n_rows or not known_r.n_rows:
+        return []
+
+    def replicate(df: DataFrame, own: str, other: _Levels, strict: bool, p: str, env: Env) -> DataFrame:
+        levels = df.selectExpr("*", f"explode({other.met_sql(own, env, strict)}) AS _rep")
+        return _explode_cells(levels, env, "_rep", p)
+
+    lon, ron = [a for a, _ in on], [b for _, b in on]
+    branches = [
+        # pairs matched at the left feature's own level: level_right <= level_left
+        (_Side(_explode_cells(left, left_env, "_gl_own", "_gl_"), "_gl_", left_env, lon),
+         _Side(replicate(right, "_gr_own", known_l, False, "_gr_", right_env), "_gr_", right_env, ron)),
+        # pairs matched at the right feature's own level: level_left < level_right
+        (_Side(replicate(left, "_gl_own", known_r, True, "_gl_", left_env), "_gl_", left_env, lon),
+         _Side(_explode_cells(right, right_env, "_gr_own", "_gr_"), "_gr_", right_env, ron))]
+    same = " AND ".join([f"{a} = {b}" for a, b in zip(branches[0][0].key, branches[0][1].key)])
+    rx, ry = f"greatest({left_env[0]}, {right_env[0]})", f"greatest({left_env[1]}, {right_env[1]})"
+    ref = f"{_cell_sql(rx, '_gl_lvl')} = _gl_ix AND {_cell_sql(ry, '_gl_lvl')} = _gl_iy"
+    cond = f"{same} AND {bbox_overlaps_sql(left_env, right_env)} AND {ref}"
+
+    # a cell holds a feature once, so a cell of a side with few rows can't be too full
+    full = None
+    if max(known_l.n_rows, known_r.n_rows) > full_cell:
+        parts = [x for i, (a, b) in enumerate(branches) for x in (a.histogram(i, "nl", "nr"), b.histogram(i, "nr", "nl"))]
+        rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+        keys = ["branch", *[f"k{i}" for i in range(len(branches[0][0].key))]]
+        full = materialize(rows.groupBy(*keys).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
+                           .where(f"nl > 0 AND nr > 0 AND greatest(nl, nr) > {full_cell}"))
+        if full.isEmpty():
+            full = None
+    if full is None:
+        return [(a.rows, b.rows, F.expr(cond)) for a, b in branches]
+    out = []
+    for i, (a, b) in enumerate(branches):
+        cells = full.where(f"branch = {i}").drop("branch")
+        names = cells.drop("nl", "nr")
+        out.append((a.rows.join(a.named(names), F.expr(a.on_cell()), "left_anti"),
+                    b.rows.join(b.named(names), F.expr(b.on_cell()), "left_anti"), F.expr(cond)))
+        rows_a, runs_a = a.runs(cells, "nl", full_cell)
+        rows_b, runs_b = b.runs(cells, "nr", full_cell)
+        meet = " AND ".join([f"{a.p}k{j} = {b.p}k{j}" for j in range(len(a.key))] + [bbox_overlaps_sql(a.box(), b.box())])
+        pairs = materialize(runs_a.join(runs_b, F.expr(meet)))
+        out.append((a.with_partners(rows_a, pairs, b), b.with_partners(rows_b, pairs, a),
+                    F.expr(f"{cond} AND _gl_run = _gr_other AND _gr_run = _gl_other")))
+    return out
 
 
 def grid_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
-              on: list[tuple[str, str]] | None = None) -> DataFrame:
+              on: list[tuple[str, str]] | None = None, full_cell: int = FULL_CELL) -> DataFrame:
     """All (left, right) row pairs whose envelopes intersect (closed) and whose ``on`` columns are equal.
 
     Column names of the two inputs must be distinct (prefix them first). Rows with a NULL envelope never match.
-    Returns the columns of both inputs.
+    Returns the columns of both inputs. ``full_cell`` is the number of rows of a side that a join key may hold.
     """
-    on = on or []
-    lcols, rcols = left.columns, right.columns
-    left = left.where(f"{left_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(left_env)} AS _gl_own")
-    right = right.where(f"{right_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(right_env)} AS _gr_own")
-    # The level sets are tiny (at most MAX_LEVEL - MIN_LEVEL + 1 integers); they decide which replicas to build.
-    llv, rlv = _levels(left, "_gl_own"), _levels(right, "_gr_own")
-    if not llv or not rlv:
+    cols = [*left.columns, *right.columns]
+    parts = [a.join(b, cond).select(*cols) for a, b, cond in join_inputs(left, right, left_env, right_env, on, full_cell)]
+    if not parts:
         # one side is empty: so is the result (an empty table of the combined schema, no join planned)
-        fields = left.select(*lcols).schema.fields + right.select(*rcols).schema.fields
-        return left.sparkSession.createDataFrame([], StructType(fields))
-
-    rx = f"greatest({left_env[0]}, {right_env[0]})"
-    ry = f"greatest({left_env[1]}, {right_env[1]})"
-    eq = " AND ".join(["_gl_lvl = _gr_lvl", "_gl_ix = _gr_ix", "_gl_iy = _gr_iy", "_gl_salt = _gr_salt"]
-                      + [f"{lc} = {rc}" for lc, rc in on])
-    ref = f"{_cell_sql(rx, '_gl_lvl')} = _gl_ix AND {_cell_sql(ry, '_gl_lvl')} = _gl_iy"
-    cond = F.expr(f"{eq} AND {bbox_overlaps_sql(left_env, right_env)} AND {ref}")
-
-    def replicate(df: DataFrame, own: str, levels: list[int], strict: bool, p: str, env: Env) -> DataFrame:
-        op = ">" if strict else ">="
-        arr = "array(" + ", ".join(str(v) for v in levels) + ")"
-        salt = f"CAST(pmod(xxhash64({', '.join(env)}, monotonically_increasing_id()), {SALTS}) AS INT)"
-        return df.selectExpr("*", f"{salt} AS {p}deal", f"explode(filter({arr}, v -> v {op} {own})) AS _rep").selectExpr(
-            "*", f"IF(_rep - {own} >= {SALT_GAP}, {p}deal, 0) AS {p}salt")
-
-    def salted(df: DataFrame, own: str, finer: list[int], p: str) -> DataFrame:
-        # copies only where the other side has features that much finer
-        return df.selectExpr("*", f"explode(IF({own} - {min(finer)} >= {SALT_GAP}, sequence(0, {SALTS - 1}), array(0)))"
-                                  f" AS {p}salt")
-
-    # (1) pairs matched at the left feature's own level: level_right <= level_left
-    l_own = salted(_explode_cells(left, left_env, "_gl_own", "_gl_"), "_gl_own", rlv, "_gl_")
-    r_rep = _explode_cells(replicate(right, "_gr_own", llv, False, "_gr_", right_env), right_env, "_rep", "_gr_")
-    one = l_own.join(r_rep, cond).select(*lcols, *rcols)
-    # (2) pairs matched at the right feature's own level: level_left < level_right
-    r_own = salted(_explode_cells(right, right_env, "_gr_own", "_gr_"), "_gr_own", llv, "_gr_")
-    l_rep = _explode_cells(replicate(left, "_gl_own", rlv, True, "_gl_", left_env), left_env, "_rep", "_gl_")
-    two = l_rep.join(r_own, cond).select(*lcols, *rcols)
-    return one.unionByName(two)
+        return left.sparkSession.createDataFrame([], StructType([*left.schema.fields, *right.schema.fields]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def plain_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env, on: list[tuple[str, str]],
