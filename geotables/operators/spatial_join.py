@@ -33,7 +33,7 @@ from geotables.session import materialize
 
 MIN_LEVEL = -24   # 2^-24 degrees, about 7 mm at the equator; points and tiny features share it
 MAX_LEVEL = 9     # 512 degrees: one cell holds the whole lon/lat plane
-FULL_CELL = 20_000
+FULL_CELL, FEW_ROWS = 20_000, 100   # bounds of the rows of a side that a join key may hold
 
 Env = tuple[str, str, str, str]
 
@@ -92,6 +92,9 @@ class _Side:
         self.rows, self.p, self.env = rows, p, env
         self.key = [*on, f"{p}lvl", f"{p}ix", f"{p}iy"]
 
+    def cell_hash(self) -> str:
+        return f"xxhash64({', '.join(self.key)})"
+
     def named(self, df: DataFrame) -> DataFrame:
         """``df`` with the columns k0, k1, ... of cell keys renamed to this side's."""
         return df.withColumnsRenamed({f"k{i}": f"{self.p}k{i}" for i in range(len(self.key))})
@@ -101,15 +104,14 @@ class _Side:
         return " AND ".join(f"{c} = {p or self.p}k{i}" for i, c in enumerate(self.key))
 
     def histogram(self, branch: int, mine: str, other: str) -> DataFrame:
-        return self.rows.selectExpr(f"{branch} AS branch", *[f"{c} AS k{i}" for i, c in enumerate(self.key)],
-                                    f"1L AS {mine}", f"0L AS {other}")
+        return self.rows.selectExpr(f"{branch} AS branch", f"{self.cell_hash()} AS cell", f"1L AS {mine}", f"0L AS {other}")
 
     def runs(self, cells: DataFrame, n: str, full_cell: int) -> tuple[DataFrame, DataFrame]:
         """(rows of ``cells`` with the number of their run, the runs with their boxes). Cells with more than ``full_cell`` rows
         (column ``n``) are cut along the Z-order of the south-west corners, others are one run."""
         p, cols = self.p, self.rows.columns
-        rows = self.rows.join(self.named(cells.selectExpr(*[f"k{i}" for i in range(len(self.key))], f"{n} AS {p}n")),
-                              F.expr(self.on_cell())).select(*cols, f"{p}n")
+        rows = self.rows.join(cells.selectExpr(f"cell AS {p}cell", f"{n} AS {p}n"), F.expr(f"{self.cell_hash()} = {p}cell")).select(
+            *cols, f"{p}n")
         z = geohash_sql(self.env[0], self.env[1])
         sorts = [*self.key, f"{p}z"]
         cut = rows.where(f"{p}n > {full_cell}").withColumn(f"{p}z", F.expr(z)).repartitionByRange(*sorts).sortWithinPartitions(*sorts)
@@ -142,7 +144,7 @@ class _Side:
 
 
 def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env, on: list[tuple[str, str]] | None = None,
-                full_cell: int = FULL_CELL) -> list[tuple[DataFrame, DataFrame, Column]]:
+                full_cell: int | None = None) -> list[tuple[DataFrame, DataFrame, Column]]:
     """The equi-joins whose results together are ``grid_join``: (left rows, right rows, condition) each. Empty when a side is."""
     on = on or []
     left = left.where(f"{left_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(left_env)} AS _gl_own")
@@ -168,13 +170,16 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
     ref = f"{_cell_sql(rx, '_gl_lvl')} = _gl_ix AND {_cell_sql(ry, '_gl_lvl')} = _gl_iy"
     cond = f"{same} AND {bbox_overlaps_sql(left_env, right_env)} AND {ref}"
 
+    full, n_most = None, max(known_l.n_rows, known_r.n_rows)
+    if full_cell is None:
+        share = n_most // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        full_cell = min(max(share, FEW_ROWS), FULL_CELL)
     # a cell holds a feature once, so a cell of a side with few rows can't be too full
-    full = None
-    if max(known_l.n_rows, known_r.n_rows) > full_cell:
+    if n_most > full_cell:
         parts = [x for i, (a, b) in enumerate(branches) for x in (a.histogram(i, "nl", "nr"), b.histogram(i, "nr", "nl"))]
         rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-        keys = ["branch", *[f"k{i}" for i in range(len(branches[0][0].key))]]
-        full = materialize(rows.groupBy(*keys).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
+        # cells are told apart by a hash: two that share one are both cut, which changes no result
+        full = materialize(rows.groupBy("branch", "cell").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
                            .where(f"nl > 0 AND nr > 0 AND greatest(nl, nr) > {full_cell}"))
         if full.isEmpty():
             full = None
@@ -183,9 +188,8 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
     out = []
     for i, (a, b) in enumerate(branches):
         cells = full.where(f"branch = {i}").drop("branch")
-        names = cells.drop("nl", "nr")
-        out.append((a.rows.join(a.named(names), F.expr(a.on_cell()), "left_anti"),
-                    b.rows.join(b.named(names), F.expr(b.on_cell()), "left_anti"), F.expr(cond)))
+        out.append((*[x.rows.join(cells.selectExpr(f"cell AS {x.p}cell"), F.expr(f"{x.cell_hash()} = {x.p}cell"), "left_anti")
+                      for x in (a, b)], F.expr(cond)))
         rows_a, runs_a = a.runs(cells, "nl", full_cell)
         rows_b, runs_b = b.runs(cells, "nr", full_cell)
         meet = " AND ".join([f"{a.p}k{j} = {b.p}k{j}" for j in range(len(a.key))] + [bbox_overlaps_sql(a.box(), b.box())])
@@ -196,11 +200,12 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
 
 
 def grid_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
-              on: list[tuple[str, str]] | None = None, full_cell: int = FULL_CELL) -> DataFrame:
+              on: list[tuple[str, str]] | None = None, full_cell: int | None = None) -> DataFrame:
     """All (left, right) row pairs whose envelopes intersect (closed) and whose ``on`` columns are equal.
 
     Column names of the two inputs must be distinct (prefix them first). Rows with a NULL envelope never match.
-    Returns the columns of both inputs. ``full_cell`` is the number of rows of a side that a join key may hold.
+    Returns the columns of both inputs. ``full_cell`` is the number of rows of a side that a join key may hold: by default the
+    larger side's share of a shuffle partition, within bounds.
     """
     cols = [*left.columns, *right.columns]
     parts = [a.join(b, cond).select(*cols) for a, b, cond in join_inputs(left, right, left_env, right_env, on, full_cell)]
