@@ -84,21 +84,22 @@ def repair_features(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 SAME_RING = "(a_part = b_part AND a_ring = b_ring)"
+FIRST = "(a_part < b_part OR (a_part = b_part AND (a_ring < b_ring OR (a_ring = b_ring AND a_i < b_i))))"
 
 
 def _meetings(edges: DataFrame) -> DataFrame:
-    """Pairs of edges of a feature that cross, overlap or touch, each pair once: the columns of both, and ``what``: 'cross',
-    'overlap' or 'touch'. Edges that follow each other in a ring touch by nature and are not told unless they overlap."""
+    """Pairs of edges of a feature that cross, overlap or touch, each pair once in either order: the columns of both, and ``what``:
+    'cross', 'overlap' or 'touch'. Edges that follow each other in a ring touch by nature and are not told unless they overlap."""
     narrow = ["k", "part", "ring", "n", "i", "x1", "y1", "x2", "y2", "xmin", "ymin", "xmax", "ymax", "ccw"]
     a, b = (edges.selectExpr(*[f"{c} AS {p}_{c}" for c in narrow]) for p in "ab")
     box = lambda p: (f"{p}_xmin", f"{p}_ymin", f"{p}_xmax", f"{p}_ymax")
-    pairs = grid_join(a, b, box("a"), box("b"), on=[("a_k", "b_k")])
+    # a key holds edges of one feature, which came in one row: no cell of them has to be cut
+    pairs = grid_join(a, b, box("a"), box("b"), on=[("a_k", "b_k")], full_cell=1 << 62, each_once=FIRST)
     # edges i and j of one ring are adjacent when they follow each other, including last -> first
     adjacent = f"({SAME_RING} AND (abs(a_i - b_i) = 1 OR (a_i = 0 AND b_i = a_n - 1) OR (b_i = 0 AND a_i = b_n - 1)))"
-    # each pair once; edges that follow each other can have a piece in common only if the second one turns back
+    # edges that follow each other can have a piece in common only if the second one turns back
     back = "(a_x2 - a_x1) * (b_x2 - b_x1) + (a_y2 - a_y1) * (b_y2 - b_y1) < 0D"
-    pairs = pairs.where("a_part < b_part OR (a_part = b_part AND (a_ring < b_ring OR (a_ring = b_ring AND a_i < b_i)))").where(
-        f"NOT {adjacent} OR {back}")
+    pairs = pairs.where(f"NOT {adjacent} OR {back}")
     line = lambda p: (f"{p}_x1", f"{p}_y1", f"{p}_x2", f"{p}_y2")
     signs = ", ".join(f"'{d}', {orient_sign_sql(*line(p), x, y)}" for d, p, x, y in (
         ("d1", "b", "a_x1", "a_y1"), ("d2", "b", "a_x2", "a_y2"), ("d3", "a", "b_x1", "b_y1"), ("d4", "a", "b_x2", "b_y2")))
@@ -128,11 +129,15 @@ def _in_sector(d: str, u: str, v: str, ccw: str) -> str:
 def _touching(meetings: DataFrame) -> DataFrame:
     """One row per two rings and point where they touch: k, a_part, a_ring, b_part, b_ring, p, and on which side of the other
     ring each of them comes and goes: a_from, a_to (inside b), b_from, b_to (inside a)."""
+    # the ring that comes first is a
+    columns = ["part", "ring", "ccw", "x1", "y1", "x2", "y2"]
+    meetings = meetings.where(f"what = 'touch' AND NOT {SAME_RING}").selectExpr(
+        "a_k", "at", *[f"IF({FIRST}, {p}_{c}, {q}_{c}) AS {p}_{c}" for p, q in ("ab", "ba") for c in columns])
     ends = []
     for p in "ab":
         first, last = f"named_struct('x', {p}_x1, 'y', {p}_y1)", f"named_struct('x', {p}_x2, 'y', {p}_y2)"
         ends += [f"CASE WHEN at <> {first} THEN {first} END AS {p}_u", f"CASE WHEN at <> {last} THEN {last} END AS {p}_v"]
-    rows = meetings.where(f"what = 'touch' AND NOT {SAME_RING}").selectExpr(
+    rows = meetings.selectExpr(
         "a_k AS k", "a_part", "a_ring", "b_part", "b_ring", "at AS p", "a_ccw", "b_ccw", *ends)
     keys = ["k", "a_part", "a_ring", "b_part", "b_ring", "p", "a_ccw", "b_ccw"]
     rows = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("a_u", "a_v", "b_u", "b_v")])

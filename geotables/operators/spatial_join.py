@@ -144,7 +144,7 @@ class _Side:
 
 
 def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env, on: list[tuple[str, str]] | None = None,
-                full_cell: int | None = None) -> list[tuple[DataFrame, DataFrame, Column]]:
+                full_cell: int | None = None, each_once: str | None = None) -> list[tuple[DataFrame, DataFrame, Column]]:
     """The equi-joins whose results together are ``grid_join``: (left rows, right rows, condition) each. Empty when a side is."""
     on = on or []
     left = left.where(f"{left_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(left_env)} AS _gl_own")
@@ -165,10 +165,14 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
         # pairs matched at the right feature's own level: level_left < level_right
         (_Side(replicate(left, "_gl_own", known_r, True, "_gl_", left_env), "_gl_", left_env, lon),
          _Side(_explode_cells(right, right_env, "_gr_own", "_gr_"), "_gr_", right_env, ron))]
+    if each_once:
+        branches = branches[:1]
     same = " AND ".join([f"{a} = {b}" for a, b in zip(branches[0][0].key, branches[0][1].key)])
     rx, ry = f"greatest({left_env[0]}, {right_env[0]})", f"greatest({left_env[1]}, {right_env[1]})"
     ref = f"{_cell_sql(rx, '_gl_lvl')} = _gl_ix AND {_cell_sql(ry, '_gl_lvl')} = _gl_iy"
     cond = f"{same} AND {bbox_overlaps_sql(left_env, right_env)} AND {ref}"
+    if each_once:
+        cond += f" AND (_gl_own > _gr_own OR (_gl_own = _gr_own AND {each_once}))"
 
     full, n_most = None, max(known_l.n_rows, known_r.n_rows)
     if full_cell is None:
@@ -177,7 +181,7 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
     # a cell holds a feature once, so a cell of a side with few rows can't be too full
     if n_most > full_cell:
         parts = [x for i, (a, b) in enumerate(branches) for x in (a.histogram(i, "nl", "nr"), b.histogram(i, "nr", "nl"))]
-        rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+        rows = reduce(DataFrame.unionByName, parts)
         # cells are told apart by a hash: two that share one are both cut, which changes no result
         full = materialize(rows.groupBy("branch", "cell").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
                            .where(f"nl > 0 AND nr > 0 AND greatest(nl, nr) > {full_cell}"))
@@ -200,15 +204,17 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
 
 
 def grid_join(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env,
-              on: list[tuple[str, str]] | None = None, full_cell: int | None = None) -> DataFrame:
+              on: list[tuple[str, str]] | None = None, full_cell: int | None = None, each_once: str | None = None) -> DataFrame:
     """All (left, right) row pairs whose envelopes intersect (closed) and whose ``on`` columns are equal.
 
     Column names of the two inputs must be distinct (prefix them first). Rows with a NULL envelope never match.
     Returns the columns of both inputs. ``full_cell`` is the number of rows of a side that a join key may hold: by default the
-    larger side's share of a shuffle partition, within bounds.
+    larger side's share of a shuffle partition, within bounds. For a table joined with itself ``each_once``, a condition that holds
+    for (a, b) or (b, a) but not both, gives every pair of different rows once, in either order.
     """
     cols = [*left.columns, *right.columns]
-    parts = [a.join(b, cond).select(*cols) for a, b, cond in join_inputs(left, right, left_env, right_env, on, full_cell)]
+    parts = [a.join(b, cond).select(*cols)
+             for a, b, cond in join_inputs(left, right, left_env, right_env, on, full_cell, each_once)]
     if not parts:
         # one side is empty: so is the result (an empty table of the combined schema, no join planned)
         return left.sparkSession.createDataFrame([], StructType([*left.schema.fields, *right.schema.fields]))
