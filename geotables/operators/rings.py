@@ -48,7 +48,7 @@ def close_rings_sql(rings: str = "rings") -> str:
     return f"transform({rings}, r -> named_struct('part', r.part, 'ring', r.ring, 'pts', {closed}))"
 
 
-def _edges(polys: DataFrame, key: str) -> DataFrame:
+def edges_of(polys: DataFrame, key: str) -> DataFrame:
     """One row per edge: key, part, ring, i (position), n (edges in ring), endpoints and box; and of its ring whether the enclosed
     side is the left one (ccw), area and box; and of its feature the number of rings and the x-range."""
     r = polys.selectExpr(f"`{key}` AS k", "size(rings) AS n_rings", "explode(transform(rings, r -> named_struct("
@@ -75,19 +75,11 @@ def split_valid(df: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     return df.join(bad.select(key), key, "left_anti").select(*df.columns), df.join(bad, key).select(*df.columns, "reason")
 
 
-def repair_features(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(features, rejects) of a feature table: repeated points dropped, rings closed and turned the right way; polygons that
-    are still invalid (``check_rings``) are rejected with a reason."""
-    fixed = orient_rings_sql(close_rings_sql("rings"))
-    rings = f"CASE WHEN gtype LIKE '%POLYGON%' THEN {fixed} ELSE rings END AS rings"
-    return split_valid(df.selectExpr(*[rings if c == "rings" else f"`{c}`" for c in df.columns]))
-
-
 SAME_RING = "(a_part = b_part AND a_ring = b_ring)"
 FIRST = "(a_part < b_part OR (a_part = b_part AND (a_ring < b_ring OR (a_ring = b_ring AND a_i < b_i))))"
 
 
-def _meetings(edges: DataFrame) -> DataFrame:
+def meetings_of(edges: DataFrame) -> DataFrame:
     """Pairs of edges of a feature that cross, overlap or touch, each pair once in either order: the columns of both, and ``what``:
     'cross', 'overlap' or 'touch'. Edges that follow each other in a ring touch by nature and are not told unless they overlap."""
     narrow = ["k", "part", "ring", "n", "i", "x1", "y1", "x2", "y2", "xmin", "ymin", "xmax", "ymax", "ccw"]
@@ -207,8 +199,8 @@ def check_rings(df: DataFrame, key: str = "oid") -> DataFrame:
     crossings. Every input feature is reported; ``key`` must tell features apart."""
     polys = df.where("gtype LIKE '%POLYGON%'").selectExpr(f"`{key}`", f"{close_rings_sql('rings')} AS rings")
     # the edges feed the join from both sides, and the meetings several reasons
-    edges = materialize(_edges(polys, key))
-    meetings = materialize(_meetings(edges))
+    edges = materialize(edges_of(polys, key))
+    meetings = materialize(meetings_of(edges))
     kinds = {(r[0], r[1]) for r in meetings.selectExpr("what", f"{SAME_RING} AS same").distinct().collect()}  # six at most
     told = lambda rows, reason: rows.selectExpr("k", f"{REASONS.index(reason)} AS rank")
     overlaps = meetings.where("what = 'overlap'").withColumnRenamed("a_k", "k")

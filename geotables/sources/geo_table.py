@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from geotables.functions.shapes import RINGS_T
 from geotables.model import FEATURE_COLUMNS
+from geotables.operators.rebuild import repair_features
 from geotables.session import scratch_path
 
 PREFIX_LEN = 2
@@ -50,6 +51,12 @@ def read_geo_table(spark: SparkSession, path: str, num_partitions: int | None =
     return df.repartition(num_partitions) if num_partitions else df
 
 
+def read_repaired(spark: SparkSession, path: str, num_partitions: int | None = None,
+                  rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(features, rejects) of a stored table whose polygons are repaired as they are read (``repair_features``)."""
+    return repair_features(read_geo_table(spark, path, num_partitions).select(*FEATURE_COLUMNS), rebuild)
+
+
 def _prefix_len(df: DataFrame) -> int | None:
     if "cell_prefix" not in df.columns:
         return None

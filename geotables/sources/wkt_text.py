@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geotables.functions.shapes import let_sql
 from geotables.model import finish_features
+from geotables.operators.rebuild import rebuilt_features
 from geotables.operators.rings import close_rings_sql, orient_rings_sql, split_valid
 
 TYPES = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
@@ -72,13 +73,14 @@ def parse_wkt(df: DataFrame, wkt: str = "wkt", repair: bool = False) -> DataFram
     return d.selectExpr(*keep, f"inline(array({result}))")
 
 
-def ingest_lines(lines: DataFrame, col: str = "value", repair: bool = False) -> tuple[DataFrame, DataFrame]:
+def ingest_lines(lines: DataFrame, col: str = "value", repair: bool | str = False) -> tuple[DataFrame, DataFrame]:
     """(features, rejects) from raw ``wkt \\t oid \\t tags`` lines.
 
     features: the canonical table (see ``geotables.model``); rejects: (line, oid, reason). ``repair`` mends polygon rings
-    (repeated points, missing last point, direction) and rejects those that are invalid all the same."""
+    (repeated points, missing last point, direction) and rejects those that are invalid all the same; ``repair="rebuild"`` keeps
+    these, too, rebuilt by the area rule of ``operators.rebuild``."""
     s = split_lines(lines, col)
-    p = parse_wkt(s, repair=repair)
+    p = parse_wkt(s, repair=bool(repair))
     p = p.selectExpr("*", "CASE WHEN n_fields < 3 THEN 'missing fields' "
                           "WHEN oid IS NULL OR oid = '' THEN 'missing oid' ELSE reason END AS why")
     # features and rejects are two filters over one parse; a job that needs both should persist ``p`` first
@@ -87,12 +89,15 @@ def ingest_lines(lines: DataFrame, col: str = "value", repair: bool = False) ->
     if repair:
         whole = finish_features(p.where("why IS NULL").select("oid", "tags", "gtype", "rings", "line"))
         good, bad = split_valid(whole)
+        if repair == "rebuild":
+            made, bad = rebuilt_features(bad)
+            good = good.unionByName(made.select(*good.columns))
         return good.drop("line"), rejects.unionByName(bad.select("line", "oid", "reason"))
     return features, rejects
 
 
 def read_wkt_table(spark: SparkSession, path: str, num_partitions: int | None = None,
-                   repair: bool = False) -> tuple[DataFrame, DataFrame]:
+                   repair: bool | str = False) -> tuple[DataFrame, DataFrame]:
     """Read WKT text files. ``num_partitions`` spreads the lines round-robin before parsing; ``repair`` as in
     ``ingest_lines``."""
     lines = spark.read.text(path)
