@@ -3,28 +3,14 @@ Spark derives from them), with an equivalent DuckDB SQL text where the semantics
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotables.model import FEATURE_COLUMNS
 from geotables.operators import range_query as rq
+from geotables.plans import catalog_rings  # noqa: F401  (registers its queries)
 from geotables.plans import fixtures as fx
 from geotables.plans import oracle_sql as O
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
+from geotables.plans.registry import ORACLE, QUERIES, register
 
 # The headline window: FIXTURES.md counts parcels with a vertex in it.
 WINDOW = (111.0, 31.0, 112.0, 32.0)
