@@ -167,6 +167,22 @@ def best_class(scored: DataFrame, parcel_keys: DataFrame) -> DataFrame:
     return _best(rows)
 
 
+def contenders(p: DataFrame, z: DataFrame) -> DataFrame:
+    """CLASS_COLUMNS of every overlapping pair of a parcel whose area reaches the parcel's largest one among these zones but for
+    its tolerance. Pairs left out can't win against any further zones either, so the contenders of any batches of zones together
+    decide as all zones do (``best_of_contenders``)."""
+    pairs = with_overlap_area(candidate_pairs(p, z)).where(OVERLAPS).selectExpr(
+        "p_key AS key", "p_oid AS oid", "z_class AS pd_class", "overlap_area", "z_key AS zone_key", "tolerance").repartition("key")
+    top = pairs.groupBy("key").agg(F.max("overlap_area").alias("_top"))
+    return pairs.join(top, "key").where("overlap_area >= _top - tolerance").select(*CLASS_COLUMNS)
+
+
+def best_of_contenders(rows: DataFrame, parcel_keys: DataFrame) -> DataFrame:
+    """CLASS_COLUMNS per parcel from the contenders of all batches; repeated rows change nothing."""
+    return best_class(rows.selectExpr("key AS p_key", "oid AS p_oid", "zone_key AS z_key", "pd_class AS z_class", "overlap_area",
+                                      "tolerance"), parcel_keys)
+
+
 def overlay_classes(parcels: DataFrame, zones: DataFrame, tag_name: str = "PDJB", strategy: str = "grid",
                     compat: bool = False, keep_zone_key: bool = False) -> DataFrame:
     """(oid, pd_class, overlap_area) for every parcel: class '0' and area 0 when no zone overlaps it. keep_zone_key=True

@@ -441,6 +441,51 @@ def q_range_query_stored(spark, sf_dir):
     return rq.range_query(written_parcels(spark, sf_dir), *WINDOW).select("oid")
 
 
+@register("range_scan_windows", ORACLE["range_query_many"])
+def q_range_scan_windows(spark, sf_dir):
+    """The windows of range_query_many on the stored table, by the cells that cover them."""
+    from geotables.operators.window_scan import scan_windows
+    return scan_windows(written_parcels(spark, sf_dir), fx.windows(spark, sf_dir))
+
+
+_WORLD_WINDOWS = f"""
+boxes AS (SELECT n_nationkey::INTEGER AS window_id, -180{O.D} + n_nationkey * 14{O.D} AS xmin, -90{O.D} + n_nationkey * 6{O.D} AS ymin,
+                 -175{O.D} + n_nationkey * 14{O.D} + n_nationkey AS xmax, -80{O.D} + n_nationkey * 6{O.D} AS ymax FROM nation),
+spots AS (SELECT oid, lon AS x, lat AS y FROM points
+          UNION ALL SELECT 'B' || n_nationkey::VARCHAR, -(n_nationkey + 1) / 64{O.D} + i * (n_nationkey + 1) / 32{O.D},
+                           n_nationkey / 64{O.D} - 1{O.D} + j * 0.25{O.D} FROM nation, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))"""
+
+
+@register("range_scan_world", O.with_ctes(O.POINTS, _WORLD_WINDOWS) + """
+SELECT DISTINCT window_id, oid FROM spots JOIN boxes ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax""")
+def q_range_scan_world(spark, sf_dir):
+    """Wide windows over the globe on points of all cells and on boxes without a cell."""
+    from geotables.operators.window_scan import scan_windows
+    boxes = fx.read(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS window_id", "-180D + n_nationkey * 14D AS xmin", "-90D + n_nationkey * 6D AS ymin",
+        "-175D + n_nationkey * 14D + n_nationkey AS xmax", "-80D + n_nationkey * 6D AS ymax")
+    return scan_windows(written_world(spark, sf_dir), boxes)
+
+
+_CUT = "substr({c}, 1, ({k} % 13)::INTEGER)"
+
+
+@register("nested_cells", O.with_ctes(O.POINTS, O.ZONES) + f"""
+SELECT p.oid AS p_oid, z.oid AS z_oid
+FROM (SELECT oid, {_CUT.format(c=O.geohash_of_morton('m'), k='k')} AS cell FROM points) p
+JOIN (SELECT oid, {_CUT.format(c='cell', k='k')} AS cell FROM zones) z
+  ON starts_with(p.cell, z.cell) OR starts_with(z.cell, p.cell)""")
+def q_nested_cells(spark, sf_dir):
+    """Points and zones by cells of 0 to 12 characters; the empty cell meets everything."""
+    from geotables.functions.cells import geohash_sql
+    from geotables.operators.nested_cells import nested_cell_join
+    p = fx.points(spark, sf_dir).selectExpr(
+        "oid AS p_oid", f"substring({geohash_sql('lon', 'lat')}, 1, CAST(CAST(substring(oid, 7) AS BIGINT) % 13 AS INT)) AS p_cell")
+    z = fx.zones(spark, sf_dir).selectExpr(
+        "oid AS z_oid", "substring(cell, 1, CAST(CAST(split_part(oid, 'Z', 2) AS BIGINT) % 13 AS INT)) AS z_cell")
+    return nested_cell_join(p, z, "p_cell", "z_cell").select("p_oid", "z_oid")
+
+
 @register("overlay_stored", O.overlay_all() + O.best_of("scored"))
 def q_overlay_stored(spark, sf_dir):
     """Both key tables written, read back (the parcels dealt out anew) and overlaid."""
@@ -570,6 +615,25 @@ def q_stream_overlay_classes(spark, sf_dir):
     return spark.read.parquet(sink).selectExpr("oid", "pd_class", AREA)
 
 
+@register("stream_zone_classes", O.overlay_all() + O.best_of("scored"))
+def q_stream_zone_classes(spark, sf_dir):
+    """Zones as a file stream, some files per trigger, the first epoch replayed and the epochs compacted: the running best per
+    parcel is that of all zones."""
+    from geotables.operators.overlay import contenders, parcel_side, zone_side
+    from geotables.session import scratch_path
+    from geotables.streaming.overlay_stream import compact_epochs, running_classes, start_zone_stream
+    parcels, zones = _overlay(spark, sf_dir)
+    src, sink, whole = (scratch_path(spark, n) for n in ("zone-stream", "contenders", "contenders-compact"))
+    zones.repartition(6).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    start_zone_stream(stream, parcels, sink, scratch_path(spark, "checkpoint")).awaitTermination()
+    compact_epochs(spark, sink, whole)
+    # zones that come once more, in an epoch of their own
+    again = contenders(parcel_side(parcels), zone_side(zones.where("oid LIKE '%7'"), "PDJB"))
+    again.write.parquet(f"{whole}/epoch=1000")
+    return running_classes(spark, whole, parcels).selectExpr("oid", "pd_class", AREA)
+
+
 @register("stream_range_query", O.with_ctes(O.PARCELS) + f"""
 SELECT DISTINCT v.oid FROM ({O.vertices('parcel_rings')}) v
 WHERE v.x BETWEEN 111{O.D} AND 112{O.D} AND v.y BETWEEN 31{O.D} AND 32{O.D}""")

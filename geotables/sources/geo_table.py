@@ -41,13 +41,19 @@ def write_geo_table(df: DataFrame, path: str, prefix_len: int = PREFIX_LEN, mode
         f"{path.rstrip('/')}/{LAYOUT}")
 
 
-def table_prefix_len(spark: SparkSession, path: str) -> int:
-    return spark.read.schema("prefix_len INT").json(f"{path.rstrip('/')}/{LAYOUT}").first().prefix_len
+def table_prefix_len(spark: SparkSession, path: str) -> int | None:
+    """The stored prefix length, or None for a table that was written elsewhere, without one: its scans prune nothing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{LAYOUT}")
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return None
+    return spark.read.schema("prefix_len INT").json(where.toString()).first().prefix_len
 
 
 def read_geo_table(spark: SparkSession, path: str, num_partitions: int | None = None) -> DataFrame:
     df = spark.read.schema(SCHEMA).parquet(path)
-    df = df.withMetadata("cell_prefix", {"prefix_len": table_prefix_len(spark, path)})
+    n = table_prefix_len(spark, path)
+    if n is not None:
+        df = df.withMetadata("cell_prefix", {"prefix_len": n})
     return df.repartition(num_partitions) if num_partitions else df
 
 
@@ -57,7 +63,8 @@ def read_repaired(spark: SparkSession, path: str, num_partitions: int | None = N
     return repair_features(read_geo_table(spark, path, num_partitions).select(*FEATURE_COLUMNS), rebuild)
 
 
-def _prefix_len(df: DataFrame) -> int | None:
+def table_layout(df: DataFrame) -> int | None:
+    """The length of the directory prefixes of a stored table that was read with it; None if it isn't known."""
     if "cell_prefix" not in df.columns:
         return None
     return df.schema["cell_prefix"].metadata.get("prefix_len")
@@ -87,7 +94,7 @@ def scan_prefixes(df: DataFrame, prefixes: list[str], keep_overlaps: bool = Fals
     An empty list gives an empty result. ``num_partitions`` deals the result out anew.
     """
     targets = list(dict.fromkeys(prefixes))
-    n = _prefix_len(df)
+    n = table_layout(df)
 
     def one(p: str) -> Column:
         cond = F.col("key").startswith(p) if p else F.col("key").isNotNull()
@@ -127,7 +134,7 @@ def scan_by_cell_prefix(df: DataFrame, prefixes: DataFrame, keep_overlaps: bool
     if not lengths:
         out = df.where("false")
         return out.withColumn("prefix", F.lit("")) if keep_overlaps else out
-    n = _prefix_len(df)
+    n = table_layout(df)
     if n is not None and lengths[0] > 0:
         heads = [r[0] for r in targets.selectExpr(f"substring(prefix, 1, {n + 1}) AS p").distinct().collect()]
         prune = [_pruning(h if "_" in h else h[:n], n) for h in heads]
@@ -157,6 +164,8 @@ def put_geo_table(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     """Put features into a stored table: rows with a known key are replaced, others added. Only the directories of the
     incoming cells are written; their new content is complete in a table of its own before the first of them changes."""
     n = table_prefix_len(spark, path)
+    if n is None:
+        raise ValueError(f"{path} says nothing of its directories; write it anew with write_geo_table")
     new = _laid_out(one_per_key(incoming.select(*FEATURE_COLUMNS)), n)
     heads = [r[0] for r in new.select("cell_prefix").distinct().collect()]  # no more than the table has directories
     if not heads:

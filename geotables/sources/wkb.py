@@ -92,9 +92,12 @@ class _Reader:
         self.n.append(n)
         self.xy.append(values.astype("f8").ravel())
 
-    def geometry(self, part: int = 0, first_ring: int = 0) -> str:
+    def geometry(self, part: int = 0, first_ring: int = 0, only: int | None = None) -> str:
+        """Reads a geometry. The members of a multi-geometry must be of its plain type (``only``), so nothing nests deeper."""
         order, code, dims = self.head()
         name = WKB_NAMES[code]
+        if only is not None and code != only:
+            raise ValueError("member of another type")
         if code == 1:
             self.points(order, 1, dims, part, first_ring)
             if np.isnan(self.xy[-1]).any():  # an empty point
@@ -109,7 +112,7 @@ class _Reader:
                 self.points(order, self.number(order), dims, part, i)
         else:
             for i in range(self.number(order)):
-                self.geometry(i, 0) if code == 6 else self.geometry(0, len(self.n))
+                self.geometry(i, 0, 3) if code == 6 else self.geometry(0, len(self.n), code - 3)
         return name
 
 
