@@ -293,6 +293,23 @@ def q_wkt_rejects(spark, sf_dir):
     return rejects.select("oid", "reason")
 
 
+@register("wkt_collections", O.with_ctes(O.PARCELS, f"a AS ({O.ring_area_sql('parcel_rings')})") + f"""
+SELECT p.oid || '#1' AS oid, 'POLYGON' AS gtype, round(a.area, 9) AS area, p.xmin, p.ymax FROM parcels p JOIN a USING (k)
+UNION ALL SELECT oid || '#2', 'POINT', 0{O.D}, xmin, ymin FROM parcels
+UNION ALL SELECT oid || '#3', 'LINESTRING', 0{O.D}, xmin, ymax FROM parcels WHERE k % 3 = 0""")
+def q_wkt_collections(spark, sf_dir):
+    """Lines of collections: a parcel, its corner, and for every third parcel a diagonal in a collection of its own."""
+    from geotables.functions.shapes import area_sql
+    from geotables.sources.wkt_text import ingest_lines, wkt_sql
+    corner = lambda x, y: f"concat({x}, ' ', {y})"
+    p = fx.parcels(spark, sf_dir).selectExpr("oid", "tags", "CAST(substring(oid, 7) AS BIGINT) % 3 AS j", f"{wkt_sql()} AS w",
+                                             f"{corner('xmin', 'ymin')} AS lo", f"{corner('xmax', 'ymax')} AS hi")
+    lines = p.selectExpr("concat_ws('\t', concat('GEOMETRYCOLLECTION (', w, ', POINT (', lo, ')', IF(j = 0, concat("
+                         "', GEOMETRYCOLLECTION (LINESTRING (', lo, ', ', hi, '))'), ''), ')'), oid, tags) AS value")
+    features, _ = ingest_lines(lines)
+    return features.selectExpr("oid", "gtype", f"round({area_sql()}, 9) AS area", "xmin", "ymax")
+
+
 @register("check_rings", O.with_ctes(O.PARCELS) + """
 SELECT oid, NOT (kind = 0 AND k % 10 = 7) AS valid,
        CASE WHEN kind = 0 AND k % 10 = 7 THEN 'self-crossing' END AS reason

@@ -43,6 +43,35 @@ def split_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return f.where(f"wkt RLIKE '{GEOMETRY_LINE}'")
 
 
+COLLECTION = "GEOMETRYCOLLECTION"
+# text of a collection that doesn't close as it opens: what the parser calls malformed
+BROKEN = "POINT ("
+
+
+def split_collections(lines: DataFrame) -> DataFrame:
+    """The rows of ``split_lines`` with each geometry collection replaced by its members, one row each, whose oid is that of the
+    collection, ``#`` and the place of the member. Collections may nest to any depth: a comma followed by a letter separates
+    members wherever it stands, and the number of collections open after each member says whether the text is whole. Empty
+    collections have no members; a line that has none at all keeps its row."""
+    count = lambda v, c: f"(length({v}) - length(replace({v}, '{c}', '')))"
+    opened = f"size(split(m, '{COLLECTION}\\\\s*\\\\(')) - 1"
+    body = f"regexp_replace(m, '{COLLECTION}(\\\\s*\\\\(\\\\s*|\\\\s+EMPTY)', '')"
+    members = f"transform(split(wkt, ',\\\\s*(?=[A-Z])'), m -> named_struct('opened', {opened}, 'body', {body}))"
+    # a member ends with the brackets it opened itself; those beyond close collections
+    core = "trim(trailing ' )' from t.body)"
+    own = f"({count(core, '(')} - {count(core, ')')})"
+    told = (f"transform({members}, t -> named_struct('open', t.opened - ({count('t.body', ')')} - {count('t.body', '(')}), "
+            f"'text', IF({own} < 0, '{BROKEN}', concat({core}, repeat(')', greatest({own}, 0))))))")
+    depth = "aggregate(slice(ts, 1, i + 1), 0, (s, t) -> s + t.open)"
+    whole = f"forall(transform(ts, (t, i) -> IF(i = size(ts) - 1, {depth} = 0, {depth} > 0)), ok -> ok)"
+    kept = "filter(ts, t -> t.text <> '')"
+    parts = (f"CASE WHEN NOT ({whole}) THEN array(named_struct('oid', oid, 'wkt', '{BROKEN}')) "
+             f"WHEN size({kept}) = 0 THEN array(named_struct('oid', oid, 'wkt', wkt)) "
+             f"ELSE transform({kept}, (t, i) -> named_struct('oid', concat(oid, '#', i + 1), 'wkt', t.text)) END")
+    rows = f"IF(wkt RLIKE '^\\\\s*{COLLECTION}', {let_sql(told, 'ts', parts)}, array(named_struct('oid', oid, 'wkt', wkt)))"
+    return lines.selectExpr("line", "tags", "n_fields", f"inline({rows}) AS (oid, wkt)").select("line", "wkt", "oid", "tags", "n_fields")
+
+
 def parse_wkt(df: DataFrame, wkt: str = "wkt", repair: bool = False) -> DataFrame:
     """Add gtype, rings (oriented shell-CCW / hole-CW) and ``reason`` (NULL when the geometry is acceptable). ``repair``
     drops repeated points of polygon rings and closes them before they are judged."""
@@ -76,10 +105,11 @@ def parse_wkt(df: DataFrame, wkt: str = "wkt", repair: bool = False) -> DataFram
 def ingest_lines(lines: DataFrame, col: str = "value", repair: bool | str = False) -> tuple[DataFrame, DataFrame]:
     """(features, rejects) from raw ``wkt \\t oid \\t tags`` lines.
 
-    features: the canonical table (see ``geotables.model``); rejects: (line, oid, reason). ``repair`` mends polygon rings
+    features: the canonical table (see ``geotables.model``), members of collections as rows of their own (``split_collections``);
+    rejects: (line, oid, reason). ``repair`` mends polygon rings
     (repeated points, missing last point, direction) and rejects those that are invalid all the same; ``repair="rebuild"`` keeps
     these, too, rebuilt by the area rule of ``operators.rebuild``."""
-    s = split_lines(lines, col)
+    s = split_collections(split_lines(lines, col))
     p = parse_wkt(s, repair=bool(repair))
     p = p.selectExpr("*", "CASE WHEN n_fields < 3 THEN 'missing fields' "
                           "WHEN oid IS NULL OR oid = '' THEN 'missing oid' ELSE reason END AS why")
