@@ -25,15 +25,16 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.llm.common import RunHash, mix, slices
+from geotables.llm.common import slices
 
-CACHED_WORDS, CACHED_PAIRS = 200_000, 200_000
+CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 200_000, 64, 200_000
 END = ""  # stands for the word-end mark inside this module
 SPACE_POINTS = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -46,14 +47,42 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+CODE_POINTS = 0x110000
+
+
+@lru_cache(maxsize=1)
+def unicode_rules() -> tuple[list[int], list[int], dict[int, str]]:
+    """Classes of code points as runs (first code point of each, class: 0 white space, 1 letter, 2 number, 3 other), and the lower
+    case of the letters that Python's own tables don't know yet. Both are asked of the library whose results are to be met, once
+    on the driver, because versions of Unicode differ in thousands of code points."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+    points = [i for i in range(CODE_POINTS) if not 0xD800 <= i < 0xE000]
+    kinds = np.full(CODE_POINTS, 3, np.uint8)
+    for kind, name in ((1, "L"), (2, "N")):
+        others = pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed")
+        found = np.zeros(CODE_POINTS, bool)
+        found[points] = True
+        for at in range(0, len(points), 4096):
+            some = points[at:at + 4096]
+            for _, (a, b) in others.pre_tokenize_str("".join(map(chr, some))):
+                found[some[a:b]] = False
+        kinds[found] = kind
+    kinds[SPACE_POINTS] = 0
+    starts = np.flatnonzero(np.diff(kinds, prepend=255))
+    lower = normalizers.Lowercase()
+    cased = [i for i in np.flatnonzero(kinds != 0).tolist() if i > 0x7F and not 0xD800 <= i < 0xE000]
+    more = {i: low for i in cased if (low := lower.normalize_str(chr(i))) != chr(i).lower()}
+    return starts.tolist(), kinds[starts].tolist(), more
+
+
 def load_tables(tokenizer_json: str) -> dict:
-    """What the encoder needs of a tokenizer file, as plain lists."""
+    """What the encoder needs of a tokenizer file and of Unicode, as plain lists."""
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
     if model["type"] != "BPE" or not model["end_of_word_suffix"] or spec["decoder"] is not None:
         raise ValueError("expects a BPE tokenizer file with word-end marks and no decoder")
-    return {"suffix": model["end_of_word_suffix"], "vocab": model["vocab"], "merges": [tuple(m) for m in model["merges"]],
+    return {"unicode": unicode_rules(), "suffix": model["end_of_word_suffix"], "vocab": model["vocab"], "merges": [tuple(m) for m in model["merges"]],
             "special": {t["content"]: t["id"] for t in spec["added_tokens"]}}
 
 
@@ -182,35 +211,31 @@ class Encoder:
         return [ids[t] for t in out]
 
 
-_CLASSES: np.ndarray | None = None
-
-
-def point_classes() -> np.ndarray:
-    """0 white space, 1 letter, 2 number, 3 other, for each code point."""
-    global _CLASSES
-    if _CLASSES is None:
-        kinds = {"L": 1, "N": 2}
-        _CLASSES = np.array([kinds.get(unicodedata.category(chr(i))[0], 3) for i in range(0x110000)], np.uint8)
-        _CLASSES[SPACE_POINTS] = 0
-    return _CLASSES
+class Unicode:
+    """Classes and lower case of code points, from ``unicode_rules``."""
 
+    def __init__(self, rules: tuple[list[int], list[int], dict[int, str]]):
+        starts, kinds, self.more = rules
+        self.classes = np.repeat(np.array(kinds, np.uint8), np.diff([*starts, CODE_POINTS]))
+        self.unknown = re.compile("[" + "".join(map(re.escape, map(chr, self.more))) + "]") if self.more else None
 
-def lowered(part: str) -> str:
-    """NFC, then lower case letter by letter (no rule for a final sigma)."""
-    if not part.isascii():
+    def lowered(self, part: str) -> str:
+        """NFC, then lower case letter by letter (no rule for a final sigma)."""
+        if part.isascii():
+            return part.lower()
         part = unicodedata.normalize("NFC", part)
-        if "Σ" in part:
-            return "".join([c.lower() for c in part])
-    return part.lower()
+        if self.unknown is not None and self.unknown.search(part):
+            part = part.translate(self.more)
+        return "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
 
 
-def word_places(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of the parts that ``offsets`` bounds: English contractions after an apostrophe
+def word_places(points: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of the parts that ``offsets`` bounds, by the ``classes`` of code points: English contractions after an apostrophe
     that begins a run of signs, runs of letters, single numbers, runs of other signs."""
     n = len(points)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = point_classes()[points]
+    kind = classes[points]
     edge = np.zeros(n + 4, bool)
     edge[offsets] = True
     start = np.ones(n, bool)
@@ -244,22 +269,24 @@ class SliceEncoder:
 
     def __init__(self, tables: dict):
         self.encoder = Encoder(tables)
-        self.hash = RunHash(5)
-        self.cache: dict[int, bytes] = {}
+        self.unicode = Unicode(tables["unicode"])
+        self.cache: dict[str, bytes] = {}
 
-    def _words(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and the number of ids of each word."""
-        prefix = self.hash.prefix(mix(points))
-        keys, first, inverse = np.unique(self.hash.runs(prefix, starts, ends), return_index=True, return_inverse=True)
         cache, word = self.cache, self.encoder.word
         if len(cache) > CACHED_WORDS:
             cache.clear()
+        numbers: dict[str, int] = {}
+        inverse = np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
         found = []
-        for key, a, b in zip(keys.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            ids = cache.get(key)
+        for w in numbers:
+            ids = cache.get(w)
             if ids is None:
-                own = word(text[a:b])
-                ids = cache[key] = struct.pack(f"<{len(own)}I", *own)
+                own = word(w)
+                ids = struct.pack(f"<{len(own)}I", *own)
+                if len(w) <= CACHED_LENGTH:
+                    cache[w] = ids
             found.append(ids)
         sizes = np.array([len(x) // 4 for x in found], np.int64)
         flat = np.frombuffer(b"".join(found), "<u4")
@@ -285,14 +312,14 @@ class SliceEncoder:
                     row.append(-1 - encoder.special[piece])
                 else:
                     row.append(len(parts))
-                    parts.append(lowered(piece))
+                    parts.append(self.unicode.lowered(piece))
             layout.append(row)
         joined = "".join(parts)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        starts, ends = word_places(points, offsets)
+        starts, ends = word_places(points, offsets, self.unicode.classes)
         if len(starts):
-            ids, counts = self._words(joined, points, starts, ends)
+            ids, counts = self._words(joined, starts, ends)
         else:
             ids, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         upto = np.concatenate([[0], np.cumsum(counts)])

@@ -35,6 +35,24 @@ def test_every_token_text_as_a_word():
     assert [g.tolist() for g in got] == [e.ids for e in lib.encode_batch(words, add_special_tokens=False)]
 
 
+def test_every_code_point_like_the_library():
+    encoder, lib = SliceEncoder(load_tables(tokenizer_path())), library()
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    # as the first letter of a word, between letters, and after a number
+    texts = ["".join(f"{c}ab a{c}b 1{c} " for c in points[i:i + 64]) for i in range(0, len(points), 64)]
+    wrong = [t for t, got, want in zip(texts, encoder.texts(texts), lib.encode_batch(texts, add_special_tokens=False))
+             if got.tolist() != want.ids]
+    assert not wrong, (len(wrong), wrong[0][:40])
+
+
+def test_long_words_that_a_polynomial_hash_confuses():
+    a = "".join("xy"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("xy", "yx"))
+    encoder, lib = SliceEncoder(load_tables(tokenizer_path())), library()
+    texts = [a, b, f"{a} {b}", f"{b} {a}"]
+    assert [g.tolist() for g in encoder.texts(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_columns_nulls_and_repeats(spark):
     rows = [(1, None, "i", 3), (2, "", "i", 3), (3, "Hello the world", "i", 4), (3, "Hello the world", "i", 4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, decoded int")
