@@ -26,21 +26,24 @@ def _side(df: DataFrame, p: str, *extra: str) -> DataFrame:
     return df.selectExpr(*[f"{c} AS {p}{c}" for c in ["key", "oid", "region", "cell", *ENV]], *extra)
 
 
+def overlay_sides(parcels: DataFrame, zones: DataFrame, tag_name: str, edges: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What the overlay needs of both layers: keys, region, cell and envelope; of the zones the class, read out of the JSON tags
+    once per zone, not once per pair, and the own area; and for overlap areas the parcels' own area and both edge arrays."""
+    edge_array = f"{shapes.edges_sql('rings', 'gtype')} AS {{}}_edges"
+    area = f"{shapes.area_sql('rings', 'gtype')} AS {{}}_area"
+    p = _side(parcels, "p_", *([area.format("p"), edge_array.format("p")] if edges else []))
+    z = _side(zones, "z_", f"{tag_sql('tags', tag_name)} AS z_class", area.format("z"), *([edge_array.format("z")] if edges else []))
+    return p, z
+
+
 def parcel_side(parcels: DataFrame, edges: bool = True) -> DataFrame:
-    """What the overlay needs of the parcels: keys, region, cell, envelope, and for overlap areas the own area and the edge
-    array. These feed the level collect, both grid-join branches and the default rows: they are computed once."""
-    if not edges:
-        return _side(parcels, "p_")
-    return materialize(_side(parcels, "p_", f"{shapes.area_sql('rings', 'gtype')} AS p_area",
-                             f"{shapes.edges_sql('rings', 'gtype')} AS p_edges"))
+    """The parcels' side. It feeds the level collect, both grid-join branches and the default rows: it is computed once."""
+    return materialize(overlay_sides(parcels, parcels, "", edges)[0])
 
 
 def zone_side(zones: DataFrame, tag_name: str, edges: bool = True) -> DataFrame:
-    """The same of the zones, and their class, read out of the JSON tags once per zone, not once per pair."""
-    extra = [f"{tag_sql('tags', tag_name)} AS z_class", f"{shapes.area_sql('rings', 'gtype')} AS z_area"]
-    if not edges:
-        return _side(zones, "z_", *extra)
-    return materialize(_side(zones, "z_", *extra, f"{shapes.edges_sql('rings', 'gtype')} AS z_edges"))
+    """The zones' side, computed once."""
+    return materialize(overlay_sides(zones, zones, tag_name, edges)[1])
 
 
 def overlay_inputs(parcels: DataFrame, zones: DataFrame, tag_name: str, edges: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -171,6 +171,34 @@ def q_overlay_stats(spark, sf_dir):
     return overlay_stats(*_overlay(spark, sf_dir), batches=4)
 
 
+@register("overlay_counts", ORACLE["overlay_stats"].replace("ceil((SELECT count(*) FROM zones) / 4::DOUBLE)::BIGINT AS batch_size",
+                                                            "(SELECT count(*) FROM parcels) AS n_classes"))
+def q_overlay_counts(spark, sf_dir):
+    """The same counts, gathered while the classes are computed and written; and the classes written."""
+    from geotables.operators.counts import overlay_with_counts
+    from geotables.session import scratch_path
+    path = scratch_path(spark, "classes")
+    classes, counts = overlay_with_counts(*_overlay(spark, sf_dir))
+    classes.write.parquet(path)
+    found = ", ".join(f"{n}L AS {c}" for c, n in counts.get().items())
+    return spark.read.schema(classes.schema).parquet(path).selectExpr("count(*) AS n_classes").selectExpr(*found.split(", "), "n_classes")
+
+
+@register("ingest_counts", O.with_ctes(O.PARCELS) + """
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE k % 50 = 7) AS n_skipped, count(*) FILTER (WHERE k % 50 <> 7) AS n_rows,
+       count(*) FILTER (WHERE k % 50 IN (13, 21, 33)) AS n_rejected FROM parcels""")
+def q_ingest_counts(spark, sf_dir):
+    """Lines, skipped and rejected ones, counted while the parsed rows are written."""
+    from geotables.operators.counts import ingest_with_counts
+    from geotables.session import scratch_path
+    path = scratch_path(spark, "parsed")
+    rows, counts = ingest_with_counts(parcel_lines(spark, sf_dir))
+    rows = rows.select("oid", "gtype", "rings", "why")
+    rows.write.parquet(path)
+    found = [f"{n}L AS {c}" for c, n in counts.get().items() if c != "n_rows"]
+    return spark.read.schema(rows.schema).parquet(path).selectExpr("count(*) AS n_rows").selectExpr("n_rows", *found)
+
+
 # ------------------------------------------------------------------ geohash cells
 
 GRID_CHARS = 2

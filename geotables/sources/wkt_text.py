@@ -102,6 +102,18 @@ def parse_wkt(df: DataFrame, wkt: str = "wkt", repair: bool = False) -> DataFram
     return d.selectExpr(*keep, f"inline(array({result}))")
 
 
+def geometry_line_sql(col: str = "value") -> str:
+    """Whether a raw line is a geometry line, the others being skipped."""
+    return f"coalesce(split({col}, '\\t', -1)[0] RLIKE '{GEOMETRY_LINE}', false)"
+
+
+def parsed_lines(lines: DataFrame, col: str = "value", repair: bool = False) -> DataFrame:
+    """One row per geometry line or member of a collection: line, oid, tags, gtype, rings, and ``why`` it is rejected, or null."""
+    p = parse_wkt(split_collections(split_lines(lines, col)), repair=repair)
+    return p.selectExpr("*", "CASE WHEN n_fields < 3 THEN 'missing fields' "
+                             "WHEN oid IS NULL OR oid = '' THEN 'missing oid' ELSE reason END AS why")
+
+
 def ingest_lines(lines: DataFrame, col: str = "value", repair: bool | str = False) -> tuple[DataFrame, DataFrame]:
     """(features, rejects) from raw ``wkt \\t oid \\t tags`` lines.
 
@@ -109,10 +121,7 @@ def ingest_lines(lines: DataFrame, col: str = "value", repair: bool | str = Fals
     rejects: (line, oid, reason). ``repair`` mends polygon rings
     (repeated points, missing last point, direction) and rejects those that are invalid all the same; ``repair="rebuild"`` keeps
     these, too, rebuilt by the area rule of ``operators.rebuild``."""
-    s = split_collections(split_lines(lines, col))
-    p = parse_wkt(s, repair=bool(repair))
-    p = p.selectExpr("*", "CASE WHEN n_fields < 3 THEN 'missing fields' "
-                          "WHEN oid IS NULL OR oid = '' THEN 'missing oid' ELSE reason END AS why")
+    p = parsed_lines(lines, col, bool(repair))
     # features and rejects are two filters over one parse; a job that needs both should persist ``p`` first
     features = finish_features(p.where("why IS NULL").select("oid", "tags", "gtype", "rings"))
     rejects = p.where("why IS NOT NULL").selectExpr("line", "oid", "why AS reason")
