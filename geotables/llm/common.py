@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from geotables.session import storage_root
@@ -147,6 +148,18 @@ class RunHash:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 
 
+LONG_WORD = 64
+
+
+def word_hashes(hashes: RunHash, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words. A polynomial over a ring whose size is a power of two confuses certain long words whatever its
+    base (those that follow the Thue-Morse sequence), so words of over ``LONG_WORD`` bytes are hashed by XXH3."""
+    keys = hashes.runs(hashes.prefix(BYTE_VALUES[data]), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        keys[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]].tobytes())
+    return keys
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

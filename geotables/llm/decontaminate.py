@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.llm.common import BYTE_VALUES, RunHash, slices, text_bytes, word_spans, written
+from geotables.llm.common import RunHash, slices, text_bytes, word_hashes, word_spans, written
 
 GROUP_BYTES = 8 << 20
 BLOCK_BYTES = 2 << 20
@@ -48,7 +48,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     data = FOLD[data]
     starts, ends, rows = word_spans(data, offsets, TERMS)
-    keys = _HASH.runs(_HASH.prefix(BYTE_VALUES[data]), starts, ends)
+    keys = word_hashes(_HASH, data, starts, ends)
     return keys, np.bincount(rows, minlength=len(offsets) - 1)
 
 

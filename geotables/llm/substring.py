@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.llm.common import BYTE_VALUES, SPACES, RunHash, slices, text_bytes, word_spans, written
+from geotables.llm.common import SPACES, RunHash, slices, text_bytes, word_hashes, word_spans, written
 
 NO_ID = (1 << 63) - 1
 HOT_SEGMENTS = 4096
@@ -47,7 +47,7 @@ _BYTES, _WORDS, _RUNS = RunHash(31), RunHash(37), RunHash(41)
 
 
 def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _BYTES.runs(_BYTES.prefix(BYTE_VALUES[data]), starts, ends)
+    return word_hashes(_BYTES, data, starts, ends)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -196,7 +196,7 @@ def matching_statistics(words: np.ndarray, sizes: np.ndarray, owners: np.ndarray
     return out
 
 
-SEGMENTS = "doc bigint, mark int, start int, n int, anchor bigint, content bigint"
+SEGMENTS = "doc bigint, mark bigint, start int, n int, anchor bigint, content bigint"
 
 
 def _segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataF
 def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), removed array<struct<from, to>> (maximal
     runs of removed words), one row per document row."""
-    rows = docs.selectExpr(f"coalesce(cast({doc_id} as bigint), {NO_ID}) as doc", f"hash({text}) as mark", f"{text} as text")
+    rows = docs.selectExpr(f"coalesce(cast({doc_id} as bigint), {NO_ID}) as doc", f"xxhash64({text}) as mark", f"{text} as text")
     found = repeated_spans(rows, window, anchor)
     joined = rows.join(found, ["doc", "mark"], "left").select("doc", "text", "spans")
 

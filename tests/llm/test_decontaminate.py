@@ -76,3 +76,11 @@ def test_proximity_against_brute_force(spark):
                     want.add((str(i), d, s))
     got = dc.proximity(index, spark.createDataFrame(items, "item_id bigint, text string"), span).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_long_words_that_a_polynomial_hash_confuses(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs, items = [(1, f"x {a} y"), (2, f"x {b} y"), (3, b)], [(7, b)]
+    got = dc.contamination(*frames(spark, docs, items), size=13).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=repr) == brute(docs, items, 13)

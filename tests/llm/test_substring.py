@@ -97,3 +97,34 @@ def test_given_table_by_brute_force(spark):
 
 def test_empty_table(spark):
     assert ss.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_a_polynomial_hash_confuses(spark):
+    a, b = thue_morse(4096)
+    common = " ".join(f"c{i}" for i in range(49))
+    docs = [(1, f"{common} {a}"), (2, f"{common} {b}"), (3, f"{common} {a}")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in ss.remove_repeats(df, 50).collect())
+    assert got == brute(docs, 50) and [r[2] for r in got] == [0, 0, 50]
+
+
+def test_rows_without_id_whose_texts_share_a_short_hash(spark):
+    # two texts with equal hash(): rows without an id are told apart by more than that
+    seen, pair = {}, None
+    words = " ".join(f"q{i}" for i in range(59))
+    for r in spark.range(200_000).selectExpr(f"concat('{words} ', id) as t").selectExpr("t", "hash(t) as h").toLocalIterator():
+        if r.h in seen:
+            pair = seen[r.h], r.t
+            break
+        seen[r.h] = r.t
+    assert pair
+    first = " ".join(f"z{i}" for i in range(60))
+    docs = [(None, pair[0]), (None, pair[1]), (1, pair[0]), (2, first)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in ss.remove_repeats(df, 60).collect()), key=repr)
+    assert got == brute(docs, 60)
