@@ -45,9 +45,11 @@ def shard_sql(key: str, weights: list[float], seed: str = SEED) -> str:
 
 
 def assign_shards(df: DataFrame, key: list[str], weights: list[float], seed: str = SEED, into: str = "shard") -> DataFrame:
-    """``df`` with a column ``into``, its shard among ``len(weights)`` by the columns of ``key``. No shuffle."""
+    """``df`` with a column ``into``, its shard among ``len(weights)`` by the columns of ``key``, in place of a column of that
+    name. No shuffle."""
+    kept = [f"`{c}`" for c in df.columns if c.lower() != into.lower()]
     return df.selectExpr("*", f"{key_sql(key)} as _shard_key").selectExpr(
-        *[f"`{c}`" for c in df.columns], f"{shard_sql('_shard_key', weights, seed)} as {into}")
+        *kept, f"{shard_sql('_shard_key', weights, seed)} as {into}")
 
 
 def place(docs: DataFrame, weights: list[float], grown: list[float] | None = None, seed: str = SEED) -> DataFrame:

@@ -67,10 +67,11 @@ def test_keys_of_several_columns_and_empty(spark):
 
 
 def test_written_shards_hold_all_records(spark, tmp_path):
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows()], SCHEMA).drop("shard")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows()], SCHEMA)
     path = str(tmp_path / "shards")
     S.write_shards(df, path, [1.0] * 4, ["doc_id"], rows_per_file=20)
     back = spark.read.parquet(path)
     assert Counter((r.doc_id, r.text, r.shard) for r in back.collect()) == Counter(
         (i, t, shard(i, [1.0] * 4)) for i, t in rows())
+    assert set(back.columns) == {"doc_id", "text", "slot", "shard"}
     assert len(glob.glob(path + "/shard=*/*.parquet")) > 20
