@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "range_query", "range_query_many", "overlay_pairs_grid", "overlay_classes", "overlay_classes_compat",
     "prefix_join", "geohash_points", "grid_count", "cover", "common_prefix_cells", "wkt_ingest", "check_rings",
-    "prefix_scan", "wkb_transcode", "range_query_stored", "overlay_stored",
+    "prefix_scan", "wkb_transcode", "range_query_stored", "overlay_stored", "range_scan_windows", "nested_cells",
 ]
 
 

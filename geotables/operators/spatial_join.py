@@ -149,7 +149,8 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
     on = on or []
     left = left.where(f"{left_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(left_env)} AS _gl_own")
     right = right.where(f"{right_env[0]} IS NOT NULL").selectExpr("*", f"{own_level_sql(right_env)} AS _gr_own")
-    known_l, known_r = _Levels(left, "_gl_own", left_env), _Levels(right, "_gr_own", right_env)
+    known_l = _Levels(left, "_gl_own", left_env)
+    known_r = known_l if each_once else _Levels(right, "_gr_own", right_env)
     if not known_l.n_rows or not known_r.n_rows:
         return []
 
