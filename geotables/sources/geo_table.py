@@ -20,6 +20,7 @@ from geotables.operators.rebuild import repair_features
 from geotables.session import scratch_path
 
 PREFIX_LEN = 2
+MAX_HEADS = 2000   # beginnings of prefixes that are looked up among the directories; more of them prune nothing
 NO_CELL = "_"
 LAYOUT = "_layout"
 SCHEMA = ("key STRING, oid STRING, tags STRING, gtype STRING, rings " + RINGS_T + ", xmin DOUBLE, ymin DOUBLE, xmax DOUBLE,"
@@ -80,6 +81,19 @@ def _pruning(prefix: str, n: int | None) -> Column | None:
     return F.col("cell_prefix").startswith(cell)
 
 
+def _pruning_any(prefixes: list[str], n: int) -> Column:
+    """``_pruning`` of any of the prefixes, as one set of directories and one of their beginnings for each shorter length: a
+    condition for each prefix would nest deeper with every one of them."""
+    by_length: dict[int, set[str]] = {}
+    for prefix in prefixes:
+        cell, ended, _ = prefix.partition("_")
+        head = cell[:n] or NO_CELL
+        by_length.setdefault(n if ended or len(cell) >= n else len(cell), set()).add(head)
+    return reduce(lambda a, b: a | b, [
+        (F.col("cell_prefix") if length == n else F.substring("cell_prefix", 1, length)).isin(sorted(heads))
+        for length, heads in sorted(by_length.items())])
+
+
 def _spread(df: DataFrame, num_partitions: int | None) -> DataFrame:
     return df.repartition(num_partitions) if num_partitions else df
 
@@ -124,8 +138,8 @@ def scan_by_cell_prefix(df: DataFrame, prefixes: DataFrame, keep_overlaps: bool
     the lengths asked for (a small set read back once), and one equi-join with the prefixes.
 
     keep_overlaps=False joins with the prefix-free reduction of the set, so a row matches once at most and needs no
-    ``distinct``; True gives one row per (row, prefix). The directories the prefixes can lie in (a bounded set: there are
-    no more than the table has) prune the scan.
+    ``distinct``; True gives one row per (row, prefix). The directories the prefixes can lie in prune the scan, unless there are
+    more than ``MAX_HEADS`` of them.
     """
     targets = prefixes.select("prefix").where("prefix IS NOT NULL").distinct()
     if not keep_overlaps:
@@ -136,10 +150,11 @@ def scan_by_cell_prefix(df: DataFrame, prefixes: DataFrame, keep_overlaps: bool
         return out.withColumn("prefix", F.lit("")) if keep_overlaps else out
     n = table_layout(df)
     if n is not None and lengths[0] > 0:
-        heads = [r[0] for r in targets.selectExpr(f"substring(prefix, 1, {n + 1}) AS p").distinct().collect()]
-        prune = [_pruning(h if "_" in h else h[:n], n) for h in heads]
-        if all(c is not None for c in prune):
-            df = df.where(reduce(lambda a, b: a | b, prune))
+        head = f"substring(prefix, 1, {n + 1})"
+        head = f"IF(contains({head}, '_'), {head}, substring(prefix, 1, {n}))"
+        heads = [r[0] for r in targets.selectExpr(f"{head} AS p").distinct().limit(MAX_HEADS + 1).collect()]
+        if len(heads) <= MAX_HEADS:
+            df = df.where(_pruning_any(heads, n))
     arr = "array(" + ", ".join(str(v) for v in lengths) + ")"
     rows = df.selectExpr("*", f"explode(transform(filter({arr}, n -> n <= length(key)), n -> substring(key, 1, n))) AS prefix")
     out = rows.join(targets, "prefix").select(*df.columns, "prefix")

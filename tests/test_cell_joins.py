@@ -105,3 +105,21 @@ def test_nested_and_mixed_wkb_are_rejects(spark):
     bad = (None, "malformed WKB")
     assert got == {"deep": bad, "polygon_in_points": bad, "point_in_lines": bad, "huge_count": bad,
                    "points": ("MULTIPOINT", None), "polygons": ("MULTIPOLYGON", None)}
+
+
+@pytest.mark.parametrize("max_heads", [2000, 3])
+def test_many_prefixes(spark, tmp_path, monkeypatch, max_heads):
+    from geotables.sources import geo_table
+    monkeypatch.setattr(geo_table, "MAX_HEADS", max_heads)
+    f = features(spark)
+    write_geo_table(f, str(tmp_path / "t"))
+    table = read_geo_table(spark, str(tmp_path / "t"))
+    chars = "0123456789bcdefghjkmnpqrstuvwxyz"
+    prefixes = [a + b for a in chars for b in chars if b not in "58"] + [a + b + "7" for a in chars for b in "58"] + \
+        ["_", "s_", "_l1", "k", "A", "it's", "7zz_p"]
+    keys = [r.key for r in f.collect()]
+    want = sorted(k for k in keys if any(k.startswith(p) for p in prefixes))
+    got = geo_table.scan_by_cell_prefix(table, spark.createDataFrame([(p,) for p in prefixes], "prefix string"))
+    assert sorted(r.key for r in got.collect()) == want and 0 < len(want) < len(keys)
+    few = geo_table.scan_by_cell_prefix(table, spark.createDataFrame([("s",), ("_",), ("7z_",)], "prefix string"))
+    assert sorted(r.key for r in few.collect()) == sorted(k for k in keys if k.startswith(("s", "_", "7z_")))
