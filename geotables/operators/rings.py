@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from geotables.functions.exact import orient_sign_sql
 from geotables.functions.shapes import ring_signed_area_sql
 from geotables.operators.spatial_join import grid_join
-from geotables.session import materialize
+from geotables.session import as_large, materialize
 
 REASONS = ["self-crossing", "hole fills shell", "overlapping edges", "hole outside shell", "nested holes", "nested shells",
            "disconnected interior", "ring too short"]
@@ -72,7 +72,8 @@ def split_valid(df: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     Features that are no polygons are valid."""
     df = materialize(df)
     bad = check_rings(df, key).where("NOT valid").select(key, "reason")
-    return df.join(bad.select(key), key, "left_anti").select(*df.columns), df.join(bad, key).select(*df.columns, "reason")
+    return (df.join(as_large(bad.select(key)), key, "left_anti").select(*df.columns),
+            df.join(as_large(bad), key).select(*df.columns, "reason"))
 
 
 SAME_RING = "(a_part = b_part AND a_ring = b_ring)"
@@ -149,7 +150,7 @@ def _rings_inside(edges: DataFrame, touching: DataFrame | None) -> DataFrame:
     above = edges.where("n_rings > 1 AND xmin < xmax").selectExpr(
         "k", "part AS in_part", "ring AS in_ring", "rx0", "ry0", "rx1", "ry1", "xmin", "xmax", "ymin", "ymax",
         "IF(x1 < x2, y1, y2) AS yl", "IF(x1 < x2, y2, y1) AS yr", f"explode(sequence({slab('xmin')}, {slab('xmax')})) AS slab")
-    met = points.join(above, ["k", "slab"]).where(
+    met = points.join(as_large(above), ["k", "slab"]).where(
         "NOT (part = in_part AND ring = in_ring) AND px0 >= rx0 AND py0 >= ry0 AND px1 <= rx1 AND py1 <= ry1 "
         "AND x >= xmin AND x < xmax AND ymax >= y")
     met = met.where(f"ymin > y OR ({orient_sign_sql('xmin', 'yl', 'xmax', 'yr', 'x', 'y')}) < 0")
@@ -161,7 +162,7 @@ def _rings_inside(edges: DataFrame, touching: DataFrame | None) -> DataFrame:
                                          "b_from AS inside"))
     known = known.groupBy("k", "part", "ring", "in_part", "in_ring").agg(F.max("inside").alias("inside"))
     pair = ["k", "part", "ring", "in_part", "in_ring"]
-    return odd.join(known.select(*pair), pair, "left_anti").unionByName(known.where("inside").select(*pair))
+    return odd.join(as_large(known.select(*pair)), pair, "left_anti").unionByName(known.where("inside").select(*pair))
 
 
 def _circles(touching: DataFrame) -> DataFrame:
@@ -187,11 +188,11 @@ def _nesting(edges: DataFrame, inside: DataFrame, told) -> list[DataFrame]:
     holes, own = rings.where("ring > 0"), inside.where("ring > 0 AND in_part = part")
     shells = inside.where("ring = 0 AND in_ring = 0 AND in_part <> part")
     saved = inside.where("ring = 0 AND in_ring > 0 AND in_part <> part").select("k", "part", "in_part")
-    fills = holes.join(rings.where("ring = 0").selectExpr("k", "part", "area AS shell"), ["k", "part"])
+    fills = holes.join(as_large(rings.where("ring = 0").selectExpr("k", "part", "area AS shell")), ["k", "part"])
     return [told(fills.where("area >= shell"), "hole fills shell"),
-            told(holes.join(own.where("in_ring = 0").select(*ids), ids, "left_anti"), "hole outside shell"),
+            told(holes.join(as_large(own.where("in_ring = 0").select(*ids)), ids, "left_anti"), "hole outside shell"),
             told(own.where("in_ring > 0"), "nested holes"),
-            told(shells.join(saved, ["k", "part", "in_part"], "left_anti"), "nested shells")]
+            told(shells.join(as_large(saved), ["k", "part", "in_part"], "left_anti"), "nested shells")]
 
 
 def check_rings(df: DataFrame, key: str = "oid") -> DataFrame:
@@ -210,7 +211,7 @@ def check_rings(df: DataFrame, key: str = "oid") -> DataFrame:
     if ("touch", False) in kinds:
         touching = materialize(_touching(meetings))
         # sides mean something only where the rings have no piece in common
-        through = touching.where("a_from <> a_to OR b_from <> b_to").join(overlaps, "k", "left_anti")
+        through = touching.where("a_from <> a_to OR b_from <> b_to").join(as_large(overlaps), "k", "left_anti")
         found += [told(through, "self-crossing"), told(_circles(touching), "disconnected interior")]
     if not edges.where("n_rings > 1").isEmpty():
         found += _nesting(edges, materialize(_rings_inside(edges, touching)), told)

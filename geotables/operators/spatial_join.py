@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from geotables.functions.cells import geohash_sql
-from geotables.session import materialize
+from geotables.session import as_large, materialize
 
 MIN_LEVEL = -24   # 2^-24 degrees, about 7 mm at the equator; points and tiny features share it
 MAX_LEVEL = 9     # 512 degrees: one cell holds the whole lon/lat plane
 FULL_CELL, FEW_ROWS = 20_000, 100   # bounds of the rows of a side that a join key may hold
+SMALL_SIDE = 10_000   # features of the smaller side up to which Spark may broadcast it
 
 Env = tuple[str, str, str, str]
 
@@ -169,6 +170,8 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
     if each_once:
         branches = branches[:1]
     same = " AND ".join([f"{a} = {b}" for a, b in zip(branches[0][0].key, branches[0][1].key)])
+    # a side's estimated size knows nothing of the cells its features are copied to; its counted rows do
+    sized = as_large if min(known_l.n_rows, known_r.n_rows) > SMALL_SIDE else lambda df: df
     rx, ry = f"greatest({left_env[0]}, {right_env[0]})", f"greatest({left_env[1]}, {right_env[1]})"
     ref = f"{_cell_sql(rx, '_gl_lvl')} = _gl_ix AND {_cell_sql(ry, '_gl_lvl')} = _gl_iy"
     cond = f"{same} AND {bbox_overlaps_sql(left_env, right_env)} AND {ref}"
@@ -189,17 +192,18 @@ def join_inputs(left: DataFrame, right: DataFrame, left_env: Env, right_env: Env
         if full.isEmpty():
             full = None
     if full is None:
-        return [(a.rows, b.rows, F.expr(cond)) for a, b in branches]
+        return [(a.rows, sized(b.rows), F.expr(cond)) for a, b in branches]
     out = []
     for i, (a, b) in enumerate(branches):
         cells = full.where(f"branch = {i}").drop("branch")
-        out.append((*[x.rows.join(cells.selectExpr(f"cell AS {x.p}cell"), F.expr(f"{x.cell_hash()} = {x.p}cell"), "left_anti")
-                      for x in (a, b)], F.expr(cond)))
+        rest_a, rest_b = (x.rows.join(cells.selectExpr(f"cell AS {x.p}cell"), F.expr(f"{x.cell_hash()} = {x.p}cell"), "left_anti")
+                          for x in (a, b))
+        out.append((rest_a, sized(rest_b), F.expr(cond)))
         rows_a, runs_a = a.runs(cells, "nl", full_cell)
         rows_b, runs_b = b.runs(cells, "nr", full_cell)
         meet = " AND ".join([f"{a.p}k{j} = {b.p}k{j}" for j in range(len(a.key))] + [bbox_overlaps_sql(a.box(), b.box())])
         pairs = materialize(runs_a.join(runs_b, F.expr(meet)))
-        out.append((a.with_partners(rows_a, pairs, b), b.with_partners(rows_b, pairs, a),
+        out.append((a.with_partners(rows_a, pairs, b), sized(b.with_partners(rows_b, pairs, a)),
                     F.expr(f"{cond} AND _gl_run = _gr_other AND _gr_run = _gl_other")))
     return out
 

@@ -111,3 +111,21 @@ def test_reasons(spark):
     assert {r.oid: r.reason for r in check_rings(f).collect()} == {k: r for k, (_, r) in cases.items()}
     reader = spark.sparkContext._jvm.org.locationtech.jts.io.WKTReader()
     assert {k: reader.read(w).isValid() for k, (w, _) in cases.items()} == {k: r is None for k, (_, r) in cases.items()}
+
+
+def test_growing_sides_are_not_broadcast(spark, monkeypatch):
+    """Edges and what is found of them grow with the table, however small Spark takes them to be."""
+    from geotables.operators import rings, spatial_join
+    from geotables.operators.rebuild import repair_features
+    monkeypatch.setattr(spatial_join, "SMALL_SIDE", 0)
+    square = ring(box(0, 0, 4, 4))
+    f, _ = features_from_wkt(spark, [(f"MULTIPOLYGON (({square}), ({ring(box(1, 1, 1, 1))}))", "a", "{}"),
+                                     (f"POLYGON ({square}, {ring(box(4, 1, 1, 1))})", "b", "{}"), (f"POLYGON ({square})", "c", "{}")])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    edges = rings.materialize(rings.edges_of(f, "oid"))
+    meetings = rings.meetings_of(edges)
+    touching = rings._touching(meetings)
+    good, bad = repair_features(f)
+    for df in (meetings, rings._rings_inside(edges, None), rings._rings_inside(edges, touching), rings.check_rings(f), good, bad,
+               *repair_features(f, rebuild=True)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
