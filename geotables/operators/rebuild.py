@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from geotables.functions.shapes import RINGS_T
 from geotables.model import finish_features
 from geotables.operators.rings import edges_of, close_rings_sql, meetings_of, orient_rings_sql, split_valid
-from geotables.session import materialize
+from geotables.session import as_large, materialize
 
 GRID = float(1 << 40)
 MAX_SLABS = 4096
@@ -53,7 +53,7 @@ def _pieces(edges: DataFrame, cuts: DataFrame) -> DataFrame:
     ids = ["k", "part", "ring", "i"]
     met = cuts.groupBy(*ids).agg(F.collect_set("p").alias("ps"))
     along = ("abs(p.x - x1) + abs(p.y - y1)")
-    rows = edges.join(met, ids, "left").selectExpr(
+    rows = edges.join(as_large(met), ids, "left").selectExpr(
         "k", "part", "ring", "x1", "y1", "x2", "y2",
         "concat(array(named_struct('x', x1, 'y', y1)), transform(array_sort(transform(coalesce(ps, array()), "
         f"p -> named_struct('d', {along}, 'x', p.x, 'y', p.y))), p -> named_struct('x', p.x, 'y', p.y)), "
@@ -69,7 +69,7 @@ def _sides(pieces: DataFrame) -> DataFrame:
     spans = pieces.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"{f}({g}({c}1, {c}2)) AS {c}{f}")
                                                                     for c in "xy" for f, g in (("min", "least"), ("max", "greatest"))])
     # turned: x and y exchanged, for pieces that are vertical; a turn changes the sign of all windings alike
-    both = pieces.join(spans, "k").selectExpr(
+    both = pieces.join(as_large(spans), "k").selectExpr(
         "k", "part", "ring", "n", "inline(array(named_struct('turned', false, 'x1', x1, 'y1', y1, 'x2', x2, 'y2', y2, 'lo', xmin, "
         "'hi', xmax), named_struct('turned', true, 'x1', y1, 'y1', x1, 'x2', y2, 'y2', x2, 'lo', ymin, 'hi', ymax)))")
     slabs = f"least(CAST(ceil(sqrt(n)) AS INT), {MAX_SLABS})"
@@ -82,7 +82,7 @@ def _sides(pieces: DataFrame) -> DataFrame:
         f"{slab('(xl + xr) / 2D')} AS slab").distinct()
     above = flat.selectExpr("k", "turned", "part", "ring", "dir", "xl AS el", "xr AS er", "yl AS fl", "yr AS fr",
                             f"explode(sequence({slab('xl')}, {slab('xr')})) AS slab")
-    met = places.join(above, ["k", "turned", "slab"]).where("mx >= el AND mx < er")
+    met = places.join(as_large(above), ["k", "turned", "slab"]).where("mx >= el AND mx < er")
     same = "el = xl AND er = xr AND fl = yl AND fr = yr"
     met = met.selectExpr("k", "turned", "xl", "yl", "xr", "yr", "part", "ring", f"IF({same}, dir, 0) AS own",
                          f"IF(NOT ({same}) AND fl + (fr - fl) * ((mx - el) / (er - el)) > my, dir, 0) AS up")
@@ -186,11 +186,11 @@ def rebuilt_features(invalid: DataFrame, key: str = "key") -> tuple[DataFrame, D
     envelope, cell and key; those that cover nothing, or stay invalid all the same, keep their reason."""
     invalid = materialize(invalid)
     new = rebuild_rings(invalid, key).selectExpr(f"`{key}` AS _k", "gtype AS _gtype", "rings AS _rings")
-    made = invalid.join(new, F.expr(f"`{key}` = _k")).selectExpr(
+    made = invalid.join(as_large(new), F.expr(f"`{key}` = _k")).selectExpr(
         f"`{key}` AS _old", *["_gtype AS gtype" if c == "gtype" else "_rings AS rings" if c == "rings" else f"`{c}`"
                               for c in invalid.columns if c not in ("key", "cell", "region", "xmin", "ymin", "xmax", "ymax", "reason")])
     good, _ = split_valid(finish_features(made), "_old")
-    rejects = invalid.join(good.select(F.col("_old").alias("_k")), F.expr(f"`{key}` = _k"), "left_anti")
+    rejects = invalid.join(as_large(good.select(F.col("_old").alias("_k"))), F.expr(f"`{key}` = _k"), "left_anti")
     return good.select(*[c for c in invalid.columns if c != "reason"]), rejects
 
 

@@ -60,7 +60,7 @@ def q_rebuild_stored(spark, sf_dir):
     """The features written as a key table and read with repair: what was invalid is rebuilt, with its reason told."""
     from geotables.functions.shapes import area_sql
     from geotables.operators.rings import check_rings
-    from geotables.session import scratch_path
+    from geotables.session import as_large, scratch_path
     from geotables.sources.geo_table import read_repaired, write_geo_table
     path = scratch_path(spark, "nested")
     features = nested_features(spark, sf_dir)
@@ -68,7 +68,7 @@ def q_rebuild_stored(spark, sf_dir):
     good, _ = read_repaired(spark, path, num_partitions=8, rebuild=True)
     told = check_rings(features).selectExpr("oid", "reason AS repaired")
     return good.selectExpr("oid", f"round({area_sql()}, 9) AS area",
-                           "array_max(transform(rings, r -> r.part)) + 1 AS n_parts").join(told, "oid")
+                           "array_max(transform(rings, r -> r.part)) + 1 AS n_parts").join(as_large(told), "oid")
 
 
 _LINE = {"ax": "k * 7919 % 1000003", "ay": "k * 10473 % 1000003", "dx": "1 + k * 6271 % 1048576",
