@@ -123,3 +123,15 @@ def test_many_prefixes(spark, tmp_path, monkeypatch, max_heads):
     assert sorted(r.key for r in got.collect()) == want and 0 < len(want) < len(keys)
     few = geo_table.scan_by_cell_prefix(table, spark.createDataFrame([("s",), ("_",), ("7z_",)], "prefix string"))
     assert sorted(r.key for r in few.collect()) == sorted(k for k in keys if k.startswith(("s", "_", "7z_")))
+
+
+def test_nested_cells_spread_their_pairs(spark, monkeypatch):
+    """Few rows that give many pairs are no work for one task."""
+    from geotables.operators import nested_cells
+    monkeypatch.setattr(nested_cells, "FULL_KEY", 2000, raising=False)
+    left = spark.createDataFrame([(i, "" if i % 2 else "s") for i in range(400)], "a int, ca string")
+    right = spark.createDataFrame([(i, "s00"[:i % 4]) for i in range(100)], "b int, cb string")
+    got = nested_cells.nested_cell_join(left, right, "ca", "cb")
+    sizes = got.selectExpr("spark_partition_id() AS task").groupBy("task").count().collect()
+    assert sum(r["count"] for r in sizes) == 400 * 100
+    assert max(r["count"] for r in sizes) < 400 * 100 / 4

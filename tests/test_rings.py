@@ -113,7 +113,7 @@ def test_reasons(spark):
     assert {k: reader.read(w).isValid() for k, (w, _) in cases.items()} == {k: r is None for k, (_, r) in cases.items()}
 
 
-def test_growing_sides_are_not_broadcast(spark, monkeypatch):
+def test_growing_sides_are_not_broadcast(spark, tmp_path, monkeypatch):
     """Edges and what is found of them grow with the table, however small Spark takes them to be."""
     from geotables.operators import rings, spatial_join
     from geotables.operators.rebuild import repair_features
@@ -121,6 +121,8 @@ def test_growing_sides_are_not_broadcast(spark, monkeypatch):
     square = ring(box(0, 0, 4, 4))
     f, _ = features_from_wkt(spark, [(f"MULTIPOLYGON (({square}), ({ring(box(1, 1, 1, 1))}))", "a", "{}"),
                                      (f"POLYGON ({square}, {ring(box(4, 1, 1, 1))})", "b", "{}"), (f"POLYGON ({square})", "c", "{}")])
+    f.write.parquet(str(tmp_path / "f"))
+    f = spark.read.schema(f.schema).parquet(str(tmp_path / "f"))  # a small file, as Spark sees it
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     edges = rings.materialize(rings.edges_of(f, "oid"))
     meetings = rings.meetings_of(edges)
