@@ -25,13 +25,18 @@ def stream_range_query(stream: DataFrame, xmin: float, ymin: float, xmax: float,
     return range_query(stream, xmin, ymin, xmax, ymax)
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """A micro-batch over all cores: it comes in no more partitions than it has files."""
+    return batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+
+
 def start_overlay_stream(parcels: DataFrame, zones: DataFrame, sink_path: str, checkpoint: str,
                          tag_name: str = "PDJB", available_now: bool = True) -> StreamingQuery:
     """Overlay each micro-batch of parcels against ``zones``; results go to ``sink_path/epoch=<n>``."""
     prepared = zone_side(zones, tag_name)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        classes_of(parcel_side(df), prepared).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        classes_of(parcel_side(_spread(df)), prepared).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
 
     w = parcels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -48,7 +53,7 @@ def start_zone_stream(zones: DataFrame, parcels: DataFrame, sink_path: str, chec
     prepared = parcel_side(parcels)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        contenders(prepared, zone_side(df, tag_name)).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        contenders(prepared, zone_side(_spread(df), tag_name)).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
 
     w = zones.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -135,3 +135,19 @@ def test_nested_cells_spread_their_pairs(spark, monkeypatch):
     sizes = got.selectExpr("spark_partition_id() AS task").groupBy("task").count().collect()
     assert sum(r["count"] for r in sizes) == 400 * 100
     assert max(r["count"] for r in sizes) < 400 * 100 / 4
+
+
+def test_stream_batches_use_all_cores(spark, tmp_path, monkeypatch):
+    """A micro-batch of one file is not the work of one task."""
+    from geotables.streaming import overlay_stream
+    box = lambda x, y: f"POLYGON (({x} {y}, {x + 1} {y}, {x + 1} {y + 1}, {x} {y + 1}, {x} {y}))"
+    parcels, _ = features_from_wkt(spark, [(box(i % 6, i // 6), f"110000P{i:02d}", "{}") for i in range(24)])
+    zones, _ = features_from_wkt(spark, [(box(i, 1.5), f"110000Z{i:02d}", '{"PDJB":"%d"}' % (i % 5)) for i in range(4)])
+    parcels.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen, side = [], overlay_stream.parcel_side
+    monkeypatch.setattr(overlay_stream, "parcel_side", lambda df: seen.append(df.rdd.getNumPartitions()) or side(df))
+    stream = spark.readStream.schema(parcels.schema).parquet(str(tmp_path / "in"))
+    overlay_stream.start_overlay_stream(stream, zones, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert seen == [spark.sparkContext.defaultParallelism]
+    told = lambda df: sorted((r.oid, r.pd_class) for r in df.collect())
+    assert told(spark.read.parquet(str(tmp_path / "out"))) == told(overlay_classes(parcels, zones))
