@@ -161,7 +161,8 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
 def distinct_lines(rows: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """h1, h2, copies, first struct<doc, pos, mark>, n, letters, keys, next_keys, cls, next_cls."""
-    letters = " | ".join(f"shiftleft(cast((n - char_length(replace(line, '{c}', ''))) & 15 as bigint), {4 * i})"
+    # the letters are single bytes: sizes in bytes are known, while characters have to be counted each time
+    letters = " | ".join(f"shiftleft(cast((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 15 as bigint), {4 * i})"
                          for i, c in enumerate(LETTERS))
     cls = f"cast(floor(n / {CLASS}) as int)"
     lines = _lines(rows, min_chars).selectExpr(

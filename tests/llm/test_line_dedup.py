@@ -111,3 +111,15 @@ def test_native_plan_and_given_table(spark):
     names = [c[0] for c in con.description]
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(want)
     assert df.where(F.col("kept_sha256") == hashlib.sha256(b"").hexdigest()).count() >= 0
+
+
+def test_letters_are_counted_without_counting_characters(spark):
+    import re
+
+    from geotables.llm import line_dedup
+    texts = ["so ein schöner Tag, und übermorgen gibt es Käse 🧀", "e" * 40, "日本語の長い行です" * 5 + " tea and rice"]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, mark long, text string")
+    got = line_dedup.distinct_lines(rows, 2, 16)
+    want = {i: sum((t.count(c) & 15) << (4 * k) for k, c in enumerate(line_dedup.LETTERS)) for i, t in enumerate(texts)}
+    assert {r.first.doc: r.letters & (2 ** 64 - 1) for r in got.collect()} == want
+    assert not re.search(r"(?<!octet_)length\(replace", got._jdf.queryExecution().optimizedPlan().toString())
