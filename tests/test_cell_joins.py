@@ -137,6 +137,38 @@ def test_nested_cells_spread_their_pairs(spark, monkeypatch):
     assert max(r["count"] for r in sizes) < 400 * 100 / 4
 
 
+def test_nested_cells_ship_rows_not_pairs(spark, monkeypatch):
+    """What travels grows with the tables: a row at the top is not sent to every cell below it."""
+    from geotables.operators import nested_cells
+    monkeypatch.setattr(nested_cells, "FULL_KEY", 10_000)
+    chars = "0123456789bcdefghjkmnpqrstuvwxyz"
+    lower = [(1000 + i, a + b) for i, (a, b) in enumerate(itertools.product(chars, chars))]
+    top = [(i, "") for i in range(300)]
+    kind, sent = type(spark.range(0)), []
+    deal = kind.repartition
+
+    def dealt(df, *a):
+        sent.append(df.selectExpr("size(_rows) AS n" if "_rows" in df.columns else "size(_right) AS n" if "_right" in df.columns else "1 AS n")
+                    .groupBy().sum("n").first()[0])
+        return deal(df, *a)
+    frames = [spark.createDataFrame(rows, f"{c} int, c{c} string") for rows, c in ((top + lower, "a"), (top + lower, "b"))]
+    monkeypatch.setattr(kind, "repartition", dealt)
+    got = nested_cells.nested_cell_join(*frames, "ca", "cb")
+    n = len(top) + len(lower)
+    assert got.count() == len(top) ** 2 + 2 * len(top) * len(lower) + len(lower)
+    assert len(sent) == 2 and sum(sent) < 10 * 2 * n  # the pairs are 265 times as many as the rows
+
+
+def test_nested_cells_keep_columns_and_repeats(spark):
+    """Rows that are equal stay as often as they come, nulls in other columns stay, and columns keep names and order."""
+    left = spark.createDataFrame([(1, "", None), (1, "", None), (2, "s", "x"), (None, "s0", "y")], "`a 1` int, ca string, t string")
+    right = spark.createDataFrame([("s", 5.0), ("s", 5.0), ("", None), ("u", 1.0)], "cb string, v double")
+    got = nested_cell_join(left, right, "ca", "cb")
+    assert got.columns == ["a 1", "ca", "t", "cb", "v"] and [t for _, t in got.dtypes] == ["int", "string", "string", "string", "double"]
+    want = [(*x, *y) for x in left.collect() for y in right.collect() if x.ca.startswith(y.cb) or y.cb.startswith(x.ca)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) == 2 * 4 + 3 + 3
+
+
 def test_stream_batches_use_all_cores(spark, tmp_path, monkeypatch):
     """A micro-batch of one file is not the work of one task."""
     from geotables.streaming import overlay_stream
