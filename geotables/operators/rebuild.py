@@ -10,14 +10,17 @@ shells are united. (Buffering by zero keeps only what is wound around in the mai
    the x-axis, or of the y-axis for vertical pieces, which are turned over). That says for both sides of the piece whether they
    belong to the feature; pieces with one side inside and one outside are the border.
 3. Rings: the border pieces of a feature are chained with the inside to their left, rings that touch themselves are cut into
-   simple ones, and holes go to the smallest shell around them. This last step sees the border of one feature at a time.
+   simple ones, and holes go to the smallest shell around them. This last step sees the border of one feature at a time, as the
+   pieces come sorted by feature, in batches that know nothing of features.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +90,8 @@ def _sides(pieces: DataFrame) -> DataFrame:
     met = met.selectExpr("k", "turned", "xl", "yl", "xr", "yr", "part", "ring", f"IF({same}, dir, 0) AS own",
                          f"IF(NOT ({same}) AND fl + (fr - fl) * ((mx - el) / (er - el)) > my, dir, 0) AS up")
     place = ["k", "turned", "xl", "yl", "xr", "yr"]
-    wind = met.groupBy(*place, "part", "ring").agg(F.sum("up").alias("over"), F.expr("sum(up) + sum(own)").alias("under"))
+    # dealt out once, for all three steps
+    wind = met.repartition(*place).groupBy(*place, "part", "ring").agg(F.sum("up").alias("over"), F.expr("sum(up) + sum(own)").alias("under"))
     parts = wind.groupBy(*place, "part").agg(*[F.expr(
         f"max(IF(ring = 0, {s} <> 0, false)) AND NOT max(IF(ring > 0, {s} <> 0, false)) AS {s}") for s in ("over", "under")])
     inside = parts.groupBy(*place).agg(F.max("over").alias("over"), F.max("under").alias("under")).where("over <> under")
@@ -130,24 +134,29 @@ def _contains(ring: list[tuple], p: tuple) -> int:
     return 1 if odd else -1
 
 
-def _chained(border: pd.DataFrame) -> pd.DataFrame:
-    """Rings of one feature from its border pieces."""
+def _chained(pieces: list[tuple]) -> list[list[list[tuple]]]:
+    """The parts of one feature, each its shell and then its holes, from its border pieces (x1, y1, x2, y2, left)."""
     out_of = {}
-    for x1, y1, x2, y2, left in zip(*(border[c] for c in ("x1", "y1", "x2", "y2", "left"))):
+    for x1, y1, x2, y2, left in pieces:
         a, b = ((x1, y1), (x2, y2)) if left else ((x2, y2), (x1, y1))
         out_of.setdefault(a, []).append(b)
     shells, holes = [], []
+    starts = sorted(out_of, reverse=True)
     while out_of:
-        start = min(out_of)
+        while starts[-1] not in out_of:
+            starts.pop()
+        start = starts[-1]
         ring, at, before = [start], start, None
         while True:
             options = out_of[at]
-            # the first way on, clockwise from the way back, bounds the same inside
-            back = math.atan2(before[1] - at[1], before[0] - at[0]) if before else math.pi
-            follow = min(options, key=lambda q: ((back - math.atan2(q[1] - at[1], q[0] - at[0])) % (2 * math.pi)) or 2 * math.pi)
-            options.remove(follow)
-            if not options:
+            if len(options) == 1:
+                follow = options[0]
                 del out_of[at]
+            else:
+                # the first way on, clockwise from the way back, bounds the same inside
+                back = math.atan2(before[1] - at[1], before[0] - at[0]) if before else math.pi
+                follow = min(options, key=lambda q: ((back - math.atan2(q[1] - at[1], q[0] - at[0])) % (2 * math.pi)) or 2 * math.pi)
+                options.remove(follow)
             ring.append(follow)
             before, at = at, follow
             if at not in out_of:
@@ -163,9 +172,38 @@ def _chained(border: pd.DataFrame) -> pd.DataFrame:
             if _area(part[0]) > -_area(hole) and (not sides or sides[0] > 0):
                 part.append(hole)
                 break
-    rings = [{"part": i, "ring": j, "pts": [{"x": x, "y": y} for x, y in ring]}
-             for i, part in enumerate(parts) for j, ring in enumerate(part)]
-    return pd.DataFrame({"k": [border["k"].iloc[0]], "rings": [rings]})
+    return parts
+
+
+def _ring_rows(features: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+    """Rows (k, rings) of chained features (k, parts)."""
+    rings = [(i, j, ring) for _, parts in features for i, part in enumerate(parts) for j, ring in enumerate(part)]
+    points = [p for *_, ring in rings for p in ring]
+    ends = lambda sizes: pa.array([0, *itertools.accumulate(sizes)], pa.int32())
+    xy = pa.StructArray.from_arrays([pa.array([p[c] for p in points], pa.float64()) for c in (0, 1)], ["x", "y"])
+    pts = pa.ListArray.from_arrays(ends(len(ring) for *_, ring in rings), xy)
+    numbers = [pa.array([r[c] for r in rings], pa.int32()) for c in (0, 1)]
+    every = pa.ListArray.from_arrays(ends(sum(map(len, parts)) for _, parts in features),
+                                     pa.StructArray.from_arrays([*numbers, pts], ["part", "ring", "pts"]))
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in features], key_type), every], ["k", "rings"])
+
+
+def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features one by one from border pieces that come sorted by ``k``, whose runs may go over several batches."""
+    known, pieces, key_type = None, [], None
+    for batch in batches:
+        keys, *columns = (c.to_pylist() for c in batch.columns)
+        key_type, done = batch.schema.field(0).type, []
+        for k, run in itertools.groupby(zip(keys, zip(*columns)), key=lambda row: row[0]):
+            if pieces and k != known:
+                done.append((known, _chained(pieces)))
+                pieces = []
+            known = k
+            pieces += [row[1] for row in run]
+        if done:
+            yield _ring_rows(done, key_type)
+    if pieces:
+        yield _ring_rows([(known, _chained(pieces))], key_type)
 
 
 def rebuild_rings(df: DataFrame, key: str = "key") -> DataFrame:
@@ -176,7 +214,8 @@ def rebuild_rings(df: DataFrame, key: str = "key") -> DataFrame:
     pieces = materialize(_pieces(edges, _cut_points(materialize(meetings_of(edges)))))
     border = _sides(pieces)
     named = f"k {edges.schema['k'].dataType.simpleString()}, rings {RINGS_T}"
-    rings = border.groupBy("k").applyInPandas(_chained, named)
+    pieces = border.select("k", "x1", "y1", "x2", "y2", "left").repartition("k").sortWithinPartitions("k")
+    rings = pieces.mapInArrow(_chain_batches, named)
     return rings.where("size(rings) > 0").selectExpr(
         f"k AS `{key}`", "IF(exists(rings, r -> r.part > 0), 'MULTIPOLYGON', 'POLYGON') AS gtype", "rings")
 

@@ -1,8 +1,8 @@
 """Ring checks: orientation, crossings, touches and nesting.
 
-Orientation is column arithmetic per ring. The edges of a feature are not compared pairwise: they become small boxes, and
-``grid_join`` (equi on the feature) brings together only edges whose boxes meet; the signs that decide are exact
-(``functions.exact``). How rings lie in each other follows from the edges where they touch, and for rings that don't touch from
+Orientation is column arithmetic per ring. The edges of a feature are small boxes, of which only those that meet are compared: a
+feature of ``FEW_EDGES`` at most is joined with itself as it is, others by ``grid_join`` (equi on the feature), without a
+comparison of all pairs. The signs that decide are exact (``functions.exact``). How rings lie in each other follows from the edges where they touch, and for rings that don't touch from
 one point of a ring and the edges above it, an equi-join on slabs of the x-axis.
 
 A polygonal feature is invalid when
@@ -24,14 +24,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotables.functions.exact import orient_sign_sql
+from geotables.functions.exact import orient_sign_sql, with_orient_signs
 from geotables.functions.shapes import ring_signed_area_sql
-from geotables.operators.spatial_join import grid_join
+from geotables.operators.spatial_join import bbox_overlaps_sql, grid_join
 from geotables.session import as_large, materialize
 
 REASONS = ["self-crossing", "hole fills shell", "overlapping edges", "hole outside shell", "nested holes", "nested shells",
            "disconnected interior", "ring too short"]
 MAX_SLABS = 4096
+FEW_EDGES = 64   # up to so many edges of a feature are all held against each other
 
 
 def orient_rings_sql(rings: str = "rings") -> str:
@@ -50,21 +51,22 @@ def close_rings_sql(rings: str = "rings") -> str:
 
 def edges_of(polys: DataFrame, key: str) -> DataFrame:
     """One row per edge: key, part, ring, i (position), n (edges in ring), endpoints and box; and of its ring whether the enclosed
-    side is the left one (ccw), area and box; and of its feature the number of rings and the x-range."""
+    side is the left one (ccw), area and box; and of its feature the numbers of rings and edges and the x-range."""
     r = polys.selectExpr(f"`{key}` AS k", "size(rings) AS n_rings", "explode(transform(rings, r -> named_struct("
                          f"'part', r.part, 'ring', r.ring, 'pts', r.pts, 'area', {ring_signed_area_sql('r.pts')}, "
                          "'x0', array_min(transform(r.pts, p -> p.x)), 'y0', array_min(transform(r.pts, p -> p.y)), "
                          "'x1', array_max(transform(r.pts, p -> p.x)), 'y1', array_max(transform(r.pts, p -> p.y))))) AS r",
                          "array_min(transform(rings, r -> array_min(transform(r.pts, p -> p.x)))) AS fx0",
-                         "array_max(transform(rings, r -> array_max(transform(r.pts, p -> p.x)))) AS fx1")
-    e = r.selectExpr("k", "n_rings", "fx0", "fx1", "r.part AS part", "r.ring AS ring", "r.area > 0D AS ccw", "abs(r.area) AS area",
+                         "array_max(transform(rings, r -> array_max(transform(r.pts, p -> p.x)))) AS fx1",
+                         "aggregate(rings, 0, (s, r) -> s + greatest(size(r.pts) - 1, 0)) AS n_edges")
+    e = r.selectExpr("k", "n_rings", "n_edges", "fx0", "fx1", "r.part AS part", "r.ring AS ring", "r.area > 0D AS ccw", "abs(r.area) AS area",
                      "r.x0 AS rx0", "r.y0 AS ry0", "r.x1 AS rx1", "r.y1 AS ry1", "size(r.pts) - 1 AS n",
                      "posexplode(zip_with(slice(r.pts, 1, greatest(size(r.pts) - 1, 0)), "
                      "slice(r.pts, 2, greatest(size(r.pts) - 1, 0)), (p, q) -> named_struct('p', p, 'q', q))) AS (i, s)")
     return e.selectExpr("k", "part", "ring", "n", "i", "s.p.x AS x1", "s.p.y AS y1", "s.q.x AS x2", "s.q.y AS y2",
                         "least(s.p.x, s.q.x) AS xmin", "least(s.p.y, s.q.y) AS ymin",
                         "greatest(s.p.x, s.q.x) AS xmax", "greatest(s.p.y, s.q.y) AS ymax",
-                        "n_rings", "fx0", "fx1", "ccw", "area", "rx0", "ry0", "rx1", "ry1")
+                        "n_rings", "n_edges", "fx0", "fx1", "ccw", "area", "rx0", "ry0", "rx1", "ry1")
 
 
 def split_valid(df: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
@@ -84,20 +86,22 @@ def meetings_of(edges: DataFrame) -> DataFrame:
     """Pairs of edges of a feature that cross, overlap or touch, each pair once in either order: the columns of both, and ``what``:
     'cross', 'overlap' or 'touch'. Edges that follow each other in a ring touch by nature and are not told unless they overlap."""
     narrow = ["k", "part", "ring", "n", "i", "x1", "y1", "x2", "y2", "xmin", "ymin", "xmax", "ymax", "ccw"]
-    a, b = (edges.selectExpr(*[f"{c} AS {p}_{c}" for c in narrow]) for p in "ab")
+    few, many = (edges.where(f"n_edges {op} {FEW_EDGES}") for op in ("<=", ">"))
+    sides = lambda df: [df.selectExpr(*[f"{c} AS {p}_{c}" for c in narrow]) for p in "ab"]
     box = lambda p: (f"{p}_xmin", f"{p}_ymin", f"{p}_xmax", f"{p}_ymax")
+    # the edges of most features are fewer than the cells of a grid they would be copied to
+    a, b = sides(few)
+    pairs = a.join(as_large(b), F.expr(f"a_k = b_k AND {FIRST} AND {bbox_overlaps_sql(box('a'), box('b'))}"))
     # a key holds edges of one feature, which came in one row: no cell of them has to be cut
-    pairs = grid_join(a, b, box("a"), box("b"), on=[("a_k", "b_k")], full_cell=1 << 62, each_once=FIRST)
+    pairs = pairs.unionByName(grid_join(*sides(many), box("a"), box("b"), on=[("a_k", "b_k")], full_cell=1 << 62, each_once=FIRST))
     # edges i and j of one ring are adjacent when they follow each other, including last -> first
     adjacent = f"({SAME_RING} AND (abs(a_i - b_i) = 1 OR (a_i = 0 AND b_i = a_n - 1) OR (b_i = 0 AND a_i = b_n - 1)))"
     # edges that follow each other can have a piece in common only if the second one turns back
     back = "(a_x2 - a_x1) * (b_x2 - b_x1) + (a_y2 - a_y1) * (b_y2 - b_y1) < 0D"
     pairs = pairs.where(f"NOT {adjacent} OR {back}")
     line = lambda p: (f"{p}_x1", f"{p}_y1", f"{p}_x2", f"{p}_y2")
-    signs = ", ".join(f"'{d}', {orient_sign_sql(*line(p), x, y)}" for d, p, x, y in (
-        ("d1", "b", "a_x1", "a_y1"), ("d2", "b", "a_x2", "a_y2"), ("d3", "a", "b_x1", "b_y1"), ("d4", "a", "b_x2", "b_y2")))
-    # the output of a generator: the filter below stays above it, and no sign is evaluated twice
-    pairs = pairs.selectExpr("*", f"{adjacent} AS adjacent", f"inline(array(named_struct({signs})))")
+    pairs = with_orient_signs(pairs.selectExpr("*", f"{adjacent} AS adjacent"), {d: (*line(p), x, y) for d, p, x, y in (
+        ("d1", "b", "a_x1", "a_y1"), ("d2", "b", "a_x2", "a_y2"), ("d3", "a", "b_x1", "b_y1"), ("d4", "a", "b_x2", "b_y2"))})
     shared = ("(least(a_xmax, b_xmax) > greatest(a_xmin, b_xmin) OR least(a_ymax, b_ymax) > greatest(a_ymin, b_ymin))")
     # a vertex of one edge lying on the other: collinear and inside its box
     on = lambda p, d, x, y: f"({d} = 0 AND {x} BETWEEN {p}_xmin AND {p}_xmax AND {y} BETWEEN {p}_ymin AND {p}_ymax)"
@@ -110,15 +114,24 @@ def meetings_of(edges: DataFrame) -> DataFrame:
         "what IS NOT NULL")
 
 
-def _in_sector(d: str, u: str, v: str, ccw: str) -> str:
+def _in_sector(d: str, u: str, v: str, ccw: str, turn: str) -> str:
     """True if the direction from P (columns px, py) to the point ``d`` lies on the enclosed side of a ring that comes from
-    ``u`` through P to ``v``."""
-    sign = lambda a, b, c: f"({orient_sign_sql(f'{a}.x', f'{a}.y', f'{b}.x', f'{b}.y', f'{c}.x', f'{c}.y')})"
-    turn, past_out, past_in = sign(u, "p", v), sign("p", v, d), sign(u, "p", d)
+    ``u`` through P to ``v``. The signs are columns (``_sector_signs``)."""
+    past_out, past_in = f"{d}_past_{v}", f"{d}_past_{u}"
     left = f"CASE WHEN {turn} > 0 THEN {past_out} > 0 AND {past_in} > 0 ELSE {past_out} > 0 OR {past_in} > 0 END"
     return f"(({left}) = {ccw})"
 
 
+def _sector_signs() -> dict[str, tuple]:
+    """The turn of both rings at P, and the sides of each one's lines on which the other's neighbours of P lie."""
+    at = lambda *ps: tuple(f"{p}.{c}" for p in ps for c in "xy")
+    signs = {f"{p}_turn": at(f"{p}_u", "p", f"{p}_v") for p in "ab"}
+    for p, q in ("ab", "ba"):
+        for d in (f"{p}_u", f"{p}_v"):
+            signs |= {f"{d}_past_{q}_v": at("p", f"{q}_v", d), f"{d}_past_{q}_u": at(f"{q}_u", "p", d)}
+    return signs
+
+
 def _touching(meetings: DataFrame) -> DataFrame:
     """One row per two rings and point where they touch: k, a_part, a_ring, b_part, b_ring, p, and on which side of the other
     ring each of them comes and goes: a_from, a_to (inside b), b_from, b_to (inside a)."""
@@ -134,10 +147,10 @@ def _touching(meetings: DataFrame) -> DataFrame:
         "a_k AS k", "a_part", "a_ring", "b_part", "b_ring", "at AS p", "a_ccw", "b_ccw", *ends)
     keys = ["k", "a_part", "a_ring", "b_part", "b_ring", "p", "a_ccw", "b_ccw"]
     rows = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("a_u", "a_v", "b_u", "b_v")])
-    return rows.selectExpr(*keys[:6], f"{_in_sector('a_u', 'b_u', 'b_v', 'b_ccw')} AS a_from",
-                           f"{_in_sector('a_v', 'b_u', 'b_v', 'b_ccw')} AS a_to",
-                           f"{_in_sector('b_u', 'a_u', 'a_v', 'a_ccw')} AS b_from",
-                           f"{_in_sector('b_v', 'a_u', 'a_v', 'a_ccw')} AS b_to")
+    rows = with_orient_signs(rows, _sector_signs())
+    sides = [(f"{p}_{name}", _in_sector(f"{p}_{end}", f"{q}_u", f"{q}_v", f"{q}_ccw", f"{q}_turn"))
+             for p, q in ("ab", "ba") for name, end in (("from", "u"), ("to", "v"))]
+    return rows.selectExpr(*keys[:6], *[f"{inside} AS {name}" for name, inside in sides])
 
 
 def _rings_inside(edges: DataFrame, touching: DataFrame | None) -> DataFrame:

@@ -74,3 +74,21 @@ def test_repair_options(spark, tmp_path):
     assert {r.oid: r.a for r in good.selectExpr("oid", f"{area_sql()} AS a").collect()} == {"square": 16.0, "point": 0.0, "bow": 2.0}
     assert [(r.oid, r.reason) for r in bad.collect()] == [("flat", "overlapping edges")]
     assert repair_features(stored.where("oid = 'square'"), rebuild=True)[0].count() == 1
+
+
+def test_rebuilding_takes_many_features_a_task(spark):
+    """Border pieces are chained feature by feature, but not by a call of Spark for each of them; runs of a feature's pieces may go
+    over several batches."""
+    rng = random.Random(3)
+    texts = [random_loop(rng) for _ in range(40)] + [random_multipolygon(rng) for _ in range(40)]
+    f, _ = features_from_wkt(spark, [(w, f"m{i}", "{}") for i, w in enumerate(texts)])
+    told = lambda df: sorted((r.oid, r.gtype, str(r.rings)) for r in df.collect())
+    rebuilt = rebuild_rings(f, "oid")
+    plan = rebuilt._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    want = told(rebuilt)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert told(rebuild_rings(f, "oid")) == want and len(want) > 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -131,3 +131,58 @@ def test_growing_sides_are_not_broadcast(spark, tmp_path, monkeypatch):
     for df in (meetings, rings._rings_inside(edges, None), rings._rings_inside(edges, touching), rings.check_rings(f), good, bad,
                *repair_features(f, rebuild=True)):
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_signs_as_columns(spark):
+    """Signs of several lines at once, of points on a grid, off it and on no grid at all, and with nulls."""
+    from geotables.functions.exact import with_orient_signs
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        ax, ay, dx, dy = (rng.randrange(-500, 500) / 64 for _ in range(4))
+        k = rng.choice([0.5, 2.0, 3.0, 0.1])
+        cx, cy = ax + k * dx, ay + k * dy
+        if i % 3:
+            ax, cx = ax + rng.choice([0.0, 0.1, 1e-13]), cx * (1 + rng.choice([0, 2.0 ** -52]))
+        rows.append((ax, ay, ax + dx, ay + dy, cx, cy))
+    rows += [(1e17, 1.0, 0.1, 0.1, 1e-17, 0.3), (0.1, 0.1, 0.3, 0.3, 0.2, 0.2), (None, 0.0, 1.0, 1.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "ax double, ay double, bx double, by double, cx double, cy double")
+    names = ("ax", "ay", "bx", "by", "cx", "cy")
+    got = with_orient_signs(df, {"abc": names, "bca": (*names[2:], *names[:2]), "bac": (*names[2:4], *names[:2], *names[4:])}).collect()
+    for r, row in zip(got, rows):
+        if None in row:
+            want = 0
+        else:
+            ax, ay, bx, by, cx, cy = map(Fraction, row)
+            d = (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+            want = (d > 0) - (d < 0)
+        assert (r.abc, r.bca, r.bac) == (want, want, -want), row
+    assert {r.abc for r in got} == {-1, 0, 1} and got[0].asDict().keys() == {*names, "abc", "bca", "bac"}
+
+
+def test_features_with_many_edges(spark, monkeypatch):
+    """The grid of features with many edges and the plain pairs of others find the same."""
+    from geotables.operators import rings
+    rng = random.Random(6)
+    texts = [random_multipolygon(rng) for _ in range(150)]
+    f, _ = features_from_wkt(spark, [(w, f"m{i}", "{}") for i, w in enumerate(texts)])
+    found = []
+    for few in (64, 9, 0):
+        monkeypatch.setattr(rings, "FEW_EDGES", few, raising=False)
+        found.append(sorted((r.oid, str(r.reason)) for r in check_rings(f).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 150
+
+
+def test_an_exact_sign_is_planned_once(spark):
+    """A task spends seconds on a plan that has the exact expression for every sign, however few its rows are."""
+    from geotables.operators import rings
+    square = ring(box(0, 0, 4, 4))
+    f, _ = features_from_wkt(spark, [(f"MULTIPOLYGON (({square}), ({ring(box(4, 4, 1, 1))}))", "a", "{}")])
+    edges = rings.materialize(rings.edges_of(f, "oid"))
+    meetings = rings.materialize(rings.meetings_of(edges))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    try:
+        assert 0 < size(rings._touching(meetings)) < 40_000 and 0 < size(rings.meetings_of(edges)) < 40_000
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
