@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotables.functions.exact import orient_sign_sql, with_orient_signs
-from geotables.functions.shapes import ring_signed_area_sql
+from geotables.functions.shapes import let_sql, ring_signed_area_sql
 from geotables.operators.spatial_join import bbox_overlaps_sql, grid_join
 from geotables.session import as_large, materialize
 
@@ -43,9 +43,9 @@ def orient_rings_sql(rings: str = "rings") -> str:
 
 def close_rings_sql(rings: str = "rings") -> str:
     """Append the first point to rings whose last point differs, and drop consecutive repeated points."""
-    dedup = ("filter(r.pts, (p, i) -> CASE WHEN i = 0 THEN true ELSE p != r.pts[i - 1] END)")
-    closed = (f"CASE WHEN size({dedup}) > 0 AND element_at({dedup}, 1) != element_at({dedup}, -1) "
-              f"THEN concat({dedup}, array(element_at({dedup}, 1))) ELSE {dedup} END")
+    dedup = "filter(r.pts, (p, i) -> CASE WHEN i = 0 THEN true ELSE p != r.pts[i - 1] END)"
+    closed = let_sql(dedup, "d", "CASE WHEN size(d) > 0 AND element_at(d, 1) != element_at(d, -1) "
+                                 "THEN concat(d, array(element_at(d, 1))) ELSE d END")
     return f"transform({rings}, r -> named_struct('part', r.part, 'ring', r.ring, 'pts', {closed}))"
 
 
@@ -73,7 +73,7 @@ def split_valid(df: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """(valid features, the others with ``reason``) of features whose rings are closed and without repeated points.
     Features that are no polygons are valid."""
     df = materialize(df)
-    bad = check_rings(df, key).where("NOT valid").select(key, "reason")
+    bad = materialize(check_rings(df, key).where("NOT valid").select(key, "reason"))  # read for both results
     return (df.join(as_large(bad.select(key)), key, "left_anti").select(*df.columns),
             df.join(as_large(bad), key).select(*df.columns, "reason"))
 
