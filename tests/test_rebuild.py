@@ -25,7 +25,7 @@ def expected_area(spark, wkt):
     jvm = spark.sparkContext._jvm
     geom = jvm.org.locationtech.jts.io.WKTReader().read(wkt)
     polygonizer = jvm.org.locationtech.jts.operation.polygonize.Polygonizer()
-    polygonizer.add(jvm.org.locationtech.jts.operation.union.UnaryUnionOp.union(geom.getBoundary()))
+    polygonizer.add(geom.getBoundary().union())
     rings = lambda p: [[(c.getX(), c.getY()) for c in r.getCoordinates()] for r in
                        [p.getExteriorRing(), *[p.getInteriorRingN(i) for i in range(p.getNumInteriorRing())]]]
     parts = [rings(geom.getGeometryN(i)) for i in range(geom.getNumGeometries())]
